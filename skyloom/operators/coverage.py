@@ -161,9 +161,8 @@ def polygon_runs(polygons: DataFrame, layer: list[str], polygon_id: str, grid: G
 def _bits(low: Column, high: Column) -> Column:
     """Word with bits low..high set; 0 when the span is empty."""
     width = high - low + 1
-    ones = F.when(width >= WORD, F.lit(-1).cast("long")).otherwise(
-        F.call_function("shiftleft", F.lit(1).cast("long"), width) - F.lit(1).cast("long")
-    )
+    gap = F.greatest(F.lit(0), F.least(F.lit(WORD - 1), F.lit(WORD) - width))
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), gap)
     return F.when(width <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", ones, low))
 
 
@@ -229,7 +228,8 @@ def disk_fractions(masks: DataFrame, layer: list[str], targets: DataFrame, radii
     counts = hit.groupBy("ix", "iy", *layer).agg(
         *[F.sum(covered(i).cast("long")).alias(f"c{i}") for i in range(len(radii))]
     )
-    return counts.select(
+    touched = F.greatest(*[F.col(f"c{i}") for i in range(len(radii))], F.lit(0)) > 0
+    return counts.where(touched).select(
         "ix", "iy", *layer,
         *[
             F.least(F.lit(1.0), F.col(f"c{i}") / F.lit(float(kernel_total(kernels[r])))).alias(f"frac_{int(r)}")

@@ -147,11 +147,14 @@ def running_total(df: DataFrame, order: str, amounts: list[str], groups: list[st
     )
 
 
-def value_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, rank): average ranks from 1, one row per distinct value."""
+def value_ranks(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
+    """(value, n, n_before, rank): average ranks from 1, one row per distinct value.
+
+    With ``weight`` each row stands for that many equal rows.
+    """
+    n = F.sum(weight) if weight else F.count(F.lit(1))
     counts = materialise(
-        df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n")),
+        df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(n.alias("n")),
         "values",
     )
     return running_total(counts, "value", ["n"]).select(

@@ -33,6 +33,12 @@ def query(ids: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Call
     return add
 
 
+def dbl(value: float) -> str:
+    """A double literal that SQL engines read without rounding."""
+    text = repr(float(value))
+    return text if "e" in text else text + "e0"
+
+
 def r(value: Column, digits: int = 6) -> Column:
     return F.round(value, digits)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import derive, geo
 from skyloom.operators import spatial
-from skyloom.queries.base import OBS_TIES, ORDER_RANGE, ORDER_SQL, query, r
+from skyloom.queries.base import OBS_TIES, ORDER_RANGE, ORDER_SQL, dbl, query, r
 from skyloom.session import new_table_path
 from skyloom.sources import derived, polygons, raster, tables, trees
 
@@ -83,7 +83,7 @@ def _boundary():
 
 _EDGES_SQL = "edges(xa, ya, xb, yb) as (values {})".format(
     ", ".join(
-        f"({a[0]!r}e0, {a[1]!r}e0, {b[0]!r}e0, {b[1]!r}e0)"
+        f"({dbl(a[0])}, {dbl(a[1])}, {dbl(b[0])}, {dbl(b[1])})"
         for ring in _BOUNDARY for a, b in zip(ring, ring[1:])
     )
 )
@@ -411,8 +411,8 @@ def _hex_sql(res: int) -> str:
       select *, abs(rq - q) as dq, abs(rr - r) as dr, abs(rs - s) as ds from (
       select *, round_even(q, 0) as rq, round_even(r, 0) as rr, round_even(s, 0) as rs from (
       select *, -q - r as s from (
-      select loc_id, (x * {math.sqrt(3.0) / 3.0!r}e0 - y * {1.0 / 3.0!r}e0) / {edge!r}e0 as q, y * {2.0 / 3.0!r}e0 / {edge!r}e0 as r from (
-      select distinct loc_id, (longitude - 3.57e0) / {geo.LON_DEG_PER_M:.25f} as x, (latitude - 50.96e0) / {geo.LAT_DEG_PER_M:.25f} as y from obs)))))"""
+      select loc_id, (x * {dbl(math.sqrt(3.0) / 3.0)} - y * {dbl(1.0 / 3.0)}) / {dbl(edge)} as q, y * {dbl(2.0 / 3.0)} / {dbl(edge)} as r from (
+      select distinct loc_id, (longitude - 3.57e0) / {dbl(geo.LON_DEG_PER_M)} as x, (latitude - 50.96e0) / {dbl(geo.LAT_DEG_PER_M)} as y from obs)))))"""
 
 
 @query(
