@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.geo import HEX_NEIGHBOURS
+from skyloom.operators.scale import numbered
 from skyloom.session import materialise
 
 
@@ -22,26 +23,6 @@ def neighbour_edges(tiles: DataFrame, tile: str = "tile") -> DataFrame:
     return asked.join(tiles.select(F.col(tile).alias("dst"), "q", "r"), ["q", "r"]).select("src", "dst")
 
 
-def _numbered(df: DataFrame, groups: list[str], order: str, parts: int = 64) -> DataFrame:
-    """Position of each row in its group by a hash order, without one big sort.
-
-    The hash is cut into even parts; positions count within a part and start at
-    the number of rows in earlier parts.
-    """
-    parted = df.withColumn("__part", F.pmod(F.shiftrightunsigned(order, 40), F.lit(parts)).cast("int"))
-    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1) \
-        if groups else Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parted.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__n")).select(
-        *groups, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
-    )
-    inside = Window.partitionBy(*groups, "__part").orderBy(order, "tile")
-    return (
-        parted.join(starts, [*groups, "__part"])
-        .withColumn("place", F.row_number().over(inside) - 1 + F.col("__start"))
-        .drop("__part", "__start")
-    )
-
-
 def morans_i(residuals: DataFrame, n_perm: int = 999, seed: int = 42) -> DataFrame:
     """One row: I, E[I], permutation p, tiles, edges.
 
@@ -74,12 +55,12 @@ def morans_i(residuals: DataFrame, n_perm: int = 999, seed: int = 42) -> DataFra
             "morans_i double, expected_i double, p_value double, n_tiles long, n_edges long",
         )
     ss = max(z.agg(F.sum(F.col("z") * F.col("z"))).first()[0], 1e-14)
-    by_place = _numbered(z.select("tile", "z", "h"), [], "h").select("place", "z")
+    by_place = numbered(z.select("tile", "z", "h"), [], "h", "tile").select("place", "z")
     shuffled = (
         z.select("tile", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
         .withColumn("h", F.xxhash64("tile", "perm", F.lit(seed)))
     )
-    drawn = _numbered(shuffled, ["perm"], "h", parts=16).join(by_place, "place").select("perm", "tile", "z")
+    drawn = numbered(shuffled, ["perm"], "h", "tile", parts=16).join(by_place, "place").select("perm", "tile", "z")
     observed = z.select(F.lit(0).alias("perm"), "tile", "z")
     assigned = materialise(observed.unionByName(drawn), "permutations")
     left = assigned.select("perm", F.col("tile").alias("src"), F.col("z").alias("zi"))

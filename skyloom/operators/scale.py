@@ -184,3 +184,27 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list[floa
         a, b = at[low], at[min(low + 1, total - 1)]
         out.append(a + (b - a) * frac)
     return out
+
+
+def numbered(df: DataFrame, groups: list[str], hashed: str, tie: str, parts: int = 64) -> DataFrame:
+    """Add ``place``: position from 0 of each row in its group by a hash column.
+
+    The hash is cut into even parts; positions count within a part and start at
+    the number of rows in earlier parts, so no group is sorted in one task.
+    """
+    width = 1 << 16
+    parted = df.withColumn(
+        "__part", F.floor(F.shiftrightunsigned(hashed, 48) * F.lit(parts) / F.lit(width)).cast("int")
+    )
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__part").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    starts = parted.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__n")).select(
+        *groups, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+    )
+    inside = Window.partitionBy(*groups, "__part").orderBy(hashed, tie)
+    return (
+        parted.join(starts, [*groups, "__part"])
+        .withColumn("place", F.row_number().over(inside) - 1 + F.col("__start"))
+        .drop("__part", "__start")
+    )
