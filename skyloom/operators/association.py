@@ -179,12 +179,13 @@ def partial_from_products(products: Sequence[float], n: int, q: int) -> dict:
     free = n - q - 1
     t = rho * math.sqrt(free / max(1 - rho * rho, 1e-14)) if free >= 1 else None
     mean_x, mean_y = ztx[0] / n, zty[0] / n
-    return {
+    found = {
         "partial_r": rho, "t_stat": t, "partial_p": t_two_sided(t, free) if t is not None else None,
         "effect_slope": xmy / xmx if abs(xmx) > 1e-14 else None,
         "feature_mean": mean_x, "feature_std": math.sqrt(max(0.0, g[q, q] / n - mean_x**2)),
         "target_mean": mean_y, "target_std": math.sqrt(max(0.0, g[q + 1, q + 1] / n - mean_y**2)),
     }
+    return {k: None if v is None else float(v) for k, v in found.items()}
 
 
 PARTIAL_SCHEMA = (

@@ -44,7 +44,7 @@ class RadiusFeature(Feature):
     dataset: str
     radius_m: float
     agg: str = "count"
-    column: str | None = None
+    fields: tuple[str, ...] = ()
     match: tuple[tuple[str, str], ...] = ()
     temporal: str = "none"
     planted_by: bool = False
@@ -58,19 +58,23 @@ class RadiusFeature(Feature):
         if self.planted_by and self.agg != "count":
             raise ValueError("planted-by features count trees")
 
-    def name(self) -> str:
+    def base(self) -> str:
         r = int(self.radius_m)
-        if self.planted_by:
-            base = self.prefix or f"{self.dataset}_plantedby_{r}m{_suffix(dict(self.match))}_"
-        else:
-            base = self.prefix or f"{self.dataset}_{self.agg}{r}m{_suffix(dict(self.match))}_"
-        return base + ("count" if self.agg == "count" else f"{self.column}_{self.agg}")
+        kind = f"plantedby_{r}m" if self.planted_by else f"{self.agg}{r}m"
+        return self.prefix or f"{self.dataset}_{kind}{_suffix(dict(self.match))}_"
+
+    def measures(self) -> list[Measure]:
+        """The number of points, and the aggregate of every field."""
+        base = self.base()
+        out = [Measure(f"{base}count", "count", self.radius_m, None, self.match)]
+        if self.agg != "count":
+            out += [
+                Measure(f"{base}{f}_{self.agg}", self.agg, self.radius_m, f, self.match) for f in self.fields
+            ]
+        return out
 
     def columns(self) -> list[str]:
-        return [self.name()]
-
-    def measure(self) -> Measure:
-        return Measure(self.name(), self.agg, self.radius_m, self.column, self.match)
+        return [m.name for m in self.measures()]
 
 
 @dataclass(frozen=True)
@@ -292,9 +296,9 @@ def place_features(obs: DataFrame, registry: Registry, sides: Sides, grid: Grid
     for dataset in dict.fromkeys(f.dataset for f in points):
         mine = [f for f in points if f.dataset == dataset]
         side = sides.points[dataset]
-        still = [f.measure() for f in mine if not f.planted_by and f.temporal == "none"]
-        dated = [f.measure() for f in mine if not f.planted_by and f.temporal == "last_previous"]
-        planted = [f.measure() for f in mine if f.planted_by]
+        still = [m for f in mine if not f.planted_by and f.temporal == "none" for m in f.measures()]
+        dated = [m for f in mine if not f.planted_by and f.temporal == "last_previous" for m in f.measures()]
+        planted = [m for f in mine if f.planted_by for m in f.measures()]
         if still:
             out = out.join(spatial.radius_aggregate(spots, side, still), list(LOC), "left")
         if dated:

@@ -42,7 +42,7 @@ def build_registry(radii=RADII, phases=PHASES, classes=None, uses=ROAD_USES, mat
     reg = Registry()
     for r in radii:
         for agg in ("avg", "max", "min"):
-            reg.add(RadiusFeature("dhm", r, agg, elevation, temporal="last_previous"))
+            reg.add(RadiusFeature("dhm", r, agg, (elevation,), temporal="last_previous"))
     for r in radii:
         reg.add(RadiusFeature("trees", r, planted_by=True))
         for phase in phases:
