@@ -189,16 +189,20 @@ def disk_fractions(masks: DataFrame, layer: list[str], targets: DataFrame, radii
     if 2 * reach_x + 1 > 2 * WORD:
         raise ValueError("radius too large for the sub-grid: lower the supersampling")
 
-    spark = targets.sparkSession
-    # One row per disk row: its size is fixed by radius and resolution.
-    kernel_rows = [
-        (dy, *[[(h, n) for h, n in kernels[r].get(dy, [])] for r in radii])
-        for dy in range(-reach_y, reach_y + 1)
-    ]
-    schema = "dy int, " + ", ".join(
-        f"k{i} array<struct<h:int,n:int>>" for i in range(len(radii))
+    # One row per disk row, its size fixed by radius and resolution.  Steps are
+    # flat columns (half width -1 where a row has fewer) so that the overlap is
+    # plain arithmetic inside generated code.
+    depth = [max(len(steps) for steps in kernels[r].values()) for r in radii]
+
+    def flat(i: int, dy: int) -> list[int]:
+        steps = kernels[radii[i]].get(dy, [])
+        return [v for h, n in [*steps, *[(-1, 0)] * (depth[i] - len(steps))] for v in (h, n)]
+
+    names = [f"{kind}{i}_{s}" for i in range(len(radii)) for s in range(depth[i]) for kind in ("h", "n")]
+    kernel = targets.sparkSession.createDataFrame(
+        [(dy, *[v for i in range(len(radii)) for v in flat(i, dy)]) for dy in range(-reach_y, reach_y + 1)],
+        "dy int, " + ", ".join(f"{n} int" for n in names),
     )
-    kernel = spark.createDataFrame(kernel_rows, schema)
 
     spread = (
         targets.select("ix", "iy", (F.col("ix") * ss).alias("sx"))
@@ -218,12 +222,14 @@ def disk_fractions(masks: DataFrame, layer: list[str], targets: DataFrame, radii
     offset = F.col("sx") - F.col("block") * WORD
 
     def covered(i: int) -> Column:
-        def add(acc: Column, step: Column) -> Column:
-            low = F.greatest(offset - step["h"], F.lit(0))
-            high = F.least(offset + step["h"], F.lit(WORD - 1))
-            return acc + step["n"] * F.bit_count(F.col("word").bitwiseAND(_bits(low, high)))
-
-        return F.aggregate(F.col(f"k{i}"), F.lit(0), add)
+        out = F.lit(0)
+        for step in range(depth[i]):
+            half = F.col(f"h{i}_{step}")
+            low = F.greatest(offset - half, F.lit(0))
+            high = F.least(offset + half, F.lit(WORD - 1))
+            bits = F.bit_count(F.col("word").bitwiseAND(_bits(low, high)))
+            out = out + F.col(f"n{i}_{step}") * bits
+        return out
 
     counts = hit.groupBy("ix", "iy", *layer).agg(
         *[F.sum(covered(i).cast("long")).alias(f"c{i}") for i in range(len(radii))]

@@ -411,11 +411,11 @@ def wide_products(spark, sf):
     wide = derived.table(spark, sf, "embeddings").select(
         *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]
     )
-    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in gram.triangle(64)])
-    out = gram.gram_by(wide, names)
-    return out.select(F.inline(F.arrays_zip(places.alias("p"), F.col("products").alias("v")))).select(
-        "p.i", "p.j", r(F.col("v"), 6).alias("v")
+    out = gram.gram_by(wide, names).select(F.posexplode("products").alias("pos", "v"))
+    rows = spark.createDataFrame(
+        [(k, i, j) for k, (i, j) in enumerate(gram.triangle(64))], "pos int, i int, j int"
     )
+    return out.join(rows, "pos").select("i", "j", r(F.col("v"), 6).alias("v"))
 
 
 def _complete(spark, sf):

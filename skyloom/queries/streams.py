@@ -119,7 +119,7 @@ def stream_histograms(spark, sf):
 
 @query(
     "Q7 A16",
-    """select count(*) as n, round(sum(l_quantity * l_quantity), 3) as qq, round(sum(l_quantity * l_tax), 3) as qt, round(sum(l_tax * l_tax), 3) as tt from obs""",
+    """select count(*) as n, round(sum(l_quantity * l_quantity), 6) as qq, round(sum(l_quantity * l_tax), 6) as qt, round(sum(l_tax * l_tax), 6) as tt from obs""",
     ("obs",),
 )
 def stream_products(spark, sf):
@@ -130,5 +130,5 @@ def stream_products(spark, sf):
     m = g.matrix
     return spark.range(1).select(
         F.lit(g.n).cast("long").alias("n"),
-        *[r(F.lit(float(v)), 3).alias(n) for n, v in (("qq", m[0, 0]), ("qt", m[0, 1]), ("tt", m[1, 1]))],
+        *[r(F.lit(float(v)), 6).alias(n) for n, v in (("qq", m[0, 0]), ("qt", m[0, 1]), ("tt", m[1, 1]))],
     )

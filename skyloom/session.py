@@ -20,6 +20,8 @@ def local_session(cores: int | str = 8, memory: str = "16g", name: str = "skyloo
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs more than the expressions it annotates
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
