@@ -60,18 +60,20 @@ def _occupied_sql(name: str, lo: str, hi: str) -> str:
 
 
 _STATS = f"""stats as (select partition_key, tile_id, count(*) as row_count, min({_T}) as value_min, max({_T}) as value_max,
-  round(avg({_T}), 6) as value_mean, min(longitude) as lon_min, max(longitude) as lon_max, min(latitude) as lat_min, max(latitude) as lat_max
+  avg({_T}) as value_mean, min(longitude) as lon_min, max(longitude) as lon_max, min(latitude) as lat_min, max(latitude) as lat_max
   from obs group by 1, 2)"""
 
 
 @query(
     "A3",
-    f"with {_STATS} select * from stats",
+    f"with {_STATS} select * exclude (value_mean), round(value_mean / pi(), 6) as value_mean_by_pi from stats",
     ("obs",),
 )
 def tile_statistics(spark, sf):
     out = catalog.partition_statistics(_obs(spark, sf), ["year"])
-    return out.drop("year_counts").withColumn("value_mean", r(F.col("value_mean")))
+    return out.withColumn("value_mean_by_pi", r(F.col("value_mean") / F.pi())).drop(
+        "year_counts", "value_mean"
+    )
 
 
 @query(

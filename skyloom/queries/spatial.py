@@ -11,6 +11,7 @@ from skyloom.queries.base import dbl, query, r
 from skyloom.session import materialise
 from skyloom.sources import derived, raster
 
+# Means of short decimals are compared divided by pi: none then sits on a rounding tie.
 PLACES = "places as (select distinct loc_id, longitude, latitude from obs)"
 
 
@@ -58,9 +59,9 @@ def temperature_by_tree_count(spark, sf):
     "J2 A1 F5",
     f"""with {PLACES}, {_pairs('trees', 500.0, 't.girth')},
       a as (select loc_id, count(*) filter (where dist_m <= 200) as n_200, count(*) as n_500,
-        round(avg(girth) filter (where dist_m <= 200), 6) as girth_avg_200, round(avg(girth), 6) as girth_avg_500,
+        round(avg(girth) filter (where dist_m <= 200) / pi(), 6) as diameter_avg_200, round(avg(girth) / pi(), 6) as diameter_avg_500,
         round(sum(girth), 6) as girth_sum_500, min(girth) as girth_min_500, max(girth) as girth_max_500 from pairs group by 1)
-      select p.loc_id, coalesce(n_200, 0) as n_200, coalesce(n_500, 0) as n_500, girth_avg_200, girth_avg_500,
+      select p.loc_id, coalesce(n_200, 0) as n_200, coalesce(n_500, 0) as n_500, diameter_avg_200, diameter_avg_500,
         girth_sum_500, girth_min_500, girth_max_500 from places p left join a using (loc_id)""",
     ("obs", "trees"),
 )
@@ -74,8 +75,11 @@ def trees_within_radius(spark, sf):
             Measure("girth_max_500", "max", 500, "girth"),
         ],
     )
-    rounded = {"girth_avg_200": 6, "girth_avg_500": 6, "girth_sum_500": 6}
-    return out.drop("longitude", "latitude").withColumns({c: r(F.col(c), d) for c, d in rounded.items()})
+    return out.select(
+        "loc_id", "n_200", "n_500", r(F.col("girth_avg_200") / F.pi()).alias("diameter_avg_200"),
+        r(F.col("girth_avg_500") / F.pi()).alias("diameter_avg_500"), r(F.col("girth_sum_500")).alias("girth_sum_500"),
+        "girth_min_500", "girth_max_500",
+    )
 
 
 @query(
@@ -130,7 +134,7 @@ def trees_planted_by_scene(spark, sf):
         from pairs group by 1, 2, 3),
       k as (select y.longitude, y.latitude, y.year, max(dhm_year) as dhm_year from years y join s using (longitude, latitude)
         where s.dhm_year <= y.year group by 1, 2, 3)
-      select y.*, coalesce(n, 0) as dhm_count, round(e_avg, 6) as dhm_avg, e_max as dhm_max, e_min as dhm_min
+      select y.*, coalesce(n, 0) as dhm_count, round(e_avg / pi(), 6) as dhm_avg_by_pi, e_max as dhm_max, e_min as dhm_min
       from years y left join k using (longitude, latitude, year) left join s using (longitude, latitude, dhm_year)""".replace("select y.*, coalesce(n", "select y.longitude, y.latitude, y.year, coalesce(n"),
     ("obs", "dhm"),
 )
@@ -144,21 +148,21 @@ def elevation_last_survey(spark, sf):
         ],
         survey_year="dhm_year",
     )
-    return out.withColumn("dhm_avg", r(F.col("dhm_avg")))
+    return out.withColumn("dhm_avg_by_pi", r(F.col("dhm_avg") / F.pi())).drop("dhm_avg")
 
 
 @query(
     "A1",
     f"""with {PLACES}, {_pairs('dhm', 800.0, 't.elevation')},
-      a as (select loc_id, count(*) as n, round(avg(elevation), 6) as e_avg from pairs group by 1)
-      select p.loc_id, coalesce(n, 0) as n, e_avg from places p left join a using (loc_id)""",
+      a as (select loc_id, count(*) as n, round(avg(elevation) / pi(), 6) as e_avg_by_pi from pairs group by 1)
+      select p.loc_id, coalesce(n, 0) as n, e_avg_by_pi from places p left join a using (loc_id)""",
     ("obs", "dhm"),
 )
 def elevation_all_surveys(spark, sf):
     return spatial.radius_aggregate(
         _places(spark, sf), derived.dhm(spark, sf),
         [Measure("n", "count", 800), Measure("e_avg", "avg", 800, "elevation")],
-    ).select("loc_id", "n", r(F.col("e_avg")).alias("e_avg"))
+    ).select("loc_id", "n", r(F.col("e_avg") / F.pi()).alias("e_avg_by_pi"))
 
 
 @query(
