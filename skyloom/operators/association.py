@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.derive import role_of, source_of
 from skyloom.functions.tails import correlation_p, t_two_sided
 from skyloom.operators.gram import gram_by, solve, square
-from skyloom.operators.scale import exact_quantiles, value_ranks
+from skyloom.operators.scale import enrich, exact_quantiles, value_ranks
 from skyloom.session import materialise
 
 
@@ -40,7 +40,7 @@ def spearman(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
             F.col("value").alias(c), (F.col("rank") - F.lit((total + 1) / 2)).alias(f"r{c}")
         )
 
-    joined = pairs.join(ranks("x"), "x").join(ranks("y"), "y")
+    joined = enrich(enrich(pairs, ranks("x"), ["x"]), ranks("y"), ["y"])
     row = joined.agg(
         *[
             F.sum(F.col("n") * F.col(a) * F.col(b)).alias(k)

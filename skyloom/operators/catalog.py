@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.bins import DIMENSIONS, Dimension, closed_histogram_bin, dense_counts
+from skyloom.operators.scale import enrich
 
 GROUP = ("partition_key", "tile_id")
 
@@ -212,10 +213,11 @@ def tile_mean_and_spread(df: DataFrame, value: str = "ndvi", tile: str = "tile_i
     Computed as a map-side combined aggregate joined back, rather than a
     window, so that a tile with most of the rows is not gathered in one task.
     """
-    stats = df.where(F.col(value).isNotNull()).groupBy(tile).agg(
-        F.avg(value).alias(f"{prefix}_mean"), F.stddev_samp(value).alias(f"{prefix}_std")
+    stats = df.where(F.col(tile).isNotNull()).groupBy(tile).agg(
+        F.avg(value).alias(f"{prefix}_mean"), F.stddev_samp(value).alias(f"{prefix}_std"),
+        F.count(F.lit(1)).alias("n"),
     )
-    return df.join(stats, tile, "left")
+    return enrich(df, stats.drop("n"), [tile], stats.select(tile, "n"))
 
 
 def distribution_report(obs: DataFrame) -> DataFrame:

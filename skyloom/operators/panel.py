@@ -15,6 +15,7 @@ from skyloom.functions.derive import scene_month, scene_year
 from skyloom.functions.tails import chi2_upper, t_quantile_975, t_two_sided
 from skyloom.operators.gram import triangle
 from skyloom.operators.sampling import whole_group_cap
+from skyloom.operators.scale import enrich
 from skyloom.session import materialise
 
 EVENT_WINDOW = (-5, 10)  # fixed values: years before and after the onset
@@ -58,8 +59,11 @@ def event_time(panel: DataFrame, window: tuple[int, int] = EVENT_WINDOW) -> Data
 
 def demean(df: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
     """Subtract group means (one effect), from a combined aggregate joined back."""
-    means = df.groupBy(group).agg(*[F.avg(c).alias(f"__{c}") for c in columns])
-    return df.join(means, group).withColumns({c: F.col(c) - F.col(f"__{c}") for c in columns}).drop(
+    means = df.groupBy(group).agg(
+        *[F.avg(c).alias(f"__{c}") for c in columns], F.count(F.lit(1)).alias("n")
+    )
+    joined = enrich(df, means.drop("n"), [group], means.select(group, "n"))
+    return joined.withColumns({c: F.col(c) - F.col(f"__{c}") for c in columns}).drop(
         *[f"__{c}" for c in columns]
     )
 

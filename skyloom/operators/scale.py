@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,29 +54,70 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str],
     )
 
 
+def enrich(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame | None = None,
+           rows_per_task: int = 1_000_000) -> DataFrame:
+    """Left join with a table that has one row per key, safe for hot keys.
+
+    ``counts`` (keys, ``n``) says how often each key occurs on the left; it is
+    computed when not given.  Keys above the limit, at most rows/limit of them,
+    are spread over several copies of their one right-hand row.
+    """
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.where(F.col("n") > rows_per_task).select(
+        *keys, F.ceil(F.col("n") / F.lit(rows_per_task)).cast("int").alias("__p")
+    )
+    parts = F.coalesce(F.col("__p"), F.lit(1))
+    whole = [F.col(f"`{c}`") for c in left.columns]
+    salted = left.join(hot, keys, "left").withColumn(
+        "__s", F.pmod(F.xxhash64(*whole), parts).cast("int")
+    ).drop("__p")
+    copies = right.join(hot, keys, "left").withColumn(
+        "__s", F.explode(F.sequence(F.lit(0), parts - 1))
+    ).drop("__p")
+    return salted.join(copies, [*keys, "__s"], "left").drop("__s")
+
+
+# Rows that one task ranks when a quota runs out inside a level.
+RANKED_ROWS_PER_TASK = 100_000
+
+
 def take_lowest(df: DataFrame, groups: list[str], order: Column, ties: list[str],
-                quota: Column | int, order_range: int, levels: int = 1024) -> DataFrame:
+                quota: Column | int, order_range: int,
+                ranked_rows: int = RANKED_ROWS_PER_TASK) -> DataFrame:
     """The ``quota`` rows of each group with the lowest ``order``, exactly.
 
     ``order`` is a whole number in [0, order_range), spread evenly (a hash).
-    A histogram of the order tells in which level the quota runs out: lower
-    levels are kept whole, higher ones dropped, and only the rows of that one
-    level are ranked.  A hot group is therefore never sorted in one task.
+    Each group's order is cut into as many levels as its size asks for, and a
+    histogram of the levels tells in which one the quota runs out: lower levels
+    are kept whole, higher ones dropped, and only the rows of that one level,
+    about ``ranked_rows`` of them, are ranked.
     """
-    marked = df.withColumn("__o", order.cast("long")).withColumn(
-        "__v", F.floor(F.col("__o") * F.lit(levels) / F.lit(order_range)).cast("int")
-    )
-    w = Window.partitionBy(*groups).orderBy("__v")
+    out = df.columns
     quota_col = quota if isinstance(quota, Column) else F.lit(int(quota))
+    base = df.withColumns({"__o": order.cast("long"), "__q": quota_col.cast("long")})
+
+    def levels(n: Column) -> Column:
+        return F.greatest(F.lit(1), F.least(F.lit(1 << 20), F.ceil(n / F.lit(ranked_rows)))).cast("long")
+
+    if groups:
+        sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("__size"))
+        marked = base.join(sizes, groups)
+    else:
+        marked = base.withColumn("__size", F.lit(df.count()))
+    marked = marked.withColumn(
+        "__v", F.floor(F.col("__o") * levels(F.col("__size")) / F.lit(order_range)).cast("int")
+    ).drop("__size")
+    w = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__v")
     plan = (
         marked.groupBy(*groups, "__v")
-        .agg(F.count(F.lit(1)).alias("__n"), F.first(quota_col).alias("__q"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.first("__q").alias("__quota"))
         .withColumn("__before", F.sum("__n").over(w) - F.col("__n"))
-        .where(F.col("__before") < F.col("__q"))
+        .where(F.col("__before") < F.col("__quota"))
         .select(
             *groups, "__v",
-            (F.col("__q") - F.col("__before")).alias("__left"),
-            (F.col("__before") + F.col("__n") <= F.col("__q")).alias("__all"),
+            (F.col("__quota") - F.col("__before")).alias("__left"),
+            (F.col("__before") + F.col("__n") <= F.col("__quota")).alias("__all"),
         )
     )
     on = [*groups, "__v"]
@@ -86,7 +128,6 @@ def take_lowest(df: DataFrame, groups: list[str], order: Column, ties: list[str]
         .withColumn("__k", F.row_number().over(rank))
         .where(F.col("__k") <= F.col("__left"))
     )
-    out = df.columns
     return kept.where("__all").select(*out).unionByName(edge.select(*out))
 
 
@@ -96,20 +137,33 @@ def hash_order(*columns: str, seed: int = 42) -> tuple[Column, int]:
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns], F.lit(seed)), F.lit(size)), size
 
 
-def cut_points(df: DataFrame, column: str, parts: int = 64) -> list:
-    """Values that cut a column into about equal parts (approximate, driver side).
+# Rows of a global order that one task handles.
+ORDERED_ROWS_PER_TASK = 1_000_000
+
+
+def cut_points(df: DataFrame, column: str, rows_per_task: int = ORDERED_ROWS_PER_TASK) -> list[float]:
+    """Values that cut a column into parts of about ``rows_per_task`` rows.
 
-    They only balance work: every user of the cuts is exact for any cuts.
+    Approximate and held by the driver, a few thousand numbers at most.  They
+    only balance work: every user of the cuts is exact for any cuts.
     """
+    parts = min(8192, df.count() // rows_per_task + 1)
+    if parts == 1:
+        return []
     probs = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(column, probs, 1000).alias("q")).first()
+    row = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, 10 * parts).alias("q")).first()
     return sorted(set(row["q"] or []))
 
 
-def part_of(value: Column, cuts: list) -> Column:
+def with_part(df: DataFrame, column: str, cuts: list[float], name: str = "__part") -> DataFrame:
+    """Number the part each value falls in, by binary search over the cuts."""
     if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value))
+        return df.withColumn(name, F.lit(0.0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    marked = df.withColumn("__cut", F.col(column).cast("double"))
+    return Bucketizer(
+        splits=splits, inputCol="__cut", outputCol=name, handleInvalid="keep"
+    ).transform(marked).drop("__cut")
 
 
 def running_total(df: DataFrame, order: str, amounts: list[str], groups: list[str] | None = None,
@@ -122,8 +176,8 @@ def running_total(df: DataFrame, order: str, amounts: list[str], groups: list[st
     """
     groups = groups or []
     cuts = cut_points(df, order) if cuts is None else cuts
-    parted = df.withColumn("__part", part_of(F.col(order), cuts))
-    across = Window.partitionBy(*groups).orderBy("__part").rowsBetween(
+    parted = with_part(df, order, cuts)
+    across = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__part").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = (
@@ -186,7 +240,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list[floa
     return out
 
 
-def numbered(df: DataFrame, groups: list[str], hashed: str, tie: str, parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, groups: list[str], hashed: str, tie: str, parts: int = 1024) -> DataFrame:
     """Add ``place``: position from 0 of each row in its group by a hash column.
 
     The hash is cut into even parts; positions count within a part and start at

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import geo
 from skyloom.operators.scale import split_join
+from skyloom.session import materialise
 
 LOC = ("longitude", "latitude")
 
@@ -106,8 +107,110 @@ def _merge(m: Measure) -> Column:
     return merge(pick(f"{m.agg}_{m.column}"))
 
 
+# Distinct coordinates per cell that are compared one by one.
+LEAF_POINTS = 512
+
+
+def _near_collapsed(locations: DataFrame, points: DataFrame, extra: list[str], radii: list[float],
+                    leaf_points: int) -> DataFrame:
+    """(location, collapsed point or cell, ``dist_m``) rows within the largest radius.
+
+    Crowded cells are halved again and again into a quadtree whose nodes carry
+    the sums of their points and the box around them.  A location takes a node
+    as a whole when every radius has all of it inside or all of it outside: the
+    node then stands for its points at the distance of the box's far corner.
+    Only nodes that a circle cuts are opened.  Distances grow with each
+    coordinate difference, in floating point too, so the result is exact.
+    """
+    reach = max(radii)
+    width, height = geo.search_cell_size(reach)
+
+    def cell(level: int) -> dict[str, Column]:
+        return {
+            f"x{level}": F.floor(F.col("longitude") / F.lit(width / 2**level)).cast("int"),
+            f"y{level}": F.floor(F.col("latitude") / F.lit(height / 2**level)).cast("int"),
+        }
+
+    crowd = points.withColumns(cell(0)).groupBy("x0", "y0").agg(F.count(F.lit(1)).alias("m"))
+    most = crowd.agg(F.max("m")).first()[0] or 0
+    depth = 0
+    while depth < 12 and most / 4**depth > leaf_points:
+        depth += 1
+    if depth == 0:
+        return near_pairs(locations, points, reach)
+
+    values = [c for c in points.columns if c not in (*LOC, *extra)]
+    # One text per attribute combination: join keys must not be null.
+    label = F.to_json(F.struct(*extra)) if extra else F.lit("")
+    located = points.withColumn("__g", label)
+    for level in range(depth + 1):
+        located = located.withColumns(cell(level))
+    located = materialise(located, "points")
+    carried = [*values, *extra]
+
+    def nodes(level: int) -> DataFrame:
+        merge = {"min": F.min, "max": F.max}
+        cells = [f"x{level}", f"y{level}", *([f"x{level - 1}", f"y{level - 1}"] if level else []), "__g"]
+        return located.groupBy(*cells).agg(
+            *[merge.get(v.split("_")[0], F.sum)(v).alias(f"p_{v}") for v in values],
+            *[F.first(c).alias(f"p_{c}") for c in extra],
+            F.min("longitude").alias("__w"), F.max("longitude").alias("__e"),
+            F.min("latitude").alias("__s"), F.max("latitude").alias("__t"), F.count(F.lit(1)).alias("__m"),
+        )
+
+    keys = list(locations.columns)
+    result = [*keys, *[f"p_{c}" for c in carried], "dist_m"]
+    around = F.expr("sequence(-1, 1)")
+    frontier = (
+        locations.withColumns(cell(0)).withColumn("__i", F.explode(around)).withColumn("__j", F.explode(around))
+        .withColumns({"x0": F.col("x0") + F.col("__i"), "y0": F.col("y0") + F.col("__j")}).drop("__i", "__j")
+    )
+
+    def farther(a: str, b: str, at: str) -> Column:
+        return F.when(F.abs(F.col(a) - F.col(at)) > F.abs(F.col(b) - F.col(at)), F.col(a)).otherwise(F.col(b))
+
+    found = []
+    for level in range(depth + 1):
+        above = max(level - 1, 0)
+        on = [f"x{above}", f"y{above}", *(["__g"] if level else [])]
+        met = split_join(frontier, nodes(level), on).withColumns(
+            {
+                "dist_m": geo.distance_m(
+                    *LOC, farther("__w", "__e", "longitude"), farther("__s", "__t", "latitude")
+                ),
+                "__near": geo.distance_m(
+                    *LOC, F.greatest("__w", F.least("__e", "longitude")), F.greatest("__s", F.least("__t", "latitude"))
+                ),
+            }
+        ).where(F.col("__near") <= F.lit(float(reach)))
+        cut = F.lit(False)
+        for radius in radii:
+            cut |= (F.col("__near") <= F.lit(float(radius))) & (F.col("dist_m") > F.lit(float(radius)))
+        small = F.col("__m") <= leaf_points if level < depth else F.lit(True)
+        here = [f"x{level}", f"y{level}", "__g"]
+        # Written once per level: the next level and both outputs read it.
+        met = materialise(
+            met.withColumns({"__cut": cut, "__open": cut & small}).select(*result, *here, "__cut", "__open"),
+            "nodes",
+        )
+        side = located.select(*here, *[F.col(c).alias(f"p_{c}") for c in [*LOC, *carried]])
+        opened = split_join(met.where("__open").select(*keys, *here), side, here).withColumn(
+            "dist_m", geo.distance_m(*LOC, "p_longitude", "p_latitude")
+        )
+        found += [
+            met.where("not __cut").select(*result),
+            opened.where(F.col("dist_m") <= F.lit(float(reach))).select(*result),
+        ]
+        frontier = met.where("__cut and not __open").select(*keys, *here)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def radius_aggregate(locations: DataFrame, points: DataFrame, measures: list[Measure],
-                     by: list[str] | None = None, keep_empty: bool = True) -> DataFrame:
+                     by: list[str] | None = None, keep_empty: bool = True,
+                     leaf_points: int = LEAF_POINTS) -> DataFrame:
     """All measures of all radii from one join at the largest radius.
 
     Without ``by``: one row per location; a location without points has count 0
@@ -116,13 +219,17 @@ def radius_aggregate(locations: DataFrame, points: DataFrame, measures: list[Mea
     """
     by = by or []
     keys = list(locations.columns)
-    pairs = near_pairs(
-        locations, _collapse(points, measures, by), max(m.radius_m for m in measures)
+    attrs = sorted({k for m in measures for k, _ in m.match} - set(by))
+    near = _near_collapsed(
+        locations, _collapse(points, measures, by), [*attrs, *by],
+        sorted({m.radius_m for m in measures}), leaf_points,
     )
-    found = pairs.groupBy(*keys, *[F.col(f"p_{b}").alias(b) for b in by]).agg(
+    found = near.groupBy(*keys, *[F.col(f"p_{b}").alias(b) for b in by]).agg(
         *[_merge(m).alias(m.name) for m in measures]
     )
-    if by or not keep_empty:
+    if by:
+        return found
+    if not keep_empty:
         return found
     zero = {m.name: 0 for m in measures if m.agg == "count"}
     out = locations.join(found, keys, "left")
@@ -139,11 +246,6 @@ def timeline(per_year: DataFrame, keys: list[str], year: str, values: list[str],
     return per_year.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(name))
 
 
-def at_last_year(line: Column, year: Column, value: str) -> Column:
-    """Value of the last entry not after ``year``; null before the first."""
-    return F.array_max(F.filter(line, lambda e: e["year"] <= year))[value]
-
-
 def sum_up_to_year(line: Column, year: Column, value: str) -> Column:
     """Total of the entries not after ``year``; 0 when there is none."""
     reached = F.filter(line, lambda e: e["year"] <= year)
@@ -177,14 +279,23 @@ def planted_by(location_years: DataFrame, trees: DataFrame, measures: list[Measu
 
 def radius_as_of_survey(location_years: DataFrame, points: DataFrame, measures: list[Measure],
                         survey_year: str, year: str = "year") -> DataFrame:
-    """Aggregates over the last survey not after the scene year near the location."""
+    """Aggregates over the last survey not after the scene year.
+
+    The survey is chosen from the years of the whole dataset, so that a column
+    does not depend on which other radii are computed along with it.
+    """
     places = location_years.select(*LOC).distinct()
     names = [m.name for m in measures]
     per_survey = radius_aggregate(places, points, measures, by=[survey_year])
     lines = timeline(per_survey, list(LOC), survey_year, names)
-    out = location_years.join(lines, list(LOC), "left").select(
-        *location_years.columns,
-        *[at_last_year(F.col("timeline"), F.col(year), n).alias(n) for n in names],
+    years = sorted(row[0] for row in points.select(survey_year).distinct().collect())  # a handful
+    known = F.array(*[F.lit(int(y)) for y in years]).cast("array<int>")
+    joined = location_years.join(lines, list(LOC), "left").withColumn(
+        "__survey", F.array_max(F.filter(known, lambda y: y <= F.col(year)))
+    )
+    entry = F.get(F.filter("timeline", lambda e: e["year"] == F.col("__survey")), F.lit(0))
+    out = joined.withColumn("__e", entry).select(
+        *location_years.columns, *[F.col(f"__e.{n}").alias(n) for n in names]
     )
     zero = {m.name: 0 for m in measures if m.agg == "count"}
     return out.fillna(zero) if zero else out
@@ -200,7 +311,11 @@ def nearest(locations: DataFrame, points: DataFrame, columns: list[str], radius_
     Equal distances are settled by the lower id.
     """
     keys = list(locations.columns)
-    side = points.select(*LOC, point_id, *[c for c in columns if c != point_id and c not in LOC])
+    others = [c for c in columns if c != point_id and c not in LOC]
+    # Of the points on one spot only the lowest id can win.
+    side = points.groupBy(*LOC).agg(
+        F.min(point_id).alias(point_id), *[F.min_by(c, point_id).alias(c) for c in others]
+    )
     best = (
         near_pairs(locations, side, radius_m)
         .groupBy(*keys)
@@ -231,9 +346,8 @@ def nearest_as_of(driving: DataFrame, points: DataFrame, columns: list[str], rad
     if temporal not in ("last_previous", "nearest"):
         raise ValueError(f"unknown temporal mode {temporal!r}")
     keys = list(LOC)
-    side = points.select(
-        *LOC, F.col(point_ts).alias("__t"), F.col(point_id).alias("__id"),
-        *[F.col(c).alias(f"v_{c}") for c in columns],
+    side = points.groupBy(*LOC, F.col(point_ts).alias("__t")).agg(
+        F.min(point_id).alias("__id"), *[F.min_by(c, point_id).alias(f"v_{c}") for c in columns]
     )
     places = driving.select(*LOC).distinct()
     value = F.struct(

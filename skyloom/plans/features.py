@@ -17,6 +17,7 @@ from skyloom.functions.derive import fingerprint, safe_name
 from skyloom.operators import coverage, spatial
 from skyloom.operators.coverage import Grid
 from skyloom.operators.spatial import LOC, Measure
+from skyloom.operators.scale import enrich
 from skyloom.session import materialise
 
 PLACE = (*LOC, "year")
@@ -290,6 +291,11 @@ def place_features(obs: DataFrame, registry: Registry, sides: Sides, grid: Grid
     """All spatial features on distinct (longitude, latitude, year)."""
     grid = grid or Grid()
     places = materialise(obs.select(*PLACE).distinct().withColumns(grid.snap()), "places")
+    return features_of_places(places, registry, sides, grid)
+
+
+def features_of_places(places: DataFrame, registry: Registry, sides: Sides, grid: Grid) -> DataFrame:
+    """Feature columns for a written table of places with their grid points."""
     spots = places.select(*LOC).distinct()
     out = places
     points = registry.of(RadiusFeature)
@@ -326,13 +332,18 @@ def attach(obs: DataFrame, registry: Registry, sides: Sides, grid: Grid | None =
     """Observations with every registered feature, lazily.
 
     The feature table has one row per place and year and is written once; AQE
-    broadcasts it when it is small and otherwise shuffles both sides by key.
+    broadcasts it when it is small and otherwise shuffles both sides by key,
+    with places that hold very many observations spread over several tasks.
     """
     spatial_kinds = (RadiusFeature, NearestFeature, ClassFraction, SurfaceFraction)
     out = obs
     if any(isinstance(f, spatial_kinds) for f in registry.features):
-        features = materialise(place_features(obs, registry, sides, grid), "features")
-        out = obs.join(features, list(PLACE), "left")
+        grid = grid or Grid()
+        counted = materialise(
+            obs.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).withColumns(grid.snap()), "places"
+        )
+        features = materialise(features_of_places(counted.drop("n"), registry, sides, grid), "features")
+        out = enrich(obs, features, list(PLACE), counted.select(*PLACE, "n"))
     for f in registry.features:
         if isinstance(f, CustomFeature):
             out = out.withColumns({f"{f.prefix}{n}": c for n, c in f.fn(out).items()})

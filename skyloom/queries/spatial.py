@@ -132,10 +132,9 @@ def trees_planted_by_scene(spark, sf):
       {_pairs('dhm', 800.0, 't.elevation, t.dhm_year')},
       s as (select longitude, latitude, dhm_year, count(*) as n, avg(elevation) as e_avg, max(elevation) as e_max, min(elevation) as e_min
         from pairs group by 1, 2, 3),
-      k as (select y.longitude, y.latitude, y.year, max(dhm_year) as dhm_year from years y join s using (longitude, latitude)
-        where s.dhm_year <= y.year group by 1, 2, 3)
-      select y.*, coalesce(n, 0) as dhm_count, round(e_avg / pi(), 6) as dhm_avg_by_pi, e_max as dhm_max, e_min as dhm_min
-      from years y left join k using (longitude, latitude, year) left join s using (longitude, latitude, dhm_year)""".replace("select y.*, coalesce(n", "select y.longitude, y.latitude, y.year, coalesce(n"),
+      k as (select *, (select max(dhm_year) from dhm where dhm_year <= years.year) as dhm_year from years)
+      select k.longitude, k.latitude, k.year, coalesce(n, 0) as dhm_count, round(e_avg / pi(), 6) as dhm_avg_by_pi, e_max as dhm_max, e_min as dhm_min
+      from k left join s using (longitude, latitude, dhm_year)""",
     ("obs", "dhm"),
 )
 def elevation_last_survey(spark, sf):

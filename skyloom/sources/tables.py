@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.operators.scale import take_lowest
+from skyloom.operators.scale import enrich, take_lowest
 
 
 def scan(spark: SparkSession, path: str, partition_keys: list[str] | None = None,
@@ -77,7 +77,7 @@ def write_fan_out(df: DataFrame, slices: dict[str, Column], path: str, mode: str
 def backfill(facts: DataFrame, location_keys: DataFrame,
              on: tuple[str, ...] = ("longitude", "latitude")) -> DataFrame:
     """Add key columns computed once per distinct coordinate."""
-    return facts.join(location_keys, list(on), "left")
+    return enrich(facts, location_keys, list(on))
 
 
 def table_has_rows(spark: SparkSession, path: str) -> bool:
