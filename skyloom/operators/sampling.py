@@ -88,9 +88,8 @@ def overlap(counts: Column, target: list[float]) -> Column:
     total = F.aggregate(counts, F.lit(0).cast("double"), lambda a, v: a + v)
     wanted = F.array(*[F.lit(t) for t in target])
     shares = F.zip_with(counts, wanted, lambda c, t: F.least(F.try_divide(c.cast("double"), total), t))
-    return F.coalesce(
-        F.aggregate(shares, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))), F.lit(0.0)
-    )
+    score = F.aggregate(shares, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return F.when(total > 0, score).otherwise(F.lit(0.0))
 
 
 def score_partitions(histograms: DataFrame, targets: dict) -> DataFrame:

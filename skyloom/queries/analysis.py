@@ -876,7 +876,9 @@ _NUMERIC = ["ua_vegetation_50m_frac", "ua_dense_50m_frac", "l_quantity", "hour_o
 
 
 def _split(spark, sf):
-    rows = frame(spark, sf).where("temperature is not null").select(*IDS, "l_extendedprice", "temperature", *_NUMERIC)
+    rows = derived.spread(
+        frame(spark, sf).where("temperature is not null").select(*IDS, "l_extendedprice", "temperature", *_NUMERIC)
+    )
     fold = F.expr(f"cast(({ORDER_SQL}) % 5 as int)")
     return materialise(rows.where(fold > 0)), materialise(rows.where(fold == 0))
 

@@ -249,7 +249,7 @@ _TARGETS = {"month_of_year": {}, "temperature": {20: 0.3, 25: 0.4, 31: 0.3}}
 
 
 def _month_histograms(spark, sf, names):
-    stats = catalog.partition_statistics(_obs(spark, sf), names)
+    stats = materialise(catalog.partition_statistics(_obs(spark, sf), names), "catalog")
     out = None
     for n in names:
         part = catalog.sum_arrays(stats, ["partition_key"], f"{n}_counts")

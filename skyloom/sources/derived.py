@@ -61,6 +61,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table stored as fewer row groups than there are cores.
+
+    Such a table is small, so dealing its rows out is cheap; a large one has
+    more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, base = VIEWS[name]
     return spark.sql(f"select {text} from {{base}}", base=table(spark, sf_dir, base))
