@@ -20,8 +20,11 @@ LOC = ("longitude", "latitude")
 
 
 def location_dimension(observations: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Distinct coordinates, with any columns that depend on them."""
-    return observations.select(*LOC, *(extra or [])).distinct()
+    """Distinct coordinates, with any columns that depend on them, written once.
+
+    The joins below read it several times; the observations are scanned once.
+    """
+    return materialise(observations.select(*(extra or []), *LOC).distinct(), "locations")
 
 
 def near_pairs(locations: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
@@ -221,7 +224,7 @@ def radius_aggregate(locations: DataFrame, points: DataFrame, measures: list[Mea
     keys = list(locations.columns)
     attrs = sorted({k for m in measures for k, _ in m.match} - set(by))
     near = _near_collapsed(
-        locations, _collapse(points, measures, by), [*attrs, *by],
+        locations, materialise(_collapse(points, measures, by), "points"), [*attrs, *by],
         sorted({m.radius_m for m in measures}), leaf_points,
     )
     found = near.groupBy(*keys, *[F.col(f"p_{b}").alias(b) for b in by]).agg(
@@ -266,7 +269,7 @@ def planted_by(location_years: DataFrame, trees: DataFrame, measures: list[Measu
     if any(m.agg != "count" for m in measures):
         raise ValueError("planted_by counts trees; aggregate attributes with radius_aggregate")
     known = trees.where(F.col(planting_year).isNotNull())
-    places = location_years.select(*LOC).distinct()
+    places = location_dimension(location_years)
     names = [m.name for m in measures]
     per_year = radius_aggregate(places, known, measures, by=[planting_year])
     lines = timeline(per_year, list(LOC), planting_year, names)
@@ -284,7 +287,7 @@ def radius_as_of_survey(location_years: DataFrame, points: DataFrame, measures:
     The survey is chosen from the years of the whole dataset, so that a column
     does not depend on which other radii are computed along with it.
     """
-    places = location_years.select(*LOC).distinct()
+    places = location_dimension(location_years)
     names = [m.name for m in measures]
     per_survey = radius_aggregate(places, points, measures, by=[survey_year])
     lines = timeline(per_survey, list(LOC), survey_year, names)
@@ -313,8 +316,11 @@ def nearest(locations: DataFrame, points: DataFrame, columns: list[str], radius_
     keys = list(locations.columns)
     others = [c for c in columns if c != point_id and c not in LOC]
     # Of the points on one spot only the lowest id can win.
-    side = points.groupBy(*LOC).agg(
-        F.min(point_id).alias(point_id), *[F.min_by(c, point_id).alias(c) for c in others]
+    side = materialise(
+        points.groupBy(*LOC).agg(
+            F.min(point_id).alias(point_id), *[F.min_by(c, point_id).alias(c) for c in others]
+        ),
+        "points",
     )
     best = (
         near_pairs(locations, side, radius_m)
@@ -346,10 +352,13 @@ def nearest_as_of(driving: DataFrame, points: DataFrame, columns: list[str], rad
     if temporal not in ("last_previous", "nearest"):
         raise ValueError(f"unknown temporal mode {temporal!r}")
     keys = list(LOC)
-    side = points.groupBy(*LOC, F.col(point_ts).alias("__t")).agg(
-        F.min(point_id).alias("__id"), *[F.min_by(c, point_id).alias(f"v_{c}") for c in columns]
+    side = materialise(
+        points.groupBy(*LOC, F.col(point_ts).alias("__t")).agg(
+            F.min(point_id).alias("__id"), *[F.min_by(c, point_id).alias(f"v_{c}") for c in columns]
+        ),
+        "points",
     )
-    places = driving.select(*LOC).distinct()
+    places = location_dimension(driving)
     value = F.struct(
         F.col("p___t").alias("t"), F.col("dist_m").alias("dist"), F.col("p___id").alias("id"),
         *[F.col(f"p_v_{c}").alias(f"v_{c}") for c in columns],

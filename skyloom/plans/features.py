@@ -296,7 +296,7 @@ def place_features(obs: DataFrame, registry: Registry, sides: Sides, grid: Grid
 
 def features_of_places(places: DataFrame, registry: Registry, sides: Sides, grid: Grid) -> DataFrame:
     """Feature columns for a written table of places with their grid points."""
-    spots = places.select(*LOC).distinct()
+    spots = spatial.location_dimension(places)
     out = places
     points = registry.of(RadiusFeature)
     for dataset in dict.fromkeys(f.dataset for f in points):

@@ -29,7 +29,7 @@ def _pairs(side: str, radius: float, columns: str, places: str = "places") -> st
 
 
 def _places(spark, sf):
-    return derived.obs(spark, sf).select("loc_id", "longitude", "latitude").distinct()
+    return spatial.location_dimension(derived.obs(spark, sf), ["loc_id"])
 
 
 @query(
@@ -115,7 +115,7 @@ def trees_by_phase(spark, sf):
     ("obs", "trees"),
 )
 def trees_planted_by_scene(spark, sf):
-    years = derived.obs(spark, sf).select("longitude", "latitude", "year").distinct()
+    years = materialise(derived.obs(spark, sf).select("longitude", "latitude", "year").distinct())
     return spatial.planted_by(
         years, derived.trees(spark, sf),
         [
@@ -138,7 +138,7 @@ def trees_planted_by_scene(spark, sf):
     ("obs", "dhm"),
 )
 def elevation_last_survey(spark, sf):
-    years = derived.obs(spark, sf).select("longitude", "latitude", "year").distinct()
+    years = materialise(derived.obs(spark, sf).select("longitude", "latitude", "year").distinct())
     out = spatial.radius_as_of_survey(
         years, derived.dhm(spark, sf),
         [
@@ -190,7 +190,7 @@ def _timed(order: str) -> str:
 
 
 def _timed_nearest(spark, sf, temporal):
-    driving = derived.obs(spark, sf).select("longitude", "latitude", "ts").distinct()
+    driving = materialise(derived.obs(spark, sf).select("longitude", "latitude", "ts").distinct())
     out = spatial.nearest_as_of(
         driving, derived.trees(spark, sf), ["tree_id", "girth"], 500, "tree_id", temporal, prefix="hit_"
     )
