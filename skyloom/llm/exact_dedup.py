@@ -62,7 +62,9 @@ def ambiguous_chunks(table: DataFrame, hash_of: Callable[[Column], Column] = F.x
     """Chunks whose identifier also names another content, with an ordinal that tells them apart."""
     chunk = table.select(F.explode("chunks").alias("chunk")).withColumn("id", hash_of(F.col("chunk")))
     distinct = chunk.groupBy("id", "chunk").agg(F.lit(1).alias("one"))
-    shared = distinct.groupBy("id").agg(F.count("one").alias("contents")).filter("contents > 1")
+    shared = materialise(distinct.groupBy("id").agg(F.count("one").alias("contents")).filter("contents > 1"), "shared-ids")
+    if shared.isEmpty():  # so that texts move a second time only where 64 bits clash
+        return shared.select("id", F.lit(0).alias("ordinal"), F.lit("").alias("chunk"))
     clashing = chunk.join(shared.select("id"), "id", "left_semi").distinct()
     # a group holds the few contents that clash on 64 bits, not the documents that hold them
     names = clashing.groupBy("id").agg(F.sort_array(F.collect_set("chunk")).alias("contents"))
