@@ -40,11 +40,10 @@ def distance_m(lon1, lat1, lon2, lat2) -> Column:
 
 
 def search_cell_size(radius_m: float) -> tuple[float, float]:
-    """Cell width and height in degrees that one ring of neighbours covers.
+    """Width and height in degrees of a search cell: the radius at the reference latitude and one per cent.
 
-    Longitude distances use each pixel's own latitude while the cell uses the
-    reference latitude, hence the one per cent margin; it holds for latitudes
-    within about half a degree of the reference.
+    A circle reaches one cell north and south, and as many east and west as
+    ``columns_around`` says for its latitude.
     """
     return radius_m * LON_DEG_PER_M * 1.01, radius_m * LAT_DEG_PER_M * 1.01
 
@@ -57,6 +56,30 @@ def search_cell(lon, lat, radius_m: float) -> tuple[Column, Column]:
     )
 
 
+def columns_around(lat, radius_m: float) -> Column:
+    """How many cells to either side a circle around a point at this latitude reaches.
+
+    Longitude distances shrink with the cosine of the point's own latitude, so
+    circles widen in degrees towards the poles.  Half way round is enough.
+    """
+    width, _ = search_cell_size(radius_m)
+    shrink = F.greatest(F.cos(F.radians(_c(lat))), F.lit(1e-9))
+    # the margin covers the rounding of the distance formula
+    reach = F.lit(radius_m * LAT_DEG_PER_M * (1 + 1e-9)) / shrink
+    return F.least(F.ceil(reach / F.lit(width)), F.lit(math.ceil(360.0 / width)).cast("long")).cast("int")
+
+
+def cells_around(df: DataFrame, radius_m: float, x: str, y: str, lat: str = "latitude") -> DataFrame:
+    """``df`` once for each cell that its circle may reach, in place of its own cell ``x, y``."""
+    across = columns_around(lat, radius_m)
+    return (
+        df.withColumn("__i", F.explode(F.sequence(-across, across)))
+        .withColumn("__j", F.explode(F.expr("sequence(-1, 1)")))
+        .withColumns({x: F.col(x) + F.col("__i"), y: F.col(y) + F.col("__j")})
+        .drop("__i", "__j")
+    )
+
+
 def local_metres(lon, lat) -> tuple[Column, Column]:
     """Equirectangular metres from the study area's south-west corner."""
     return (

@@ -32,17 +32,11 @@ def near_pairs(locations: DataFrame, points: DataFrame, radius_m: float) -> Data
 
     Points keep their columns under a ``p_`` prefix.  Cells of the size of the
     radius turn the range condition into an equi-join: each location looks into
-    its own cell and the eight around it, and the distance is the residual.
+    its own cell and those around it that its circle reaches at its latitude,
+    and the distance is the residual.
     """
     cx, cy = geo.search_cell(*LOC, radius_m)
-    around = F.expr("sequence(-1, 1)")
-    left = (
-        locations.withColumns({"__cx": cx, "__cy": cy})
-        .withColumn("__dx", F.explode(around))
-        .withColumn("__dy", F.explode(around))
-        .withColumns({"__cx": F.col("__cx") + F.col("__dx"), "__cy": F.col("__cy") + F.col("__dy")})
-        .drop("__dx", "__dy")
-    )
+    left = geo.cells_around(locations.withColumns({"__cx": cx, "__cy": cy}), radius_m, "__cx", "__cy")
     right = points.withColumns({"__cx": cx, "__cy": cy}).select(
         "__cx", "__cy", *[F.col(c).alias(f"p_{c}") for c in points.columns]
     )
@@ -163,11 +157,7 @@ def _near_collapsed(locations: DataFrame, points: DataFrame, extra: list[str], r
 
     keys = list(locations.columns)
     result = [*keys, *[f"p_{c}" for c in carried], "dist_m"]
-    around = F.expr("sequence(-1, 1)")
-    frontier = (
-        locations.withColumns(cell(0)).withColumn("__i", F.explode(around)).withColumn("__j", F.explode(around))
-        .withColumns({"x0": F.col("x0") + F.col("__i"), "y0": F.col("y0") + F.col("__j")}).drop("__i", "__j")
-    )
+    frontier = geo.cells_around(locations.withColumns(cell(0)), reach, "x0", "y0")
 
     def farther(a: str, b: str, at: str) -> Column:
         return F.when(F.abs(F.col(a) - F.col(at)) > F.abs(F.col(b) - F.col(at)), F.col(a)).otherwise(F.col(b))
