@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,14 +32,16 @@ def shared_dir(spark: SparkSession) -> str | None:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
     Only a local master, where driver and executors are one process, gets a
-    temporary folder when the setting is absent.
+    temporary folder when the setting is absent; it goes when the process ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if spark.sparkContext.master.startswith("local"):
         if not _LOCAL_SCRATCH:
-            _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            _LOCAL_SCRATCH.append(folder)
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         return _LOCAL_SCRATCH[0]
     return None
 
@@ -54,11 +58,10 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
 
     Used where a result feeds several branches: later branches read a columnar
     table instead of recomputing the scan, and a lost executor costs one task.
-    Without a shared folder the lazy plan is returned, which is only slower.
+    The folder must be set; a plan that silently stays lazy would grow with
+    every step that reads it twice.
     """
     spark = df.sparkSession
-    if shared_dir(spark) is None:
-        return df
     path = new_table_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
