@@ -164,7 +164,13 @@ def point_time_filter(df: DataFrame, lon: float | None = None, lat: float | None
                       year: int | None = None, month: int | None = None, day: int | None = None,
                       hour: float | None = None, tol_deg: float = 0.0005,
                       max_rows: int | None = None, ties: list[str] | None = None) -> DataFrame:
-    """Rows near a point and time; year and month also prune partitions."""
+    """Rows near a point and time; year and month also prune partitions.
+
+    ``max_rows`` keeps the lowest rows in the order of ``ties``, which it needs:
+    without an order the rows would differ from run to run.
+    """
+    if max_rows is not None and not ties:
+        raise ValueError("max_rows needs ties, the columns that order the rows")
     cond = F.lit(True)
     if lon is not None:
         cond &= F.col("longitude").between(lon - tol_deg, lon + tol_deg)
@@ -184,7 +190,7 @@ def point_time_filter(df: DataFrame, lon: float | None = None, lat: float | None
     out = df.where(cond)
     if max_rows is None:
         return out
-    return (out.orderBy(*ties) if ties else out).limit(max_rows)
+    return out.orderBy(*ties).limit(max_rows)
 
 
 def dominant_group(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -130,7 +130,7 @@ def running_zscore(spark, sf):
 
 @query(
     "X12",
-    """select unnest(['l_orderkey', 'l_linenumber', 'loc_id', 'ndvi', 'year', 'month_of_year', 'day_of_month', 'day_of_year', 'hour_of_day',
+    """select unnest(['l_orderkey', 'l_linenumber', 'loc_id', 'year', 'month_of_year', 'day_of_month', 'day_of_year', 'hour_of_day',
        'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) as feature, (select count(*) from obs) as n_rows""",
     ("obs",),
 )
@@ -496,28 +496,25 @@ def nested_spatial_models(spark, sf):
 
 # --- block validation --------------------------------------------------------------------
 
-_LOO = f"""base as (select image_id % 10 as block, {ID_SQL}, temperature as y, ua_vegetation_50m_frac as x, {ORDER_SQL} as o, l_extendedprice, ts, l_quantity, l_discount, l_tax
-    from frame where temperature is not null),
+_LOO = f"""base as (select image_id % 10 as block, temperature as y, ua_vegetation_50m_frac as x from frame where temperature is not null),
   s as (select block, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy from base group by 1),
   t as (select sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy from s),
   f as (select block, t.n - s.n as n, t.sx - s.sx as sx, t.sy - s.sy as sy, t.sxx - s.sxx as sxx, t.sxy - s.sxy as sxy from s, t),
   b as (select block, n as n_train, (n * sxy - sx * sy) / (n * sxx - sx * sx) as b, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n as a from f),
-  test as (select * from (select *, row_number() over (partition by block order by o, {', '.join(OBS_TIES)}) as k from base) where k <= 300),
-  e as (select test.block, n_train, y, y - (a + b * x) as e from test join b using (block)),
+  e as (select base.block, n_train, y, y - (a + b * x) as e from base join b using (block)),
   scores as (select block, any_value(n_train) as n_train, count(*) as n_test, avg(abs(e)) as mae, sqrt(avg(e * e)) as rmse,
     greatest(-1, least(1, 1 - sum(e * e) / (var_pop(y) * count(*)))) as r2 from e group by 1)"""
 
 
 def _loo(spark, sf):
     rows = materialise(_complete(spark, sf).withColumn("block", (F.col("image_id") % 10).cast("long")))
-    tests = spatial_models.held_out_rows(rows, "block", F.expr(ORDER_SQL), ORDER_RANGE, OBS_TIES, 300)
     return spatial_models.leave_block_out(
-        rows, ["z_one", "ua_vegetation_50m_frac"], "temperature", "block", tests, ridge=0.0
+        rows, ["z_one", "ua_vegetation_50m_frac"], "temperature", "block", rows, ridge=0.0
     )
 
 
 @query(
-    "M9 W2",
+    "M9",
     f"with {FRAME}, {_LOO} select block, n_train::bigint as n_train, n_test, round(mae, 6) as mae, round(rmse, 6) as rmse, round(r2, 6) as r2 from scores",
     ("obs",),
 )
@@ -805,7 +802,7 @@ def within_tile_effect(spark, sf):
 
 @query("M15 W3")
 def difference_in_differences(spark, sf):
-    rows = materialise(panel.cap_tiles(panel.eligible(_panel(spark, sf)), 5_000_000))
+    rows = materialise(panel.eligible(_panel(spark, sf)))
     return panel.difference_in_differences(rows, ["ua_vegetation_50m_frac"])[0]
 
 
@@ -875,10 +872,14 @@ def linear_regression(spark, sf):
 _NUMERIC = ["ua_vegetation_50m_frac", "ua_dense_50m_frac", "l_quantity", "hour_of_day"]
 
 
-def _split(spark, sf):
-    rows = derived.spread(
+def _model_rows(spark, sf):
+    return derived.spread(
         frame(spark, sf).where("temperature is not null").select(*IDS, "l_extendedprice", "temperature", *_NUMERIC)
     )
+
+
+def _split(spark, sf):
+    rows = _model_rows(spark, sf)
     fold = F.expr(f"cast(({ORDER_SQL}) % 5 as int)")
     return materialise(rows.where(fold > 0)), materialise(rows.where(fold == 0))
 
@@ -919,30 +920,31 @@ def grid_search(spark, sf):
 
 @query("M25 T12")
 def half_split_search(spark, sf):
-    train, _ = _split(spark, sf)
-    return models.half_split_search(
-        "ridge", train, _NUMERIC, "temperature", {"regParam": [1e-4, 1e-1]}, IDS, n_splits=2
-    )
+    rows = materialise(_model_rows(spark, sf))
+    return models.half_split_search("ridge", rows, _NUMERIC, "temperature", {"regParam": [1e-4, 1e-1]}, IDS)
 
 
 @query("M26")
 def forest_importance(spark, sf):
-    train, _ = _split(spark, sf)
-    model = models.fit_model("random_forest", train, _NUMERIC, "temperature", numTrees=10, maxDepth=5)
-    return models.feature_importance(model, _NUMERIC, train)
+    rows = materialise(_model_rows(spark, sf))
+    model = models.fit_model("random_forest", rows, _NUMERIC, "temperature", numTrees=10, maxDepth=5)
+    return models.feature_importance(model, _NUMERIC, rows)
 
 
 @query(
     "M26",
-    f"""with {FRAME}, f as (select * from frame where temperature is not null),
-      s as (select abs(regr_slope(temperature, l_quantity)) * stddev_samp(l_quantity) as a from f)
-      select 'l_quantity' as feature, 1e0 as importance from s""",
+    f"""with {FRAME}, f as (select temperature as y, l_quantity as a, l_tax as b from frame where temperature is not null),
+      s as (select covar_samp(a, y) as ay, covar_samp(b, y) as by_, covar_samp(a, b) as ab, var_samp(a) as aa, var_samp(b) as bb from f),
+      c as (select abs((ay * bb - by_ * ab) / (aa * bb - ab * ab)) * sqrt(aa) as ca, abs((by_ * aa - ay * ab) / (aa * bb - ab * ab)) * sqrt(bb) as cb from s)
+      select 'l_quantity' as feature, round(ca / (ca + cb), 5) as importance from c union all select 'l_tax', round(cb / (ca + cb), 5) from c""",
     ("obs",),
 )
 def linear_importance(spark, sf):
     rows = frame(spark, sf).where("temperature is not null")
-    model = models.fit_model("linear", rows, ["l_quantity"], "temperature", regParam=0.0)
-    return models.feature_importance(model, ["l_quantity"], rows)
+    names = ["l_quantity", "l_tax"]
+    model = models.fit_model("linear", rows, names, "temperature", regParam=0.0)
+    shares = models.feature_importance(model, names, rows)
+    return shares.select("feature", r(F.col("importance"), 5).alias("importance"))
 
 
 @query("M27")
@@ -951,7 +953,7 @@ def permutation_importance(spark, sf):
     model = models.fit_model("ridge", train, _NUMERIC, "temperature")
     keyed = test.withColumn("row_id", F.xxhash64(*IDS, "l_extendedprice"))
     return models.permutation_importance(
-        lambda f: models.predict(model, f, _NUMERIC), keyed, _NUMERIC, "temperature", "row_id"
+        lambda f: models.predict(model, f), keyed, _NUMERIC, "temperature", "row_id"
     )
 
 

@@ -370,15 +370,27 @@ def representative_quotas(spark, sf):
     return sampling.representative_plan(histograms, excluded, 1000)
 
 
+_NEAR = """longitude between 3.72e0 - 0.1e0 and 3.72e0 + 0.1e0 and latitude between 51.05e0 - 0.1e0 and 51.05e0 + 0.1e0
+       and year = 1997 and month_of_year = 6"""
+
+
+@query("F2", f"select l_orderkey, l_linenumber, loc_id, image_id from obs where {_NEAR} and hour_of_day between 9.5e0 and 15.5e0 - 5e0", ("obs",))
+def point_time_slice(spark, sf):
+    out = sampling.point_time_filter(
+        derived.obs(spark, sf), 3.72, 51.05, 1997, 6, hour=10.0, tol_deg=0.1
+    )
+    return out.select("l_orderkey", "l_linenumber", "loc_id", "image_id")
+
+
 @query(
-    "F2",
-    """select l_orderkey, l_linenumber, loc_id, image_id from obs where longitude between 3.72e0 - 0.03e0 and 3.72e0 + 0.03e0
-       and latitude between 51.05e0 - 0.03e0 and 51.05e0 + 0.03e0 and year = 1997 and month_of_year = 6 and hour_of_day between 9.5e0 and 15.5e0 - 5e0""",
+    "F3",
+    f"select l_orderkey, l_linenumber, loc_id, image_id from obs where {_NEAR} order by {', '.join(OBS_TIES)} limit 25",
     ("obs",),
 )
-def point_time_slice(spark, sf):
+def point_time_rows(spark, sf):
+    """The first 25 rows of a slice: the cap comes after the filter."""
     out = sampling.point_time_filter(
-        derived.obs(spark, sf), 3.72, 51.05, 1997, 6, hour=10.0, tol_deg=0.03
+        derived.obs(spark, sf), 3.72, 51.05, 1997, 6, tol_deg=0.1, max_rows=25, ties=OBS_TIES
     )
     return out.select("l_orderkey", "l_linenumber", "loc_id", "image_id")
 

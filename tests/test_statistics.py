@@ -194,7 +194,7 @@ def test_models_learn_and_failures_are_recorded(spark, data):
     search = models.grid_search("ridge", train, test, ["z", "x"], "y", {"regParam": [0.0, -1.0]}).toPandas()
     assert search["error"].notna().sum() == 1 and search["rmse"].notna().sum() == 1
     model = models.fit_model("linear", train, ["z", "x"], "y")
-    imp = models.permutation_importance(lambda f: models.predict(model, f, ["z", "x"]), test, ["z", "x"], "y", "id").toPandas()
+    imp = models.permutation_importance(lambda f: models.predict(model, f), test, ["z", "x"], "y", "id").toPandas()
     assert imp.set_index("feature")["delta_mse"]["x"] > 1
     share = models.feature_importance(model, ["z", "x"], train).toPandas()
     assert share["importance"].sum() == pytest.approx(1)
@@ -211,3 +211,23 @@ def test_registry_size_and_names():
     hints = reg.scaler_hints()
     assert hints["ua_vegetation_100m_frac"] == "minmax" and "dhm_avg50m_count" not in hints
     assert len(reg.key()) == 16
+
+
+def test_transforms_replace_and_keep_their_outputs(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    out = tf.apply_transforms(df, [tf.func(["a"], lambda v: v * 10, "'"), tf.polynomial(["a'"], 2, drop_inputs=True)])
+    assert set(out.columns) == {"b", "a'", "a'^2"} and out.select("`a'^2`").first()[0] == 100.0
+    again = tf.apply_transforms(df.withColumn("b'", F.lit(5.0)), [tf.func(["b"], lambda v: v * 10, "'")])
+    assert set(again.columns) == {"a", "b'"} and again.select("`b'`").first()[0] == 20.0
+
+
+def test_features_leave_out_target_sources(spark):
+    assert tf.feature_columns(spark.createDataFrame([(1.0, 1.0, 1.0)], "ndvi double, aster_lst double, x double")) == ["x"]
+
+
+def test_models_score_rows_with_missing_features(spark):
+    rows = [(float(i), None if i % 5 == 0 else float(i), 2.0 * i) for i in range(50)]
+    df = spark.createDataFrame(rows, "z double, x double, y double").withColumn("e", F.lit(None).cast("double"))
+    for kind in ("ridge", "nystroem", "random_forest"):
+        model = models.fit_model(kind, df, ["z", "x", "e"], "y", **({"n_components": 20} if kind == "nystroem" else {}))
+        assert models.predict(model, df).where("prediction is not null").count() == 50
