@@ -17,6 +17,8 @@ from skyloom.plans.features import (
 )
 from skyloom.plans.registry import build_registry
 from skyloom.queries.base import OBS_TIES, ORDER_RANGE, ORDER_SQL, query, r
+from skyloom.queries.ingest import _hex_sql
+from skyloom.queries.projected_sql import LAEA, LAMBERT, rect_sql
 from skyloom.queries.spatial import GRID
 from skyloom.session import materialise
 from skyloom.sources import derived
@@ -564,7 +566,16 @@ def random_folds(spark, sf):
     return out.withColumns({c: r(F.col(c)) for c in ("mae", "rmse", "r2")})
 
 
-@query("M12")
+@query(
+    "M12",
+    f"""with places as (select longitude, latitude, row_number() over () as loc_id from (select distinct longitude, latitude from obs)),
+      source as (select loc_id as id, longitude as lon, latitude as lat from places), {LAMBERT},
+      keyed as (select 'rect_1km' as kind, {rect_sql(1000)} as block from lambert union all select 'rect_2km', {rect_sql(2000)} from lambert
+        union all select 'hex_r8', concat('h8_', cast(cast(q as int) as varchar), '_', cast(cast(r as int) as varchar)) from ({_hex_sql(8).replace('from obs', 'from places')})
+        union all select 'hex_r7', concat('h7_', cast(cast(q as int) as varchar), '_', cast(cast(r as int) as varchar)) from ({_hex_sql(7).replace('from obs', 'from places')}))
+      select kind, block, count(*) as n from keyed group by 1, 2""",
+    ("obs",),
+)
 def block_keys(spark, sf):
     places = derived.obs(spark, sf).select("longitude", "latitude").distinct()
     out = None
@@ -910,6 +921,50 @@ def gradient_boosting(spark, sf):
     return models.train_all(train, test, _NUMERIC, "temperature", ["boosting"], small)
 
 
+_TEST_ROWS = f"(select count(*) from frame where temperature is not null and ({ORDER_SQL}) % 5 = 0)"
+_SETTINGS = {"nystroem": {"n_components": 50}, "random_forest": {"numTrees": 20, "maxDepth": 6}, "boosting": {"maxIter": 10, "maxDepth": 4}}
+
+
+@query(
+    "M20 M21 M22 M23 M24",
+    f"""with {FRAME} select unnest({sorted(models.MODELS)}) as model, {_TEST_ROWS} as n_rows, true as beats_mean, true as unbiased""",
+    ("obs",),
+)
+def models_on_all_rows(spark, sf):
+    """Every model scores every held-out row, with less error than the mean has, and without a large bias."""
+    train, test = _split(spark, sf)
+    out = models.train_all(train, test, _NUMERIC, "temperature", settings=_SETTINGS)
+    return out.select("model", "n_rows", (F.col("r2") > 0.1).alias("beats_mean"), (F.abs("bias") < F.col("rmse") / 2).alias("unbiased"))
+
+
+@query(
+    "M25 T11 T12",
+    "select 'regParam=0.0001' as params, 3::bigint as n_splits, true as fits, false as failed "
+    "union all select 'regParam=-1.0', 0, false, true",
+)
+def searched_settings(spark, sf):
+    """A setting that fits has a score from every split, one that is refused has its reason."""
+    rows = materialise(_model_rows(spark, sf))
+    out = models.half_split_search("ridge", rows, _NUMERIC, "temperature", {"regParam": [1e-4, -1.0]}, IDS)
+    return out.select("params", "n_splits", F.coalesce(F.col("r2") > 0.1, F.lit(False)).alias("fits"), F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    "M26 M27",
+    "select 'forest' as kind, 4::bigint as n, true as shares, 'l_quantity' as first union all select 'permutation', 4, true, 'l_quantity'",
+)
+def importance_checks(spark, sf):
+    """Importances of the forest sum to one, permutation ones are not negative, and both name the quantity first."""
+    train, test = _split(spark, sf)
+    forest = models.fit_model("random_forest", train, _NUMERIC, "temperature", numTrees=10, maxDepth=5)
+    shares = models.feature_importance(forest, _NUMERIC, train)
+    moved = permutation_importance(spark, sf)
+    first = lambda v: F.max_by("feature", v).alias("first")
+    return shares.agg(
+        F.lit("forest").alias("kind"), F.count(F.lit(1)).alias("n"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("shares"), first("importance")
+    ).unionByName(moved.agg(F.lit("permutation").alias("kind"), F.count(F.lit(1)).alias("n"), (F.min("delta_mse") >= 0).alias("shares"), first("delta_mse")))
+
+
 @query("M25 T11")
 def grid_search(spark, sf):
     """Two penalties that fit and one that is refused and recorded."""
@@ -1049,7 +1104,14 @@ def feature_invariants(spark, sf):
     )
 
 
-@query("P3 P7")
+@query(
+    "P3 P7",
+    f"""with places as (select longitude, latitude, row_number() over () as loc_id from (select distinct longitude, latitude from obs)),
+      source as (select loc_id as id, longitude as lon, latitude as lat from places), {LAEA}
+      select concat('h9_', cast(cast(q as int) as varchar), '_', cast(cast(r as int) as varchar)) as hex, round(x, 2) as x_m, round(y, 2) as y_m
+      from ({_hex_sql(9).replace('from obs', 'from places')}) h join laea on h.loc_id = laea.id""",
+    ("obs",),
+)
 def hex_and_plane(spark, sf):
     places = derived.obs(spark, sf).select("longitude", "latitude").distinct()
     plane = geo.with_projection(places, geo.laea_steps())

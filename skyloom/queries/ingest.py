@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import derive, geo
 from skyloom.operators import spatial
+from skyloom.queries.projected_sql import LAEA, LAMBERT, rect_sql
 from skyloom.queries.base import OBS_TIES, ORDER_RANGE, ORDER_SQL, dbl, query, r
 from skyloom.session import new_table_path
 from skyloom.sources import derived, polygons, raster, tables, trees
@@ -432,7 +433,12 @@ def hex_keys(spark, sf):
     )
 
 
-@query("P5 P7")
+@query(
+    "P5 P7",
+    f"""with source as (select distinct loc_id as id, longitude as lon, latitude as lat from obs), {LAMBERT}
+      select id as loc_id, round(x, 3) as x_m, round(y, 3) as y_m, {rect_sql(1000)} as tile_rect_1km, {rect_sql(2000)} as tile_rect_2km from lambert""",
+    ("obs",),
+)
 def rect_tiles(spark, sf):
     places = derived.obs(spark, sf).select("loc_id", "longitude", "latitude").distinct()
     plane = geo.with_projection(places, geo.lambert72_steps())
@@ -531,7 +537,15 @@ def feature_roles(spark, sf):
     )
 
 
-@query("P12 P13")
+@query(
+    "P12 P13",
+    f"""with source as (select struct_pack(p := poly_id, k := k) as id, case when k in (1, 2) then x1 else x0 end as lon,
+        case when k in (2, 3) then y1 else y0 end as lat from polys, (select unnest([0, 1, 2, 3]) as k)), {LAEA},
+      corners as (select id.p as poly_id, list(x order by id.k) as xs, list(y order by id.k) as ys from laea group by 1)
+      select poly_id, round(abs((xs[1] * ys[2] - xs[2] * ys[1]) + (xs[2] * ys[3] - xs[3] * ys[2]) + (xs[3] * ys[4] - xs[4] * ys[3])
+        + (xs[4] * ys[1] - xs[1] * ys[4])) / 2e0, 2) as area_m2 from corners""",
+    ("polys",),
+)
 def polygon_areas(spark, sf):
     return derived.polys(spark, sf).select(
         "poly_id", r(geo.rings_area_m2(geo.valid_rings("rings")), 2).alias("area_m2")
