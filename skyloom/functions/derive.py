@@ -133,6 +133,11 @@ def fingerprint(config) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+def fingerprint_of(text: Column) -> Column:
+    """The same of a configuration that is a column of JSON text."""
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
 # --- confounders ----------------------------------------------------------------
 
 # Centring of the confounders.

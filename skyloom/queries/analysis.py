@@ -259,6 +259,17 @@ def prediction_findings(spark, sf):
 # --- scalars -----------------------------------------------------------------------------
 
 
+@query(
+    "§2.9",
+    "select event_id, substr(sha256(concat('[\"', event_type, '\", ', user_id, ']')), 1, 16) as fingerprint from events",
+)
+def row_fingerprints(spark, sf):
+    """The fingerprint of a small configuration, for every row."""
+    events = derived.table(spark, sf, "events")
+    text = F.concat(F.lit('["'), F.col("event_type"), F.lit('", '), F.col("user_id").cast("string"), F.lit("]"))
+    return events.select("event_id", derive.fingerprint_of(text).alias("fingerprint"))
+
+
 @query(
     "§2.9",
     """select event_id, upper(event_type) as up, replace(concat(event_type, ' x/y'), ' ', '_') as safe, substr(cast(ts as varchar), 1, 7) as ym,

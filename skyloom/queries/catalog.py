@@ -362,12 +362,20 @@ def training_months(spark, sf):
     return sampling.months_outside(keys, sampling.expand_months(_periods(spark, sf)))
 
 
-@query("T7")
+@query(
+    "T7",
+    f"with {_PERIODS_SQL}, " + ", ".join(_score_sql(n, {}) for n in ("year", "month_of_year", "hour_of_day"))
+    + """, weights as (select partition_key, a.s * b.s * c.s as weight from year_s a join month_of_year_s b using (partition_key)
+        join hour_of_day_s c using (partition_key) where a.s * b.s * c.s > 0 and partition_key not in (select partition_key from months)), """
+    + _QUOTA_SQL.format(rows=1000)
+    + " select partition_key, round(weight, 9) as weight, quota from ranked join quota using (partition_key) where quota > 0",
+    ("obs",),
+)
 def representative_quotas(spark, sf):
     """Uniform year, month and hour over the months outside the periods."""
     histograms = _month_histograms(spark, sf, ["year", "month_of_year", "hour_of_day"])
     excluded = sampling.expand_months(_periods(spark, sf))
-    return sampling.representative_plan(histograms, excluded, 1000)
+    return sampling.representative_plan(histograms, excluded, 1000).withColumn("weight", r(F.col("weight"), 9))
 
 
 _NEAR = """longitude between 3.72e0 - 0.1e0 and 3.72e0 + 0.1e0 and latitude between 51.05e0 - 0.1e0 and 51.05e0 + 0.1e0
