@@ -7,19 +7,23 @@ branches its vertices by their tokens there.  A node of at most ``SMALL``
 vertices is compared exhaustively; larger ones branch on.  Two sets of
 similarity s stay together along a chosen coordinate with probability s, so
 independent trees lift the recall of a link as near to one as wanted: at 0.85
-one tree of depth four keeps a pair together with more than 0.5, ``TREES`` of
-them lose fewer than one link in a thousand, and almost every link is met at the
+one tree of three levels keeps a pair together with more than 0.6, ``TREES`` of
+them lose fewer than one link in ten thousand, and almost every link is met at the
 first level already, where one tree keeps 0.85 or more.
 
 A node that is still large at the last level holds vertices that are all alike.
 It is dealt out in blocks that share some hub vertices, and what then lies
-outside the node's main component is compared with the whole node, so that no
+outside the node's main cluster is compared with the whole node, so that no
 pair is skipped for the node's size.
 
-Within a node, signatures choose the pairs to confirm: first a spanning forest
-of the most similar ones, then every pair between vertices that the confirmed
-links leave in different components.  Confirmation counts the intersection of
-the full sets.
+Signatures only cluster: a node hands on a spanning forest of its pairs whose
+signatures are alike, and the forests' components hold every link.  Within a
+cluster full sets decide.  A cluster of at most ``CLUSTER`` vertices goes to one
+task, each set once, where pivots are compared with all vertices that no
+confirmed link has yet joined to them.  A larger one is dealt out in blocks that
+share the vertices nearest to the cluster's consensus, which the copies of one
+text are likely to be linked through; what stays outside the main component is
+again compared with the whole cluster.
 
 Defined results
     null or empty text   empty set, linked with nothing, stays
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import components
@@ -47,9 +51,15 @@ from skyloom.session import materialise
 #: Words of a shingle; percent of the union that linked sets share at least.
 SHINGLE, PERCENT = 5, 85
 #: Minwise tokens of a set, independent trees, levels of branching, vertices of a node that is compared exhaustively.
-COORDINATES, TREES, LEVELS, SMALL = 128, 12, 4, 64
-#: Vertices of a large last-level node that all of its blocks share, about.
-HUBS = 16
+COORDINATES, TREES, LEVELS, SMALL = 128, 12, 3, 64
+#: Vertices of the blocks of a node that is still large at the last level, compared by signatures.
+BLOCK = 1024
+#: Vertices of a cluster that one task compares by full sets, and of the blocks of a larger one.
+CLUSTER = 256
+#: Vertices of a large last-level node that all of its blocks share, about; and those of a large cluster.
+HUBS, CENTRAL = 16, 8
+#: Vertices of a large cluster from which its consensus is taken, about.
+POLLED = 128
 #: Equal coordinates of a pair worth confirming: at 0.85, five standard deviations below the mean.
 ALIKE = int(COORDINATES * 0.69)
 
@@ -179,29 +189,89 @@ def _spanning(node: np.ndarray, left: np.ndarray, right: np.ndarray, alike: np.n
     return np.array(taken, np.int64)
 
 
-def _compared(forest: bool):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_nodes(batches):
-            keys = rows.column("tree_node").to_numpy()
-            vertex, size = rows.column("vertex").to_numpy(), rows.column("n_shingles").to_numpy()
-            group = rows.column("component").to_numpy()
-            left, right = _pairs_in(keys)
-            fits = 100 * np.minimum(size[left], size[right]) >= PERCENT * np.maximum(size[left], size[right])
-            fits &= (vertex[left] != vertex[right]) & (group[left] != group[right])
-            left, right = left[fits], right[fits]
-            tokens = _matrix(rows.column("signature"))
-            alike = np.concatenate(
-                [(tokens[left[i : i + 50_000]] == tokens[right[i : i + 50_000]]).sum(1) for i in range(0, len(left), 50_000)] or [np.zeros(0, np.int64)]
-            )
-            close = alike >= ALIKE
-            left, right, alike = left[close], right[close], alike[close]
-            if forest:
-                taken = _spanning(keys[left], left, right, alike, len(keys))
-                left, right = left[taken], right[taken]
-            a, b = np.minimum(vertex[left], vertex[right]), np.maximum(vertex[left], vertex[right])
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return compare
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the alike pairs of each tree node that lie in different components."""
+    for rows in _whole_nodes(batches):
+        keys = rows.column("tree_node").to_numpy()
+        vertex, size = rows.column("vertex").to_numpy(), rows.column("n_shingles").to_numpy()
+        group = rows.column("component").to_numpy()
+        left, right = _pairs_in(keys)
+        fits = 100 * np.minimum(size[left], size[right]) >= PERCENT * np.maximum(size[left], size[right])
+        fits &= (vertex[left] != vertex[right]) & (group[left] != group[right])
+        left, right = left[fits], right[fits]
+        tokens = _matrix(rows.column("signature"))
+        alike = np.concatenate(
+            [(tokens[left[i : i + 50_000]] == tokens[right[i : i + 50_000]]).sum(1) for i in range(0, len(left), 50_000)] or [np.zeros(0, np.int64)]
+        )
+        close = alike >= ALIKE
+        left, right, alike = left[close], right[close], alike[close]
+        taken = _spanning(keys[left], left, right, alike, len(keys))
+        left, right = left[taken], right[taken]
+        a, b = np.minimum(vertex[left], vertex[right]), np.maximum(vertex[left], vertex[right])
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent token of each coordinate among the polled vertices of a cluster."""
+    for rows in _whole_nodes(batches):
+        keys, tokens = rows.column("tree_node").to_numpy(), _matrix(rows.column("signature"))
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        modes = []
+        for own in np.split(tokens, heads[1:]):
+            mode = np.zeros(COORDINATES, np.uint32)
+            for i in range(COORDINATES):
+                values, counts = np.unique(own[:, i], return_counts=True)
+                mode[i] = values[counts.argmax()]
+            modes.append(mode.tobytes())
+        yield pa.record_batch([pa.array(keys[heads]), pa.array(modes, pa.binary())], names=["cluster", "mode"])
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        equal = (_matrix(batch.column("signature")) == _matrix(batch.column("mode"))).sum(1)
+        yield pa.record_batch([batch.column("cluster"), batch.column("vertex"), pa.array(equal)], names=["cluster", "vertex", "agree"])
+
+
+def _links_in(sets: np.ndarray, owner: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A pivot and what it is linked with, until all pairs are compared or in one component; central pivots first."""
+    n = len(group)
+    size = np.bincount(owner, minlength=n)
+    known, code = np.unique(sets, return_inverse=True)
+    shared = np.bincount(owner, np.bincount(code)[code], n) / np.maximum(size, 1)
+    ends = np.append(0, np.cumsum(size))
+    group, open_ = np.unique(group, return_inverse=True)[1], np.ones(n, bool)
+    for pivot in np.argsort(-shared, kind="stable").tolist():
+        if (group == group[0]).all():
+            return
+        open_[pivot] = False
+        other = open_ & (group != group[pivot])
+        if not other.any():
+            continue
+        mark = np.zeros(len(known), bool)
+        mark[code[ends[pivot] : ends[pivot + 1]]] = True
+        both = np.bincount(owner, mark[code], n)
+        hit = np.flatnonzero(other & (100 * both >= PERCENT * (size + size[pivot] - both)))
+        if len(hit):
+            group[np.isin(group, group[hit])] = group[pivot]
+            yield pivot, hit
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _whole_nodes(batches):
+        keys, vertex, group = (rows.column(c).to_numpy() for c in ("tree_node", "vertex", "component"))
+        lists = rows.column("shingles").combine_chunks()
+        sizes, flat = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        at = np.append(0, np.cumsum(sizes))
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        a, b = [], []
+        for head, end in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)]):
+            if end - head > 1:
+                owner = np.repeat(np.arange(end - head), sizes[head:end])
+                for pivot, hit in _links_in(flat[at[head] : at[end]], owner, group[head:end]):
+                    a.append(np.full(len(hit), vertex[head + pivot]))
+                    b.append(vertex[head + hit])
+        none = [np.zeros(0, np.int64)]
+        yield pa.record_batch([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], names=["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +297,8 @@ class _Join:
     def crowded(self, members: DataFrame) -> DataFrame:
         """Members of tree nodes that have company, with the number of members."""
         many = members.groupBy("tree_node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        return materialise(members.join(many, "tree_node"), "tree-nodes")
+        # written, so that a crowded node can be split when its members are joined with it
+        return materialise(members.join(materialise(many, "node-sizes"), "tree_node"), "tree-nodes")
 
     def signed(self, members: DataFrame) -> DataFrame:
         return members.join(self.vertices.select("vertex", "n_shingles", "signature"), "vertex")
@@ -244,65 +315,96 @@ class _Join:
             large = members.filter(F.col("members") > SMALL)
         return small.select("tree_node", "vertex"), large
 
-    def blocks(self, large: DataFrame) -> DataFrame:
-        """Large nodes dealt out in blocks of about ``SMALL`` that share some hubs."""
-        count = F.ceil(F.col("members") / (SMALL - HUBS))
-        draw = F.pmod(F.xxhash64("vertex", "tree_node"), F.lit(1 << 30))
-        hub = draw * F.col("members") < HUBS * (1 << 30)
+    def dealt(self, large: DataFrame, block: int, hub: Column, hubs: int) -> DataFrame:
+        """Large nodes dealt out in blocks of about ``block`` vertices that share the hubs."""
+        count = F.ceil(F.col("members") / (block - hubs))
         own = F.array(F.pmod(F.xxhash64("tree_node", "vertex", F.lit(1)), count))
         dealt = large.select("tree_node", "vertex", F.explode(F.when(hub, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(own)).alias("block"))
         return dealt.select(F.xxhash64("tree_node", "block").alias("tree_node"), "vertex")
 
-    def strays(self, large: DataFrame, joined: DataFrame) -> DataFrame:
+    def strays(self, large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
         """Blocks in which what lies outside the main component of a large node meets the whole node."""
-        placed = materialise(large.join(joined, "vertex"), "placed")
+        placed = materialise(large.select("tree_node", "vertex").join(joined, "vertex"), "placed")
         parts = placed.groupBy("tree_node", "component").agg(F.count(F.lit(1)).alias("n"))
         main = parts.groupBy("tree_node").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
         main = materialise(main.filter("all > most"), "main-components")
         open_ = placed.join(main, "tree_node").withColumn("out", F.col("component") != F.col("main"))
-        half = SMALL // 2
+        half = block // 2
         inner, outer = F.ceil(F.col("all") / half), F.ceil((F.col("all") - F.col("most")) / half)
         mine = lambda salt, n: F.pmod(F.xxhash64("vertex", F.lit(salt)), n)
         to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other")
-        strays = open_.filter("out").select("tree_node", "vertex", mine(2, outer).alias("u"), to(inner)).withColumnRenamed("other", "v")
-        whole = open_.select("tree_node", "vertex", mine(3, inner).alias("v"), to(outer)).withColumnRenamed("other", "u")
-        return strays.unionByName(whole).select(F.xxhash64("tree_node", "u", "v").alias("tree_node"), "vertex").distinct()
-
-    def compared(self, members: DataFrame, forest: bool, joined: DataFrame | None = None) -> DataFrame:
-        rows = self.signed(members)
-        rows = rows.join(joined, "vertex") if joined is not None else rows.withColumn("component", F.col("vertex"))
-        rows = rows.select("tree_node", "vertex", "n_shingles", "component", "signature")
+        strays = open_.filter("out").select("tree_node", "vertex", "component", mine(2, outer).alias("u"), to(inner)).withColumnRenamed("other", "v")
+        whole = open_.select("tree_node", "vertex", "component", mine(3, inner).alias("v"), to(outer)).withColumnRenamed("other", "u")
+        return strays.unionByName(whole).select(F.xxhash64("tree_node", "u", "v").alias("tree_node"), "vertex", "component").distinct()
+
+    def alike(self, members: DataFrame) -> DataFrame:
+        """Edges between vertices of different components with alike signatures that connect all that are so in some node."""
+        rows = self.signed(members).select("tree_node", "vertex", "n_shingles", "component", "signature")
         sorted_ = rows.repartition("tree_node").sortWithinPartitions("tree_node")
-        return materialise(sorted_.mapInArrow(_compared(forest), "a long, b long").distinct(), "pairs")
+        return materialise(sorted_.mapInArrow(_alike, "a long, b long").distinct(), "alike")
+
+    def joined(self, edges: DataFrame) -> DataFrame:
+        """The component of every vertex that has edges."""
+        found = components(edges).withColumnRenamed("node", "vertex")
+        return materialise(found.unionByName(found.select(F.col("component").alias("vertex"), "component").distinct()), "joined")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-        wanted = materialise(wanted.join(self.vertices.select("vertex", TEXT_KEY), "vertex"), "wanted")
+    def clusters(self) -> DataFrame:
+        """vertex, cluster and the cluster's number of members, for vertices that have something alike."""
+        small, large = self.leaves()
+        draw = F.pmod(F.xxhash64("vertex", "tree_node"), F.lit(1 << 30))
+        blocks = self.dealt(large, BLOCK, draw * F.col("members") < HUBS * (1 << 30), HUBS)
+        edges = self.alike(small.unionByName(blocks).withColumn("component", F.col("vertex")))
+        if not large.isEmpty():
+            every = self.vertices.select("vertex").join(self.joined(edges), "vertex", "left")
+            every = every.withColumn("component", F.coalesce("component", "vertex"))
+            edges = edges.unionByName(self.alike(self.strays(large, every, BLOCK)))
+        found = self.joined(edges).withColumnRenamed("component", "cluster")
+        sizes = materialise(found.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster-sizes")
+        return materialise(found.join(sizes, "cluster"), "clusters")
+
+    def central(self, large: DataFrame) -> DataFrame:
+        """The vertices of each large cluster that are nearest to its consensus."""
+        signed = large.join(self.vertices.select("vertex", "signature"), "vertex")
+        polled = F.pmod(F.xxhash64("vertex"), F.lit(1 << 30)) * F.col("members") < POLLED * (1 << 30)
+        few = signed.filter(polled).select(F.col("cluster").alias("tree_node"), "signature")
+        modes = few.repartition("tree_node").sortWithinPartitions("tree_node").mapInArrow(_consensus, "cluster long, mode binary")
+        rows = signed.select("cluster", "vertex", "signature").join(materialise(modes, "consensus"), "cluster")
+        agree = rows.mapInArrow(_agreement, "cluster long, vertex long, agree long")
+        rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("agree"), "vertex"))
+        return materialise(agree.withColumn("rank", rank).filter(F.col("rank") <= CENTRAL).select("vertex", F.lit(True).alias("hub")), "central")
+
+    def sets_of(self, clusters: DataFrame) -> DataFrame:
+        wanted = materialise(clusters.select("vertex").join(self.vertices.select("vertex", TEXT_KEY), "vertex"), "wanted")
         named = bounded(wanted.select("vertex", F.col("vertex").alias("doc_id"), TEXT_KEY))
         read = self.texts.join(named, ["doc_id", TEXT_KEY]).select("vertex", "text")
-        sets = materialise(read.mapInArrow(_sets, "vertex long, shingles array<long>").dropDuplicates(["vertex"]), "sets")
-        one = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("set_a"))
-        two = sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("set_b"))
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        held = pairs.join(one, "a").join(two, "b").withColumn("both", both)
-        union = F.size("set_a") + F.size("set_b") - F.col("both")
-        return materialise(held.filter(100 * F.col("both") >= PERCENT * union).select("a", "b"), "links")
+        return materialise(read.mapInArrow(_sets, "vertex long, shingles array<long>"), "sets")
+
+    def confirmed(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links in groups (tree_node, vertex, component) between vertices of different components."""
+        rows = groups.join(sets, "vertex").select("tree_node", "vertex", "component", "shingles")
+        sorted_ = rows.repartition("tree_node").sortWithinPartitions("tree_node")
+        return materialise(sorted_.mapInArrow(_confirmed, "a long, b long"), "links")
+
+    def links(self) -> DataFrame:
+        clusters = self.clusters()
+        sets = self.sets_of(clusters)
+        alone = F.col("vertex").alias("component")
+        small = clusters.filter(F.col("members") <= CLUSTER).select(F.col("cluster").alias("tree_node"), "vertex", alone)
+        large = clusters.filter(F.col("members") > CLUSTER)
+        if large.isEmpty():
+            return self.confirmed(small, sets)
+        large = materialise(large.join(self.central(large), "vertex", "left").withColumn("tree_node", F.col("cluster")), "large-clusters")
+        blocks = self.dealt(large, CLUSTER, F.coalesce("hub", F.lit(False)), CENTRAL).select("tree_node", "vertex", alone)
+        links = self.confirmed(small.unionByName(blocks), sets)
+        every = large.select("vertex").join(self.joined(links), "vertex", "left")
+        every = materialise(every.withColumn("component", F.coalesce("component", "vertex")), "linked")
+        return links.unionByName(self.confirmed(self.strays(large, every, CLUSTER), sets))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """For every row of ``docs``: doc_id, n_shingles, component_id, kept and the row's text key."""
     join = _Join(docs)
-    small, large = join.leaves()
-    blocks = small.unionByName(join.blocks(large))
-    links = join.confirmed(join.compared(blocks, forest=True))
-    found = components(links)
-    every = join.vertices.select("vertex").join(found.withColumnRenamed("node", "vertex"), "vertex", "left")
-    joined = materialise(every.select("vertex", F.coalesce("component", "vertex").alias("component")), "joined")
-    rest = blocks.unionByName(join.strays(large, joined))
-    more = join.compared(rest, forest=False, joined=joined)
-    if not more.isEmpty():
-        links = links.unionByName(join.confirmed(more))
-        found = components(links)
+    found = components(join.links())
     named = join.vertices.join(found.withColumnRenamed("node", "vertex"), "vertex", "left")
     grouped = named.filter("rows > 1 or component is not null").select("one", "two", "n_shingles", F.coalesce("component", "vertex").alias("component_id"))
     rows = join.sketches.select("doc_id", TEXT_KEY, "n_shingles", "one", "two")

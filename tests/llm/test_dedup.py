@@ -68,6 +68,7 @@ def family(rng, base, copies, edits):
 def test_near_groups_of_large_nodes(documents, monkeypatch):
     """Copies linked through one text only, in more nodes, blocks and clusters than fit the small bounds."""
     monkeypatch.setattr(near_dedup, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 12)
     monkeypatch.setattr(near_dedup, "HUBS", 2)
     monkeypatch.setattr(near_dedup, "CLUSTER", 16)
     monkeypatch.setattr(near_dedup, "CENTRAL", 3)
