@@ -80,12 +80,17 @@ class RadiusFeature(Feature):
 
 @dataclass(frozen=True)
 class NearestFeature(Feature):
-    """Columns of the nearest point of a dataset."""
+    """Columns of the nearest point of a dataset.
+
+    ``temporal`` of ``last_previous`` or ``nearest`` chooses by the
+    observation's time first, and by distance among the points of one time.
+    """
 
     dataset: str
     fields: tuple[str, ...]
     radius_m: float = 500.0
     prefix: str = ""
+    temporal: str = "none"
 
     def columns(self) -> list[str]:
         return [f"{self.prefix or self.dataset + '_'}{c}" for c in self.fields]
@@ -316,6 +321,8 @@ def features_of_places(places: DataFrame, registry: Registry, sides: Sides, grid
             got = spatial.planted_by(places.select(*PLACE), side, planted, sides.planting_year)
             out = out.join(got, list(PLACE), "left")
     for f in registry.of(NearestFeature):
+        if f.temporal != "none":
+            continue  # depends on the observation's time, see timed_features
         prefix = f.prefix or f"{f.dataset}_"
         got = spatial.nearest(
             spots, sides.points[f.dataset], list(f.fields), f.radius_m, sides.point_ids[f.dataset], prefix
@@ -328,6 +335,25 @@ def features_of_places(places: DataFrame, registry: Registry, sides: Sides, grid
     return out.drop("ix", "iy")
 
 
+def timed_features(obs: DataFrame, registry: Registry, sides: Sides, ts: str = "ts") -> DataFrame:
+    """``obs`` with the nearest features that look at its time, from distinct places and times."""
+    out = obs
+    timed = [f for f in registry.of(NearestFeature) if f.temporal != "none"]
+    if not timed:
+        return out
+    key = [*LOC, ts]
+    driving = materialise(obs.select(*key).distinct(), "places-and-times")
+    for f in timed:
+        mark = "__timed_"
+        fields = [c for c in f.fields if c not in ("dist_m", ts)]
+        got = spatial.nearest_as_of(
+            driving, sides.points[f.dataset], fields, f.radius_m, sides.point_ids[f.dataset], f.temporal, ts=ts, prefix=mark
+        )
+        named = got.select(*key, *[F.col(f"{mark}{c}").alias(n) for c, n in zip(f.fields, f.columns())])
+        out = out.join(materialise(named, "timed"), key, "left")
+    return out
+
+
 def attach(obs: DataFrame, registry: Registry, sides: Sides, grid: Grid | None = None) -> DataFrame:
     """Observations with every registered feature, lazily.
 
@@ -344,6 +370,7 @@ def attach(obs: DataFrame, registry: Registry, sides: Sides, grid: Grid | None =
         )
         features = materialise(features_of_places(counted.drop("n"), registry, sides, grid), "features")
         out = enrich(obs, features, list(PLACE), counted.select(*PLACE, "n"))
+        out = timed_features(out, registry, sides)
     for f in registry.features:
         if isinstance(f, CustomFeature):
             out = out.withColumns({f"{f.prefix}{n}": c for n, c in f.fn(out).items()})

@@ -19,7 +19,7 @@ from skyloom.plans.registry import build_registry
 from skyloom.queries.base import OBS_TIES, ORDER_RANGE, ORDER_SQL, query, r
 from skyloom.queries.ingest import _hex_sql
 from skyloom.queries.projected_sql import LAEA, LAMBERT, rect_sql
-from skyloom.queries.spatial import GRID
+from skyloom.queries.spatial import GRID, _timed
 from skyloom.session import materialise
 from skyloom.sources import derived
 
@@ -1073,6 +1073,30 @@ def custom_features(spark, sf):
     return attach(derived.obs(spark, sf), reg, Sides()).select(*IDS, *reg.columns())
 
 
+@query(
+    "J4 J5 D2",
+    "select a.*, b.next_tree_id, b.next_girth from (select longitude, latitude, day, tree_id as past_tree_id, girth as past_girth, dist_m as past_dist_m from ("
+    + _timed("tree_ts desc").format(where="where tree_ts <= ts")
+    + ")) a join (select longitude, latitude, day, tree_id as next_tree_id, girth as next_girth from ("
+    + _timed("abs(epoch(tree_ts) - epoch(ts))").format(where="")
+    + ")) b using (longitude, latitude, day)",
+    ("obs", "trees"),
+)
+def registered_timed_nearest(spark, sf):
+    """The nearest tree in time as a registered feature, in both modes."""
+    reg = Registry(
+        [
+            NearestFeature("trees", ("tree_id", "girth", "dist_m"), 500.0, "past_", "last_previous"),
+            NearestFeature("trees", ("tree_id", "girth"), 500.0, "next_", "nearest"),
+        ]
+    )
+    out = attach(derived.obs(spark, sf), reg, _sides(spark, sf))
+    return out.select(
+        "longitude", "latitude", F.date_format("ts", "yyyy-MM-dd").alias("day"), "past_tree_id", "past_girth",
+        r(F.col("past_dist_m")).alias("past_dist_m"), "next_tree_id", "next_girth",
+    ).distinct()
+
+
 @query("D2 D3 R5")
 def feature_run(spark, sf):
     """The standard set, on observations of all months."""
