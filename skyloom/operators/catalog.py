@@ -29,9 +29,9 @@ def histogram_config(names: list[str] | None = None, spark=None) -> DataFrame:
 def partition_statistics(obs: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Row counts, temperature and coordinate ranges and all histograms, in one pass.
 
-    ``obs`` has a resolved ``temperature``.  Rows are first counted per month,
-    tile and joint bin (few values per scene), and only those counts are split
-    into one row per dimension.  Each step combines before it shuffles.
+    ``obs`` has a resolved ``temperature``.  Every row counts once in each
+    dimension; counts are combined per month, tile, dimension and bin before the
+    shuffle, of which there are few whatever the number of rows.
     """
     names = list(names or DIMENSIONS)
     dims = _row_dimensions(names)
@@ -41,25 +41,22 @@ def partition_statistics(obs: DataFrame, names: list[str] | None = None) -> Data
             "b_temperature", F.when(F.col("temperature").isNotNull(), F.col("b_temperature"))
         )
     t = F.col("temperature").cast("double")
-    cells = binned.groupBy(*GROUP, *[f"b_{d.name}" for d in dims]).agg(
-        F.count(F.lit(1)).alias("n"), F.count(t).alias("nt"), F.sum(t).alias("st"),
-        F.min(t).alias("t0"), F.max(t).alias("t1"),
-        F.min("longitude").alias("x0"), F.max("longitude").alias("x1"),
-        F.min("latitude").alias("y0"), F.max("latitude").alias("y1"),
-    )
     # The entry named "" carries the plain statistics.
     entries = [F.struct(F.lit("").alias("dim"), F.lit(0).alias("bin"))] + [
         F.struct(F.lit(d.name).alias("dim"), F.col(f"b_{d.name}").alias("bin")) for d in dims
     ]
-    per_bin = (
-        cells.withColumn("e", F.explode(F.array(*entries)))
-        .where(F.col("e.bin").isNotNull())
-        .groupBy(*GROUP, "e.dim", "e.bin")
-        .agg(
-            F.sum("n").alias("n"), F.sum("nt").alias("nt"), F.sum("st").alias("st"),
-            *[F.min(c).alias(c) for c in ("t0", "x0", "y0")],
-            *[F.max(c).alias(c) for c in ("t1", "x1", "y1")],
-        )
+    split = binned.select(
+        *GROUP, t.alias("t"), "longitude", "latitude", F.explode(F.array(*entries)).alias("e")
+    ).where(F.col("e.bin").isNotNull())
+
+    def once(value: str) -> Column:
+        return F.when(F.col("e.dim") == "", F.col(value))
+
+    per_bin = split.groupBy(*GROUP, "e.dim", "e.bin").agg(
+        F.count(F.lit(1)).alias("n"), F.count(once("t")).alias("nt"), F.sum(once("t")).alias("st"),
+        F.min(once("t")).alias("t0"), F.max(once("t")).alias("t1"),
+        F.min(once("longitude")).alias("x0"), F.max(once("longitude")).alias("x1"),
+        F.min(once("latitude")).alias("y0"), F.max(once("latitude")).alias("y1"),
     )
 
     def plain(c: str) -> Column:
