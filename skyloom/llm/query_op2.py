@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from skyloom.llm.registry import query, table
-from skyloom.llm.sentence_pieces import decoded, encoded
+from skyloom.llm.sentence_pieces import round_trip
 
 
 def pieces_file() -> str:
@@ -16,7 +16,7 @@ def pieces_file() -> str:
 def op2_sentence_pieces(spark, sf_dir):
     """Ids of every document, decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = decoded(encoded(docs, pieces_file()), pieces_file())
+    rows = round_trip(docs, pieces_file())
     text = F.coalesce("text", F.lit(""))
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),

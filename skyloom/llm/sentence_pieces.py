@@ -37,8 +37,8 @@ from skyloom.llm.words import ranges, slices
 MARKER = "▁"
 #: How far below the lowest ordinary score an uncovered character is; scores below the floor are no ordinary ones.
 UNKNOWN_PENALTY, FLOOR = 10.0, -1e8
-#: Distinct words whose ids a worker keeps; words that are segmented at once.
-CACHED_WORDS, TOGETHER = 200_000, 20_000
+#: Distinct words whose ids a worker keeps; words, and cells of their matrix, that are segmented at once.
+CACHED_WORDS, TOGETHER, CELLS = 100_000, 8_000, 400_000
 
 
 class Trie:
@@ -126,7 +126,7 @@ class Vocabulary:
             # words up to a quarter longer share a matrix of bounded size
             longest = max(8, sizes[order[at]] + sizes[order[at]] // 4)
             end = int(np.searchsorted(sizes[order], longest, "right"))
-            end = min(end, at + max(1, min(TOGETHER, 4_000_000 // max(1, int(longest)))))
+            end = min(end, at + max(1, min(TOGETHER, CELLS // max(1, int(longest)))))
             some = order[at:end]
             for i, ids in zip(some.tolist(), self._viterbi([raw[i] for i in some], sizes[some])):
                 out[i] = ids
@@ -267,6 +267,11 @@ def _decoded(vocabulary: Vocabulary):
     return decode
 
 
+def _both(vocabulary: Vocabulary):
+    encode, decode = _encoded(vocabulary), _decoded(vocabulary)
+    return lambda batches: decode(encode(batches))
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with the ``ids`` of ``text``."""
     return docs.mapInArrow(_encoded(Vocabulary(path)), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -275,3 +280,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with the text that ``ids`` stand for as ``decoded``."""
     return rows.mapInArrow(_decoded(Vocabulary(path)), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with ``ids`` and the text ``decoded`` from them, by one worker for both ways."""
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return docs.mapInArrow(_both(Vocabulary(path)), T.StructType([*docs.schema.fields, *more]))
