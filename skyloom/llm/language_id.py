@@ -46,17 +46,20 @@ LETTER = r"\p{L}"
 #: Documents whose best score is lower are rejected by the filter.
 LEAST_SCORE = 0.25
 
-_CODES = (1 << 24) + (1 << 16) + (1 << 8)
-_LETTERS = np.arange(256, dtype=np.uint8)
-_LETTERS[:128] = [c if chr(c).isalpha() else 0x20 for c in range(128)]
+#: A blank for all ASCII but a-z, the letters, and the bytes of other characters: the alphabet of the n-grams.
+_SIZE = 1 + 26 + 128
+_ALPHABET = np.zeros(256, np.int32)
+_ALPHABET[ord("a") : ord("z") + 1] = np.arange(1, 27)
+_ALPHABET[128:] = np.arange(27, _SIZE)
+_CODES = _SIZE**3 + _SIZE**2 + _SIZE
 
 
 def _grams(data: np.ndarray) -> list[np.ndarray]:
-    """Codes of the n-grams that begin at each byte, for n of 3, 2 and 1; all but letters are blanks."""
-    x = _LETTERS[data].astype(np.int32)
-    two = (x[:-1] << 8) | x[1:]
-    three = (two[:-1] << 8) | x[2:]
-    return [three, two + (1 << 24), x + (1 << 24) + (1 << 16)]
+    """Codes of the n-grams that begin at each byte of lower-cased text, for n of 3, 2 and 1."""
+    x = _ALPHABET[data]
+    two = x[:-1] * _SIZE + x[1:]
+    three = two[:-1] * _SIZE + x[2:]
+    return [three, two + _SIZE**3, x + (_SIZE**3 + _SIZE**2)]
 
 
 @dataclass
@@ -95,7 +98,7 @@ class Model:
 
 _TABLES: dict[int, np.ndarray] = {}
 #: Texts in one presence matrix.
-_ROWS = 256
+_ROWS = 64
 
 
 def _few(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.tokens import encoder
+from skyloom.llm.tokens import encoder, special_tokens
 from skyloom.llm.words import ranges, slices
 from skyloom.session import materialise
 
@@ -41,8 +41,10 @@ _PLACED = f"{_PIECE}, sequence_id long, offset long, closed boolean"
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
+    special = special_tokens(path)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, special).encode
         for batch in batches:
             for at, end, _, _ in slices(batch.column("text")):
                 part = batch.slice(at, end - at)

