@@ -99,6 +99,8 @@ def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
     )
+    # written, so that the join below has a shuffle of its own on either side and a hot group can be split
+    groups = materialise(groups, "copies")
     found = listed.join(groups, ["key", "recipe"], "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))

@@ -129,7 +129,8 @@ def factors(docs: DataFrame) -> DataFrame:
     whole = met.filter("not split and doc_id > smallest").select("doc_id", TEXT_KEY, "start", words)
 
     inside = met.filter("split").select("doc_id", TEXT_KEY, "start", "windows", "block")
-    holders = inside.groupBy("block").agg(F.min("doc_id").alias("holder"))
+    # both minima are written, so that the joins with them shuffle either side and a hot block or window can be split
+    holders = materialise(inside.groupBy("block").agg(F.min("doc_id").alias("holder")), "holders")
     placed = materialise(inside.join(holders, "block"), "split-blocks")
     later = placed.filter("doc_id > holder").select("doc_id", TEXT_KEY, "start", words)
 
@@ -142,7 +143,7 @@ def factors(docs: DataFrame) -> DataFrame:
         texts.join(parts, ["doc_id", TEXT_KEY]).mapInArrow(_windows_of, "doc_id long, text_key long, start int, window long"),
         "windows",
     )
-    firsts = single.groupBy("window").agg(F.min("doc_id").alias("first"))
+    firsts = materialise(single.groupBy("window").agg(F.min("doc_id").alias("first")), "firsts")
     edges = single.join(firsts, "window").filter("doc_id > first").select("doc_id", TEXT_KEY, "start", F.lit(WINDOW).alias("words"))
     # spans of one document: no more than it has words
     spans = whole.unionByName(later).unionByName(edges)
