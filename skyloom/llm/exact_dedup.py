@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.rows import TEXT_KEY, text_key, without_rows
+from skyloom.llm.rows import TEXT_KEY, discard, text_key, without_rows
 from skyloom.session import materialise
 
 #: Characters in a chunk, at least and at most.
@@ -71,9 +71,8 @@ def ambiguous_chunks(table: DataFrame, hash_of: Callable[[Column], Column] = F.x
     return names.select("id", F.posexplode("contents").alias("ordinal", "chunk"))
 
 
-def recipes(docs: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """doc_id, text_sha256 and a recipe of verified identifiers for every row."""
-    table = chunk_table(docs, hash_of)
+def recipes(table: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """doc_id, text_sha256 and a recipe of verified identifiers for every row of a chunk table."""
     clashes = materialise(ambiguous_chunks(table, hash_of), "clashes")
     if clashes.isEmpty():
         return table.select("doc_id", TEXT_KEY, "text_sha256", "recipe")
@@ -93,7 +92,12 @@ def recipes(docs: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash64) -
 
 def exact_groups(docs: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """For every row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 and the row's text key."""
-    listed = recipes(docs, hash_of).withColumn("key", F.xxhash64("recipe"))
+    return grouped(chunk_table(docs, hash_of), hash_of)
+
+
+def grouped(table: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """The same from a chunk table."""
+    listed = recipes(table, hash_of).withColumn("key", F.xxhash64("recipe"))
     groups = (
         listed.groupBy("key", "recipe")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -116,7 +120,9 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     Rows that repeat one doc_id with equal texts are one document and stay once;
     so do rows without a doc_id that have equal texts.
     """
-    decided = materialise(exact_groups(docs), "exact-groups")
+    table = chunk_table(docs)
+    decided = materialise(grouped(table), "exact-groups")
+    discard(table)  # as large as the texts; the decisions are written
     kept = without_rows(docs, decided.filter("not kept").select("doc_id", TEXT_KEY))
     again = decided.filter("kept").groupBy("doc_id", TEXT_KEY).count().filter("count > 1")
     if again.isEmpty():

@@ -33,3 +33,13 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def text_key_of(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, wherever their files are."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
