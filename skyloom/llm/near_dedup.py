@@ -53,7 +53,7 @@ SHINGLE, PERCENT = 5, 85
 #: Minwise tokens of a set, independent trees, levels of branching, vertices of a node that is compared exhaustively.
 COORDINATES, TREES, LEVELS, SMALL = 128, 12, 3, 64
 #: Vertices of the blocks of a node that is still large at the last level, compared by signatures.
-BLOCK = 1024
+BLOCK = 2048
 #: Vertices of a cluster that one task compares by full sets, and of the blocks of a larger one.
 CLUSTER = 256
 #: Vertices of a large last-level node that all of its blocks share, about; and those of a large cluster.
