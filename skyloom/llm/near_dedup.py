@@ -6,10 +6,12 @@ vertices in one node; a node chooses a few coordinates by its own hash and
 branches its vertices by their tokens there.  A node of at most ``SMALL``
 vertices is compared exhaustively; larger ones branch on.  Two sets of
 similarity s stay together along a chosen coordinate with probability s, so
-independent trees lift the recall of a link as near to one as wanted: at 0.85
-one tree of three levels keeps a pair together with more than 0.6, ``TREES`` of
-them lose fewer than one link in ten thousand, and almost every link is met at the
-first level already, where one tree keeps 0.85 or more.
+independent trees lift the recall of a link as near to one as wanted: at the
+threshold, be it 0.85 or 0.80, one tree of three levels keeps a pair together with
+more than 0.6, ``TREES`` of them lose fewer than one link in ten thousand, and
+almost every link is met at the first level already, where one tree keeps 0.85 or
+more.  The threshold is a parameter: op4 links at ``PERCENT``, the pipeline's stage
+at ``STAGE_PERCENT``.
 
 A node that is still large at the last level holds vertices that are all alike.
 It is dealt out in blocks that share some hub vertices, and what then lies
@@ -48,8 +50,8 @@ from skyloom.llm.rows import TEXT_KEY, bounded, text_key, without_rows
 from skyloom.llm.words import Words, mixed, slices
 from skyloom.session import materialise
 
-#: Words of a shingle; percent of the union that linked sets share at least.
-SHINGLE, PERCENT = 5, 85
+#: Words of a shingle; percent of the union that linked sets share at least, in op4 and in the pipeline's stage.
+SHINGLE, PERCENT, STAGE_PERCENT = 5, 85, 80
 #: Minwise tokens of a set, independent trees, levels of branching, vertices of a node that is compared exhaustively.
 COORDINATES, TREES, LEVELS, SMALL = 128, 12, 3, 64
 #: Vertices of the blocks of a node that is still large at the last level, compared by signatures.
@@ -60,8 +62,6 @@ CLUSTER = 256
 HUBS, CENTRAL = 16, 8
 #: Vertices of a large cluster from which its consensus is taken, about.
 POLLED = 128
-#: Equal coordinates of a pair worth confirming: at 0.85, five standard deviations below the mean.
-ALIKE = int(COORDINATES * 0.69)
 
 _RANDOM = np.random.default_rng(8_675_309)
 _FACTORS = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,19 +108,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def _chosen(keys: np.ndarray) -> np.ndarray:
-    """Which coordinates the nodes branch on: each with probability 1 / (0.85 * COORDINATES), one at least."""
+def _least_alike(percent: int) -> int:
+    """Equal coordinates of a pair worth confirming: five standard deviations below the mean at the threshold."""
+    share = percent / 100
+    return int(COORDINATES * share - 5 * (COORDINATES * share * (1 - share)) ** 0.5)
+
+
+def _chosen(keys: np.ndarray, percent: int) -> np.ndarray:
+    """Which coordinates the nodes branch on: each with probability 1 / (threshold * COORDINATES), one at least."""
     draw = mixed(keys[:, None] ^ _FACTORS[None, :])
-    limit = np.uint64(int(2**64 / (COORDINATES * PERCENT / 100)))
+    limit = np.uint64(int(2**64 / (COORDINATES * percent / 100)))
     chosen = draw < limit
     chosen[np.arange(len(keys)), draw.argmin(1)] = True
     return chosen
 
 
-def _branch(keys: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _branch(keys: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``tokens`` and the child nodes that they go to."""
     uniq, back = np.unique(keys, return_inverse=True)
-    row, coordinate = np.nonzero(_chosen(uniq)[back])
+    row, coordinate = np.nonzero(_chosen(uniq, percent)[back])
     child = mixed(mixed(keys[row] + np.uint64(0x9E3779B97F4A7C15) * (coordinate.astype(np.uint64) + np.uint64(1))) ^ tokens[row, coordinate])
     return row, child
 
@@ -128,17 +134,17 @@ def _branch(keys: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _ROOTS = mixed(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_level(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = _matrix(batch.column("signature"))
         for root in _ROOTS:
-            row, child = _branch(np.full(len(tokens), root), tokens)
+            row, child = _branch(np.full(len(tokens), root), tokens, percent)
             yield pa.record_batch([pa.array(child.view(np.int64)), batch.column("vertex").take(pa.array(row))], names=["tree_node", "vertex"])
 
 
-def _next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _next_level(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, child = _branch(batch.column("tree_node").to_numpy().view(np.uint64), _matrix(batch.column("signature")))
+        row, child = _branch(batch.column("tree_node").to_numpy().view(np.uint64), _matrix(batch.column("signature")), percent)
         yield pa.record_batch([pa.array(child.view(np.int64)), batch.column("vertex").take(pa.array(row))], names=["tree_node", "vertex"])
 
 
@@ -189,21 +195,22 @@ def _spanning(node: np.ndarray, left: np.ndarray, right: np.ndarray, alike: np.n
     return np.array(taken, np.int64)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the alike pairs of each tree node that lie in different components."""
+    least = _least_alike(percent)
     for rows in _whole_nodes(batches):
         keys = rows.column("tree_node").to_numpy()
         vertex, size = rows.column("vertex").to_numpy(), rows.column("n_shingles").to_numpy()
         group = rows.column("component").to_numpy()
         left, right = _pairs_in(keys)
-        fits = 100 * np.minimum(size[left], size[right]) >= PERCENT * np.maximum(size[left], size[right])
+        fits = 100 * np.minimum(size[left], size[right]) >= percent * np.maximum(size[left], size[right])
         fits &= (vertex[left] != vertex[right]) & (group[left] != group[right])
         left, right = left[fits], right[fits]
         tokens = _matrix(rows.column("signature"))
         alike = np.concatenate(
             [(tokens[left[i : i + 50_000]] == tokens[right[i : i + 50_000]]).sum(1) for i in range(0, len(left), 50_000)] or [np.zeros(0, np.int64)]
         )
-        close = alike >= ALIKE
+        close = alike >= least
         left, right, alike = left[close], right[close], alike[close]
         taken = _spanning(keys[left], left, right, alike, len(keys))
         left, right = left[taken], right[taken]
@@ -232,7 +239,7 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("cluster"), batch.column("vertex"), pa.array(equal)], names=["cluster", "vertex", "agree"])
 
 
-def _links_in(sets: np.ndarray, owner: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _links_in(sets: np.ndarray, owner: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """A pivot and what it is linked with, until all pairs are compared or in one component; central pivots first."""
     n = len(group)
     size = np.bincount(owner, minlength=n)
@@ -250,13 +257,13 @@ def _links_in(sets: np.ndarray, owner: np.ndarray, group: np.ndarray) -> Iterato
         mark = np.zeros(len(known), bool)
         mark[code[ends[pivot] : ends[pivot + 1]]] = True
         both = np.bincount(owner, mark[code], n)
-        hit = np.flatnonzero(other & (100 * both >= PERCENT * (size + size[pivot] - both)))
+        hit = np.flatnonzero(other & (100 * both >= percent * (size + size[pivot] - both)))
         if len(hit):
             group[np.isin(group, group[hit])] = group[pivot]
             yield pivot, hit
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for rows in _whole_nodes(batches):
         keys, vertex, group = (rows.column(c).to_numpy() for c in ("tree_node", "vertex", "component"))
         lists = rows.column("shingles").combine_chunks()
@@ -267,7 +274,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, end in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)]):
             if end - head > 1:
                 owner = np.repeat(np.arange(end - head), sizes[head:end])
-                for pivot, hit in _links_in(flat[at[head] : at[end]], owner, group[head:end]):
+                for pivot, hit in _links_in(flat[at[head] : at[end]], owner, group[head:end], percent):
                     a.append(np.full(len(hit), vertex[head + pivot]))
                     b.append(vertex[head + hit])
         none = [np.zeros(0, np.int64)]
@@ -286,7 +293,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Join:
     """The vertices, and the steps that turn tree nodes into confirmed links."""
 
-    def __init__(self, docs: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, percent: int) -> None:
+        self.percent = percent
         self.texts = docs.select("doc_id", "text", text_key().alias(TEXT_KEY))
         schema = "doc_id long, text_key long, n_shingles long, one long, two long, signature binary"
         self.sketches = materialise(self.texts.mapInArrow(_sketch, schema), "sketches")
@@ -294,6 +302,11 @@ class _Join:
         named = classes.agg(F.min("doc_id").alias("vertex"), F.min_by("signature", "doc_id").alias("signature"), F.min_by(TEXT_KEY, "doc_id").alias(TEXT_KEY), F.count(F.lit(1)).alias("rows"))
         self.vertices = materialise(named, "vertices")
 
+    def at_percent(self, step):
+        """``step`` with the threshold, to be sent to the executors."""
+        percent = self.percent
+        return lambda batches: step(batches, percent)
+
     def crowded(self, members: DataFrame) -> DataFrame:
         """Members of tree nodes that have company, with the number of members."""
         many = members.groupBy("tree_node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -305,11 +318,11 @@ class _Join:
 
     def leaves(self) -> tuple[DataFrame, DataFrame]:
         """Members of nodes to be compared exhaustively, and of those still large at the last level."""
-        members = self.crowded(self.vertices.select("vertex", "signature").mapInArrow(_first_level, "tree_node long, vertex long"))
+        members = self.crowded(self.vertices.select("vertex", "signature").mapInArrow(self.at_percent(_first_level), "tree_node long, vertex long"))
         small, level = members.filter(F.col("members") <= SMALL), 1
         large = members.filter(F.col("members") > SMALL)
         while level < LEVELS and not large.isEmpty():
-            deeper = self.signed(large).select("tree_node", "vertex", "signature").mapInArrow(_next_level, "tree_node long, vertex long")
+            deeper = self.signed(large).select("tree_node", "vertex", "signature").mapInArrow(self.at_percent(_next_level), "tree_node long, vertex long")
             members, level = self.crowded(deeper), level + 1
             small = small.unionByName(members.filter(F.col("members") <= SMALL))
             large = members.filter(F.col("members") > SMALL)
@@ -341,7 +354,7 @@ class _Join:
         """Edges between vertices of different components with alike signatures that connect all that are so in some node."""
         rows = self.signed(members).select("tree_node", "vertex", "n_shingles", "component", "signature")
         sorted_ = rows.repartition("tree_node").sortWithinPartitions("tree_node")
-        return materialise(sorted_.mapInArrow(_alike, "a long, b long").distinct(), "alike")
+        return materialise(sorted_.mapInArrow(self.at_percent(_alike), "a long, b long").distinct(), "alike")
 
     def joined(self, edges: DataFrame) -> DataFrame:
         """The component of every vertex that has edges."""
@@ -383,7 +396,7 @@ class _Join:
         """Links in groups (tree_node, vertex, component) between vertices of different components."""
         rows = groups.join(sets, "vertex").select("tree_node", "vertex", "component", "shingles")
         sorted_ = rows.repartition("tree_node").sortWithinPartitions("tree_node")
-        return materialise(sorted_.mapInArrow(_confirmed, "a long, b long"), "links")
+        return materialise(sorted_.mapInArrow(self.at_percent(_confirmed), "a long, b long"), "links")
 
     def links(self) -> DataFrame:
         clusters = self.clusters()
@@ -401,9 +414,9 @@ class _Join:
         return links.unionByName(self.confirmed(self.strays(large, every, CLUSTER), sets))
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For every row of ``docs``: doc_id, n_shingles, component_id, kept and the row's text key."""
-    join = _Join(docs)
+    join = _Join(docs, percent)
     found = components(join.links())
     named = join.vertices.join(found.withColumnRenamed("node", "vertex"), "vertex", "left")
     grouped = named.filter("rows > 1 or component is not null").select("one", "two", "n_shingles", F.coalesce("component", "vertex").alias("component_id"))
@@ -415,7 +428,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    decided = materialise(near_groups(docs), "near-groups")
+    decided = materialise(near_groups(docs, percent), "near-groups")
     return without_rows(docs, decided.filter("not kept").select("doc_id", TEXT_KEY))

@@ -13,7 +13,7 @@ def lowered(text: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
-def near_groups(rows):
+def near_groups(rows, percent=85):
     """doc_id -> (shingles, smallest linked doc_id)."""
     sets = {}
     for doc, text in rows:
@@ -35,7 +35,7 @@ def near_groups(rows):
                 common[other] += 1
             holders[shingle].append(doc)
         for other, n in common.items():
-            if 100 * n >= 85 * (len(sets[doc]) + len(sets[other]) - n):
+            if 100 * n >= percent * (len(sets[doc]) + len(sets[other]) - n):
                 a, b = root(doc), root(other)
                 parent[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), root(d)) for d in sets}

@@ -79,6 +79,21 @@ def test_near_groups_of_large_nodes(documents, monkeypatch):
     assert near(documents(rows)) == plain.near_groups(rows)
 
 
+def test_pipeline_drops_copies_from_080(documents, monkeypatch):
+    """The stage links from 0.80 up, the query from 0.85 up, also in nodes and clusters over the bounds."""
+    rng = random.Random(19)
+    words = [f"p{i}" for i in range(104)]
+    pair = [(1000, " ".join(words)), (1001, " ".join(["x", *words[1:50], "y", *words[51:100], *"abcd"]))]
+    assert plain.near_groups(pair, 80)[1001][1] == 1000 and plain.near_groups(pair)[1001][1] == 1001
+    assert [r["doc_id"] for r in drop_near_copies(documents(pair)).collect()] == [1000]
+    for bound, value in {"SMALL": 8, "BLOCK": 12, "HUBS": 2, "CLUSTER": 16, "CENTRAL": 3, "LEVELS": 2}.items():
+        monkeypatch.setattr(near_dedup, bound, value)
+    rows = [*enumerate(family(rng, 200, 60, 5) + family(rng, 120, 40, 3) + family(rng, 60, 20, 2)), *pair]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_groups(documents(rows), 80).collect()}
+    assert got == plain.near_groups(rows, 80) != plain.near_groups(rows)
+
+
 def test_near_edge_cases(documents):
     rows = [(1, None), (2, " "), (3, "a b"), (4, "A\tb"), (5, "a b c"), (6, "a b c d e"), (7, "A B C D E"), (None, "a b"), (8, "q " * 30_000), (9, "q " * 100)]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(documents(rows)).collect()}
