@@ -13,6 +13,11 @@ about ``LANDMARKS`` landmarks and ``SAMPLE`` fitting rows in all, dealt evenly t
 the languages and drawn by a hash of the id, whatever the size of the table.
 Prediction reads whole texts and nothing but texts.
 
+The filter does not look at scores, which mean something else for every number of
+languages.  It rejects a text of which too small a share of its distinct n-grams
+is known: less than ``LEAST_SHARE`` of what the predicted language's own landmarks
+reach, each held against all other landmarks, but for the lowest ``ODD`` of them.
+
 Defined results
     null text, or no letter   ``und`` with score 0
     null lang                 not learned from, predicted like all others
@@ -43,8 +48,8 @@ LANDMARK_CHARS = 20_000
 RIDGE = 0.1
 UNKNOWN = "und"
 LETTER = r"\p{L}"
-#: Documents whose best score is lower are rejected by the filter.
-LEAST_SCORE = 0.25
+#: Share of a language's usual known n-grams that a text has at least to pass the filter; part of the landmarks that may fall below the usual.
+LEAST_SHARE, ODD = 0.8, 0.05
 
 #: A blank for all ASCII but a-z, the letters, and the bytes of other characters: the alphabet of the n-grams.
 _SIZE = 1 + 26 + 128
@@ -64,12 +69,16 @@ def _grams(data: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """Weights of the known n-grams; ``codes`` is sorted, ``weights`` has a row for each code and a column for each language."""
+    """Weights of the known n-grams; ``codes`` is sorted, ``weights`` has a row for each code and a column for each language.
+
+    ``least`` is the share of known n-grams from which a language accepts a text.
+    """
 
     languages: list[str]
     codes: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    least: np.ndarray
 
     def table(self) -> np.ndarray:
         """Index of every possible code, the number of known codes for those not known; built once in a worker."""
@@ -81,19 +90,25 @@ class Model:
             _TABLES[key] = table
         return _TABLES[key]
 
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """One row of zeros and ones for each text of a slice, divided by the root of its sum."""
+    def presence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One row of zeros and ones for each text of a slice, divided by the root of its sum, and the share of its n-grams that are known."""
         table, known = self.table(), len(self.codes)
         seen = np.zeros((len(offsets) - 1, known + 1), np.float32)
-        found = [table[g] for g in _grams(data)] if len(data) else []
+        strange = np.zeros(len(offsets) - 1)
+        found = [(g, table[g]) for g in _grams(data)] if len(data) else []
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            for short, g in enumerate(found):
-                seen[i, g[a : max(a, b - 2 + short)]] = 1
+            for short, (code, g) in enumerate(found):
+                own = slice(a, max(a, b - 2 + short))
+                seen[i, g[own]] = 1
+                strange[i] += len(np.unique(code[own][g[own] == known]))
         seen = seen[:, :known]
-        return seen / np.sqrt(np.maximum(seen.sum(1, keepdims=True), 1))
+        n = seen.sum(1)
+        return seen / np.sqrt(np.maximum(n[:, None], 1)), n / np.maximum(n + strange, 1)
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return self.presence(data, offsets) @ self.weights + self.bias
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by language, and the share of known n-grams."""
+        seen, share = self.presence(data, offsets)
+        return seen @ self.weights + self.bias, share
 
 
 _TABLES: dict[int, np.ndarray] = {}
@@ -112,14 +127,15 @@ def _landmark_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for at, end, data, offsets in slices(batch.column("text")):
             sets = [np.unique(np.concatenate(_grams(data[a:b]))).astype(np.int32).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.record_batch([batch.column("draw").slice(at, end - at), pa.array(sets, pa.binary())], names=["draw", "grams"])
+            part = batch.slice(at, end - at)
+            yield pa.record_batch([part.column("draw"), part.column("lang"), pa.array(sets, pa.binary())], names=["draw", "lang", "grams"])
 
 
 def _presence_of(model: Model):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in _few(batch.column("text")):
-                values = (model.presence(data, offsets) @ model.weights).astype(np.float64)
+                values = (model.presence(data, offsets)[0] @ model.weights).astype(np.float64)
                 part = batch.slice(at, end - at)
                 rows = pa.array([v.tobytes() for v in values], pa.binary())
                 yield pa.record_batch([part.column("draw"), part.column("lang"), rows], names=["draw", "lang", "kernel"])
@@ -151,26 +167,30 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE) -
         limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int((1 << 40) * min(1.0, each / max(counts[lang][which], 1))))])
         return F.col("draw") < limit[F.col("lang")]
 
-    marks = rows.filter(short & drawn(landmarks, LEAST_LANDMARKS, 1)).select("draw", _clean(F.col("text")).alias("text"))
-    sets = [np.frombuffer(r["grams"], np.int32) for r in sorted(marks.mapInArrow(_landmark_grams, "draw long, grams binary").collect())]
+    marks = rows.filter(short & drawn(landmarks, LEAST_LANDMARKS, 1)).select("draw", "lang", _clean(F.col("text")).alias("text"))
+    found = sorted(tuple(r) for r in marks.mapInArrow(_landmark_grams, "draw long, lang string, grams binary").collect())
+    sets = [np.frombuffer(grams, np.int32) for _, _, grams in found]
     if not sets:
         return None
-    codes = np.unique(np.concatenate(sets))
+    codes, holders = np.unique(np.concatenate(sets), return_counts=True)
     spectrum = np.zeros((len(codes), len(sets)))
     for i, own in enumerate(sets):
         spectrum[np.searchsorted(codes, own), i] = 1 / np.sqrt(len(own))
+    elsewhere = np.array([(holders[np.searchsorted(codes, own)] > 1).mean() for own in sets])
+    spoken = np.array([lang for _, lang, _ in found])
+    least = np.array([LEAST_SHARE * np.quantile(elsewhere[spoken == lang], ODD) if (spoken == lang).any() else 0.0 for lang in languages])
     values, vectors = np.linalg.eigh(spectrum.T @ spectrum)
     good = values > 1e-9 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
     # the kernel values with all landmarks, mapped, are the features
-    features = Model(languages, codes, (spectrum @ root).astype(np.float32), np.zeros(root.shape[1]))
+    features = Model(languages, codes, (spectrum @ root).astype(np.float32), np.zeros(root.shape[1]), least)
     drawn_rows = rows.filter(drawn(sample, LEAST_SAMPLE, 0)).select("draw", "lang", _clean(F.col("text")).alias("text"))
     got = sorted(tuple(r) for r in drawn_rows.mapInArrow(_presence_of(features), "draw long, lang string, kernel binary").collect())
     x = np.stack([np.frombuffer(k, np.float64) for _, _, k in got])
     y = np.where(np.array([lang for _, lang, _ in got])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     middle, level = x.mean(0), y.mean(0)
     solved = np.linalg.solve((x - middle).T @ (x - middle) + RIDGE * np.eye(x.shape[1]), (x - middle).T @ (y - level))
-    return Model(languages, codes, (features.weights @ solved).astype(np.float32), level - middle @ solved)
+    return Model(languages, codes, (features.weights @ solved).astype(np.float32), level - middle @ solved, least)
 
 
 def _predicted(model: Model):
@@ -179,13 +199,14 @@ def _predicted(model: Model):
         for batch in batches:
             for at, end, data, offsets in _few(batch.column("read")):
                 part = batch.slice(at, end - at)
-                scores = model.scores(data, offsets)
+                scores, share = model.scores(data, offsets)
                 best = scores.argmax(1)
                 top = np.clip((scores[np.arange(len(best)), best] + 1) / 2, 0, 1)
                 known = part.column("known").to_numpy(zero_copy_only=False)
                 rest = {c: part.column(c) for c in batch.schema.names if c not in ("read", "known")}
                 rest["lang_pred"] = pa.array(np.where(known, names[best], UNKNOWN).tolist(), pa.string())
                 rest["score"] = pa.array(np.where(known, top, 0.0))
+                rest["accepted"] = pa.array(known & (share >= model.least[best]))
                 yield pa.record_batch(list(rest.values()), names=list(rest))
 
     return predict
@@ -196,7 +217,7 @@ def predict(texts: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return texts.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     rows = texts.select("doc_id", _clean(F.col("text")).alias("read"), has_letter(F.col("text")).alias("known"))
-    return rows.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double, accepted boolean").drop("accepted")
 
 
 def held_out() -> Column:
@@ -213,8 +234,8 @@ def identified(docs: DataFrame) -> DataFrame:
 def drop_unknown(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text some language accepts, with all their columns.
 
-    Rejected are texts without a letter and texts for which even the best
-    language's regression says no more than ``LEAST_SCORE``.
+    Rejected are texts without a letter and texts that hold too many n-grams
+    which no landmark has.
     """
     model = fit(docs.filter(~held_out()))
     if model is None:
@@ -222,6 +243,6 @@ def drop_unknown(docs: DataFrame) -> DataFrame:
     rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*rest, _clean(F.col("text")).alias("read"), has_letter(F.col("text")).alias("known"))
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    kept = rows.mapInArrow(_predicted(model), schema).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    kept = rows.mapInArrow(_predicted(model), schema).filter("accepted")
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -1,5 +1,6 @@
 """Language identification, URL rules, tool calls, top-k search and the pipeline."""
 
+import base64
 import json
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.llm import QUERIES, topk_search
-from skyloom.llm.language_id import drop_unknown, fit, identified, predict
+from skyloom.llm.language_id import drop_unknown, fit, held_out, identified, predict
 from skyloom.llm.tool_calls import linked
 from skyloom.llm.topk_search import top_k
 from skyloom.llm.url_filter import judged
@@ -35,6 +36,24 @@ def test_language_edge_cases(documents):
     assert fit(documents([(1, "abc", None)])) is None and predict(documents([(1, "x")]), None).first()["lang_pred"] == "und"
 
 
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由，在尊严和权利上一律平等。",
+    base64.b64encode(random.Random(3).randbytes(600)).decode(), "qwrtz psdfg hjklx cvbnm " * 20,
+]
+
+
+@pytest.mark.parametrize("languages", [("en",), ("en", "fr"), ("de", "en", "es", "fr")])
+def test_foreign_texts_go(spark, documents, languages):
+    """Whatever the number of languages, what is foreign to all of them goes and clean documents that were held out stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("lang").isin(*languages))
+    foreign = documents([(-1 - i, t) for i, t in enumerate(FOREIGN)]).select(*docs.columns)
+    kept = {r["doc_id"] for r in drop_unknown(docs.unionByName(foreign)).select("doc_id").collect()}
+    assert not {d for d in kept if d < 0}
+    assert docs.filter(held_out()).count() == docs.filter(held_out() & F.col("doc_id").isin(*kept)).count()
+
+
 def verdicts(spark, urls, rules):
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
     listed = spark.createDataFrame(rules, "host string, path string, verdict string")
