@@ -10,6 +10,7 @@ from skyloom.functions import derive, geo
 from skyloom.operators import association, gram, models, panel, spatial_models, stability
 from skyloom.operators import transforms as tf
 from skyloom.operators.autocorrelation import morans_i
+from skyloom.operators.coverage import Grid
 from skyloom.operators.scale import take_lowest, value_ranks
 from skyloom.plans.features import (
     ClassFraction, CustomFeature, FrameFeature, NearestFeature, RadiusFeature, Registry, Sides,
@@ -1042,10 +1043,22 @@ def _sides(spark, sf):
     return Sides(
         points={"trees": derived.trees(spark, sf), "dhm": derived.dhm(spark, sf)},
         point_ids={"trees": "tree_id", "dhm": "point_id"}, survey_columns={"dhm": "dhm_year"},
-        land_use=polys, surfaces=polys,
+        land_use=polys, surfaces=polys.join(_materials(spark, sf), "poly_id"),
     )
 
 
+def _materials(spark, sf):
+    """What each polygon is made of: the last word of the part's name."""
+    return derived.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("poly_id"), F.substring_index("p_name", " ", -1).alias("material")
+    )
+
+
+def _values(df, column):
+    """The values of a categorical column, a few dozen, in order."""
+    return sorted(row[0] for row in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+
+
 @query(
     "D1 D2",
     f"""select {ID_SQL}, round(l_quantity * l_tax, 6) as mine_load, case when hour_of_day >= 6 and hour_of_day < 18 then 1 else 0 end as mine_day,
@@ -1099,14 +1112,15 @@ def registered_timed_nearest(spark, sf):
 
 @query("D2 D3 R5")
 def feature_run(spark, sf):
-    """The standard set, on observations of all months."""
-    types = {"small_kind": ("SMALL", "MEDIUM"), "large_kind": ("LARGE", "PROMO"), "plain": ("STANDARD",)}
+    """The standard set over every type, surface and material, on observations of all months and the default grid."""
+    sides = _sides(spark, sf)
+    types = {t.lower(): (t,) for t in _values(sides.land_use, "class_code")}
     reg = build_registry(
-        (50, 70, 100), ("young", "mature", "veteran"), types, ("Brand#1", "Brand#2", "Brand#3"),
-        (), use_column="surface", phase_column="phase",
+        (50, 70, 100), ("young", "mature", "veteran"), types, _values(sides.surfaces, "surface"),
+        _values(sides.surfaces, "material"), use_column="surface", material_column="material", phase_column="phase",
     )
     reg.add(NearestFeature("trees", ("tree_id", "girth")))
-    out = attach(derived.obs(spark, sf), reg, _sides(spark, sf), GRID)
+    out = attach(derived.obs(spark, sf), reg, sides, Grid())
     return out.select(*IDS, "partition_key", *reg.columns())
 
 

@@ -4,8 +4,10 @@ import os
 
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from skyloom.functions.derive import safe_name
 
 # One or two per family keep the suite short; REGISTERED=all runs every query.
 SOME = [
@@ -42,3 +44,14 @@ def test_no_nested_loop_or_cartesian_join(spark, sf, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_feature_run_has_every_type_surface_and_material(spark, sf):
+    """138 descriptors and the nearest tree."""
+    part = spark.read.parquet(f"{sf}/part.parquet").toPandas()
+    run = entry.queries()["feature_run"](spark, sf)
+    classes = [f"ua_{t.lower()}" for t in part.p_type.unique()]
+    surfaces = [f"wis_{safe_name(v)}" for v in {*part.p_brand, *part.p_name.str.split().str[-1]}]
+    wanted = {f"{c}_{radius}m_frac" for c in classes + surfaces for radius in (50, 70, 100)}
+    assert {c for c in run.columns if c.endswith("_frac")} == wanted and len(wanted) + 9 + 12 == 138
+    assert run.agg(F.max("ua_economy_50m_frac")).first()[0] == 1.0
