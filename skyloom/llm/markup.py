@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that hold blocks and are no block of running text themselves.
+HOLDERS = frozenset("html body div section article main center td details fieldset header".split())
 #: Opening one of these ends an open one of the group, up to the element that holds the group.
 ENDS = {
     **dict.fromkeys(("li",), (frozenset(("li",)), frozenset(("ul", "ol", "menu", "dir")))),
@@ -39,15 +42,18 @@ AROUND_ROLES = frozenset(("navigation", "banner", "menu", "menubar", "toolbar"))
 #: First words that make a class a statement about the whole page or article.
 STATES = frozenset(("has", "with", "no", "is", "without", "single"))
 
-_BARE = r"""(?:"[^"]*"|'[^']*'|[^'"<>])*"""
+_BARE = r"""(?:[^'"<>]++|"[^"]*+"|'[^']*+')*+"""
 _MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})\b{_BARE}>(?:.*?</(?P=raw)\b[^>]*>|.*)|<[!?][^>]*(?:>|\Z)"
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>{_BARE})>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile("class|id|role", re.I)
 _SPLIT = re.compile(r"[-_\s]+|(?<=[a-z])(?=[A-Z])")
 TEXT, OPEN, CLOSE = 0, 1, 2
+#: Levels that a path spells out; elements below are told apart by their own name only, so that paths stay short.
+SPELLED = 64
 
 # how an element bears on the text in it
 PLAIN, IN_MAIN, IS_AROUND, IS_NEVER = 0, 1, 2, 3
@@ -65,6 +71,10 @@ class Event:
     linked: bool
 
 
+def decoded(text: str) -> str:
+    return html.unescape(text) if "&" in text else text
+
+
 def _marked(names: str, role: str, exempt: bool) -> int:
     if role in NEVER_ROLES:
         return IS_NEVER
@@ -86,7 +96,7 @@ def _marked(names: str, role: str, exempt: bool) -> int:
 def _opened(tag: str, attributes: str, outer: int) -> tuple[int, str]:
     """How the element bears on its text, and its name in paths."""
     names, role = "", ""
-    if "=" in attributes:
+    if _ATTRIBUTE.search(attributes):
         for key, a, b, c in _NAMED.findall(attributes):
             value = html.unescape(a or b or c)
             if key.lower() == "role":
@@ -113,6 +123,7 @@ def events(page: str) -> Iterator[Event]:
     """The tags and the text of a page in order; comments, scripts and other raw elements leave nothing."""
     # tag, path, part, linked
     stack: list[tuple[str, str, int, bool]] = []
+    open_tags: Counter[str] = Counter()
     top = ("", "", PLAIN, False)
     at = 0
 
@@ -120,19 +131,20 @@ def events(page: str) -> Iterator[Event]:
         nonlocal top
         while len(stack) > depth:
             tag, path, part, linked = stack.pop()
+            open_tags[tag] -= 1
             yield Event(CLOSE, tag, path, part, linked)
         top = stack[-1] if stack else ("", "", PLAIN, False)
 
     for m in _MARKUP.finditer(page):
         if m.start() > at:
-            yield Event(TEXT, html.unescape(page[at : m.start()]), top[1], top[2], top[3])
+            yield Event(TEXT, decoded(page[at : m.start()]), top[1], top[2], top[3])
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
             continue
         tag = tag.lower()
         if m["end"] or m["end2"]:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                 if stack[depth][0] == tag:
                     yield from cut(depth)
                     break
@@ -150,13 +162,17 @@ def events(page: str) -> Iterator[Event]:
                 elif open_ in BLOCK and (holders is None or open_ in holders):
                     break
         part, label = _opened(tag, m["attributes"] or "", top[2])
-        path = f"{top[1]}/{label}"
+        if len(stack) <= SPELLED:
+            path = f"{top[1]}/{label}"
+        else:
+            path = f"{stack[SPELLED - 1][1]}//{label}"
         if tag in VOID:
             yield Event(OPEN, tag, path, top[2], top[3])
             continue
         top = (tag, path, part, top[3] or tag == "a")
         stack.append(top)
+        open_tags[tag] += 1
         yield Event(OPEN, tag, path, part, top[3])
     if at < len(page):
-        yield Event(TEXT, html.unescape(page[at:]), top[1], top[2], top[3])
+        yield Event(TEXT, decoded(page[at:]), top[1], top[2], top[3])
     yield from cut(0)
