@@ -363,11 +363,12 @@ def valid_rings(rings) -> Column:
 
 
 def ring_area(flat: Column) -> Column:
-    """Shoelace area of one ring in plane coordinates."""
+    """Shoelace area of one ring in plane coordinates, taken from its first point so that large coordinates lose no digits."""
+    x0, y0 = F.get(flat, F.lit(0))["x"], F.get(flat, F.lit(0))["y"]
     pairs = F.zip_with(
         F.slice(flat, F.lit(1), F.greatest(F.size(flat) - 1, F.lit(0))),
         F.slice(flat, F.lit(2), F.greatest(F.size(flat) - 1, F.lit(0))),
-        lambda p, q: p["x"] * q["y"] - q["x"] * p["y"],
+        lambda p, q: (p["x"] - x0) * (q["y"] - y0) - (q["x"] - x0) * (p["y"] - y0),
     )
     return F.abs(F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v)) / F.lit(2.0)
 
@@ -383,3 +384,42 @@ def rings_area_m2(rings) -> Column:
         ),
         lambda acc: acc["area"],
     )
+
+
+def ring_signs(rings) -> Column:
+    """1 for rings that bound area, -1 for holes: rings within an odd number of others, as the even-odd test has it."""
+    rings = _c(rings)
+
+    def sign(ring: Column, i: Column) -> Column:
+        first = F.get(ring, F.lit(0))
+        others = F.filter(rings, lambda other, j: j != i)
+        return F.when(in_rings(first["x"], first["y"], others), F.lit(-1)).otherwise(F.lit(1))
+
+    return F.transform(rings, sign)
+
+
+def edge_area_in_circle(x1, y1, x2, y2, radius: float) -> Column:
+    """Signed area between the origin and the part of an edge within a circle around the origin.
+
+    Added over a closed ring this is the area that the ring and the circle
+    share: triangles where the edge is inside, sectors where it is outside.
+    """
+    x1, y1, x2, y2 = map(_c, (x1, y1, x2, y2))
+    r2 = F.lit(radius * radius)
+    dx, dy = x2 - x1, y2 - y1
+    a, b, c = dx * dx + dy * dy, x1 * dx + y1 * dy, x1 * x1 + y1 * y1 - r2
+    root = b * b - a * c
+    cut = (a > 0) & (root > 0)
+    half = F.sqrt(F.when(cut, root).otherwise(F.lit(0.0)))
+    over = F.when(a > 0, a).otherwise(F.lit(1.0))
+    t1, t2 = (-b - half) / over, (-b + half) / over
+
+    def sector(ux, uy, vx, vy) -> Column:
+        return F.atan2(ux * vy - uy * vx, ux * vx + uy * vy) * r2 / F.lit(2.0)
+
+    lo, hi = F.greatest(t1, F.lit(0.0)), F.least(t2, F.lit(1.0))
+    px, py, qx, qy = x1 + dx * lo, y1 + dy * lo, x1 + dx * hi, y1 + dy * hi
+    inside = (px * qy - py * qx) / F.lit(2.0)
+    before = F.when(t1 > 0, sector(x1, y1, px, py)).otherwise(F.lit(0.0))
+    after = F.when(t2 < 1, sector(qx, qy, x2, y2)).otherwise(F.lit(0.0))
+    return F.when(cut & (t1 < 1) & (t2 > 0), before + inside + after).otherwise(sector(x1, y1, x2, y2))

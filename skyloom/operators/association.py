@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.derive import role_of, source_of
 from skyloom.functions.tails import correlation_p, t_two_sided
 from skyloom.operators.gram import gram_by, solve, square
-from skyloom.operators.scale import enrich, exact_quantiles, value_ranks
+from skyloom.operators.ranks import cells, picked, ranked_values
+from skyloom.operators.scale import enrich
 from skyloom.session import materialise
 
 
@@ -22,62 +24,83 @@ def _x(name: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def pair_counts(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Distinct complete (x, y) with their count: hot values become one row."""
-    both = df.select(_x(x).alias("x"), _x(y).alias("y")).where("x is not null and y is not null")
-    return both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+#: Equal-frequency bins of the counting estimate of mutual information.
+BINS = 10
 
 
-def spearman(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
-    """Rank correlation over complete pairs, with ties at their average rank."""
-    pairs = materialise(pair_counts(df, x, y), "pairs")
-    total = pairs.agg(F.sum("n")).first()[0] or 0
-    if total < 2:
-        return None, total
-
-    def ranks(c: str) -> DataFrame:
-        return value_ranks(pairs, c, "n").select(
-            F.col("value").alias(c), (F.col("rank") - F.lit((total + 1) / 2)).alias(f"r{c}")
-        )
+def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(i, x, y, n): the distinct complete values of every pair with their count, written; hot values become one row."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("i"), _x(x).alias("x"), _x(y).alias("y")) for k, (x, y) in enumerate(pairs)]))
+    rows = df.select(each.alias("c")).select("c.*").where("x is not null and y is not null")
+    return materialise(rows.groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
 
-    joined = enrich(enrich(pairs, ranks("x"), ["x"]), ranks("y"), ["y"])
-    row = joined.agg(
-        *[
-            F.sum(F.col("n") * F.col(a) * F.col(b)).alias(k)
-            for k, a, b in (("xy", "rx", "ry"), ("xx", "rx", "rx"), ("yy", "ry", "ry"))
-        ]
-    ).first()
-    if not row["xx"] or not row["yy"]:
-        return None, total
-    return row["xy"] / math.sqrt(row["xx"] * row["yy"]), total
 
+def _sides(pairs: DataFrame) -> dict[str, DataFrame]:
+    """The values of either side with their places in the pair."""
+    return {c: ranked_values(pairs.groupBy("i", c).agg(F.sum("n").alias("n")), c) for c in ("x", "y")}
 
-def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10) -> float | None:
-    """Plug-in estimate in nats over equal-frequency bins of both columns.
 
-    A counting estimator, unlike a nearest-neighbour one: it needs one pass.
-    """
-    both = materialise(
-        df.select(_x(x).alias("x"), _x(y).alias("y")).where("x is not null and y is not null"), "mi"
+def _rank_sums(pairs: DataFrame, sides: dict[str, DataFrame]) -> dict[int, tuple[float | None, int]]:
+    totals = materialise(pairs.groupBy("i").agg(F.sum("n").alias("total")), "totals")
+    joined = pairs
+    for c, ranked in sides.items():
+        centred = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0) - (F.col("total") + 1) / F.lit(2.0)
+        joined = enrich(joined, ranked.join(totals, "i").select("i", c, centred.alias(f"r{c}")), ["i", c])
+    sums = joined.groupBy("i").agg(
+        F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(a) * F.col(b)).alias(k) for k, a, b in (("xy", "rx", "ry"), ("xx", "rx", "rx"), ("yy", "ry", "ry"))]
     )
+    out = {}
+    for r in sums.collect():  # one row a pair
+        rho = r["xy"] / math.sqrt(r["xx"] * r["yy"]) if r["n"] > 1 and r["xx"] and r["yy"] else None
+        out[r["i"]] = (rho, r["n"])
+    return out
+
+
+def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[tuple[float | None, int]]:
+    """Rank correlation of every pair over its complete rows, ties at their average rank; jobs do not grow with the pairs."""
+    counted = pair_counts(df, pairs)
+    found = _rank_sums(counted, _sides(counted))
+    return [found.get(k, (None, 0)) for k in range(len(pairs))]
+
+
+def spearman(df: DataFrame, x: str, y: str) -> tuple[float | None, int]:
+    return spearman_pairs(df, [(x, y)])[0]
+
+
+def information(joint: np.ndarray) -> float:
+    """Mutual information in nats of a table of counts."""
+    total, held = joint.sum(), joint > 0
+    apart = joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)
+    return float((joint[held] / total * np.log(joint[held] * total / apart[held])).sum())
+
+
+def _binned_information(pairs: DataFrame, sides: dict[str, DataFrame], bins: int) -> dict[int, float]:
     probs = [i / bins for i in range(1, bins)]
-    cuts = {c: exact_quantiles(both, c, probs) for c in ("x", "y")}
-    if cuts["x"][0] is None:
-        return None
-
-    def bin_of(c: str) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(v) for v in cuts[c]]), lambda e: e <= F.col(c)))
-
-    cells = both.groupBy(bin_of("x").alias("bx"), bin_of("y").alias("by")).agg(F.count(F.lit(1)).alias("n"))
-    rows = cells.collect()  # at most bins squared
-    total = sum(r["n"] for r in rows)
-    mx, my = {}, {}
-    for r in rows:
-        mx[r["bx"]] = mx.get(r["bx"], 0) + r["n"]
-        my[r["by"]] = my.get(r["by"], 0) + r["n"]
-    return sum(
-        r["n"] / total * math.log(r["n"] * total / (mx[r["bx"]] * my[r["by"]])) for r in rows
-    )
+    cuts = {c: picked(ranked, probs, c) for c, ranked in sides.items()}
+    if not cuts["x"]:
+        return {}
+    rows = [(i, cuts["x"][i][1], cuts["y"][i][1]) for i in cuts["x"]]
+    asked = pairs.sparkSession.createDataFrame(rows, "i int, cx array<double>, cy array<double>")
+
+    def bin_of(value: str, at: str) -> Column:
+        return F.size(F.filter(at, lambda e: e <= F.col(value)))
+
+    met = pairs.join(F.broadcast(asked), "i").groupBy("i", bin_of("x", "cx").alias("bx"), bin_of("y", "cy").alias("by")).agg(F.sum("n").alias("n"))
+    tables: dict[int, np.ndarray] = {}
+    for r in met.collect():  # at most bins squared rows a pair
+        tables.setdefault(r["i"], np.zeros((bins, bins)))[r["bx"], r["by"]] = r["n"]
+    return {i: information(t) for i, t in tables.items()}
+
+
+def mutual_information_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], bins: int = BINS) -> list[float | None]:
+    """Counting estimates in nats over equal-frequency bins of both columns, for all pairs in the same few jobs."""
+    counted = pair_counts(df, pairs)
+    found = _binned_information(counted, _sides(counted), bins)
+    return [found.get(k) for k in range(len(pairs))]
+
+
+def mutual_information(df: DataFrame, x: str, y: str, bins: int = BINS) -> float | None:
+    return mutual_information_pairs(df, [(x, y)], bins)[0]
 
 
 SIMPLE_SCHEMA = (
@@ -99,6 +122,10 @@ def simple_associations(df: DataFrame, features: Sequence[str], target: str, min
             F.stddev_samp(x).alias(f"sx{i}"), F.avg(y).alias(f"my{i}"), F.stddev_samp(y).alias(f"sy{i}"),
         ]
     row, out = df.agg(*aggs).first(), []
+    counted = pair_counts(df, [(f, target) for f in features])
+    sides = _sides(counted)
+    ranks = _rank_sums(counted, sides)
+    shared = _binned_information(counted, sides, BINS) if with_mi else {}
 
     def cut(v):
         return None if v is None else round(float(v), digits)
@@ -108,11 +135,11 @@ def simple_associations(df: DataFrame, features: Sequence[str], target: str, min
         if n < min_rows or rho is None or math.isnan(rho):
             continue
         sx, sy = row[f"sx{i}"], row[f"sy{i}"]
-        rank, _ = spearman(df, f, target)
+        rank = ranks[i][0]
         out.append(
             (
                 f, source_of(f), n, cut(rho), cut(correlation_p(rho, n)), cut(rank),
-                cut(correlation_p(rank, n)), cut(mutual_information(df, f, target)) if with_mi else None,
+                cut(correlation_p(rank, n)), cut(shared.get(i)),
                 cut(rho * sy / sx) if sx > 1e-10 else None, cut(rho * sy), cut(row[f"mx{i}"]), cut(sx),
                 cut(row[f"my{i}"]), cut(sy),
             )
@@ -120,11 +147,56 @@ def simple_associations(df: DataFrame, features: Sequence[str], target: str, min
     return df.sparkSession.createDataFrame(out, SIMPLE_SCHEMA).orderBy(F.desc(F.abs("pearson_r")), "feature")
 
 
+def _block_ranks(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The places of all columns' values, and rows of centred ranks ``r0, r1, ...`` with their count ``n``."""
+    ids = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "block")
+    each = cells(ids, columns, ["__row", "n"])
+    ranked = ranked_values(each.groupBy("i", "value").agg(F.sum("n").alias("n")))
+    sizes = ranked.groupBy("i").agg(F.sum("n").alias("total"))
+    centred = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0) - (F.col("total") + 1) / F.lit(2.0)
+    placed = enrich(each, ranked.join(sizes, "i").select("i", "value", centred.alias("rank")), ["i", "value"])
+    wide = placed.groupBy("__row").agg(F.first("n").alias("n"), *[F.max(F.when(F.col("i") == k, F.col("rank"))).alias(f"r{k}") for k in range(len(columns))])
+    return ranked, wide
+
+
+def _block_tables(rows: DataFrame, columns: Sequence[str], cuts: list[list[float]], pairs: list[tuple[int, int]], bins: int) -> np.ndarray:
+    """Joint counts of all pairs (pairs, bins, bins): each task adds its rows to arrays of fixed size."""
+
+    def bin_of(k: int) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(v) for v in cuts[k]]), lambda e: e <= _x(columns[k])))
+
+    binned = rows.select("n", *[bin_of(k).alias(f"b{k}") for k in range(len(columns))])
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((len(pairs), bins * bins))
+        for batch in batches:
+            at, weights = batch.drop(columns="n").to_numpy(), batch["n"].to_numpy()
+            for k, (p, q) in enumerate(pairs):
+                held[k] += np.bincount(at[:, p] * bins + at[:, q], weights, bins * bins)
+        yield pd.DataFrame({"counts": [held.ravel().astype(np.int64)]})
+
+    parts = binned.mapInPandas(counted, "counts array<long>").select(F.posexplode("counts").alias("pos", "v"))
+    found = parts.groupBy("pos").agg(F.sum("v").alias("v")).collect()  # pairs times bins squared numbers
+    out = np.zeros(len(pairs) * bins * bins)
+    for r in found:
+        out[r["pos"]] = r["v"]
+    return out.reshape(len(pairs), bins, bins)
+
+
+CROSS_SCHEMA = (
+    "feature_a string, source_a string, feature_b string, source_b string, n_valid long, "
+    "pearson_r double, pearson_p double, spearman_r double, spearman_p double, mi double"
+)
+
+
 def cross_correlations(df: DataFrame, features: Sequence[str], min_rows: int = 100,
-                       ranks: bool = True) -> DataFrame:
-    """Every pair of features from different source groups, complete per group pair.
+                       ranks: bool = True, bins: int = BINS) -> DataFrame:
+    """Every pair of features from different source groups, over the rows that are complete for the two groups.
 
-    All Pearson coefficients of a group pair come from one aggregation.
+    A block of two groups is read as a whole: all Pearson coefficients come
+    from one aggregation, all rank correlations from the product matrix of
+    their ranks, and all mutual informations from one pass over joint counts.
+    Jobs grow with the group pairs and not with the feature pairs.
     """
     groups: dict[str, list[str]] = {}
     for f in features:
@@ -134,24 +206,31 @@ def cross_correlations(df: DataFrame, features: Sequence[str], min_rows: int = 1
     for a, b in itertools.combinations(sorted(groups), 2):
         block = [*groups[a], *groups[b]]
         rows = df.select(*[_x(c).alias(c) for c in block]).dropna("any")
-        pairs = list(itertools.product(groups[a], groups[b]))
+        named = list(itertools.product(groups[a], groups[b]))
+        pairs = [(block.index(p), block.index(q)) for p, q in named]
         row = rows.agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.corr(F.col(f"`{p}`"), F.col(f"`{q}`")).alias(f"r{k}") for k, (p, q) in enumerate(pairs)],
+            *[F.corr(F.col(f"`{p}`"), F.col(f"`{q}`")).alias(f"r{k}") for k, (p, q) in enumerate(named)],
         ).first()
         if row["n"] < min_rows:
             continue
-        for k, (p, q) in enumerate(pairs):
-            rho = row[f"r{k}"]
-            rank = spearman(rows, p, q)[0] if ranks else None
-            out.append(
-                (p, a, q, b, row["n"], rho, correlation_p(rho, row["n"]), rank, correlation_p(rank, row["n"]))
-            )
-    return df.sparkSession.createDataFrame(
-        out,
-        "feature_a string, source_a string, feature_b string, source_b string, n_valid long, "
-        "pearson_r double, pearson_p double, spearman_r double, spearman_p double",
-    )
+        spearmans, shared = [None] * len(pairs), [None] * len(pairs)
+        if ranks:
+            counts = materialise(rows.groupBy(*[f"`{c}`" for c in block]).agg(F.count(F.lit(1)).alias("n")), "block-counts")
+            ranked, wide = _block_ranks(counts, block)
+            weighed = [(F.col(f"r{k}") * F.sqrt("n")).alias(f"r{k}") for k in range(len(block))]
+            gram = gram_by(wide.select(*weighed), [f"r{k}" for k in range(len(block))]).first()
+            products = square(gram["products"], len(block))
+            for k, (p, q) in enumerate(pairs):
+                scale = math.sqrt(products[p, p] * products[q, q])
+                spearmans[k] = float(products[p, q] / scale) if scale else None
+            quantiles = picked(ranked, [i / bins for i in range(1, bins)])
+            tables = _block_tables(counts, block, [quantiles[k][1] for k in range(len(block))], pairs, bins)
+            shared = [information(t) for t in tables]
+        for k, (p, q) in enumerate(named):
+            rho, rank = row[f"r{k}"], spearmans[k]
+            out.append((p, a, q, b, row["n"], rho, correlation_p(rho, row["n"]), rank, correlation_p(rank, row["n"]), shared[k]))
+    return df.sparkSession.createDataFrame(out, CROSS_SCHEMA)
 
 
 # --- partial correlation --------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import geo
+from skyloom.operators.scale import split_join
 
 WORD = 64
 
@@ -253,6 +254,56 @@ def coverage(polygons: DataFrame, layer: list[str], polygon_id: str, targets: Da
     return disk_fractions(masks, layer, targets, radii, grid)
 
 
+def exact_shares(polygons: DataFrame, polygon_id: str, centres: DataFrame, keys: list[str],
+                 radii: list[float], cell_m: float = 500.0) -> DataFrame:
+    """The exact share of the disk around each centre that each polygon covers, where it is not zero.
+
+    ``centres`` has ``keys``, longitude and latitude; disks are those of the
+    grid, circles in metres at the reference latitude.  Polygons register the
+    cells that their boxes touch, boxes only; rings are joined to the pairs that
+    pass the box test, edge by edge, and the areas that the edges cut out of the
+    circle add up.  Output columns ``share_<radius>``.
+    """
+    reach = max(radii)
+    sx, sy = geo.LON_DEG_PER_M, geo.LAT_DEG_PER_M
+    width, height = cell_m * sx, cell_m * sy
+    box = geo.rings_bbox("rings")
+
+    def span(low: str, high: str, margin: float, size: float) -> Column:
+        low_cell, high_cell = F.floor((F.col(low) - F.lit(margin)) / F.lit(size)), F.floor((F.col(high) + F.lit(margin)) / F.lit(size))
+        return F.explode(F.sequence(low_cell.cast("long"), high_cell.cast("long")))
+
+    boxes = (
+        polygons.select(polygon_id, *[v.alias(f"__{k}") for k, v in box.items()])
+        .withColumn("__cx", span("__x0", "__x1", reach * sx, width)).withColumn("__cy", span("__y0", "__y1", reach * sy, height))
+    )
+    placed = centres.withColumns({
+        "__cx": F.floor(F.col("longitude") / F.lit(width)).cast("long"), "__cy": F.floor(F.col("latitude") / F.lit(height)).cast("long"),
+    })
+    near = split_join(placed, boxes, ["__cx", "__cy"]).where(
+        F.col("longitude").between(F.col("__x0") - F.lit(reach * sx), F.col("__x1") + F.lit(reach * sx))
+        & F.col("latitude").between(F.col("__y0") - F.lit(reach * sy), F.col("__y1") + F.lit(reach * sy))
+    ).select(*keys, polygon_id, "longitude", "latitude")
+
+    def ends(ring: Column) -> Column:
+        n = F.greatest(F.size(ring) - 1, F.lit(0))
+        return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    signed = polygons.select(polygon_id, F.posexplode(F.arrays_zip(F.col("rings").alias("ring"), geo.ring_signs("rings").alias("sign"))))
+    edges = signed.select(polygon_id, F.col("pos").alias("__ring"), F.col("col.sign").alias("__sign"), F.explode(ends(F.col("col.ring"))).alias("__e"))
+    met = near.join(edges, polygon_id)
+    x1, x2 = ((F.col(f"__e.{e}.x") - F.col("longitude")) / F.lit(sx) for e in "pq")
+    y1, y2 = ((F.col(f"__e.{e}.y") - F.col("latitude")) / F.lit(sy) for e in "pq")
+    met = met.select(*keys, polygon_id, "__ring", "__sign", x1.alias("__x1"), y1.alias("__y1"), x2.alias("__x2"), y2.alias("__y2"))
+    areas = met.groupBy(*keys, polygon_id, "__ring", "__sign").agg(
+        *[F.abs(F.sum(geo.edge_area_in_circle("__x1", "__y1", "__x2", "__y2", float(r)))).alias(f"a{i}") for i, r in enumerate(radii)]
+    )
+    shares = areas.groupBy(*keys, polygon_id).agg(
+        *[F.greatest(F.lit(0.0), F.sum(F.col("__sign") * F.col(f"a{i}")) / F.lit(math.pi * r * r)).alias(f"share_{int(r)}") for i, r in enumerate(radii)]
+    )
+    return shares.where(F.greatest(*[F.col(f"share_{int(r)}") for r in radii], F.lit(0.0)) > 1e-12)
+
+
 def layer_summary(fractions: DataFrame, layer: list[str], column: str) -> DataFrame:
     """Number of covered grid points per layer."""
     return fractions.where(F.col(column) > 1e-6).groupBy(*layer).agg(
@@ -279,13 +330,14 @@ def group_codes(fractions: DataFrame, code: str, classes: dict[str, list], keys:
 
 
 def accuracy_report(approximate: DataFrame, truth: DataFrame, keys: list[str], column: str,
-                    tol: float = 0.01, zero_tol: float = 0.005) -> DataFrame:
-    """Compare every zero and non-zero cell of a layer with a finer result.
+                    tol: float = 0.01, zero_tol: float = 0.005, by: list[str] | None = None) -> DataFrame:
+    """Compare every zero and non-zero cell of a layer with an exact or finer result.
 
     ``keys`` are layer columns followed by ``ix`` and ``iy``; a missing row on
-    either side is a fraction of zero.
+    either side is a fraction of zero.  One row for each of ``by``, the layers
+    unless given, and kind.
     """
-    layer = [k for k in keys if k not in ("ix", "iy")]
+    layer = [k for k in keys if k not in ("ix", "iy")] if by is None else by
     both = approximate.select(*keys, F.col(column).alias("approx")).join(
         truth.select(*keys, F.col(column).alias("truth")), keys, "full_outer"
     ).fillna(0.0, ["approx", "truth"])

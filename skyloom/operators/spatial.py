@@ -296,12 +296,126 @@ def radius_as_of_survey(location_years: DataFrame, points: DataFrame, measures:
 
 # --- nearest ----------------------------------------------------------------------
 
+# Points of a node that are compared one by one; halvings of a search cell, at most.
+OPEN_POINTS, HALVINGS = 64, 20
+
+
+def _crowded(points: DataFrame, radius_m: float) -> bool:
+    cx, cy = geo.search_cell(*LOC, radius_m)
+    most = points.groupBy(cx.alias("x"), cy.alias("y")).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0]
+    return (most or 0) > LEAF_POINTS
+
+
+def descended_pairs(rows: DataFrame, points: DataFrame, radius_m: float, temporal: str | None = None,
+                    open_points: int = OPEN_POINTS) -> DataFrame:
+    """(row, point) pairs within the radius, few of them, among which each row's best point is.
+
+    Branch and bound over a tree of cells, and of time bins when ``temporal``
+    is given: ``rows`` then have ``__t`` and points ``__pt``, in microseconds.
+    A node knows its number of points, the box around them and their first and
+    last time.  So it tells the best it may hold (the near side of the box, the
+    time closest to the row's) and what it holds for sure (the far corner, a
+    time that one of its points has).  In every step each row keeps the best
+    sure thing so far and drops nodes that cannot reach it; the others are
+    split, and nodes of few points are opened at the end, if they still compete.
+    """
+    keys = list(rows.columns)
+    width, height = geo.search_cell_size(radius_m)
+    bits = 2 if temporal is None else 1
+    low, span = 0, 0
+    if temporal is not None:
+        first, last = points.agg(F.min("__pt"), F.max("__pt")).first()
+        if first is not None:
+            low, span = first, (last - first).bit_length()
+
+    def shift(step: int) -> int:
+        return max(0, span - 2 * step)
+
+    def cell(step: int) -> dict[str, Column]:
+        fine = 2 ** (bits * step)
+        time = F.lit(0).cast("long") if temporal is None else F.shiftright(F.col("__pt") - F.lit(low), shift(step))
+        return {
+            "__x": F.floor(F.col("longitude") / F.lit(width / fine)).cast("long"),
+            "__y": F.floor(F.col("latitude") / F.lit(height / fine)).cast("long"), "__b": time,
+        }
+
+    def nodes(step: int) -> DataFrame:
+        times = [] if temporal is None else [F.min("__pt").alias("__t0"), F.max("__pt").alias("__t1")]
+        grouped = points.withColumns(cell(step)).groupBy("__x", "__y", "__b").agg(
+            F.count(F.lit(1)).alias("__m"), F.min("longitude").alias("__w"), F.max("longitude").alias("__e"),
+            F.min("latitude").alias("__s"), F.max("latitude").alias("__n"), *times,
+        )
+        up, back = (bits, shift(step - 1) - shift(step)) if step else (0, 0)
+        return grouped.withColumns(
+            {"__px": F.shiftright("__x", up), "__py": F.shiftright("__y", up), "__pb": F.shiftright("__b", back)}
+        )
+
+    def farther(a: str, b: str, at: str) -> Column:
+        return F.when(F.abs(F.col(a) - F.col(at)) > F.abs(F.col(b) - F.col(at)), F.col(a)).otherwise(F.col(b))
+
+    near = geo.distance_m(
+        *LOC, F.greatest("__w", F.least("__e", "longitude")), F.greatest("__s", F.least("__n", "latitude"))
+    )
+    far = geo.distance_m(*LOC, farther("__w", "__e", "longitude"), farther("__s", "__n", "latitude"))
+    if temporal is None:
+        usable, hope, sure = F.lit(True), F.lit(0).cast("long"), F.lit(0).cast("long")
+        certain = F.lit(True)
+    elif temporal == "last_previous":
+        usable = F.col("__t0") <= F.col("__t")
+        hope = -F.least("__t1", "__t")
+        sure = -F.when(F.col("__t1") <= F.col("__t"), F.col("__t1")).otherwise(F.col("__t0"))
+        certain = F.col("__far") <= F.lit(float(radius_m))
+    else:
+        usable = F.col("__t").isNotNull()
+        hope = F.greatest(F.col("__t0") - F.col("__t"), F.col("__t") - F.col("__t1"), F.lit(0).cast("long"))
+        sure = F.least(F.abs(F.col("__t0") - F.col("__t")), F.abs(F.col("__t1") - F.col("__t")))
+        certain = F.col("__far") <= F.lit(float(radius_m))
+
+    cx, cy = geo.search_cell(*LOC, radius_m)
+    frontier = geo.cells_around(rows.withColumns({"__px": cx.cast("long"), "__py": cy.cast("long")}), radius_m, "__px", "__py")
+    frontier = frontier.withColumns({"__pb": F.lit(0).cast("long"), "__best": F.lit(None).cast("struct<k:bigint,d:double>")})
+    own = Window.partitionBy(*keys)
+    opened = []
+    for step in range(HALVINGS // bits + 1):
+        met = split_join(frontier, nodes(step), ["__px", "__py", "__pb"]).withColumns({"__near": near, "__far": far})
+        met = met.where((F.col("__near") <= F.lit(float(radius_m))) & usable)
+        met = met.withColumns({
+            "__hope": F.struct(hope.alias("k"), F.col("__near").alias("d")),
+            "__sure": F.when(certain, F.struct(sure.alias("k"), F.col("__far").alias("d"))),
+        })
+        met = met.withColumn("__best", F.array_min(F.array("__best", F.min("__sure").over(own))))
+        met = met.where(F.col("__best").isNull() | (F.col("__hope") <= F.col("__best")))
+        met = materialise(met.select(*keys, "__x", "__y", "__b", "__m", "__hope", "__best"), "nodes")
+        few = F.col("__m") <= open_points if step < HALVINGS // bits else F.lit(True)
+        opened.append(met.where(few).withColumn("__step", F.lit(step)))
+        frontier = met.where(~few).select(*keys, F.col("__x").alias("__px"), F.col("__y").alias("__py"), F.col("__b").alias("__pb"), "__best")
+        if frontier.isEmpty():
+            break
+    every = opened[0]
+    for part in opened[1:]:
+        every = every.unionByName(part)
+    # what a later step made sure of closes nodes that an earlier one left open
+    every = every.withColumn("__best", F.min("__best").over(own)).where(F.col("__best").isNull() | (F.col("__hope") <= F.col("__best")))
+    every = materialise(every.select(*keys, "__x", "__y", "__b", "__step"), "open-nodes")
+    side = points.select("*", *[F.col(c).alias(f"p_{c}") for c in points.columns])
+    out = None
+    for step in range(len(opened)):
+        there = side.withColumns(cell(step)).select("__x", "__y", "__b", *[f"p_{c}" for c in points.columns])
+        pairs = split_join(every.where(F.col("__step") == step).drop("__step"), there, ["__x", "__y", "__b"])
+        out = pairs if out is None else out.unionByName(pairs)
+    return (
+        out.withColumn("dist_m", geo.distance_m(*LOC, "p_longitude", "p_latitude"))
+        .where(F.col("dist_m") <= F.lit(float(radius_m)))
+        .drop("__x", "__y", "__b")
+    )
+
 
 def nearest(locations: DataFrame, points: DataFrame, columns: list[str], radius_m: float,
             point_id: str, prefix: str = "") -> DataFrame:
     """Columns of the nearest point, null when none is within the radius.
 
-    Equal distances are settled by the lower id.
+    Equal distances are settled by the lower id.  Where cells are crowded, a
+    bounded descent keeps the pairs few.
     """
     keys = list(locations.columns)
     others = [c for c in columns if c != point_id and c not in LOC]
@@ -312,9 +426,9 @@ def nearest(locations: DataFrame, points: DataFrame, columns: list[str], radius_
         ),
         "points",
     )
+    pairs = descended_pairs(locations, side, radius_m) if _crowded(side, radius_m) else near_pairs(locations, side, radius_m)
     best = (
-        near_pairs(locations, side, radius_m)
-        .groupBy(*keys)
+        pairs.groupBy(*keys)
         .agg(
             F.min_by(
                 F.struct(*[F.col(f"p_{c}").alias(c) for c in columns], F.col("dist_m")),
@@ -337,7 +451,8 @@ def nearest_as_of(driving: DataFrame, points: DataFrame, columns: list[str], rad
     ``nearest`` the smallest time difference.  ``driving`` holds distinct
     (longitude, latitude, ts).  Per location the best point of every timestamp
     is kept and merged with the driving times in one ordered pass, so that work
-    grows with timestamps per location and not with their product.
+    grows with timestamps per location and not with their product.  Where cells
+    are crowded, a bounded descent through places and times takes its place.
     """
     if temporal not in ("last_previous", "nearest"):
         raise ValueError(f"unknown temporal mode {temporal!r}")
@@ -348,6 +463,8 @@ def nearest_as_of(driving: DataFrame, points: DataFrame, columns: list[str], rad
         ),
         "points",
     )
+    if _crowded(side, radius_m):
+        return _descended_as_of(driving, side, columns, radius_m, temporal, ts, prefix)
     places = location_dimension(driving)
     value = F.struct(
         F.col("p___t").alias("t"), F.col("dist_m").alias("dist"), F.col("p___id").alias("id"),
@@ -393,6 +510,24 @@ def nearest_as_of(driving: DataFrame, points: DataFrame, columns: list[str], rad
     )
 
 
+def _descended_as_of(driving: DataFrame, side: DataFrame, columns: list[str], radius_m: float, temporal: str,
+                     ts: str, prefix: str) -> DataFrame:
+    keys = [*LOC, ts]
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = materialise(driving.select(*keys).withColumn("__t", micros(ts)), "driving")
+    timed = materialise(side.where(F.col("__t").isNotNull()).withColumn("__pt", micros("__t")), "points")
+    pairs = descended_pairs(rows, timed, radius_m, temporal)
+    gap = F.col("__t") - F.col("p___pt") if temporal == "last_previous" else F.abs(F.col("__t") - F.col("p___pt"))
+    if temporal == "last_previous":
+        pairs = pairs.where(F.col("p___pt") <= F.col("__t"))
+    hit = F.struct(
+        *[F.col(f"p_v_{c}").alias(f"{prefix}{c}") for c in columns], F.col("dist_m").alias(f"{prefix}dist_m"),
+        F.col("p___t").alias(f"{prefix}ts"),
+    )
+    best = pairs.groupBy(*keys).agg(F.min_by(hit, F.struct(gap, "dist_m", "p___id")).alias("hit")).select(*keys, "hit.*")
+    return rows.drop("__t").join(best, keys, "left")
+
+
 # --- containment -------------------------------------------------------------------
 
 
@@ -400,21 +535,22 @@ def within_polygon(locations: DataFrame, polygons: DataFrame, code: str,
                    cell_m: float = 1000.0) -> DataFrame:
     """Lowest code among the polygons that hold each location, or null.
 
-    ``polygons`` has ``rings``.  Each polygon is registered in the cells its
-    bounding box touches; a location looks into its own cell only.
+    ``polygons`` has ``rings``.  A polygon
+    registers its number and box in the cells that the box touches; a location
+    looks into its own cell, and the rings are joined to what passes the box.
     """
     keys = list(locations.columns)
     width, height = geo.search_cell_size(cell_m)
-    box = geo.rings_bbox("rings")
 
     def span(lo: Column, hi: Column, size: float) -> Column:
         return F.explode(
             F.sequence(F.floor(lo / F.lit(size)).cast("int"), F.floor(hi / F.lit(size)).cast("int"))
         )
 
+    named = materialise(polygons.select(F.col(code).alias("__code"), F.col("rings").alias("__rings"), F.monotonically_increasing_id().alias("__row")), "polygons")
+    box = geo.rings_bbox("__rings")
     right = (
-        polygons.select(F.col(code).alias("__code"), F.col("rings").alias("__rings"),
-                        *[v.alias(f"__{k}") for k, v in box.items()])
+        named.select("__row", *[v.alias(f"__{k}") for k, v in box.items()])
         .withColumn("__cx", span(F.col("__x0"), F.col("__x1"), width))
         .withColumn("__cy", span(F.col("__y0"), F.col("__y1"), height))
     )
@@ -425,8 +561,10 @@ def within_polygon(locations: DataFrame, polygons: DataFrame, code: str,
         .where(
             F.col("longitude").between(F.col("__x0"), F.col("__x1"))
             & F.col("latitude").between(F.col("__y0"), F.col("__y1"))
-            & geo.in_rings("longitude", "latitude", "__rings")
         )
+        .select(*keys, "__row")
+        .join(named, "__row")
+        .where(geo.in_rings("longitude", "latitude", "__rings"))
         .groupBy(*keys)
         .agg(F.min("__code").alias(code))
     )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skyloom.functions import derive, geo
-from skyloom.operators import association, gram, models, panel, spatial_models, stability
+from skyloom.operators import association, attribution, gram, models, panel, spatial_models, stability
 from skyloom.operators import transforms as tf
 from skyloom.operators.autocorrelation import morans_i
 from skyloom.operators.coverage import Grid
@@ -332,6 +333,17 @@ def simple_associations_with_mi(spark, sf):
     )
 
 
+def _shared(x: str, y: str) -> str:
+    """Mutual information over deciles of both columns."""
+    return f"""(with f as (select {x} as x, {y} as y from frame where {x} is not null and {y} is not null),
+      q as (select quantile_cont(x, {_MI_PROBS}) as qx, quantile_cont(y, {_MI_PROBS}) as qy from f),
+      b as (select len(list_filter(qx, lambda e: e <= x)) as bx, len(list_filter(qy, lambda e: e <= y)) as by_ from f, q),
+      j as (select bx, by_, count(*) as n from b group by 1, 2), t as (select sum(n) as total from j),
+      mx as (select bx, sum(n) as nx from j group by 1), my as (select by_, sum(n) as ny from j group by 1)
+      select round(sum(n / total::double * ln(n * total::double / (nx * ny))), 7) from j join mx using (bx) join my using (by_), t)"""
+
+
+_MI_PROBS = [i / 10 for i in range(1, 10)]
 _CROSS = [("dhm_avg50m_elevation", "trees_count50m"), ("dhm_avg50m_elevation", "wis_kws_50m_frac"), ("trees_count50m", "wis_kws_50m_frac")]
 
 
@@ -339,7 +351,7 @@ _CROSS = [("dhm_avg50m_elevation", "trees_count50m"), ("dhm_avg50m_elevation", "
     "M2 W7",
     f"with {FRAME} " + " union all ".join(
         f"""select '{a}' as feature_a, '{derive.source_of(a)}' as source_a, '{b}' as feature_b, '{derive.source_of(b)}' as source_b,
-        count(*) as n_valid, round(corr({a}, {b}), 5) as pearson_r, (select round(corr(rx, ry), 5) from {_ranked(a, b)}) as spearman_r
+        count(*) as n_valid, round(corr({a}, {b}), 5) as pearson_r, (select round(corr(rx, ry), 5) from {_ranked(a, b)}) as spearman_r, {_shared(a, b)} as mi
         from frame where {a} is not null and {b} is not null""" for a, b in _CROSS
     ),
     ("obs",),
@@ -349,7 +361,7 @@ def cross_correlations(spark, sf):
     out = association.cross_correlations(materialise(frame(spark, sf).select(*chosen)), chosen)
     return out.select(
         "feature_a", "source_a", "feature_b", "source_b", "n_valid",
-        r(F.col("pearson_r"), 5).alias("pearson_r"), r(F.col("spearman_r"), 5).alias("spearman_r"),
+        r(F.col("pearson_r"), 5).alias("pearson_r"), r(F.col("spearman_r"), 5).alias("spearman_r"), r(F.col("mi"), 7).alias("mi"),
     )
 
 
@@ -361,9 +373,6 @@ def average_ranks(spark, sf):
     return value_ranks(derived.table(spark, sf, "events"), "value").select("value", "n", "rank")
 
 
-_MI_PROBS = [i / 10 for i in range(1, 10)]
-
-
 @query(
     "M3",
     f"""with {FRAME}, f as (select trees_count50m as x, temperature as y from frame where trees_count50m is not null and temperature is not null),
@@ -1024,6 +1033,44 @@ def permutation_importance(spark, sf):
     )
 
 
+_HAND_TREE = attribution.Tree(
+    feature=np.array([0, 1, -1, -1, 0, -1, -1]), cut=np.array([25.0, 0.04, 0, 0, 40.0, 0, 0]), left=np.array([1, 2, -1, -1, 5, -1, -1]),
+    right=np.array([4, 3, -1, -1, 6, -1, -1]), value=np.array([0, 0, 1.0, 3.0, 0, 5.0, 9.0]), cover=np.array([100, 50, 30, 20, 50, 30, 20.0]),
+)
+
+
+@query(
+    "M28",
+    f"""with v as (select {ID_SQL}, case when l_quantity <= 25 then 1.8e0 when l_quantity <= 40 then 5e0 else 9e0 end as q,
+        case when l_tax <= 0.04e0 then 0.5e0 else 1.5e0 end + 3.3e0 as t,
+        case when l_quantity > 40 then 9e0 when l_quantity > 25 then 5e0 when l_tax <= 0.04e0 then 1e0 else 3e0 end as both_, 4.2e0 as base from obs)
+      select {ID_SQL}, base, round(((q - base) + (both_ - t)) / 2e0, 9) as l_quantity_effect, round(((t - base) + (both_ - q)) / 2e0, 9) as l_tax_effect from v""",
+    ("obs",),
+)
+def tree_attribution(spark, sf):
+    """Shapley values of a tree of three splits, one feature splitting twice, for every observation."""
+    rows = derived.obs(spark, sf).select(*IDS, "l_quantity", "l_tax")
+    out = attribution.tree_attribution(rows, [_HAND_TREE], ["l_quantity", "l_tax"])
+    return out.select(*IDS, r(F.col("base"), 9).alias("base"), r(F.col("l_quantity_effect"), 9).alias("l_quantity_effect"), r(F.col("l_tax_effect"), 9).alias("l_tax_effect"))
+
+
+@query("M28 M22 M23")
+def ensemble_attribution(spark, sf):
+    """What each feature adds to a forest's and a boosted model's predictions of the held-out rows: means, and the gap to the prediction."""
+    train, test = _split(spark, sf)
+    out = None
+    for kind in ("random_forest", "boosting"):
+        model = models.fit_model(kind, train, _NUMERIC, "temperature", **_SETTINGS[kind])
+        explained = attribution.tree_attribution(models.predict(model, test), attribution.saved_trees(model, spark), _NUMERIC)
+        total = F.col("base") + sum(F.col(f"{f}_effect") for f in _NUMERIC)
+        found = explained.agg(
+            F.lit(kind).alias("model"), F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(total - F.col("prediction"))).alias("largest_gap"),
+            *[F.avg(F.abs(f"{f}_effect")).alias(f) for f in _NUMERIC],
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(
     "M28",
     f"""with m as (select avg(l_quantity) as q, avg(l_tax) as t from obs) select {ID_SQL}, round(0.5e0 * (l_quantity - q), 6) as l_quantity_effect,

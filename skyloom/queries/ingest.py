@@ -541,14 +541,14 @@ def feature_roles(spark, sf):
     "P12 P13",
     f"""with source as (select struct_pack(p := poly_id, k := k) as id, case when k in (1, 2) then x1 else x0 end as lon,
         case when k in (2, 3) then y1 else y0 end as lat from polys, (select unnest([0, 1, 2, 3]) as k)), {LAEA},
-      corners as (select id.p as poly_id, list(x order by id.k) as xs, list(y order by id.k) as ys from laea group by 1)
-      select poly_id, round(abs((xs[1] * ys[2] - xs[2] * ys[1]) + (xs[2] * ys[3] - xs[3] * ys[2]) + (xs[3] * ys[4] - xs[4] * ys[3])
-        + (xs[4] * ys[1] - xs[1] * ys[4])) / 2e0, 2) as area_m2 from corners""",
+      corners as (select id.p as poly_id, list(x order by id.k) as xs, list(y order by id.k) as ys from laea group by 1),
+      own as (select poly_id, list_transform(xs, lambda x: x - xs[1]) as xs, list_transform(ys, lambda y: y - ys[1]) as ys from corners)
+      select poly_id, round(abs((xs[2] * ys[3] - xs[3] * ys[2]) + (xs[3] * ys[4] - xs[4] * ys[3])) / 2e0, 1) as area_m2 from own""",
     ("polys",),
 )
 def polygon_areas(spark, sf):
     return derived.polys(spark, sf).select(
-        "poly_id", r(geo.rings_area_m2(geo.valid_rings("rings")), 2).alias("area_m2")
+        "poly_id", r(geo.rings_area_m2(geo.valid_rings("rings")), 1).alias("area_m2")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.functions import derive
+from skyloom.functions import derive, geo
 from skyloom.operators import coverage, spatial
 from skyloom.operators.spatial import Measure
 from skyloom.queries.base import dbl, query, r
@@ -250,7 +250,7 @@ def merged_products(spark, sf):
 
 # --- coverage ----------------------------------------------------------------------
 
-GRID = coverage.Grid(resolution_m=15.0, supersample=2)
+GRID = coverage.Grid()
 
 
 def _kernel_values(radius: float) -> str:
@@ -307,8 +307,8 @@ def class_coverage(spark, sf):
 
 @query(
     "R3",
-    f"""with {_CELLED} select class_code, survey_year, sum(least(yb, {GRID.n_lat * 2 + 256}) - greatest(ya, -256) + 1) as n_runs,
-      sum((least(xb, {GRID.n_lon * 2 + 256}) - greatest(xa, -256) + 1) * (least(yb, {GRID.n_lat * 2 + 256}) - greatest(ya, -256) + 1)) as n_cells
+    f"""with {_CELLED} select class_code, survey_year, sum(least(yb, {GRID.n_lat * GRID.supersample + 256}) - greatest(ya, -256) + 1) as n_runs,
+      sum((least(xb, {GRID.n_lon * GRID.supersample + 256}) - greatest(xa, -256) + 1) * (least(yb, {GRID.n_lat * GRID.supersample + 256}) - greatest(ya, -256) + 1)) as n_cells
       from celled where yb >= ya and xb >= xa group by 1, 2""",
     ("polys",),
 )
@@ -400,17 +400,62 @@ def road_fractions(spark, sf):
     )
 
 
-@query("R2 R9")
+def _disk_part(x: str, y: str, radius: float) -> str:
+    """Area of a disk around the origin left of ``x`` and below ``y``, less that of its lower half there."""
+    x, y, rr = f"greatest({-radius}e0, least({radius}e0, {x}))", f"greatest({-radius}e0, least({radius}e0, {y}))", f"{radius * radius}e0"
+    left = f"(-sqrt({rr} - ({y}) * ({y})))"
+    right = f"sqrt({rr} - ({y}) * ({y}))"
+    chord = lambda v: f"(({v}) * sqrt(greatest(0e0, {rr} - ({v}) * ({v}))) + {rr} * asin(({v}) / {radius}e0)) / 2e0"
+    low, high, flat = f"least({x}, {left})", f"greatest({x}, {right})", f"greatest({left}, least({x}, {right}))"
+    curved = f"({chord(low)} - {chord(f'{-radius}e0')} + {chord(high)} - {chord(right)})"
+    return f"(sign({y}) * {curved} + ({y}) * ({flat} - {left}))"
+
+
+def _exact_sql(radius: float) -> str:
+    """The exact share of each disk and rectangle: four corners of the integral of the height."""
+    corner = {(i, j): _disk_part(f"u{i}", f"v{j}", radius) for i in (0, 1) for j in (0, 1)}
+    area = f"({corner[1, 1]} - {corner[0, 1]} - {corner[1, 0]} + {corner[0, 0]})"
+    sx, sy = dbl(geo.LON_DEG_PER_M), dbl(geo.LAT_DEG_PER_M)
+    lon, lat = f"({dbl(GRID.lon0)} + ix * {dbl(GRID.step_lon)})", f"({dbl(GRID.lat0)} + iy * {dbl(GRID.step_lat)})"
+    return f"""offsets as (select ix, iy, poly_id, (x0 - {lon}) / {sx} as u0, (x1 - {lon}) / {sx} as u1, (y0 - {lat}) / {sy} as v0, (y1 - {lat}) / {sy} as v1
+        from targets join polys on x0 <= {lon} + {radius}e0 * {sx} and x1 >= {lon} - {radius}e0 * {sx} and y0 <= {lat} + {radius}e0 * {sy} and y1 >= {lat} - {radius}e0 * {sy}),
+      exact as (select ix, iy, poly_id, {area} / (pi() * {radius * radius}e0) as share from offsets)"""
+
+
+def _exact(spark, sf, polys, targets, radius):
+    centres = targets.withColumns({
+        "longitude": F.lit(GRID.lon0) + F.col("ix") * F.lit(GRID.step_lon), "latitude": F.lit(GRID.lat0) + F.col("iy") * F.lit(GRID.step_lat),
+    })
+    return coverage.exact_shares(polys, "poly_id", centres, ["ix", "iy"], [radius])
+
+
+@query(
+    "R2 J8",
+    f"with {_TARGETS}, {_exact_sql(60.0)} select ix, iy, poly_id, round(share, 6) as share_60 from exact where round(share, 6) > 0",
+    ("obs", "polys"),
+)
+def exact_disk_shares(spark, sf):
+    """The share of every disk that every polygon covers, by closed-form areas of its edges."""
+    out = _exact(spark, sf, derived.polys(spark, sf), _targets(spark, sf), 60.0)
+    return out.withColumn("share_60", r(F.col("share_60"), 6)).where("share_60 > 0")
+
+
+@query(
+    "R2 R9",
+    f"""with {_TARGETS}, {_CELLED}, {_fractions_sql(60.0, 'poly_id')}, {_exact_sql(60.0)},
+      both_ as (select coalesce(f.frac, 0) as approx, coalesce(e.share, 0) as truth from fracs f full join (select * from exact where share > 1e-12) e using (ix, iy, poly_id))
+      select case when approx > 0 then 'nonzero' else 'zero' end as kind, count(*) as n,
+        count(*) filter (case when approx > 0 then abs(approx - truth) <= 0.01e0 else truth <= 0.005e0 and approx <= 0.005e0 end) as n_pass,
+        round(avg(abs(approx - truth)), 6) as err_mean, round(max(abs(approx - truth)), 6) as err_max from both_ group by 1""",
+    ("obs", "polys"),
+)
 def coverage_accuracy(spark, sf):
-    """Plain against eight-fold supersampling on every cell of each layer."""
-    fine = coverage.Grid(resolution_m=15.0, supersample=8)
-    layer = ["class_code", "survey_year"]
+    """Rasterised against exact shares, on every disk that a polygon touches."""
     polys, targets = materialise(derived.polys(spark, sf)), materialise(_targets(spark, sf))
-    rough = coverage.coverage(polys, layer, "poly_id", targets, [60.0], GRID)
-    truth = coverage.coverage(polys, layer, "poly_id", targets, [60.0], fine)
-    return coverage.accuracy_report(
-        rough, truth, [*layer, "ix", "iy"], "frac_60", tol=0.03, zero_tol=0.015,
-    )
+    rough = coverage.coverage(polys, ["poly_id"], "poly_id", targets, [60.0], GRID)
+    truth = _exact(spark, sf, polys, targets, 60.0).withColumnRenamed("share_60", "frac_60")
+    out = coverage.accuracy_report(rough, truth, ["poly_id", "ix", "iy"], "frac_60", by=[])
+    return out.select("kind", "n", "n_pass", r(F.col("err_mean"), 6).alias("err_mean"), r(F.col("err_max"), 6).alias("err_max"))
 
 
 @query(
