@@ -46,8 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("least"))
+        # both branches below read one shuffle of this, so it is not written
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        large = materialise(large, "large-star")
         down = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", "least"), F.struct(F.col("b").alias("a"), "least"))).alias("e"))
         found = materialise(small.select("e.a", F.col("e.least").alias("b")).filter("a <> b").distinct(), "small-star")

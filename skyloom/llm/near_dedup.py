@@ -13,14 +13,16 @@ almost every link is met at the first level already, where one tree keeps 0.85 o
 more.  The threshold is a parameter: op4 links at ``PERCENT``, the pipeline's stage
 at ``STAGE_PERCENT``.
 
-A node that is still large at the last level holds vertices that are all alike.
-It is dealt out in blocks that share some hub vertices, and what then lies
-outside the node's main cluster is compared with the whole node, so that no
-pair is skipped for the node's size.
-
-Signatures only cluster: a node hands on a spanning forest of its pairs whose
-signatures are alike, and the forests' components hold every link.  Within a
-cluster full sets decide.  A cluster of at most ``CLUSTER`` vertices goes to one
+A node that is still large at the last level holds vertices that are mostly
+alike, which more branching would not part.  It is compared breadth first: each
+vertex once, with those that nothing has reached yet.  Nodes beyond ``BLOCK``
+vertices are dealt out in blocks that share some hub vertices, and what then
+lies outside the node's main cluster is compared with the whole node, so that
+no pair is skipped for the node's size.
+
+Signatures only cluster: a node hands on edges that connect what its alike
+pairs connect, and the components of all edges hold every link.  Within a
+cluster full sets decide.  A cluster of at most ``CLUSTER`` shingles goes to one
 task, each set once, where pivots are compared with all vertices that no
 confirmed link has yet joined to them.  A larger one is dealt out in blocks that
 share the vertices nearest to the cluster's consensus, which the copies of one
@@ -47,17 +49,17 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.components import components
 from skyloom.llm.rows import TEXT_KEY, bounded, text_key, without_rows
-from skyloom.llm.words import Words, mixed, slices
+from skyloom.llm.words import Words, mixed, ranges, slices
 from skyloom.session import materialise
 
 #: Words of a shingle; percent of the union that linked sets share at least, in op4 and in the pipeline's stage.
 SHINGLE, PERCENT, STAGE_PERCENT = 5, 85, 80
 #: Minwise tokens of a set, independent trees, levels of branching, vertices of a node that is compared exhaustively.
 COORDINATES, TREES, LEVELS, SMALL = 128, 12, 3, 64
-#: Vertices of the blocks of a node that is still large at the last level, compared by signatures.
-BLOCK = 2048
-#: Vertices of a cluster that one task compares by full sets, and of the blocks of a larger one.
-CLUSTER = 256
+#: Vertices of a node that one task compares by signatures, half a kilobyte each, and of the blocks of a larger one.
+BLOCK = 16_384
+#: Shingles of a cluster that one task compares by full sets, and of the blocks of a larger one.
+CLUSTER = 1_000_000
 #: Vertices of a large last-level node that all of its blocks share, about; and those of a large cluster.
 HUBS, CENTRAL = 16, 8
 #: Vertices of a large cluster from which its consensus is taken, about.
@@ -176,46 +178,80 @@ def _pairs_in(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, left + 1 + np.arange(len(left)) - np.repeat(np.append(0, np.cumsum(after)[:-1]), after)
 
 
-def _spanning(node: np.ndarray, left: np.ndarray, right: np.ndarray, alike: np.ndarray, n: int) -> np.ndarray:
-    """Pairs of a forest over rows in each node that prefers the most similar pairs."""
-    parent = list(range(n))
+def _stars(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` rows the smallest row that pairs connect it with."""
+    root = np.arange(n)
+    while len(left):
+        low = root.copy()
+        np.minimum.at(low, left, root[right])
+        np.minimum.at(low, right, root[left])
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            break
+        root = low
+    return root
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    taken = []
-    for k in np.lexsort((right, left, -alike, node)).tolist():
-        a, b = root(left[k]), root(right[k])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            taken.append(k)
-    return np.array(taken, np.int64)
+def _spread(tokens: np.ndarray, size: np.ndarray, group: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """The same for the rows of one large node, breadth first.
+
+    Each row is compared once, with those that nothing has reached yet, so a
+    family of copies costs about one comparison a row and not one a pair.
+    """
+    n = len(group)
+    group = np.unique(group, return_inverse=True)[1]
+    apart = len(np.unique(group)) == n
+    root, left_over = np.arange(n), np.ones(n, bool)
+    for start in range(n):
+        if not left_over[start]:
+            continue
+        found = np.array([start]) if apart else np.flatnonzero(group == group[start])
+        left_over[found] = False
+        waiting = found.tolist()
+        while waiting:
+            pivot = waiting.pop()
+            rest = np.flatnonzero(left_over)
+            if not len(rest):
+                break
+            rest = rest[100 * np.minimum(size[rest], size[pivot]) >= percent * np.maximum(size[rest], size[pivot])]
+            hit = rest[(tokens[rest] == tokens[pivot]).sum(1) >= least]
+            if len(hit):
+                if not apart:
+                    hit = np.flatnonzero(np.isin(group, group[hit]))
+                left_over[hit] = False
+                root[hit] = start
+                waiting += hit.tolist()
+        root[found] = start
+    return root
 
 
 def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the alike pairs of each tree node that lie in different components."""
+    """Edges that connect what alike pairs connect in each tree node, between rows of different components."""
     least = _least_alike(percent)
     for rows in _whole_nodes(batches):
         keys = rows.column("tree_node").to_numpy()
         vertex, size = rows.column("vertex").to_numpy(), rows.column("n_shingles").to_numpy()
         group = rows.column("component").to_numpy()
-        left, right = _pairs_in(keys)
+        tokens = _matrix(rows.column("signature"))
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        ends = np.append(heads[1:], len(keys))
+        small = np.flatnonzero(np.repeat(ends - heads <= SMALL, ends - heads))
+        left, right = (small[x] for x in _pairs_in(keys[small])) if len(small) else (small, small)
         fits = 100 * np.minimum(size[left], size[right]) >= percent * np.maximum(size[left], size[right])
         fits &= (vertex[left] != vertex[right]) & (group[left] != group[right])
         left, right = left[fits], right[fits]
-        tokens = _matrix(rows.column("signature"))
-        alike = np.concatenate(
-            [(tokens[left[i : i + 50_000]] == tokens[right[i : i + 50_000]]).sum(1) for i in range(0, len(left), 50_000)] or [np.zeros(0, np.int64)]
-        )
-        close = alike >= least
-        left, right, alike = left[close], right[close], alike[close]
-        taken = _spanning(keys[left], left, right, alike, len(keys))
-        left, right = left[taken], right[taken]
-        a, b = np.minimum(vertex[left], vertex[right]), np.maximum(vertex[left], vertex[right])
-        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        close = [
+            (tokens[left[i : i + 50_000]] == tokens[right[i : i + 50_000]]).sum(1) >= least for i in range(0, len(left), 50_000)
+        ]
+        close = np.concatenate(close) if close else np.zeros(0, bool)
+        root = _stars(left[close], right[close], len(keys))
+        for head, end in zip(heads.tolist(), ends.tolist()):
+            if end - head > SMALL:
+                root[head:end] = head + _spread(tokens[head:end], size[head:end], group[head:end], least, percent)
+        a, b = vertex[root], vertex
+        new = (a != b) & (group[root] != group)
+        a, b = a[new], b[new]
+        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,24 +276,29 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links_in(sets: np.ndarray, owner: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """A pivot and what it is linked with, until all pairs are compared or in one component; central pivots first."""
+    """A pivot and what it is linked with, until all pairs are compared or in one component; central pivots first.
+
+    A pivot meets only the sets that no link has joined to it yet, so once a
+    family is one component its members cost what the few others hold.
+    """
     n = len(group)
     size = np.bincount(owner, minlength=n)
     known, code = np.unique(sets, return_inverse=True)
     shared = np.bincount(owner, np.bincount(code)[code], n) / np.maximum(size, 1)
     ends = np.append(0, np.cumsum(size))
     group, open_ = np.unique(group, return_inverse=True)[1], np.ones(n, bool)
+    mark = np.zeros(len(known), bool)
     for pivot in np.argsort(-shared, kind="stable").tolist():
-        if (group == group[0]).all():
-            return
         open_[pivot] = False
-        other = open_ & (group != group[pivot])
-        if not other.any():
+        other = np.flatnonzero(open_ & (group != group[pivot]))
+        other = other[100 * np.minimum(size[other], size[pivot]) >= percent * np.maximum(size[other], size[pivot])]
+        if not len(other):
             continue
-        mark = np.zeros(len(known), bool)
-        mark[code[ends[pivot] : ends[pivot + 1]]] = True
-        both = np.bincount(owner, mark[code], n)
-        hit = np.flatnonzero(other & (100 * both >= percent * (size + size[pivot] - both)))
+        own = code[ends[pivot] : ends[pivot + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[code[ranges(ends[other], size[other])]], np.append(0, np.cumsum(size[other])[:-1]), dtype=np.int64)
+        mark[own] = False
+        hit = other[100 * both >= percent * (size[other] + size[pivot] - both)]
         if len(hit):
             group[np.isin(group, group[hit])] = group[pivot]
             yield pivot, hit
@@ -328,17 +369,16 @@ class _Join:
             large = members.filter(F.col("members") > SMALL)
         return small.select("tree_node", "vertex"), large
 
-    def dealt(self, large: DataFrame, block: int, hub: Column, hubs: int) -> DataFrame:
-        """Large nodes dealt out in blocks of about ``block`` vertices that share the hubs."""
-        count = F.ceil(F.col("members") / (block - hubs))
-        own = F.array(F.pmod(F.xxhash64("tree_node", "vertex", F.lit(1)), count))
-        dealt = large.select("tree_node", "vertex", F.explode(F.when(hub, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(own)).alias("block"))
+    def dealt(self, large: DataFrame, hub: Column) -> DataFrame:
+        """Large nodes dealt out in ``parts`` blocks that share the hubs."""
+        own = F.array(F.pmod(F.xxhash64("tree_node", "vertex", F.lit(1)), F.col("parts")))
+        dealt = large.select("tree_node", "vertex", F.explode(F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)).alias("block"))
         return dealt.select(F.xxhash64("tree_node", "block").alias("tree_node"), "vertex")
 
     def strays(self, large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
-        """Blocks in which what lies outside the main component of a large node meets the whole node."""
-        placed = materialise(large.select("tree_node", "vertex").join(joined, "vertex"), "placed")
-        parts = placed.groupBy("tree_node", "component").agg(F.count(F.lit(1)).alias("n"))
+        """Blocks of about ``block`` weight in which what lies outside the main component of a large node meets the whole node."""
+        placed = materialise(large.select("tree_node", "vertex", "weight").join(joined, "vertex"), "placed")
+        parts = placed.groupBy("tree_node", "component").agg(F.sum("weight").alias("n"))
         main = parts.groupBy("tree_node").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
         main = materialise(main.filter("all > most"), "main-components")
         open_ = placed.join(main, "tree_node").withColumn("out", F.col("component") != F.col("main"))
@@ -362,18 +402,24 @@ class _Join:
         return materialise(found.unionByName(found.select(F.col("component").alias("vertex"), "component").distinct()), "joined")
 
     def clusters(self) -> DataFrame:
-        """vertex, cluster and the cluster's number of members, for vertices that have something alike."""
+        """vertex, cluster and the cluster's members and shingles, for vertices that have something alike."""
         small, large = self.leaves()
-        draw = F.pmod(F.xxhash64("vertex", "tree_node"), F.lit(1 << 30))
-        blocks = self.dealt(large, BLOCK, draw * F.col("members") < HUBS * (1 << 30), HUBS)
-        edges = self.alike(small.unionByName(blocks).withColumn("component", F.col("vertex")))
-        if not large.isEmpty():
+        whole = large.filter(F.col("members") <= BLOCK).select("tree_node", "vertex")
+        large = large.filter(F.col("members") > BLOCK).withColumns({"weight": F.lit(1), "parts": F.ceil(F.col("members") / (BLOCK - HUBS))})
+        crowded = not large.isEmpty()
+        members = small.unionByName(whole)
+        if crowded:
+            draw = F.pmod(F.xxhash64("vertex", "tree_node"), F.lit(1 << 30))
+            members = members.unionByName(self.dealt(large, draw * F.col("members") < HUBS * (1 << 30)))
+        edges = self.alike(members.withColumn("component", F.col("vertex")))
+        if crowded:
             every = self.vertices.select("vertex").join(self.joined(edges), "vertex", "left")
             every = every.withColumn("component", F.coalesce("component", "vertex"))
             edges = edges.unionByName(self.alike(self.strays(large, every, BLOCK)))
         found = self.joined(edges).withColumnRenamed("component", "cluster")
-        sizes = materialise(found.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster-sizes")
-        return materialise(found.join(sizes, "cluster"), "clusters")
+        weighed = found.join(self.vertices.select("vertex", F.col("n_shingles").alias("weight")), "vertex")
+        sizes = weighed.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("weight").alias("shingles"))
+        return materialise(weighed.join(materialise(sizes, "cluster-sizes"), "cluster"), "clusters")
 
     def central(self, large: DataFrame) -> DataFrame:
         """The vertices of each large cluster that are nearest to its consensus."""
@@ -402,12 +448,13 @@ class _Join:
         clusters = self.clusters()
         sets = self.sets_of(clusters)
         alone = F.col("vertex").alias("component")
-        small = clusters.filter(F.col("members") <= CLUSTER).select(F.col("cluster").alias("tree_node"), "vertex", alone)
-        large = clusters.filter(F.col("members") > CLUSTER)
+        small = clusters.filter(F.col("shingles") <= CLUSTER).select(F.col("cluster").alias("tree_node"), "vertex", alone)
+        large = clusters.filter(F.col("shingles") > CLUSTER)
         if large.isEmpty():
             return self.confirmed(small, sets)
-        large = materialise(large.join(self.central(large), "vertex", "left").withColumn("tree_node", F.col("cluster")), "large-clusters")
-        blocks = self.dealt(large, CLUSTER, F.coalesce("hub", F.lit(False)), CENTRAL).select("tree_node", "vertex", alone)
+        parts = {"tree_node": F.col("cluster"), "parts": F.ceil(F.col("shingles") / CLUSTER)}
+        large = materialise(large.join(self.central(large), "vertex", "left").withColumns(parts), "large-clusters")
+        blocks = self.dealt(large, F.coalesce("hub", F.lit(False))).select("tree_node", "vertex", alone)
         links = self.confirmed(small.unionByName(blocks), sets)
         every = large.select("vertex").join(self.joined(links), "vertex", "left")
         every = materialise(every.withColumn("component", F.coalesce("component", "vertex")), "linked")

@@ -143,6 +143,7 @@ def test_pipeline(spark, sf):
     import re
 
     import corpus_pipeline as p
+    from skyloom.llm import near_dedup
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     known = p.language_id(spark, docs, sf).cache()
@@ -155,7 +156,7 @@ def test_pipeline(spark, sf):
     assert sorted(once.collect()) == sorted(first.values())
     apart = p.near_dedup(spark, once, sf).cache()
     rows = [(r["doc_id"], r["text"]) for r in once.collect()]
-    assert {r["doc_id"] for r in apart.collect()} == {d for d, (_, c) in plain.near_groups(rows).items() if d == c}
+    assert {r["doc_id"] for r in apart.collect()} == {d for d, (_, c) in plain.near_groups(rows, near_dedup.STAGE_PERCENT).items() if d == c}
     clean = p.substring_dedup(spark, apart, sf).cache()
     want = plain.without_repeats([(r["doc_id"], r["text"]) for r in apart.collect()])
     got = {r["doc_id"]: r["text"] for r in clean.collect()}
