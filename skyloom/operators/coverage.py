@@ -2,9 +2,9 @@
 
 Polygons become bit masks on a fine sub-grid: one 64-bit word per layer, row
 and block of 64 columns.  Union of polygons is a bitwise or, the overlap of a
-mask row with a disk row is a population count; both are integers, so results
-do not depend on the order of work.  Words and grid points are unique keys,
-which bounds every join key by the geometry and leaves no room for skew.
+mask row with a disk row is a difference of two row sums; both are integers, so
+results do not depend on the order of work.  Words and grid points are unique
+keys, which bounds every tile by the geometry and leaves no room for skew.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,71 +180,91 @@ def layer_masks(runs: DataFrame, layer: list[str]) -> DataFrame:
     return cut.groupBy(*layer, "y", "block").agg(F.bit_or(_bits(low, high)).alias("word"))
 
 
+class _Disks:
+    """The disks of some radii as flat arrays: row, half width and weight of every step, and the radius it belongs to."""
+
+    def __init__(self, radii: list[float], grid: Grid) -> None:
+        kernels = [grid.kernel(r) for r in radii]
+        flat = [(dy, half, n, i) for i, rows in enumerate(kernels) for dy, steps in rows.items() for half, n in steps]
+        self.dy, self.half, weight, own = (np.array(c, np.int64) for c in zip(*flat))
+        self.weights = np.zeros((len(flat), len(radii)), np.int64)
+        self.weights[np.arange(len(flat)), own] = weight
+        self.totals = [kernel_total(k) for k in kernels]
+        self.reach_y, self.reach_x = int(np.abs(self.dy).max()), int(self.half.max())
+
+    def counts(self, sums: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Weighted cells of every disk (centres by radii) from row sums that begin with 0: two lookups a step."""
+        rows = y[:, None] + self.dy[None, :]
+        return (sums[rows, x[:, None] + self.half + 1] - sums[rows, x[:, None] - self.half]) @ self.weights
+
+
+#: Targets along the side of a tile.
+TILE = 64
+
+
+def _tile_fractions(disks: _Disks, side: int, ss: int, names: list[str]):
+    height, width = side + 2 * disks.reach_y, side + 2 * disks.reach_x
+
+    def fractions(key: tuple, targets: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(targets):
+            x0, y0 = key[0] * side - disks.reach_x, key[1] * side - disks.reach_y
+            x, y = targets["ix"].to_numpy() * ss - x0, targets["iy"].to_numpy() * ss - y0
+            for layer, own in words.groupby("layer", sort=False):
+                # a word of margin on both sides takes what reaches over the tile's edge
+                cells = np.zeros((height, width + 2 * WORD), np.int32)
+                bits = np.unpackbits(own["word"].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                at = own["block"].to_numpy() * WORD - x0 + WORD
+                cells[(own["y"].to_numpy() - y0)[:, None], at[:, None] + np.arange(WORD)] = bits
+                sums = np.zeros((height, width + 1), np.int32)
+                np.cumsum(cells[:, WORD : WORD + width], axis=1, out=sums[:, 1:])
+                counts = disks.counts(sums, x, y)
+                hit = np.flatnonzero(counts.any(1))
+                if len(hit):
+                    shares = np.minimum(1.0, counts[hit] / np.array(disks.totals, float))
+                    part = pd.DataFrame(shares, columns=names)
+                    part.insert(0, "layer", layer)
+                    part.insert(0, "iy", targets["iy"].to_numpy()[hit])
+                    part.insert(0, "ix", targets["ix"].to_numpy()[hit])
+                    found.append(part)
+        out = pd.concat(found) if found else pd.DataFrame({c: [] for c in ("ix", "iy", "layer", *names)})
+        return out.astype({"layer": object})
+
+    return fractions
+
+
 def disk_fractions(masks: DataFrame, layer: list[str], targets: DataFrame, radii: list[float],
                    grid: Grid) -> DataFrame:
     """Covered share of the disk around each grid point, per layer and radius.
 
     ``targets`` holds distinct (ix, iy).  Output columns ``frac_<radius>``; rows
     exist only where some radius is touched.
-    """
-    ss = grid.supersample
-    kernels = {r: grid.kernel(r) for r in radii}
-    reach_y = max(abs(dy) for k in kernels.values() for dy in k)
-    reach_x = max(h for k in kernels.values() for steps in k.values() for h, _ in steps)
-
-    # One row per disk row, its size fixed by radius and resolution.  Steps are
-    # flat columns (half width -1 where a row has fewer) so that the overlap is
-    # plain arithmetic inside generated code.
-    depth = [max(len(steps) for steps in kernels[r].values()) for r in radii]
-
-    def flat(i: int, dy: int) -> list[int]:
-        steps = kernels[radii[i]].get(dy, [])
-        return [v for h, n in [*steps, *[(-1, 0)] * (depth[i] - len(steps))] for v in (h, n)]
-
-    names = [f"{kind}{i}_{s}" for i in range(len(radii)) for s in range(depth[i]) for kind in ("h", "n")]
-    kernel = targets.sparkSession.createDataFrame(
-        [(dy, *[v for i in range(len(radii)) for v in flat(i, dy)]) for dy in range(-reach_y, reach_y + 1)],
-        "dy int, " + ", ".join(f"{n} int" for n in names),
-    )
 
-    spread = (
-        targets.select("ix", "iy", (F.col("ix") * ss).alias("sx"))
-        .withColumn("dy", F.explode(F.sequence(F.lit(-reach_y), F.lit(reach_y))))
-        .withColumn("y", F.col("iy") * ss + F.col("dy"))
-        .withColumn(
-            "block",
-            F.explode(
-                F.sequence(
-                    F.floor((F.col("sx") - reach_x) / WORD).cast("int"),
-                    F.floor((F.col("sx") + reach_x) / WORD).cast("int"),
-                )
-            ),
-        )
-    )
-    hit = spread.join(masks, ["y", "block"]).join(F.broadcast(kernel), "dy")
-    offset = F.col("sx") - F.col("block") * WORD
-
-    def covered(i: int) -> Column:
-        out = F.lit(0)
-        for step in range(depth[i]):
-            half = F.col(f"h{i}_{step}")
-            low = F.greatest(offset - half, F.lit(0))
-            high = F.least(offset + half, F.lit(WORD - 1))
-            bits = F.bit_count(F.col("word").bitwiseAND(_bits(low, high)))
-            out = out + F.col(f"n{i}_{step}") * bits
-        return out
-
-    counts = hit.groupBy("ix", "iy", *layer).agg(
-        *[F.sum(covered(i).cast("long")).alias(f"c{i}") for i in range(len(radii))]
-    )
-    touched = F.greatest(*[F.col(f"c{i}") for i in range(len(radii))], F.lit(0)) > 0
-    return counts.where(touched).select(
-        "ix", "iy", *layer,
-        *[
-            F.least(F.lit(1.0), F.col(f"c{i}") / F.lit(float(kernel_total(kernels[r])))).alias(f"frac_{int(r)}")
-            for i, r in enumerate(radii)
-        ],
+    Targets and words meet in tiles of ``TILE`` by ``TILE`` targets; a word goes
+    to the tiles whose disks reach it, between one and four.  A tile unpacks the
+    words of a layer once, adds up its rows, and reads every step of every disk
+    as a difference of two sums.  What a tile holds is bounded by its area and
+    the number of layers; what is shuffled is words and targets.
+    """
+    ss, side = grid.supersample, TILE * grid.supersample
+    disks = _Disks(radii, grid)
+    placed = targets.select("ix", "iy", F.floor(F.col("ix") / TILE).cast("int").alias("tx"), F.floor(F.col("iy") / TILE).cast("int").alias("ty"))
+
+    def tiles(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / side).cast("int"), F.floor(last / side).cast("int")))
+
+    start = F.col("block") * WORD
+    words = (
+        masks.select(F.to_json(F.struct(*layer)).alias("layer"), "y", "block", "word")
+        .withColumn("tx", tiles(start - disks.reach_x, start + (WORD - 1 + disks.reach_x)))
+        .withColumn("ty", tiles(F.col("y") - disks.reach_y, F.col("y") + disks.reach_y))
+        .join(placed.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
     )
+    names = [f"frac_{int(r)}" for r in radii]
+    schema = "ix int, iy int, layer string, " + ", ".join(f"{n} double" for n in names)
+    found = placed.groupBy("tx", "ty").cogroup(words.groupBy("tx", "ty")).applyInPandas(_tile_fractions(disks, side, ss, names), schema)
+    kept = F.from_json("layer", masks.select(*layer).schema)
+    return found.withColumn("layer", kept).select("ix", "iy", *[F.col("layer")[c].alias(c) for c in layer], *names)
 
 
 def coverage(polygons: DataFrame, layer: list[str], polygon_id: str, targets: DataFrame,

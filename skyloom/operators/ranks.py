@@ -77,5 +77,5 @@ def picked(ranked: DataFrame, probs: Sequence[float], value: str = "value") -> d
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact quantiles of every column from one pass; None for a column without values."""
-    found = picked(column_ranks(df, columns), probs)
+    found = picked(column_ranks(df, columns), probs) if columns else {}
     return {c: found[k][1] if k in found else [None] * len(probs) for k, c in enumerate(columns)}

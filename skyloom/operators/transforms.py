@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.ranks import column_quantiles
 from skyloom.operators.scale import exact_quantiles, running_total
 from skyloom.session import materialise
 
@@ -144,9 +145,8 @@ def clip_outliers(cols: Sequence[str], low_pct: float = 1.0, high_pct: float = 9
 
     def build(df: DataFrame) -> Built:
         out = {}
-        for c in _have(df, cols):
-            finite = df.select(_x(c).alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-            lo, hi = exact_quantiles(finite, "v", [low_pct / 100, high_pct / 100])
+        limits = column_quantiles(df, _have(df, cols), [low_pct / 100, high_pct / 100])
+        for c, (lo, hi) in limits.items():
             clipped = _x(c) if lo is None else F.greatest(F.lit(lo), F.least(F.lit(hi), _x(c)))
             out[f"{c}⌈⌋"] = F.when(_x(c).isNotNull(), clipped)
         return out
@@ -266,11 +266,7 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    out = {}
-    for c in columns:
-        finite = df.select(_x(c).alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-        out[c] = exact_quantiles(finite, "v", [0.5])[0]
-    return out
+    return {c: found[0] for c, found in column_quantiles(df, columns, [0.5]).items()}
 
 
 def impute(df: DataFrame, values: dict[str, float | None]) -> DataFrame:

@@ -13,13 +13,13 @@ from skyloom.streaming import jobs
 _PART = "case when event_id % 5 < 2 then 0 when event_id % 5 < 4 then 1 else 2 end"
 
 
-def _event_files(spark, sf) -> str:
-    """The events as three files that arrive one after the other."""
-    path = new_table_path(spark, "arrivals")
+def _as_events_arrive(spark, sf, partial, path: str, prepare=lambda stream: stream) -> None:
+    """Run a job over the events in three arrivals, each written by as many tasks as the table has and taken as one batch."""
+    folder = new_table_path(spark, "arrivals")
     events = derived.table(spark, sf, "events").withColumn("part", F.expr(_PART))
     for i in range(3):
-        events.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
-    return path
+        events.where(F.col("part") == i).drop("part").write.mode("append").parquet(folder)
+        jobs.run_partials(prepare(jobs.file_stream(spark, folder, None)), partial, path)
 
 
 def _obs_files(spark, sf) -> str:
@@ -55,7 +55,7 @@ def stream_with_features(spark, sf):
 )
 def stream_scaler(spark, sf):
     path = new_table_path(spark, "scaler")
-    jobs.run_partials(jobs.file_stream(spark, _event_files(spark, sf)), jobs.scaler_partial(["value"]), path)
+    _as_events_arrive(spark, sf, jobs.scaler_partial(["value"]), path)
     out = jobs.merged_scaler(jobs.partials(spark, path))
     return out.withColumns({"mean": r(F.col("mean")), "var": r(F.col("var"), 4)})
 
@@ -67,7 +67,7 @@ def stream_scaler(spark, sf):
 )
 def stream_medians(spark, sf):
     path = new_table_path(spark, "medians")
-    jobs.run_partials(jobs.file_stream(spark, _event_files(spark, sf)), jobs.median_partial(["value"]), path)
+    _as_events_arrive(spark, sf, jobs.median_partial(["value"]), path)
     return jobs.smoothed_medians(jobs.partials(spark, path)).withColumn("median", r(F.col("median")))
 
 
@@ -80,8 +80,7 @@ def stream_medians(spark, sf):
 )
 def stream_metrics(spark, sf):
     path = new_table_path(spark, "metrics")
-    scored = jobs.file_stream(spark, _event_files(spark, sf)).withColumn("p", F.col("event_id") % 100)
-    jobs.run_partials(scored, jobs.metric_partial("p", "value"), path)
+    _as_events_arrive(spark, sf, jobs.metric_partial("p", "value"), path, lambda s: s.withColumn("p", F.col("event_id") % 100))
     rows = jobs.partials(spark, path)
     total = jobs.running_metrics(rows).select(F.lit(-1).alias("batch"), "*")
     out = jobs.metric_history(rows).withColumn("batch", F.col("batch").cast("int")).unionByName(total)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.bins import DIMENSIONS
 from skyloom.operators.gram import Gram, gram_by, square
-from skyloom.operators.scale import exact_quantiles, take_lowest
+from skyloom.operators.ranks import column_quantiles
+from skyloom.operators.scale import take_lowest
 from skyloom.plans.features import PLACE
 
 
@@ -23,13 +24,13 @@ def _x(name: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1, **options) -> DataFrame:
-    """A stream over a parquet folder with the schema of what is there."""
+def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1, **options) -> DataFrame:
+    """A stream over a parquet folder with the schema of what is there; without ``files_per_batch`` all that is new is one batch."""
     schema = spark.read.options(**options).parquet(path).schema
-    return (
-        spark.readStream.schema(schema).options(**options)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+    stream = spark.readStream.schema(schema).options(**options)
+    if files_per_batch is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(path)
 
 
 def run_partials(stream: DataFrame, partial: Callable[[DataFrame, int], DataFrame], path: str,
@@ -101,9 +102,8 @@ KEEP_SHARE = 0.9  # fixed value: weight of the old median
 
 def median_partial(columns: Sequence[str]) -> Callable[[DataFrame, int], DataFrame]:
     def partial(batch: DataFrame, _: int) -> DataFrame:
-        batch = batch.select(*[_x(c).alias(c) for c in columns]).persist()
-        rows = [(c, exact_quantiles(batch, c, [0.5])[0]) for c in columns]
-        batch.unpersist()
+        found = column_quantiles(batch, columns, [0.5])
+        rows = [(c, found[c][0]) for c in columns]
         return batch.sparkSession.createDataFrame(rows, "column string, median double")
 
     return partial
