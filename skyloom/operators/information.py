@@ -36,7 +36,7 @@ def digamma(x: Column) -> Column:
     x = x.cast("double")
     z = x + F.lit(6.0)
     inverse = F.lit(1.0) / (z * z)
-    tail = inverse * (F.lit(1 / 12) - inverse * (F.lit(1 / 120) - inverse * (F.lit(1 / 252) - inverse * F.lit(1 / 240))))
+    tail = inverse * (F.lit(1 / 12) - inverse * (F.lit(1 / 120) - inverse * (F.lit(1 / 252) - inverse * (F.lit(1 / 240) - inverse * F.lit(1 / 132)))))
     steps = sum((F.lit(1.0) / (x + F.lit(float(j))) for j in range(1, 6)), F.lit(1.0) / x)
     return F.log(z) - F.lit(0.5) / z - tail - steps
 
@@ -77,7 +77,7 @@ def _own(k: int):
 def _visited(k: int):
     def find(points: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(visitors):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "found": []})
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "found": pd.Series([], dtype=object)})
         copies = np.minimum(points["n"].to_numpy(), k)
         px, py = np.repeat(points["x"].to_numpy(), copies), np.repeat(points["y"].to_numpy(), copies)
         found = _nearest(px, py, visitors["x"].to_numpy(), visitors["y"].to_numpy(), k)
@@ -125,23 +125,31 @@ def _distances(tiled: DataFrame, k: int) -> DataFrame:
     return every.groupBy("id").agg(kth.alias("reach"))
 
 
+def _ordered(v: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order, and back."""
+    bits = (v + 0.0).view(np.int64) if v.dtype == np.float64 else v
+    flipped = np.where(bits < 0, np.int64(-(2**63)) - bits, bits)
+    return flipped if v.dtype == np.float64 else flipped.view(np.float64)
+
+
+def _outermost(v: np.ndarray, reach: np.ndarray, sign: int) -> np.ndarray:
+    """The number farthest from v on one side whose rounded difference is below the reach, by bisection over all doubles."""
+    inside, outside = _ordered(v), _ordered(v + sign * 2 * reach)
+    for _ in range(64):
+        middle = (inside & outside) + ((inside ^ outside) >> 1)
+        near = np.abs(_ordered(middle) - v) < reach
+        inside, outside = np.where(near, middle, inside), np.where(near, outside, middle)
+    return np.where(reach == 0, v, _ordered(inside))
+
+
 def _bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The first and last numbers that are closer than the reach, in both columns; the value itself when the reach is 0."""
     for rows in batches:
         reach = rows["reach"].to_numpy()
         parts = []
         for i, c in enumerate("xy"):
-            v = rows[c].to_numpy()
             for sign in (-1, 1):
-                at = v + sign * reach
-                # rounding may put the bound a step off either way
-                for _ in range(3):
-                    inside = np.abs(at - v) < reach
-                    at = np.where(inside, np.nextafter(at, sign * np.inf), at)
-                for _ in range(6):
-                    inside = np.abs(at - v) < reach
-                    at = np.where(inside | (reach == 0), at, np.nextafter(at, -sign * np.inf))
-                at = np.where(reach == 0, v, at)
+                at = _outermost(rows[c].to_numpy(), reach, sign)
                 parts.append(pd.DataFrame({"i": i, "v": at, "side": sign, "id": rows["id"], "n": rows["n"], "w": 0}))
         yield pd.concat(parts)
 

@@ -65,3 +65,12 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     path = new_table_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a written table that nothing will read again, wherever its files are."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
