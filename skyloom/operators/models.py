@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.operators.scale import hash_order, numbered, take_lowest
+from skyloom.operators.transforms import FittedScaler, FittedTransforms, Transform, fit_scaler, fit_transforms
 from skyloom.session import materialise
 
 
@@ -59,6 +60,8 @@ MODELS: dict[str, dict] = {
     "nystroem": {"n_components": 100, "gamma": 0.1, "regParam": 1e-5},
     "random_forest": {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 10},
     "boosting": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1},
+    "second_order": {"rounds": 100, "depth": 6, "rate": 0.1},
+    "extra_trees": {"trees": 100, "depth": 10, "leaf_rows": 5},
 }
 
 
@@ -78,18 +81,30 @@ def filled(df: DataFrame, fill: dict[str, float]) -> DataFrame:
 
 
 class Fitted:
-    """A model with the values that stand for missing features, in training and in scoring."""
+    """A model with what is done to its rows, in training and in scoring: transforms, then fills, then scaling."""
 
-    def __init__(self, model, fill: dict[str, float]):
-        self.model, self.fill = model, fill
+    def __init__(self, model, fill: dict[str, float], transforms: FittedTransforms | None = None, scaler: FittedScaler | None = None):
+        self.model, self.fill, self.transforms, self.scaler = model, fill, transforms, scaler
 
     def __getattr__(self, name: str):
         return getattr(self.model, name)
 
+    @property
+    def inputs(self) -> list[str]:
+        """The columns that the model itself sees."""
+        return list(self.fill)
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        rows = filled(self.transforms.transform(df) if self.transforms else df, self.fill)
+        return self.scaler.transform(rows) if self.scaler else rows
+
     def transform(self, df: DataFrame) -> DataFrame:
-        rows = filled(df, self.fill)
-        data = rows if isinstance(self.model, NystroemModel) else assemble(rows, list(self.fill))
-        return self.model.transform(data).drop("features")
+        """Every row of ``df`` with a prediction; columns that preparing changes or drops come back as they were."""
+        changed = self.transforms is not None or self.scaler is not None
+        rows = self.prepared(df.select(F.struct("*").alias("__row"), "*") if changed else df)
+        plain = isinstance(self.model, NystroemModel) or not hasattr(self.model, "uid")
+        out = self.model.transform(rows if plain else assemble(rows, self.inputs)).drop("features")
+        return out.select("__row.*", "prediction") if changed else out
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -122,21 +137,46 @@ class NystroemModel:
         return self.linear.transform(self.map_features(df))
 
 
-def fit_model(kind: str, train: DataFrame, features: Sequence[str], target: str, seed: int = 42, **params):
-    """Fit one of ``MODELS`` on all rows that have a target; missing features become medians."""
+def fit_model(kind: str, train: DataFrame, features: Sequence[str], target: str, seed: int = 42, *, transforms: Sequence[Transform] = (),
+              scaler: str | None = None, column_scalers: dict[str, str] | None = None, **params):
+    """Fit one of ``MODELS`` on all rows that have a target; missing features become medians.
+
+    ``transforms`` are learned from the training rows; their outputs join the
+    features, and the columns they consume leave them.  ``scaler`` is the
+    default for all columns, ``column_scalers`` names others for some.
+    """
     if kind not in MODELS:
         raise ValueError(f"unknown model {kind!r}")
     options = {**MODELS[kind], **params}
     common = {"featuresCol": "features", "labelCol": target, "predictionCol": "prediction"}
-    fill = fills(train, features)
-    train = filled(train.where(_x(target).isNotNull() & ~F.isnan(_x(target))), fill)
+    train = train.where(_x(target).isNotNull() & ~F.isnan(_x(target)))
+    shaped = fit_transforms(train, transforms, kind) if transforms else None
+    if shaped:
+        shown = shaped.transform(train).columns
+        features = [c for c in dict.fromkeys([*features, *shaped.added()]) if c in shown]
+    fill = fills(shaped.transform(train) if shaped else train, features)
+    ready = Fitted(None, fill, shaped)
+    if scaler is not None or column_scalers:
+        ready.scaler = fit_scaler(ready.prepared(train), features, scaler or "none", column_scalers)
+    train = ready.prepared(train)
+
+    def fitted(model) -> Fitted:
+        ready.model = model
+        return ready
+
+    if kind in ("second_order", "extra_trees"):
+        from skyloom.operators import trees
+
+        if kind == "second_order":
+            return fitted(trees.fit_boosted(train, features, target, trees.Boosting(**{"seed": seed, **options})))
+        return fitted(trees.fit_random_trees(train, features, target, trees.RandomTrees(**{"seed": seed, **options})))
     if kind == "nystroem":
         m, gamma = int(options.pop("n_components")), float(options.pop("gamma"))
         order, size = hash_order(*features, seed=seed)
         picked = take_lowest(train.select(*features).distinct(), [], order, list(features), m, size)
         model = NystroemModel(picked.toPandas().to_numpy(dtype=float), gamma, list(features))  # m rows
         model.linear = LinearRegression(**common, **options).fit(model.map_features(train))
-        return Fitted(model, fill)
+        return fitted(model)
     data = assemble(train, features)
     if kind in ("linear", "ridge", "elastic_net"):
         fit = LinearRegression(**common, **options).fit(data)
@@ -146,7 +186,7 @@ def fit_model(kind: str, train: DataFrame, features: Sequence[str], target: str,
         fit = RandomForestRegressor(**common, seed=seed, **options).fit(data)
     else:
         fit = GBTRegressor(**common, seed=seed, **options).fit(data)
-    return Fitted(fit, fill)
+    return fitted(fit)
 
 
 def predict(model: Fitted, df: DataFrame) -> DataFrame:
@@ -155,12 +195,16 @@ def predict(model: Fitted, df: DataFrame) -> DataFrame:
 
 
 def train_all(train: DataFrame, test: DataFrame, features: Sequence[str], target: str,
-              kinds: Sequence[str] | None = None, settings: dict[str, dict] | None = None) -> DataFrame:
-    """Fit every requested model on the same split and compare them."""
-    train, test = materialise(train, "train"), materialise(test, "test")
+              kinds: Sequence[str] | None = None, settings: dict[str, dict] | None = None, transforms: Sequence[Transform] = (),
+              scaler: str | None = None, column_scalers: dict[str, str] | None = None) -> DataFrame:
+    """Fit every requested model on the same split, prepared alike, and compare them.
+
+    Both frames are read once for every model, so they should be written tables.
+    """
     out = None
+    prepare = {"transforms": transforms, "scaler": scaler, "column_scalers": column_scalers}
     for kind in kinds or MODELS:
-        model = fit_model(kind, train, features, target, **(settings or {}).get(kind, {}))
+        model = fit_model(kind, train, features, target, **prepare, **(settings or {}).get(kind, {}))
         row = regression_metrics(predict(model, test), "prediction", target)
         row = row.select(F.lit(kind).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
@@ -224,7 +268,9 @@ def half_split_search(kind: str, df: DataFrame, features: Sequence[str], target:
 def feature_importance(model, features: Sequence[str], df: DataFrame) -> DataFrame:
     """Shares that sum to one: tree gains, or coefficients times deviations."""
     spark = df.sparkSession
-    if hasattr(model, "featureImportances"):
+    if hasattr(model, "importance"):
+        raw = [model.importance()[f] for f in features]
+    elif hasattr(model, "featureImportances"):
         raw = [float(v) for v in model.featureImportances.toArray()]
     else:
         row = df.agg(*[F.stddev_samp(_x(f)).alias(f"s{i}") for i, f in enumerate(features)]).first()

@@ -182,25 +182,48 @@ def sqrt(cols: Sequence[str], clip_min: float = 0.0, **options) -> Transform:
     return func(cols, lambda v: F.sqrt(F.greatest(v, F.lit(clip_min))), "√", **options)
 
 
-def apply_transforms(df: DataFrame, transforms: Sequence[Transform], model: str | None = None) -> DataFrame:
-    """Apply in order; outputs may feed later steps and replace columns of their name.
+@dataclass(frozen=True)
+class FittedTransforms:
+    """Steps with what they learned: the columns each adds, and those that go with it and at the end."""
+
+    steps: tuple[tuple[Built, tuple[str, ...]], ...]
+    consumed: frozenset[str]
+
+    def added(self) -> list[str]:
+        return [name for built, _ in self.steps for name in built]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for built, dropped in self.steps:
+            if built:
+                kept = [F.col(f"`{n}`") for n in out.columns if n not in built]
+                out = out.select(*kept, *[c.alias(n) for n, c in built.items()])
+            out = out.drop(*[c for c in dropped if c in out.columns])
+        return out.drop(*[c for c in self.consumed if c in out.columns])
+
+
+def fit_transforms(df: DataFrame, transforms: Sequence[Transform], model: str | None = None) -> FittedTransforms:
+    """Learn the steps from ``df``, one after the other, so that they can be applied to other rows.
 
     ``drop_inputs`` acts at once, but for what the step itself has just made; at
     the end every original column that some applied transform consumed is gone.
     Steps that skip ``model`` do nothing.
     """
-    original, consumed, out = set(df.columns), set(), df
+    original, consumed, steps, out = set(df.columns), set(), [], df
     for t in transforms:
         if model is not None and model in t.skip_models:
             continue
-        added = t.build(out)
-        if added:
-            kept = [F.col(f"`{n}`") for n in out.columns if n not in added]
-            out = out.select(*kept, *[c.alias(n) for n, c in added.items()])
+        built = t.build(out)
+        dropped = tuple(c for c in t.inputs if c not in built) if t.drop_inputs else ()
         consumed |= set(t.inputs) & original
-        if t.drop_inputs:
-            out = out.drop(*[c for c in t.inputs if c in out.columns and c not in added])
-    return out.drop(*[c for c in consumed if c in out.columns])
+        steps.append((built, dropped))
+        out = FittedTransforms((steps[-1],), frozenset()).transform(out)
+    return FittedTransforms(tuple(steps), frozenset(consumed))
+
+
+def apply_transforms(df: DataFrame, transforms: Sequence[Transform], model: str | None = None) -> DataFrame:
+    """Apply in order; outputs may feed later steps and replace columns of their name."""
+    return fit_transforms(df, transforms, model).transform(df)
 
 
 def running_zscore(df: DataFrame, column: str, order: str) -> DataFrame:

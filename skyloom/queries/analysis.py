@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skyloom.functions import derive, geo
-from skyloom.operators import association, attribution, gram, models, panel, spatial_models, stability
+from skyloom.operators import association, attribution, gram, models, panel, spatial_models, stability, trees
 from skyloom.operators import transforms as tf
 from skyloom.operators.autocorrelation import morans_i
 from skyloom.operators.coverage import Grid
@@ -22,7 +22,7 @@ from skyloom.queries.base import OBS_TIES, ORDER_RANGE, ORDER_SQL, query, r
 from skyloom.queries.ingest import _hex_sql
 from skyloom.queries.projected_sql import LAEA, LAMBERT, rect_sql
 from skyloom.queries.spatial import GRID, _timed
-from skyloom.session import materialise
+from skyloom.session import materialise, new_table_path
 from skyloom.sources import derived
 
 IDS = ["l_orderkey", "l_linenumber", "loc_id", "image_id"]
@@ -938,12 +938,53 @@ def random_forest(spark, sf):
 @query("M23")
 def gradient_boosting(spark, sf):
     train, test = _split(spark, sf)
-    small = {"boosting": {"maxIter": 10, "maxDepth": 4}}
+    small = {"boosting": {"maxIter": 10, "maxDepth": 4},
+             "second_order": {"rounds": 10, "depth": 4, "rate": 0.3}, "extra_trees": {"trees": 10, "depth": 6}}
     return models.train_all(train, test, _NUMERIC, "temperature", ["boosting"], small)
 
 
+@query("M23")
+def second_order_boosting(spark, sf):
+    """Boosted trees with gradients and hessians: ten trees, then ten more on top of the first model."""
+    train, test = _split(spark, sf)
+    settings = trees.Boosting(rounds=10, depth=4, rate=0.2)
+    first = trees.fit_boosted(train, _NUMERIC, "temperature", settings)
+    path = new_table_path(spark, "boosted")
+    first.save(spark, path)
+    second = trees.fit_boosted(train, _NUMERIC, "temperature", settings, start=trees.Ensemble.load(spark, path))
+    out = None
+    for model in (first, second):
+        row = models.regression_metrics(model.transform(test), "prediction", "temperature").select(F.lit(len(model.trees)).alias("trees"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("M22")
+def extremely_random_trees(spark, sf):
+    train, test = _split(spark, sf)
+    return models.train_all(train, test, _NUMERIC, "temperature", ["extra_trees"], {"extra_trees": {"trees": 20, "depth": 8}})
+
+
+@query(
+    "M24 M20",
+    f"""with {FRAME}, f as (select *, ({ORDER_SQL}) % 5 as fold, l_quantity * l_quantity as q2 from frame where temperature is not null),
+      t as (select regr_slope(temperature, q2) as b, regr_intercept(temperature, q2) as a from f where fold > 0)
+      select 'linear' as model, count(*) as n_rows, round(sqrt(avg((a + b * q2 - temperature) ** 2)), 5) as rmse, round(avg(a + b * q2 - temperature), 5) as bias from f, t where fold = 0""",
+    ("obs",),
+)
+def prepared_training(spark, sf):
+    """Transforms and scalers in training: the square of the quantity takes its place, scaled on the training rows."""
+    train, test = _split(spark, sf)
+    square = tf.func(["l_quantity"], lambda x: x * x, "²", drop_inputs=True)
+    out = models.train_all(
+        train, test, ["l_quantity"], "temperature", ["linear"], {"linear": {"regParam": 0.0}}, [square], "standard", {"l_quantity²": "minmax"}
+    )
+    return out.select("model", "n_rows", r(F.col("rmse"), 5).alias("rmse"), r(F.col("bias"), 5).alias("bias"))
+
+
 _TEST_ROWS = f"(select count(*) from frame where temperature is not null and ({ORDER_SQL}) % 5 = 0)"
-_SETTINGS = {"nystroem": {"n_components": 50}, "random_forest": {"numTrees": 20, "maxDepth": 6}, "boosting": {"maxIter": 10, "maxDepth": 4}}
+_SETTINGS = {"nystroem": {"n_components": 50}, "random_forest": {"numTrees": 20, "maxDepth": 6}, "boosting": {"maxIter": 10, "maxDepth": 4},
+             "second_order": {"rounds": 10, "depth": 4, "rate": 0.3}, "extra_trees": {"trees": 10, "depth": 6}}
 
 
 @query(
