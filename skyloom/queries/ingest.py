@@ -162,9 +162,9 @@ def candidate_columns(spark, sf):
     )
 
 
-def _road_features(spark, sf):
-    """GeoJSON feature text, parsed back."""
-    text = derived.polys(spark, sf).selectExpr(
+def _road_lines(spark, sf):
+    """GeoJSON feature text."""
+    return derived.polys(spark, sf).selectExpr(
         "poly_id",
         """to_json(struct('Feature' as type,
              map('bestemming', case when poly_id % 7 = 0 then '' else surface end, 'materiaalsoort', case when poly_id % 5 = 0 then '' else class_code end, 'id', cast(poly_id as string)) as properties,
@@ -172,7 +172,11 @@ def _road_features(spark, sf):
                if(poly_id % 2 = 0, to_json(array(array(array(x0,y0),array(x1,y0),array(x1,y1),array(x0,y1),array(x0,y0)))),
                   to_json(array(array(array(array(x0,y0),array(x1,y0),array(x1,y1),array(x0,y1),array(x0,y0)))))) as coordinates) as geometry)) as line""",
     )
-    return text.select(
+
+
+def _road_features(spark, sf):
+    """GeoJSON feature text, parsed back."""
+    return _road_lines(spark, sf).select(
         "poly_id", F.from_json("line", f"struct<{polygons.FEATURE_FIELDS}>").alias("f")
     ).select("poly_id", "f.*")
 
@@ -184,7 +188,10 @@ def _road_features(spark, sf):
     ("polys",),
 )
 def road_features(spark, sf):
-    out = polygons.features_to_polygons(_road_features(spark, sf), ["id", "bestemming", "materiaalsoort"])
+    """Features from files that Spark wrote, each a collection, read in splits."""
+    path = new_table_path(spark, "features")
+    _road_lines(spark, sf).select(F.concat("line", F.lit(",")).alias("line")).write.text(path)
+    out = polygons.features_to_polygons(polygons.read_feature_collection(spark, path), ["id", "bestemming", "materiaalsoort"])
     return out.select(
         "id", "bestemming", "materiaalsoort", F.size("rings").alias("n_rings"),
         F.size(F.flatten("rings")).alias("n_points"),

@@ -8,7 +8,7 @@ from skyloom.plans.features import RadiusFeature, Registry, Sides, place_feature
 from skyloom.queries.base import OBS_TIES, ORDER_RANGE, ORDER_SQL, query, r
 from skyloom.session import materialise, new_table_path
 from skyloom.sources import derived
-from skyloom.streaming import jobs
+from skyloom.streaming import jobs, online
 
 _PART = "case when event_id % 5 < 2 then 0 when event_id % 5 < 4 then 1 else 2 end"
 
@@ -131,3 +131,22 @@ def stream_products(spark, sf):
         F.lit(g.n).cast("long").alias("n"),
         *[r(F.lit(float(v)), 6).alias(n) for n, v in (("qq", m[0, 0]), ("qt", m[0, 1]), ("tt", m[1, 1]))],
     )
+
+
+_BY_PARTS = f"e as (select {_PART} as part, value as y, event_id % 100 as x from events where value is not null)"
+
+
+@query(
+    "M20 Q4",
+    f"""with {_BY_PARTS}, m as (select p.part, regr_slope(y, x) as b, regr_intercept(y, x) as a from e join (select unnest([1, 2]) as part) p on e.part < p.part group by 1),
+      f as (select e.part, a + b * x - y as d from e join m using (part)),
+      h as (select part, count(*) as n, sum(d * d) as sse, sum(abs(d)) as sae, sum(d) as sd from f group by 1)
+      select h.part::int as batch, h.n, round(sqrt(sse / h.n), 6) as rmse, round(sae / h.n, 6) as mae, round(sd / h.n, 6) as bias,
+        round(sqrt((select sum(sse) / sum(n) from h g where g.part <= h.part)), 6) as running_rmse, round((select sum(sae) / sum(n) from h g where g.part <= h.part), 6) as running_mae from h""",
+)
+def stream_linear_model(spark, sf):
+    """A linear model learned as events arrive, scored on every batch before it learns from it."""
+    path = new_table_path(spark, "online")
+    _as_events_arrive(spark, sf, online.online_partial(["x"], "value", path), path, lambda s: s.withColumn("x", F.col("event_id") % 100))
+    out = online.error_history(jobs.partials(spark, path)).where("n > 0").withColumn("batch", F.col("batch").cast("int"))
+    return out.withColumns({c: r(F.col(c)) for c in ("rmse", "mae", "bias", "running_rmse", "running_mae")})

@@ -46,12 +46,32 @@ def features_to_polygons(features: DataFrame, properties: list[str]) -> DataFram
     )
 
 
+# What stands between two features: the text that opens each of them, quotes included.
+_FEATURE = '"Feature"'
+
+
+def read_feature_collection(spark: SparkSession, path: str) -> DataFrame:
+    """``properties`` and ``geometry`` of every feature of GeoJSON files, one row a feature.
+
+    Files are cut where features begin and not read as one value, so a large
+    file is read by as many tasks as it has splits.  A piece runs from behind
+    one ``"Feature"`` to the next; its JSON ends with the feature, whatever
+    follows.  Features must name their type first, as writers do; a file where
+    one does not, or is no JSON, is an error and not a loss.
+    """
+    value = F.col("value")
+    begins = value.rlike(r"^\s*,")
+    misplaced = F.raise_error(F.concat(F.lit("a feature does not begin with its type: "), F.substring(value, 1, 200)))
+    kept = F.when(begins, F.lit(True)).when(value.contains('"geometry"'), misplaced.cast("boolean")).otherwise(F.lit(False))
+    pieces = spark.read.option("lineSep", _FEATURE).text(path).where(kept)
+    text = F.concat(F.lit("{"), F.regexp_replace(value, r"^\s*,", ""))
+    fields = FEATURE_FIELDS.split(", ", 1)[1]
+    return pieces.select(F.from_json(text, f"struct<{fields}>", {"mode": "FAILFAST"}).alias("f")).select("f.*")
+
+
 def read_road_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Road surfaces with their use and material."""
-    schema = f"features array<struct<{FEATURE_FIELDS}>>"
-    raw = spark.read.json(path, multiLine=True, schema=schema)
-    features = raw.select(F.explode("features").alias("f")).select("f.*")
-    return features_to_polygons(features, ["bestemming", "materiaalsoort"])
+    return features_to_polygons(read_feature_collection(spark, path), ["bestemming", "materiaalsoort"])
 
 
 def property_frequency(features: DataFrame) -> DataFrame:

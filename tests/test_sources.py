@@ -83,3 +83,26 @@ def test_suite_goes_on_after_a_failure(spark, tmp_path):
 
     out = run_suite(spark, {"a": lambda: spark.range(3), "b": fails, "c": lambda: spark.range(1)}, str(tmp_path)).collect()
     assert [(r["analysis"], r["status"], r["n_rows"]) for r in out] == [("a", "ok", 3), ("b", "failed", None), ("c", "ok", 1)]
+
+
+def test_a_feature_file_is_read_in_splits(spark, tmp_path):
+    """One file gives several tasks and every feature once; a feature that hides its type is an error."""
+    ring = [[3.7, 51.0], [3.71, 51.0], [3.71, 51.01], [3.7, 51.0]]
+    features = [
+        {"type": "Feature", "properties": {"bestemming": f"r{i} \"x\" }},{{", "materiaalsoort": None}, "geometry": {"type": "Polygon", "coordinates": [ring]}, "id": i}
+        for i in range(3000)
+    ]
+    path = tmp_path / "one.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "name": "x", "features": features, "crs": {"a": [1]}}, indent=1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        read = polygons.read_feature_collection(spark, str(path))
+        assert read.rdd.getNumPartitions() > 4
+        assert sorted(r["properties"]["bestemming"] for r in read.collect()) == sorted(f["properties"]["bestemming"] for f in features)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    last = tmp_path / "last.geojson"
+    last.write_text(json.dumps({"type": "FeatureCollection", "features": [{"geometry": features[0]["geometry"], "properties": {}, "type": "Feature"}]}))
+    with pytest.raises(Exception, match="does not begin with its type"):
+        polygons.read_feature_collection(spark, str(last)).collect()
