@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,9 +110,19 @@ def clean_text(value) -> Column:
     return F.when(~value.isin(*NULL_TEXTS), value)
 
 
+def compatible(text) -> Column:
+    """Unicode compatibility form: wide letters, ligatures and odd spaces as their plain equals."""
+
+    @F.pandas_udf("string")
+    def normal(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore").astype(object)
+
+    return normal(_c(text).cast("string"))
+
+
 def genus(botanical_name) -> Column:
     """Genus of a botanical name, best effort; null for placeholders."""
-    text = F.trim(F.translate(_c(botanical_name), " ", " "))
+    text = F.trim(compatible(botanical_name))
     words = F.split(text, r"\s+")
 
     def strip(word: Column, marks: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.functions import derive, geo
-from skyloom.operators import coverage, spatial
+from skyloom.operators import coverage, shapes, spatial
 from skyloom.operators.spatial import Measure
 from skyloom.queries.base import dbl, query, r
 from skyloom.session import materialise
@@ -489,3 +489,56 @@ def ring_one_neighbours(spark, sf):
     )
 
 
+# --- shapes ------------------------------------------------------------------------
+
+# Points on a whole-number grid, so that no turn is a matter of rounding.
+_SPOTS = "select c_nationkey as g, ((c_custkey * 6151) % 9700)::double as x, ((c_custkey * 3571) % 8300)::double as y from customer"
+_HULLS = f"""spots as (select distinct g, x, y from ({_SPOTS})),
+  edges as (select a.g, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from spots a join spots b on a.g = b.g and (a.x <> b.x or a.y <> b.y)
+    where not exists (select 1 from spots c where c.g = a.g and ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+      or ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 and (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0))))"""
+
+
+def _hulls(spark, sf):
+    spots = derived.table(spark, sf, "customer").selectExpr(
+        "c_nationkey as g", "cast((c_custkey * 6151) % 9700 as double) as x", "cast((c_custkey * 3571) % 8300 as double) as y"
+    )
+    return shapes.convex_hulls(spots, ["g"], "x", "y")
+
+
+@query(
+    "S3 P14",
+    f"""with {_HULLS}, sides as (select *, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) as len from edges),
+      boxes as (select e.g, e.ax, e.ay, e.bx, e.by_, (max(s.x * (e.bx - e.ax) + s.y * (e.by_ - e.ay)) - min(s.x * (e.bx - e.ax) + s.y * (e.by_ - e.ay)))
+          * max((s.y - e.ay) * (e.bx - e.ax) - (s.x - e.ax) * (e.by_ - e.ay)) / (e.len * e.len) as area
+        from sides e join spots s on s.g = e.g group by e.g, e.ax, e.ay, e.bx, e.by_, e.len)
+      select g, (select count(*) from edges e where e.g = b.g) as n_corners, (select round(sum(ax * by_ - ay * bx) / 2e0, 3) from edges e where e.g = b.g) as hull_area,
+        round(min(area), 3) as rectangle_area from boxes b group by g""",
+)
+def boundary_hulls(spark, sf):
+    """The hull of every nation's points, its corners and area, and its least rotated rectangle."""
+    out = _hulls(spark, sf)
+    return out.select(
+        "g", (F.size("ring") - 1).cast("long").alias("n_corners"), r(geo.ring_area(F.col("ring")), 3).alias("hull_area"),
+        r(shapes.rectangle_of(F.col("ring"))["area"], 3).alias("rectangle_area"),
+    )
+
+
+@query(
+    "S3 J10",
+    f"""with {_HULLS}, pixels as (select o_orderkey, (o_orderkey % 9700)::double as px, ((o_orderkey * 7) % 8300)::double as py from orders)
+      select g, count(*) as n from pixels, (select distinct g from spots where g % 5 = 0) h
+      where not exists (select 1 from edges e where e.g = h.g and (bx - ax) * (py - ay) - (by_ - ay) * (px - ax) < 0) group by 1""",
+)
+def pixels_in_hull(spark, sf):
+    """Pixels that lie in each boundary's hull, as the vegetation index is clipped."""
+    pixels = derived.table(spark, sf, "orders").selectExpr("cast(o_orderkey % 9700 as double) as px", "cast((o_orderkey * 7) % 8300 as double) as py")
+    held = shapes.points_in_hulls(pixels, _hulls(spark, sf).where("g % 5 = 0"), "px", "py", 1000.0)
+    return held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("S3")
+def hulls_of_few_corners(spark, sf):
+    """Hulls cut down to five corners: how many each has, and how much larger it is."""
+    rings = _hulls(spark, sf).select("g", "ring", shapes.simplified(F.col("ring"), 5).alias("few"))
+    return rings.select("g", (F.size("few") - 1).alias("n_corners"), (geo.ring_area(F.col("few")) / geo.ring_area(F.col("ring"))).alias("growth"))
