@@ -8,9 +8,12 @@ rest.  Since presence enters linearly, landmarks, map and regressions fold into
 one weight per n-gram and language, so a batch of texts is scored by one matrix
 product of its presence matrix.
 
-Fitting reads all labelled rows for their number and keeps a bounded sample:
-about ``LANDMARKS`` landmarks and ``SAMPLE`` fitting rows in all, dealt evenly to
-the languages and drawn by a hash of the id, whatever the size of the table.
+Fitting reads all labelled rows for the number of different ones and keeps a
+bounded sample: about ``LANDMARKS`` landmarks and ``SAMPLE`` fitting rows in all,
+dealt evenly to the languages and drawn by a hash of id and text, whatever the
+size of the table and the length of its texts.  Rows that are equal in both are
+one row of the sample, so a repeated id or row cannot swell it, and the n-grams
+of a landmark are bounded by the alphabet.
 Prediction reads whole texts and nothing but texts.
 
 The filter does not look at scores, which mean something else for every number of
@@ -21,7 +24,7 @@ reach, each held against all other landmarks, but for the lowest ``ODD`` of them
 Defined results
     null text, or no letter   ``und`` with score 0
     null lang                 not learned from, predicted like all others
-    no labelled row           every text is ``und``
+    no labelled row           every text is ``und``; the filter then rejects only texts without a letter
     repeated rows, null ids   predicted row by row
     ties                      the language first in the alphabet
     very long texts           read whole
@@ -43,8 +46,6 @@ from skyloom.llm.words import slices
 
 #: Landmark texts and fitting rows, about, over all languages; at least these many for each language.
 LANDMARKS, SAMPLE, LEAST_LANDMARKS, LEAST_SAMPLE = 256, 4000, 8, 32
-#: Characters of a landmark text, at most.
-LANDMARK_CHARS = 20_000
 RIDGE = 0.1
 UNKNOWN = "und"
 LETTER = r"\p{L}"
@@ -154,21 +155,20 @@ def has_letter(text: Column) -> Column:
 def fit(labelled: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE) -> Model | None:
     """A model of the languages in ``labelled`` (doc_id, text, lang); None if there is nothing to learn from."""
     rows = labelled.filter(has_letter(F.col("text")) & F.col("lang").isNotNull())
-    rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 40)).alias("draw"))
-    short = F.length("text") <= LANDMARK_CHARS
-    counts = {r["lang"]: (r["n"], r["short"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short")).collect()}
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 40)).alias("draw"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
 
-    def drawn(wanted: int, least: int, which: int) -> Column:
-        """Rows whose draw is below what lets about as many of their language pass."""
+    def drawn(wanted: int, least: int) -> DataFrame:
+        """Different rows whose draw is below what lets about as many of their language pass."""
         each = max(least, wanted // len(languages))
-        limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int((1 << 40) * min(1.0, each / max(counts[lang][which], 1))))])
-        return F.col("draw") < limit[F.col("lang")]
+        limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int((1 << 40) * min(1.0, each / max(counts[lang], 1))))])
+        picked = rows.filter(F.col("draw") < limit[F.col("lang")]).dropDuplicates(["lang", "draw"])
+        return picked.select("draw", "lang", _clean(F.col("text")).alias("text"))
 
-    marks = rows.filter(short & drawn(landmarks, LEAST_LANDMARKS, 1)).select("draw", "lang", _clean(F.col("text")).alias("text"))
-    found = sorted(tuple(r) for r in marks.mapInArrow(_landmark_grams, "draw long, lang string, grams binary").collect())
+    found = sorted(tuple(r) for r in drawn(landmarks, LEAST_LANDMARKS).mapInArrow(_landmark_grams, "draw long, lang string, grams binary").collect())
     sets = [np.frombuffer(grams, np.int32) for _, _, grams in found]
     if not sets:
         return None
@@ -184,8 +184,7 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE) -
     root = vectors[:, good] / np.sqrt(values[good])
     # the kernel values with all landmarks, mapped, are the features
     features = Model(languages, codes, (spectrum @ root).astype(np.float32), np.zeros(root.shape[1]), least)
-    drawn_rows = rows.filter(drawn(sample, LEAST_SAMPLE, 0)).select("draw", "lang", _clean(F.col("text")).alias("text"))
-    got = sorted(tuple(r) for r in drawn_rows.mapInArrow(_presence_of(features), "draw long, lang string, kernel binary").collect())
+    got = sorted(tuple(r) for r in drawn(sample, LEAST_SAMPLE).mapInArrow(_presence_of(features), "draw long, lang string, kernel binary").collect())
     x = np.stack([np.frombuffer(k, np.float64) for _, _, k in got])
     y = np.where(np.array([lang for _, lang, _ in got])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     middle, level = x.mean(0), y.mean(0)
@@ -235,11 +234,11 @@ def drop_unknown(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text some language accepts, with all their columns.
 
     Rejected are texts without a letter and texts that hold too many n-grams
-    which no landmark has.
+    which no landmark has.  Where nothing is labelled no n-gram counts as strange.
     """
     model = fit(docs.filter(~held_out()))
     if model is None:
-        return docs.limit(0)
+        return docs.filter(has_letter(F.col("text")))
     rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*rest, _clean(F.col("text")).alias("read"), has_letter(F.col("text")).alias("known"))
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]

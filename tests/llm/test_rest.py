@@ -4,6 +4,7 @@ import base64
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,26 @@ def test_language_edge_cases(documents):
     assert fit(documents([(1, "abc", None)])) is None and predict(documents([(1, "x")]), None).first()["lang_pred"] == "und"
 
 
+def test_languages_of_long_texts_only(documents):
+    """A language is learned whatever the length of its texts, and without labels nothing that has a letter goes."""
+    long = [(i, f"the cat and the dog number {i} " * 1200, "en") for i in range(30)] + [(100 + i, f"der hund und die katze {i} " * 3, "de") for i in range(30)]
+    asked = [(200, "the dog and the cat", None), (201, "die katze und der hund", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in identified(documents(long + asked)).collect()}
+    assert got[200] == "en" and got[201] == "de"
+    alone = {r["doc_id"]: r["lang_pred"] for r in identified(documents(long[:30] + asked)).collect()}
+    assert set(alone.values()) == {"en"}
+    unlabelled = documents([(1, "anything", None), (2, "12", None), (3, None, None), (None, "also", None)])
+    assert {r["doc_id"] for r in drop_unknown(unlabelled).collect()} == {1, None}
+
+
+def test_a_repeated_id_does_not_swell_the_sample(documents):
+    """Rows of one id are drawn each by itself, and equal rows are one: the model is that of the different rows."""
+    rows = [(7, f"the cat {i} and the dog", "en") for i in range(400)] + [(i, f"der hund {i} und die katze", "de") for i in range(400)]
+    once = fit(documents(rows), landmarks=40, sample=60)
+    often = fit(documents(rows + rows[:1] * 3000), landmarks=40, sample=60)
+    assert len(once.codes) > 50 and (once.codes == often.codes).all() and np.allclose(once.weights, often.weights)
+
+
 FOREIGN = [
     "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
     "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
