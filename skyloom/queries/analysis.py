@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skyloom.functions import derive, geo
-from skyloom.operators import association, attribution, gram, models, panel, spatial_models, stability, trees
+from skyloom.operators import association, attribution, gram, information, models, panel, spatial_models, stability, trees
 from skyloom.operators import transforms as tf
 from skyloom.operators.autocorrelation import morans_i
 from skyloom.operators.coverage import Grid
@@ -388,6 +388,14 @@ def mutual_information(spark, sf):
     return spark.range(1).select(r(F.lit(mi), 9).alias("mi"))
 
 
+@query("M3")
+def neighbour_information(spark, sf):
+    """Mutual information of the temperature with two columns from nearest neighbours, over all rows."""
+    rows = materialise(frame(spark, sf).select("temperature", "trees_count50m", "l_quantity"))
+    found = [(f, information.neighbour_information(rows, f, "temperature")) for f in ("trees_count50m", "l_quantity")]
+    return spark.createDataFrame(found, "feature string, mi double")
+
+
 @query(
     "M4",
     f"""with {FRAME}, c as (select count(*) as n, corr(trees_count50m, temperature) as xy, corr(trees_count50m, hour_of_day) as xz,
