@@ -10,7 +10,7 @@ from skyloom.operators import spatial
 from skyloom.queries.projected_sql import LAEA, LAMBERT, rect_sql
 from skyloom.queries.base import OBS_TIES, ORDER_RANGE, ORDER_SQL, dbl, query, r
 from skyloom.session import new_table_path
-from skyloom.sources import derived, polygons, raster, tables, trees
+from skyloom.sources import derived, polygons, raster, tables, tiff, trees
 
 
 
@@ -66,6 +66,21 @@ def raster_pixels(spark, sf):
     return out.select("scene_id", "product", "value", "longitude", "latitude")
 
 
+@query(
+    "S2 S8",
+    f"""with {_CELLS_SQL}, best as (select scene_id, row, col, max(value) as value from cells where row between 20 and 60 group by 1, 2, 3)
+      select scene_id, value, 3.5685e0 + (col + 0.5e0) * 0.003e0 as longitude, 51.2105e0 - (row + 0.5e0) * 0.003e0 as latitude from best where value <> -9999e0""",
+)
+def raster_files(spark, sf):
+    """Cells written as raster files, one a scene, and some of their rows read back as a table."""
+    cells, _ = _cells(spark, sf)
+    folder = new_table_path(spark, "rasters")
+    tiff.write_rasters(cells, "scene_id", folder, (83, 97), (3.5685, 51.2105), (0.003, 0.003)).write.format("noop").mode("overwrite").save()
+    read = tiff.read_rasters(spark, folder).where("row >= 20 and row <= 60 and value is not null")
+    scene = F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long")
+    return read.select(scene.alias("scene_id"), "value", F.col("x").alias("longitude"), F.col("y").alias("latitude"))
+
+
 # A concave boundary with a hole.
 _BOUNDARY = [
     [(3.60, 50.98), (3.80, 50.99), (3.83, 51.15), (3.72, 51.06), (3.62, 51.18), (3.60, 50.98)],
