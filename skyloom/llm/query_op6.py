@@ -24,6 +24,7 @@ def op6_token_counts(spark, sf_dir):
     rollup = Rollup(spark, new_table_path(spark, "rollup"))
     rollup.commit("load", inserted(counts))
     tidy = token_counts(docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", SPACES, " ")), path, VERSION)
+    rollup.fold()
     rollup.commit("tidy", revised(counts.join(poor, "doc_id", "left_semi"), tidy))
     for _ in range(2):  # a commit that is retried
         rollup.commit("withdraw", deleted(counts.join(toxic, "doc_id", "left_semi")))

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skyloom.llm.packing import best_fit, packed_documents, packed, pieces, token_sequences
 from skyloom.llm.query_op1 import vocabulary
@@ -151,3 +152,33 @@ def test_rollup_commits(spark, documents):
     rollup.commit("3", deleted(counts.filter("doc_id <> 1")))
     rollup.commit("4", inserted(counts.limit(0)))
     assert total() == {("s", "en"): (1, 10)}
+
+
+def test_folds_and_later_commits(spark):
+    """Totals are those of the last commit of every batch, wherever folds fall, and a commit that failed leaves nothing."""
+    schema = "doc_id long, source string, lang string, tokenizer string, n_tokens long, docs string"
+    counts = lambda rows: spark.createDataFrame([(*r, "clash") for r in rows], schema)
+    a = [(1, "s", "en", "v", 10), (1, "s", "en", "v", 10), (None, None, "en", "v", 3)]
+    b = [(2, "s", "en", "v", 7), (3, "t", None, "v", 0)]
+    rollup = Rollup(spark, new_table_path(spark, "test-folds"))
+    total = lambda: sorted(((r["source"], r["lang"], r["docs"], r["tokens"]) for r in rollup.totals().collect()), key=str)
+    assert total() == []
+    rollup.fold()
+    rollup.commit("a", inserted(counts(a)))
+    rollup.fold()
+    rollup.commit("b", inserted(counts(b)))
+    want = sorted([("s", "en", 3, 27), (None, "en", 1, 3), ("t", None, 1, 0)], key=str)
+    assert total() == want
+    rollup.commit("a", inserted(counts(a[:1])))  # after it was folded
+    less = sorted([("s", "en", 2, 17), ("t", None, 1, 0)], key=str)
+    assert total() == less
+    rollup.fold()
+    rollup.fold()
+    assert total() == less and len(rollup._published()) == 1
+    rollup.commit("a", inserted(counts(a)))
+    assert total() == want
+    with pytest.raises(Exception):
+        rollup.commit("c", inserted(counts(b)).withColumn("docs", F.raise_error(F.lit("lost")).cast("int")))
+    assert total() == want
+    rollup.commit("d", deleted(counts(a + b)))
+    assert total() == []
