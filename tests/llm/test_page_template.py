@@ -2,6 +2,7 @@
 
 import pytest
 
+from skyloom.llm import page_template
 from skyloom.llm.markup import TEXT, events
 from skyloom.llm.page_template import _Names, _Template, _Walk, classes, main_text, main_texts
 
@@ -76,6 +77,16 @@ def test_template_of_a_host(spark):
     assert [t for _, t in few] == [plain(i, b) + "\nPrinted on every page of this site" for i, b in enumerate(found[:3])]
 
 
+def test_many_hosts(spark, monkeypatch):
+    """Templates that are joined by a shuffle, for more than one host, give what broadcast ones give."""
+    found = bodies(24)
+    rows = [(i, *site(i, b, f"{'ab'[i % 2]}.example")) for i, b in enumerate(found)] + [(100, None, "<article>x</article>")]
+    want = texts(spark, rows)
+    assert want[:24] == [(i, plain(i, b)) for i, b in enumerate(found)]
+    monkeypatch.setattr(page_template, "BROADCAST_HOSTS", 0)
+    assert texts(spark, rows) == want
+
+
 def test_copies_are_no_template(spark):
     """A host of many copies of one page keeps its text: copies count as one page."""
     url, html = site(1, bodies(3)[2])
