@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +27,59 @@ def neighbour_edges(tiles: DataFrame, tile: str = "tile") -> DataFrame:
     return asked.join(tiles.select(F.col(tile).alias("dst"), "q", "r"), ["q", "r"]).select("src", "dst")
 
 
+#: Tiles whose residuals every task gets, eight bytes each; more are permuted by a shuffle.
+HELD_TILES = 2_000_000
+
+
+def permutation(seed: int, number: int, k: int) -> np.ndarray:
+    """Which place's residual each place gets; number 0 is the order as observed."""
+    return np.random.default_rng([seed, number]).permutation(k) if number else np.arange(k)
+
+
+def _held_sums(placed: DataFrame, edges: DataFrame, k: int, n_perm: int, seed: int) -> DataFrame:
+    """(perm, i) for every permutation: each task adds up its own edges, and nothing but sums is shuffled."""
+    found = placed.select("place", "z").toPandas()  # at most HELD_TILES rows
+    values = np.zeros(k)
+    values[found["place"].to_numpy()] = found["z"].to_numpy()
+    ends = {c: placed.select(F.col("tile").alias(c), F.col("place").alias(f"{c}_place")) for c in ("src", "dst")}
+    placed_edges = edges.join(ends["src"], "src").join(ends["dst"], "dst").select("src_place", "dst_place", "w")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [b.to_numpy() for b in batches if len(b)]
+        if own:
+            src, dst, w = np.concatenate(own).T
+            src, dst, out = src.astype(np.int64), dst.astype(np.int64), np.zeros(n_perm + 1)
+            for p in range(n_perm + 1):
+                v = values[permutation(seed, p, k)]
+                out[p] = (w * v[src] * v[dst]).sum()
+            yield pd.DataFrame({"perm": np.arange(n_perm + 1), "i": out})
+
+    return placed_edges.mapInPandas(sums, "perm int, i double").groupBy("perm").agg(F.sum("i").alias("i"))
+
+
+def _shuffled_sums(z: DataFrame, placed: DataFrame, edges: DataFrame, n_perm: int, seed: int) -> DataFrame:
+    """The same for any number of tiles: permutations are hash orders, met with the edges by joins."""
+    shuffled = (
+        z.select("tile", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
+        .withColumn("h", F.xxhash64("tile", "perm", F.lit(seed)))
+    )
+    drawn = numbered(shuffled, ["perm"], "h", "tile", parts=16).join(placed.select("place", "z"), "place").select("perm", "tile", "z")
+    observed = z.select(F.lit(0).alias("perm"), "tile", "z")
+    assigned = materialise(observed.unionByName(drawn), "permutations")
+    left = assigned.select("perm", F.col("tile").alias("src"), F.col("z").alias("zi"))
+    right = assigned.select("perm", F.col("tile").alias("dst"), F.col("z").alias("zj"))
+    return (
+        left.join(edges, "src").join(right, ["perm", "dst"])
+        .groupBy("perm").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("i"))
+    )
+
+
 def morans_i(residuals: DataFrame, n_perm: int = 999, seed: int = 42) -> DataFrame:
     """One row: I, E[I], permutation p, tiles, edges.
 
     ``residuals`` has tile, q, r and value.  Weights are one per neighbour,
-    row-standardised.  A permutation gives the i-th tile of a random order the
-    i-th residual; all permutations run as one job keyed by their number.
+    row-standardised.  A permutation deals the residuals out to the tiles anew;
+    all permutations run as one job over the edges.
     """
     k_row = residuals.agg(F.count(F.lit(1)), F.avg("value")).first()
     k, mean = int(k_row[0]), k_row[1]
@@ -55,21 +106,9 @@ def morans_i(residuals: DataFrame, n_perm: int = 999, seed: int = 42) -> DataFra
             "morans_i double, expected_i double, p_value double, n_tiles long, n_edges long",
         )
     ss = max(z.agg(F.sum(F.col("z") * F.col("z"))).first()[0], 1e-14)
-    by_place = numbered(z.select("tile", "z", "h"), [], "h", "tile").select("place", "z")
-    shuffled = (
-        z.select("tile", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
-        .withColumn("h", F.xxhash64("tile", "perm", F.lit(seed)))
-    )
-    drawn = numbered(shuffled, ["perm"], "h", "tile", parts=16).join(by_place, "place").select("perm", "tile", "z")
-    observed = z.select(F.lit(0).alias("perm"), "tile", "z")
-    assigned = materialise(observed.unionByName(drawn), "permutations")
-    left = assigned.select("perm", F.col("tile").alias("src"), F.col("z").alias("zi"))
-    right = assigned.select("perm", F.col("tile").alias("dst"), F.col("z").alias("zj"))
-    stats = (
-        left.join(edges, "src").join(right, ["perm", "dst"])
-        .groupBy("perm")
-        .agg((F.sum(F.col("w") * F.col("zi") * F.col("zj")) * F.lit(k / weight / ss)).alias("i"))
-    )
+    placed = materialise(numbered(z.select("tile", "z", "h"), [], "h", "tile").select("tile", "place", "z"), "places")
+    sums = _held_sums(placed, edges, k, n_perm, seed) if k <= HELD_TILES else _shuffled_sums(z, placed, edges, n_perm, seed)
+    stats = sums.select("perm", (F.col("i") * F.lit(k / weight / ss)).alias("i"))
     i_obs = F.max(F.when(F.col("perm") == 0, F.col("i")))
     spread = stats.agg(i_obs.alias("morans_i"), F.collect_list("i").alias("all"))  # n_perm + 1 numbers
     hits = F.size(F.filter("all", lambda v: F.abs(v) >= F.abs(F.col("morans_i"))))

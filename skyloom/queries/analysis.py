@@ -516,7 +516,7 @@ def nested_spatial_models(spark, sf):
     )
     out = materialise(
         spatial_models.nested_morans(
-            rows, {"null": null, "morphology": morph, "full": full}, "temperature", "tile_id", tiles, 5, 99
+            rows, {"null": null, "morphology": morph, "full": full}, "temperature", "tile_id", tiles, 5
         )
     )
     deltas = spatial_models.moran_deltas(out, [("null", "morphology"), ("morphology", "full")])

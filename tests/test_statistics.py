@@ -52,6 +52,32 @@ def test_morans_i_on_hex_flower(spark):
     assert 1 / 50 <= row["p_value"] <= 1
 
 
+def test_permutations_of_morans_i(spark, monkeypatch):
+    """Every permutation's sum equals that over the dealt-out residuals; both ways of permuting tell order from noise."""
+    from skyloom.operators import autocorrelation
+
+    rng = np.random.default_rng(3)
+    cells = [(q, r) for q in range(12) for r in range(12)]
+    z = rng.normal(size=len(cells))
+    edges = [(i, cells.index((q + dq, r + dr)), 0.5) for i, (q, r) in enumerate(cells) for dq, dr in HEX_NEIGHBOURS if (q + dq, r + dr) in cells]
+    placed = spark.createDataFrame([(f"t{i}", int(p), float(v)) for i, (p, v) in enumerate(zip(rng.permutation(len(z)), z))], "tile string, place long, z double")
+    frame = placed.toPandas()
+    values = np.zeros(len(z))
+    values[frame["place"]] = frame["z"]
+    named = spark.createDataFrame([(f"t{a}", f"t{b}", w) for a, b, w in edges], "src string, dst string, w double").repartition(3)
+    got = {r["perm"]: r["i"] for r in autocorrelation._held_sums(placed, named, len(z), 20, 7).collect()}
+    for p in range(21):
+        own = values[autocorrelation.permutation(7, p, len(z))][frame["place"]]
+        assert got[p] == pytest.approx(sum(w * own[a] * own[b] for a, b, w in edges))
+    for held in (autocorrelation.HELD_TILES, 0):
+        monkeypatch.setattr(autocorrelation, "HELD_TILES", held)
+        smooth, noise = (
+            spark.createDataFrame([(f"t{i}", q, r, float(v)) for i, ((q, r), v) in enumerate(zip(cells, values_))], "tile string, q int, r int, value double")
+            for values_ in ([q + r for q, r in cells], z)
+        )
+        assert morans_i(smooth, n_perm=99).first()["p_value"] == 0.01 and morans_i(noise, n_perm=99).first()["p_value"] > 0.05
+
+
 def test_partial_correlation_equals_full_regression(spark, data):
     df = spark.createDataFrame(data)
     row = association.partial_correlations(df, ["x"], "y", ["one", "z"], []).first()
