@@ -48,10 +48,10 @@ def test_nearest(spark, data, monkeypatch):
 @pytest.mark.parametrize("radius", [40, 300])
 def test_as_of(spark, data, temporal, radius):
     places, points = data
-    early = places.iloc[:1].assign(ts=pd.Timestamp("2019-01-01"))
+    early = places.iloc[:1].assign(ts=pd.Series([pd.Timestamp("2019-01-01")], index=places.index[:1]).astype(places["ts"].dtype))
     places = pd.concat([places, early])
     got = spatial.nearest_as_of(
-        spark.createDataFrame(places), spark.createDataFrame(points), ["pid"], radius, "pid", temporal
+        spark.createDataFrame(places), spark.createDataFrame(points), ["pid"], radius, "pid", temporal, prefix="hit_"
     ).toPandas().set_index(["longitude", "latitude", "ts"])
     assert len(got) == len(places)
     for p in places.itertuples():
@@ -62,9 +62,9 @@ def test_as_of(spark, data, temporal, radius):
         row = row if isinstance(row, pd.Series) else row.iloc[0]
         if fits.any():
             best = min(zip(np.abs(gap[fits]), d[fits], points.pid[fits]))
-            assert row["pid"] == best[2] and row["dist_m"] == pytest.approx(best[1], abs=1e-9)
+            assert row["hit_pid"] == best[2] and row["hit_dist_m"] == pytest.approx(best[1], abs=1e-9)
         else:
-            assert np.isnan(row["pid"])
+            assert np.isnan(row["hit_pid"])
 
 
 @pytest.mark.parametrize("shape", ["even", "spot", "apart"])
