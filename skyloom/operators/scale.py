@@ -21,6 +21,9 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str],
     left part meets each right part exactly once, so no pair is lost or doubled.
     Keys below the limit pass through unchanged.  The table of hot keys has at
     most rows/limit entries; AQE decides from its real size how to join it.
+
+    Both sides are shuffled: the planner sizes them by their files, which tells
+    nothing of rows that an explode has multiplied, and must not broadcast them.
     """
 
     def sized(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +51,7 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str],
         return salted.drop("__pl", "__pr")
 
     return (
-        prepared(left, "__l", "__r")
+        prepared(left, "__l", "__r").hint("merge")
         .join(prepared(right, "__r", "__l"), [*keys, "__l", "__r"])
         .drop("__l", "__r")
     )

@@ -27,6 +27,11 @@ def location_dimension(observations: DataFrame, extra: list[str] | None = None)
     return materialise(observations.select(*(extra or []), *LOC).distinct(), "locations")
 
 
+def _spots(locations: DataFrame) -> DataFrame:
+    """Distinct coordinates of locations that carry other keys: results depend on nothing else."""
+    return locations if set(locations.columns) == set(LOC) else location_dimension(locations)
+
+
 def near_pairs(locations: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
     """All (location, point) pairs within the radius, with ``dist_m``.
 
@@ -211,21 +216,19 @@ def radius_aggregate(locations: DataFrame, points: DataFrame, measures: list[Mea
     year): one row per location and value that occurs near it.
     """
     by = by or []
-    keys = list(locations.columns)
+    spots, keys = _spots(locations), list(LOC)
     attrs = sorted({k for m in measures for k, _ in m.match} - set(by))
     near = _near_collapsed(
-        locations, materialise(_collapse(points, measures, by), "points"), [*attrs, *by],
+        spots, materialise(_collapse(points, measures, by), "points"), [*attrs, *by],
         sorted({m.radius_m for m in measures}), leaf_points,
     )
     found = near.groupBy(*keys, *[F.col(f"p_{b}").alias(b) for b in by]).agg(
         *[_merge(m).alias(m.name) for m in measures]
     )
-    if by:
-        return found
-    if not keep_empty:
-        return found
+    if by or not keep_empty:
+        return found if spots is locations else locations.join(found, keys)
     zero = {m.name: 0 for m in measures if m.agg == "count"}
-    out = locations.join(found, keys, "left")
+    out = locations.join(found, keys, "left").select(*locations.columns, *[m.name for m in measures])
     return out.fillna(zero) if zero else out
 
 
@@ -417,7 +420,7 @@ def nearest(locations: DataFrame, points: DataFrame, columns: list[str], radius_
     Equal distances are settled by the lower id.  Where cells are crowded, a
     bounded descent keeps the pairs few.
     """
-    keys = list(locations.columns)
+    spots, keys = _spots(locations), list(LOC)
     others = [c for c in columns if c != point_id and c not in LOC]
     # Of the points on one spot only the lowest id can win.
     side = materialise(
@@ -426,7 +429,7 @@ def nearest(locations: DataFrame, points: DataFrame, columns: list[str], radius_
         ),
         "points",
     )
-    pairs = descended_pairs(locations, side, radius_m) if _crowded(side, radius_m) else near_pairs(locations, side, radius_m)
+    pairs = descended_pairs(spots, side, radius_m) if _crowded(side, radius_m) else near_pairs(spots, side, radius_m)
     best = (
         pairs.groupBy(*keys)
         .agg(
@@ -439,7 +442,7 @@ def nearest(locations: DataFrame, points: DataFrame, columns: list[str], radius_
     found = best.select(
         *keys, *[F.col(f"hit.{c}").alias(f"{prefix}{c}") for c in [*columns, "dist_m"]]
     )
-    return locations.join(found, keys, "left")
+    return locations.join(found, keys, "left").select(*locations.columns, *found.columns[len(keys):])
 
 
 def nearest_as_of(driving: DataFrame, points: DataFrame, columns: list[str], radius_m: float,
@@ -539,7 +542,7 @@ def within_polygon(locations: DataFrame, polygons: DataFrame, code: str,
     registers its number and box in the cells that the box touches; a location
     looks into its own cell, and the rings are joined to what passes the box.
     """
-    keys = list(locations.columns)
+    spots, keys = _spots(locations), list(LOC)
     width, height = geo.search_cell_size(cell_m)
 
     def span(lo: Column, hi: Column, size: float) -> Column:
@@ -555,7 +558,7 @@ def within_polygon(locations: DataFrame, polygons: DataFrame, code: str,
         .withColumn("__cy", span(F.col("__y0"), F.col("__y1"), height))
     )
     cx, cy = geo.search_cell(*LOC, cell_m)
-    left = locations.withColumns({"__cx": cx, "__cy": cy})
+    left = spots.withColumns({"__cx": cx, "__cy": cy})
     hits = (
         split_join(left, right, ["__cx", "__cy"])
         .where(
@@ -568,7 +571,7 @@ def within_polygon(locations: DataFrame, polygons: DataFrame, code: str,
         .groupBy(*keys)
         .agg(F.min("__code").alias(code))
     )
-    return locations.join(hits, keys, "left")
+    return locations.join(hits, keys, "left").select(*locations.columns, code)
 
 
 def polygon_filter(df: DataFrame, rings: Column, lon: str = "longitude",
