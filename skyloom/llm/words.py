@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once, so that the arrays made from them stay small.
-SLICE_BYTES = 2_000_000
+#: Bytes of text handled at once.  A task holds about a hundred bytes for each of them, in every Python worker of an executor.
+SLICE_BYTES = 500_000
 
 _RANDOM = np.random.default_rng(20_240_607)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
