@@ -23,11 +23,22 @@ def _as_events_arrive(spark, sf, partial, path: str, prepare=lambda stream: stre
 
 
 def _obs_files(spark, sf) -> str:
+    """The observations as files, four at least and otherwise one for every split, so that none grows with the table."""
     path = new_table_path(spark, "obs")
-    derived.obs(spark, sf).repartition(4, "partition_key").write.parquet(path)
+    obs = derived.obs(spark, sf)
+    if obs.rdd.getNumPartitions() < 4:
+        obs = obs.repartition(4, "l_orderkey", "l_linenumber")
+    obs.write.parquet(path)
     return path
 
 
+def _obs_stream(spark, sf):
+    """A stream over those files in two batches, however many there are."""
+    path = _obs_files(spark, sf)
+    files = len(spark.read.parquet(path).inputFiles())
+    return jobs.file_stream(spark, path, -(-files // 2))
+
+
 @query(
     "Q1",
     """with places as (select distinct longitude, latitude from obs),
@@ -42,7 +53,7 @@ def stream_with_features(spark, sf):
     sides = Sides(points={"trees": derived.trees(spark, sf)})
     features = materialise(place_features(derived.obs(spark, sf), reg, sides), "features")
     path = new_table_path(spark, "stream")
-    jobs.attach_features(jobs.file_stream(spark, _obs_files(spark, sf), 2), features, path)
+    jobs.attach_features(_obs_stream(spark, sf), features, path)
     out = spark.read.parquet(f"{path}/rows")
     return out.groupBy("partition_key").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("trees_count300m_count").alias("trees")
@@ -96,7 +107,7 @@ def stream_reservoir(spark, sf):
     path = new_table_path(spark, "reservoir")
     order = F.expr(ORDER_SQL)
     jobs.run_partials(
-        jobs.file_stream(spark, _obs_files(spark, sf), 2),
+        _obs_stream(spark, sf),
         jobs.reservoir_partial(order, ORDER_RANGE, OBS_TIES, 500), path,
     )
     out = jobs.reservoir(jobs.partials(spark, path), order, ORDER_RANGE, OBS_TIES, 500)
@@ -111,7 +122,7 @@ def stream_reservoir(spark, sf):
 def stream_histograms(spark, sf):
     path = new_table_path(spark, "histograms")
     groups = ["partition_key", "tile_id"]
-    counts = jobs.histogram_counts(jobs.file_stream(spark, _obs_files(spark, sf), 2), "month_of_year", groups)
+    counts = jobs.histogram_counts(_obs_stream(spark, sf), "month_of_year", groups)
     jobs.run_partials(counts, lambda batch, _: batch, path, mode="update")
     return jobs.latest_counts(jobs.partials(spark, path), groups)
 
@@ -124,7 +135,7 @@ def stream_histograms(spark, sf):
 def stream_products(spark, sf):
     path = new_table_path(spark, "products")
     columns = ["l_quantity", "l_tax"]
-    jobs.run_partials(jobs.file_stream(spark, _obs_files(spark, sf), 2), jobs.gram_partial(columns), path)
+    jobs.run_partials(_obs_stream(spark, sf), jobs.gram_partial(columns), path)
     g = jobs.merged_gram(jobs.partials(spark, path), columns)
     m = g.matrix
     return spark.range(1).select(
