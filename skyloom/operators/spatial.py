@@ -455,7 +455,8 @@ def nearest_as_of(driving: DataFrame, points: DataFrame, columns: list[str], rad
     (longitude, latitude, ts).  Per location the best point of every timestamp
     is kept and merged with the driving times in one ordered pass, so that work
     grows with timestamps per location and not with their product.  Where cells
-    are crowded, a bounded descent through places and times takes its place.
+    are crowded and pairs of locations and points outnumber what is asked and
+    what is there, a bounded descent through places and times takes its place.
     """
     if temporal not in ("last_previous", "nearest"):
         raise ValueError(f"unknown temporal mode {temporal!r}")
@@ -466,9 +467,9 @@ def nearest_as_of(driving: DataFrame, points: DataFrame, columns: list[str], rad
         ),
         "points",
     )
-    if _crowded(side, radius_m):
-        return _descended_as_of(driving, side, columns, radius_m, temporal, ts, prefix)
     places = location_dimension(driving)
+    if _crowded(side, radius_m) and not _few_places(places, driving, side, radius_m):
+        return _descended_as_of(driving, side, columns, radius_m, temporal, ts, prefix)
     value = F.struct(
         F.col("p___t").alias("t"), F.col("dist_m").alias("dist"), F.col("p___id").alias("id"),
         *[F.col(f"p_v_{c}").alias(f"v_{c}") for c in columns],
@@ -513,6 +514,19 @@ def nearest_as_of(driving: DataFrame, points: DataFrame, columns: list[str], rad
     )
 
 
+#: Pairs of a location and a point that cost about as much as one driving row's descent.
+PAIRS_PER_ROW = 32
+
+
+def _few_places(places: DataFrame, driving: DataFrame, points: DataFrame, radius_m: float) -> bool:
+    """Whether locations and points around them make few pairs for the rows that ask and the points there are."""
+    cx, cy = geo.search_cell(*LOC, radius_m)
+    held = points.groupBy(cx.alias("__cx"), cy.alias("__cy")).agg(F.count(F.lit(1)).alias("m"))
+    asked = places.groupBy(cx.alias("__cx"), cy.alias("__cy"), *LOC).agg(F.count(F.lit(1)).alias("a"))
+    pairs = geo.cells_around(asked, radius_m, "__cx", "__cy").join(held, ["__cx", "__cy"]).agg(F.sum(F.col("a") * F.col("m"))).first()[0]
+    return (pairs or 0) <= PAIRS_PER_ROW * (driving.count() + points.count())
+
+
 def _descended_as_of(driving: DataFrame, side: DataFrame, columns: list[str], radius_m: float, temporal: str,
                      ts: str, prefix: str) -> DataFrame:
     keys = [*LOC, ts]

@@ -37,3 +37,51 @@ def test_split_join_broadcasts_no_exploded_side(spark):
     joined = split_join(few, few.withColumnRenamed("id", "other"), ["k"])
     assert "strategy=merge" in joined._jdf.queryExecution().analyzed().toString()
     assert joined.count() == 900
+
+
+def test_few_places_with_many_times_meet_points_directly(spark, monkeypatch):
+    """A crowded cell, one location and many times: one pass over the pairs, and the same hits as by descent."""
+    points = spark.range(3000).select(
+        F.col("id").alias("pid"), (3.6 + (F.col("id") % 300) * 1e-5).alias("longitude"), (51.0 + F.col("id") * 1e-7).alias("latitude"),
+        F.timestamp_seconds(F.col("id") * 7919 % 2000 * 86400).alias("ts"),
+    )
+    asked = spark.range(2500).select(F.lit(3.6001).alias("longitude"), F.lit(51.0001).alias("latitude"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"))
+    want = [spatial.nearest_as_of(asked, points, ["pid"], 300, "pid", mode, prefix="hit_").orderBy("ts").collect() for mode in ("last_previous",)]
+    monkeypatch.setattr(spatial, "PAIRS_PER_ROW", 0)
+    assert [spatial.nearest_as_of(asked, points, ["pid"], 300, "pid", mode, prefix="hit_").orderBy("ts").collect() for mode in ("last_previous",)] == want
+
+    def descended(*_):
+        raise AssertionError("descended")
+
+    monkeypatch.setattr(spatial, "PAIRS_PER_ROW", 32)
+    monkeypatch.setattr(spatial, "_descended_as_of", descended)
+    assert spatial.nearest_as_of(asked, points, ["pid"], 300, "pid", "nearest", prefix="hit_").count() == 2500
+
+
+def test_stream_files_follow_the_splits(spark, sf, monkeypatch):
+    """A table of many splits becomes as many files, in two batches."""
+    from skyloom.queries import streams
+    from skyloom.sources import derived
+
+    whole = derived.obs(spark, sf)
+    monkeypatch.setattr(derived, "obs", lambda *_: whole.repartition(9))
+    files = spark.read.parquet(streams._obs_files(spark, sf)).inputFiles()
+    assert len(files) == 9
+
+
+def test_slices_of_words_stay_small():
+    """What blocks of words hold while a batch is read does not follow the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from skyloom.llm.substring_dedup import _blocks_of
+    from skyloom.llm.rows import TEXT_KEY
+
+    text = " ".join(f"w{i * 7919 % 10007}" for i in range(20_000))
+    batch = pa.record_batch([pa.array(range(60)), pa.array([text] * 60), pa.array(range(60))], names=["doc_id", "text", TEXT_KEY])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in _blocks_of(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 1000 and peak < 80_000_000
