@@ -375,7 +375,9 @@ def ring_area(flat: Column) -> Column:
 
 def rings_area_m2(rings) -> Column:
     """Equal-area size: the first ring minus the following ones (holes)."""
-    areas = F.transform(_c(rings), lambda r: ring_area(project_ring(r, laea_steps())))
+    # the area names its ring in every term: as a lambda's argument it is projected once
+    projected = F.transform(_c(rings), lambda r: project_ring(r, laea_steps()))
+    areas = F.transform(projected, ring_area)
     return F.aggregate(
         areas,
         F.struct(F.lit(0.0).alias("area"), F.lit(1.0).alias("sign")),

@@ -1,8 +1,5 @@
 """Steps whose work must follow the input and not its keys, copies or formulas."""
 
-import numpy as np
-import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import geo
@@ -85,3 +82,8 @@ def test_slices_of_words_stay_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found > 1000 and peak < 80_000_000
+
+
+def test_area_projects_a_ring_once(spark):
+    """The formula names the projected ring once, however often the area uses it."""
+    assert str(geo.rings_area_m2(F.col("rings"))).lower().count("sin(") < 20
