@@ -10,12 +10,15 @@ keys, which bounds every tile by the geometry and leaves no room for skew.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyloom.functions import geo
 from skyloom.operators.scale import split_join
@@ -112,55 +115,69 @@ def polygon_runs(polygons: DataFrame, layer: list[str], polygon_id: str, grid: G
     ``reach`` rows and columns are kept around the grid, as many as disks reach.
 
     Every ring edge is cut at the sub-rows it crosses; crossings of one polygon
-    and row, in order, bound the runs (even-odd, so holes work).
+    and row, in order, bound the runs (even-odd, so holes work).  Rows of one id
+    and layer are one polygon.  Polygons are shuffled, their many crossings are not.
     """
-    sub_lon, sub_lat = grid.step_lon / grid.supersample, grid.step_lat / grid.supersample
+    frame = (grid.lon0, grid.lat0, grid.step_lon / grid.supersample, grid.step_lat / grid.supersample)
     rows = (-reach, grid.n_lat * grid.supersample + reach)
     cols = (-reach, grid.n_lon * grid.supersample + reach)
-
-    def edges(ring: Column) -> Column:
-        def point(p: Column) -> tuple[Column, Column]:
-            return (p["x"] - F.lit(grid.lon0)) / F.lit(sub_lon), (p["y"] - F.lit(grid.lat0)) / F.lit(sub_lat)
-
-        n = F.greatest(F.size(ring) - 1, F.lit(0))
-        return F.zip_with(
-            F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n),
-            lambda a, b: F.struct(
-                point(a)[0].alias("u1"), point(a)[1].alias("v1"),
-                point(b)[0].alias("u2"), point(b)[1].alias("v2"),
-            ),
-        )
-
-    first = F.greatest(F.ceil(F.least("v1", "v2")), F.lit(rows[0])).cast("int")
-    last = F.least(F.ceil(F.greatest("v1", "v2")) - 1, F.lit(rows[1])).cast("int")
-    crossing = (
-        polygons.select(
-            polygon_id, *layer, F.explode(F.flatten(F.transform("rings", edges))).alias("e")
-        )
-        .select(polygon_id, *layer, "e.*")
-        .withColumns({"first": first, "last": last})
-        .where("first <= last")
-        .withColumn("y", F.explode(F.sequence("first", "last")))
-        .withColumn(
-            "u",
-            F.col("u1") + (F.col("y") - F.col("v1")) * (F.col("u2") - F.col("u1")) / (F.col("v2") - F.col("v1")),
-        )
-    )
-    # A row has at most as many crossings as its polygon has edges.
-    rowwise = crossing.groupBy(polygon_id, *layer, "y").agg(F.array_sort(F.collect_list("u")).alias("us"))
-    pair = F.transform(
-        F.sequence(F.lit(0), (F.size("us") / 2 - 1).cast("int")),
-        lambda i: F.struct(
-            F.greatest(F.ceil(F.get("us", 2 * i)), F.lit(cols[0])).cast("int").alias("xa"),
-            F.least(F.ceil(F.get("us", 2 * i + 1)) - 1, F.lit(cols[1])).cast("int").alias("xb"),
-        ),
-    )
-    return (
-        rowwise.where(F.size("us") >= 2)
-        .select(polygon_id, *layer, "y", F.explode(pair).alias("run"))
-        .select(polygon_id, *layer, "y", "run.xa", "run.xb")
-        .where("xa <= xb")
+    whole = (
+        polygons.where(~F.exists("rings", lambda ring: ring.isNull()))
+        .groupBy(polygon_id, *layer).agg(F.flatten(F.collect_list("rings")).alias("rings"))
     )
+    keys = [polygons.schema[c] for c in (polygon_id, *layer)]
+    schema = T.StructType([*keys, *[T.StructField(c, T.IntegerType()) for c in ("y", "xa", "xb")]])
+    return whole.mapInArrow(_runs_of([polygon_id, *layer], frame, rows, cols), schema)
+
+
+#: Crossings of edges and rows that are ordered at once; a polygon with more is taken whole.
+CROSSINGS = 500_000
+
+
+def _runs_of(keys: list[str], frame: tuple, rows: tuple[int, int], cols: tuple[int, int]):
+    lon0, lat0, sub_lon, sub_lat = frame
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings = batch.column("rings")
+            ring = rings.flatten()
+            x, y = (c.to_numpy(zero_copy_only=False).astype(float) for c in ring.flatten().flatten())
+            sizes = ring.value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.repeat(np.arange(len(rings)), rings.value_lengths().to_numpy(zero_copy_only=False)), sizes)
+            of = np.repeat(np.arange(len(ring)), sizes)
+            u, v = (x - lon0) / sub_lon, (y - lat0) / sub_lat
+            at = np.flatnonzero(of[1:] == of[:-1])
+            first = np.maximum(np.ceil(np.minimum(v[at], v[at + 1])), rows[0])
+            last = np.minimum(np.ceil(np.maximum(v[at], v[at + 1])) - 1, rows[1])
+            cut = first <= last
+            at, first, counts = at[cut], first[cut].astype(np.int64), (last - first)[cut].astype(np.int64) + 1
+            own, before = owner[at], np.append(0, np.cumsum(counts))
+            low = 0
+            while low < len(at):
+                high = int(np.searchsorted(before, before[low] + CROSSINGS, "right")) - 1
+                # a polygon's edges stay together
+                high = int(np.searchsorted(own, own[high])) if high < len(at) else len(at)
+                high = high if high > low else int(np.searchsorted(own, own[low], "right"))
+                n = counts[low:high]
+                row = np.arange(n.sum()) - np.repeat(before[low:high] - before[low] - first[low:high], n)
+                u1, v1 = np.repeat(u[at[low:high]], n), np.repeat(v[at[low:high]], n)
+                u2, v2 = np.repeat(u[at[low:high] + 1], n), np.repeat(v[at[low:high] + 1], n)
+                cross = u1 + (row - v1) * (u2 - u1) / (v2 - v1)
+                group = np.repeat(own[low:high], n) * (rows[1] - rows[0] + 1) + (row - rows[0])
+                order = np.lexsort((cross, group))
+                cross, group, row = cross[order], group[order], row[order]
+                heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                place = np.arange(len(group)) - np.repeat(heads, np.diff(np.append(heads, len(group))))
+                left = np.flatnonzero((place[:-1] % 2 == 0) & (group[1:] == group[:-1]))
+                xa, xb = np.maximum(np.ceil(cross[left]), cols[0]), np.minimum(np.ceil(cross[left + 1]) - 1, cols[1])
+                some = xa <= xb
+                left = left[some]
+                polygon = pa.array(group[left] // (rows[1] - rows[0] + 1))
+                ends = [pa.array(c.astype(np.int32)) for c in (row[left], xa[some], xb[some])]
+                yield pa.record_batch([*[batch.column(k).take(polygon) for k in keys], *ends], names=[*keys, "y", "xa", "xb"])
+                low = high
+
+    return runs
 
 
 def _bits(low: Column, high: Column) -> Column:
@@ -313,7 +330,7 @@ def exact_shares(polygons: DataFrame, polygon_id: str, centres: DataFrame, keys:
 
     signed = polygons.select(polygon_id, F.posexplode(F.arrays_zip(F.col("rings").alias("ring"), geo.ring_signs("rings").alias("sign"))))
     edges = signed.select(polygon_id, F.col("pos").alias("__ring"), F.col("col.sign").alias("__sign"), F.explode(ends(F.col("col.ring"))).alias("__e"))
-    met = near.join(edges, polygon_id)
+    met = near.hint("merge").join(edges, polygon_id)  # edges outgrow the file that the planner sizes them by
     x1, x2 = ((F.col(f"__e.{e}.x") - F.col("longitude")) / F.lit(sx) for e in "pq")
     y1, y2 = ((F.col(f"__e.{e}.y") - F.col("latitude")) / F.lit(sy) for e in "pq")
     met = met.select(*keys, polygon_id, "__ring", "__sign", x1.alias("__x1"), y1.alias("__y1"), x2.alias("__x2"), y2.alias("__y2"))

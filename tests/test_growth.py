@@ -87,3 +87,20 @@ def test_slices_of_words_stay_small():
 def test_area_projects_a_ring_once(spark):
     """The formula names the projected ring once, however often the area uses it."""
     assert str(geo.rings_area_m2(F.col("rings"))).lower().count("sin(") < 20
+
+
+def test_runs_shuffle_polygons_and_not_crossings(spark):
+    """A ring with a hole by rows, and no shuffle by row."""
+    grid = coverage.Grid()
+
+    def ring(a, b):
+        return [(grid.lon0 + x * grid.step_lon / 4, grid.lat0 + y * grid.step_lat / 4) for x, y in ((a, a), (b, a), (b, b), (a, b), (a, a))]
+
+    polygons = spark.createDataFrame([(1, "k", [ring(0.5, 20.5), ring(5.5, 9.5)]), (2, "k", [ring(30.5, 31.5)]), (3, "k", [])], "pid int, layer string, rings array<array<struct<x:double,y:double>>>")
+    runs = coverage.polygon_runs(polygons, ["layer"], "pid", grid)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    got = {(r.pid, r.y, r.xa, r.xb) for r in runs.collect()}
+    want = {(1, y, 1, 20) for y in range(1, 21) if not 6 <= y <= 9}
+    want |= {(1, y, a, b) for y in range(6, 10) for a, b in ((1, 5), (10, 20))} | {(2, 31, 31, 31)}
+    assert got == want
+    assert "MapInArrow" in plan and "y#" not in plan.split("Exchange", 1)[1]
