@@ -3,7 +3,8 @@
 Both grow level by level.  A level is one pass over the rows: every task adds
 its rows to arrays of fixed size (nodes by features by bins, or by candidate
 splits), the arrays are summed, and the driver picks the splits from the sums.
-What the driver holds is bounded by the settings and not by the rows.
+What the driver holds is bounded by the settings and not by the rows.  Equal rows
+are one row with their number, so a pass costs no more than there are different ones.
 
 Boosting keeps each row's features as bin numbers and its current prediction in
 a written table, renewed once a tree, so a pass reads small numbers and no tree
@@ -127,8 +128,8 @@ def summed(df: DataFrame, fill: Callable[[pd.DataFrame, np.ndarray], None], size
         yield pd.DataFrame({"at": at.astype(np.int64), "v": held[at]})
 
     out = np.zeros(size)
-    for row in df.mapInPandas(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toLocalIterator():
-        out[row["at"]] = row["v"]
+    found = df.mapInPandas(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out[found["at"].to_numpy()] = found["v"].to_numpy()
     return out
 
 
@@ -208,6 +209,7 @@ def best_splits(hist: np.ndarray, s: Boosting) -> list[tuple[float, int, int] |
 
 def _grow(rows: DataFrame, names: list[str], number_of_tree: int, s: Boosting, gains: np.ndarray) -> _Growing:
     bins, columns = s.bins, _columns(len(names), number_of_tree, s)
+    rows = rows.where("not valid").select(*names, "key", "n", "y", "margin")
     growing, open_ = _Growing(), [0]
     for level in range(s.depth + 1):
         tree, slots = growing.tree(), np.full(len(growing.left), -1)
@@ -217,18 +219,18 @@ def _grow(rows: DataFrame, names: list[str], number_of_tree: int, s: Boosting, g
         size = len(open_) * width * bins * 2
 
         def fill(batch: pd.DataFrame, held: np.ndarray) -> None:
-            batch = batch[~batch["valid"].to_numpy()]
-            batch = batch[_sampled(batch["key"].to_numpy(), number_of_tree, s)]
-            x = batch[names].to_numpy()
+            drawn = np.flatnonzero(_sampled(batch["key"].to_numpy(), number_of_tree, s))
+            x = batch[names].to_numpy()[drawn]
             slot = slots[_leaf(tree, x)]
             inside = slot >= 0
-            x, slot = x[inside], slot[inside]
-            g = (batch["margin"].to_numpy() - batch["y"].to_numpy())[inside]
+            x, slot, drawn = x[inside], slot[inside], drawn[inside]
+            n = batch["n"].to_numpy()[drawn]
+            g = (batch["margin"].to_numpy() - batch["y"].to_numpy())[drawn] * n
             for k in range(width):
                 cell = (slot * width + k) * bins + (0 if last else x[:, columns[k]])
                 count = len(open_) * width * bins
                 held[0::2] += np.bincount(cell, g, count)
-                held[1::2] += np.bincount(cell, minlength=count)
+                held[1::2] += np.bincount(cell, n, count)
 
         hist = summed(rows, fill, size).reshape(len(open_), width, bins, 2)
         sums = hist[:, 0].sum(1)
@@ -255,7 +257,8 @@ def fit_boosted(train: DataFrame, features: Sequence[str], target: str, settings
     ``start`` is a model to go on from: ``rounds`` more trees are added to it.
     ``valid`` rows are scored after every tree; with ``patience`` the fit stops
     when that many trees bring no better score, and the model ends with the
-    best one.  Rows are sampled for a tree by a hash of their values.
+    best one.  Rows are sampled for a tree by a hash of their values, so equal
+    rows are in or out together and go through the passes as one.
     """
     features, s = list(features), settings
     if s.bins > 32_767:
@@ -286,10 +289,11 @@ def fit_boosted(train: DataFrame, features: Sequence[str], target: str, settings
             for tree in trees:
                 margin += tree.predict(x)
             out = {n: np.searchsorted(cuts[i], x[:, i], "left").astype(np.int16) for i, n in enumerate(names)}
-            yield pd.DataFrame({**out, "y": batch["y"], "valid": batch["valid"], "key": batch["key"], "margin": margin})
+            yield pd.DataFrame({**out, "y": batch["y"], "valid": batch["valid"], "key": batch["key"], "n": batch["n"], "margin": margin})
 
-    schema = ", ".join(f"{n} short" for n in names) + ", y double, valid boolean, key long, margin double"
-    table = materialise(raw.mapInPandas(binned, schema), "boosting")
+    schema = ", ".join(f"{n} short" for n in names) + ", y double, valid boolean, key long, n long, margin double"
+    equal = raw.groupBy(*names, "y", "valid", "key").agg(F.count(F.lit(1)).alias("n"))
+    table = materialise(equal.mapInPandas(binned, schema), "boosting")
     best = None
     for _ in range(s.rounds):
         growing = _grow(table, names, len(trees), s, gains)
@@ -306,7 +310,7 @@ def fit_boosted(train: DataFrame, features: Sequence[str], target: str, settings
         trees.append(replace(tree, cut=np.array(real, float)))
         error = None
         if valid is not None:
-            error = table.where("valid").agg(F.sqrt(F.avg((F.col("margin") - F.col("y")) ** 2))).first()[0]
+            error = table.where("valid").agg(F.sqrt(F.sum(F.col("n") * (F.col("margin") - F.col("y")) ** 2) / F.sum("n"))).first()[0]
         history.append((len(trees), error))
         if error is not None and s.patience is not None:
             if best is None or error < best[0]:
@@ -344,25 +348,30 @@ def fit_random_trees(train: DataFrame, features: Sequence[str], target: str, set
 
     The first pass finds the range of every feature in every open node of every
     tree, the second the moments on either side of the drawn thresholds; the
-    feature whose threshold lowers the squared error most splits the node.
+    feature whose threshold lowers the squared error most splits the node.  Rows
+    of equal features go through the passes as one, with their moments.
     """
     features, s = list(features), settings
     fill = fills(train, features)
     names = [f"x{i}" for i in range(len(features))]
     rows = filled(train.where(number(target).isNotNull()), fill)
-    table = materialise(rows.select(*[number(f).alias(n) for f, n in zip(features, names)], number(target).alias("y")), "random-trees")
-    base = float(table.agg(F.avg("y")).first()[0] or 0.0)  # moments around the mean keep their digits
+    rows = rows.select(*[number(f).alias(n) for f, n in zip(features, names)], number(target).alias("y"))
+    base = float(rows.agg(F.avg("y")).first()[0] or 0.0)  # moments around the mean keep their digits
+    off = F.col("y") - F.lit(base)
+    equal = rows.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("m0"), F.sum(off).alias("m1"), F.sum(off * off).alias("m2"))
+    table = materialise(equal, "random-trees")
     width, gains = len(features), np.zeros(len(features))
     growing = [_Growing() for _ in range(s.trees)]
     open_: list[list[int]] = [[0] for _ in range(s.trees)]
     for level in range(s.depth + 1):
         trees = [g.tree() for g in growing]
-        slots, total = [], 0
+        slots, starts, total = [], [], 0
         for g, nodes in zip(growing, open_):
             own = np.full(len(g.left), -1) if nodes else np.zeros(0, np.int64)
             if nodes:
                 own[nodes] = total + np.arange(len(nodes))
             slots.append(own)
+            starts.append(total)
             total += len(nodes)
         if not total:
             break
@@ -372,30 +381,34 @@ def fit_random_trees(train: DataFrame, features: Sequence[str], target: str, set
             for batch in batches:
                 x = batch[names].to_numpy()
                 for _, at, slot in _assigned(x, trees, slots):
-                    np.minimum.at(low, slot, x[at])
-                    np.maximum.at(high, slot, x[at])
+                    if len(at):
+                        order = np.argsort(slot, kind="stable")
+                        met, own = slot[order], x[at[order]]
+                        heads = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
+                        low[met[heads]] = np.minimum(low[met[heads]], np.minimum.reduceat(own, heads))
+                        high[met[heads]] = np.maximum(high[met[heads]], np.maximum.reduceat(own, heads))
             at, of = np.nonzero(low <= high)
             yield pd.DataFrame({"slot": at.astype(np.int64), "f": of.astype(np.int64), "low": low[at, of], "high": high[at, of]})
 
         parts = table.mapInPandas(ranges, "slot long, f long, low double, high double")
         low, high = np.full((total, width), np.nan), np.full((total, width), np.nan)
-        for r in parts.groupBy("slot", "f").agg(F.min("low").alias("low"), F.max("high").alias("high")).toLocalIterator():
-            low[r["slot"], r["f"]], high[r["slot"], r["f"]] = r["low"], r["high"]
+        met = parts.groupBy("slot", "f").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+        at = met["slot"].to_numpy(), met["f"].to_numpy()
+        low[at], high[at] = met["low"].to_numpy(), met["high"].to_numpy()
         where = np.array([_draws(k, node, width, s) for k, nodes in enumerate(open_) for node in nodes])
         thresholds = np.where(high > low, low + where * (high - low), np.nan)
 
         # per slot the moments of all rows, and per slot and feature those at or below the threshold
         def moments(batch: pd.DataFrame, held: np.ndarray) -> None:
-            x, y = batch[names].to_numpy(), batch["y"].to_numpy() - base
+            x, of = batch[names].to_numpy(), batch[["m0", "m1", "m2"]].to_numpy()
             sums = held.reshape(total, width + 1, 3)
-            for _, at, slot in _assigned(x, trees, slots):
-                for m, weights in enumerate((None, y[at], y[at] ** 2)):
-                    sums[:, width, m] += np.bincount(slot, weights, total)
+            for k, at, slot in _assigned(x, trees, slots):
+                first, count = starts[k], len(open_[k])
                 below = x[at] <= thresholds[slot]
-                for f in range(width):
-                    own = below[:, f]
-                    for m, weights in enumerate((None, y[at][own], y[at][own] ** 2)):
-                        sums[:, f, m] += np.bincount(slot[own], weights, total)
+                for f in range(width + 1):
+                    own = below[:, f] if f < width else slice(None)
+                    for m in range(3):
+                        sums[first : first + count, f, m] += np.bincount(slot[own] - first, of[at[own], m], count)
 
         sums = summed(table, moments, total * (width + 1) * 3).reshape(total, width + 1, 3)
         following: list[list[int]] = [[] for _ in range(s.trees)]

@@ -104,3 +104,35 @@ def test_runs_shuffle_polygons_and_not_crossings(spark):
     want |= {(1, y, a, b) for y in range(6, 10) for a, b in ((1, 5), (10, 20))} | {(2, 31, 31, 31)}
     assert got == want
     assert "MapInArrow" in plan and "y#" not in plan.split("Exchange", 1)[1]
+
+
+def test_trees_pass_over_different_rows(spark, monkeypatch):
+    """Forty copies of fifty rows: fifty rows in the tables that passes read, and the trees of all of them."""
+    from skyloom.operators import trees
+
+    held = []
+    whole = trees.materialise
+    monkeypatch.setattr(trees, "materialise", lambda df, label="stage": held.append(df.count()) or whole(df, label))
+    row = F.col("id") % 50
+    df = spark.range(2000).select((row % 7).cast("double").alias("a"), (row / 3).alias("b"), (row * row % 11).cast("double").alias("y"))
+    boosted = trees.fit_boosted(df, ["a", "b"], "y", trees.Boosting(rounds=1, depth=2, row_share=1.0, column_share=1.0))
+    random = trees.fit_random_trees(df, ["a", "b"], "y", trees.RandomTrees(trees=3, depth=3))
+    assert held == [50, 50, 50]
+    assert boosted.trees[0].cover[0] == 2000 and [t.cover[0] for t in random.trees] == [2000] * 3
+    mean = df.agg(F.avg("y")).first()[0]
+    assert all(abs(t.mean()) < 1e-9 for t in random.trees) and abs(random.base - mean) < 1e-12
+
+
+def test_equal_rows_are_scored_once(spark, monkeypatch):
+    from skyloom.operators import models
+
+    df = spark.range(600).select((F.col("id") % 6).cast("double").alias("x"), (F.col("id") % 6 * 2 + F.col("id") % 2).cast("double").alias("y"))
+    scored = []
+    whole = models.predict
+    monkeypatch.setattr(models, "predict", lambda model, rows: scored.append(rows.count()) or whole(model, rows))
+    kinds = ["ridge", "elastic_net", "nystroem", "boosting"]
+    got = {r["model"]: r for r in models.train_all(df, df, ["x"], "y", kinds, {"nystroem": {"n_components": 4}, "boosting": {"maxIter": 2, "maxDepth": 2}}).collect()}
+    assert scored == [6] * 4 and all(got[k]["n_rows"] == 600 for k in kinds)
+    plain = models.regression_metrics(whole(models.fit_model("ridge", df, ["x"], "y"), df), "prediction", "y").first()
+    for c in ("n_rows", "mse", "rmse", "mae", "r2", "mape", "bias", "max_error"):
+        assert abs(got["ridge"][c] - plain[c]) < 1e-9
