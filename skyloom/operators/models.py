@@ -27,17 +27,40 @@ def _x(name: str) -> Column:
 # --- metrics -----------------------------------------------------------------------
 
 
-def regression_metrics(df: DataFrame, prediction: str, target: str, by: Sequence[str] = ()) -> DataFrame:
-    """All error measures, overall or per group, in one pass."""
+#: Number of equal rows that one row stands for.
+EQUAL = "__equal"
+
+
+def equal_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The different rows of ``columns``, written, with how often each occurs as ``EQUAL``."""
+    return materialise(df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias(EQUAL)), "equal-rows")
+
+
+def regression_metrics(df: DataFrame, prediction: str, target: str, by: Sequence[str] = (), weight: str | None = None, centre: float = 0.0) -> DataFrame:
+    """All error measures, overall or per group, in one pass.
+
+    With ``weight`` a row stands for that many; ``centre``, near the mean of the
+    target, then keeps the digits of its squares.
+    """
     rows = df.where(_x(target).isNotNull() & _x(prediction).isNotNull())
     y, e = _x(target), _x(prediction) - _x(target)
-    mse = F.avg(e * e)
     share = F.abs(e / F.when(F.abs(y) > 1e-6, y).otherwise(F.lit(1.0)))
-    sst = F.var_pop(y) * F.count(F.lit(1))
+    if weight is None:
+        n, sst, mean = F.count(F.lit(1)), F.var_pop(y) * F.count(F.lit(1)), F.avg
+    else:
+        n, off = F.sum(F.col(weight)), y - F.lit(float(centre))
+        squares = F.sum(F.col(weight) * off * off) - F.sum(F.col(weight) * off) ** 2 / n
+        # a constant target has no squares, whatever the last digit says
+        sst = F.when(F.min(y) == F.max(y), F.lit(0.0)).otherwise(squares)
+
+        def mean(v: Column) -> Column:
+            return F.sum(F.col(weight) * v) / n
+
+    mse = mean(e * e)
     return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), mse.alias("mse"), F.sqrt(mse).alias("rmse"),
-        F.avg(F.abs(e)).alias("mae"), (F.lit(1.0) - F.try_divide(F.sum(e * e), sst)).alias("r2"),
-        (F.avg(share) * F.lit(100.0)).alias("mape"), F.avg(e).alias("bias"),
+        n.alias("n_rows"), mse.alias("mse"), F.sqrt(mse).alias("rmse"),
+        mean(F.abs(e)).alias("mae"), (F.lit(1.0) - F.try_divide(mse * n, sst)).alias("r2"),
+        (mean(share) * F.lit(100.0)).alias("mape"), mean(e).alias("bias"),
         F.max(F.abs(e)).alias("max_error"),
     )
 
@@ -144,6 +167,10 @@ def fit_model(kind: str, train: DataFrame, features: Sequence[str], target: str,
     ``transforms`` are learned from the training rows; their outputs join the
     features, and the columns they consume leave them.  ``scaler`` is the
     default for all columns, ``column_scalers`` names others for some.
+
+    Models that go over the rows many times, or form much for each, see equal
+    rows of features and target once, with their number as weight.  Forests
+    draw every row by itself and see all of them.
     """
     if kind not in MODELS:
         raise ValueError(f"unknown model {kind!r}")
@@ -173,10 +200,14 @@ def fit_model(kind: str, train: DataFrame, features: Sequence[str], target: str,
     if kind == "nystroem":
         m, gamma = int(options.pop("n_components")), float(options.pop("gamma"))
         order, size = hash_order(*features, seed=seed)
+        train = equal_rows(train, [*features, target])
         picked = take_lowest(train.select(*features).distinct(), [], order, list(features), m, size)
         model = NystroemModel(picked.toPandas().to_numpy(dtype=float), gamma, list(features))  # m rows
-        model.linear = LinearRegression(**common, **options).fit(model.map_features(train))
+        model.linear = LinearRegression(**common, weightCol=EQUAL, **options).fit(model.map_features(train))
         return fitted(model)
+    if kind in ("elastic_net", "huber", "boosting"):
+        train = equal_rows(train, [*features, target])
+        common["weightCol"] = EQUAL
     data = assemble(train, features)
     if kind in ("linear", "ridge", "elastic_net"):
         fit = LinearRegression(**common, **options).fit(data)
@@ -200,12 +231,16 @@ def train_all(train: DataFrame, test: DataFrame, features: Sequence[str], target
     """Fit every requested model on the same split, prepared alike, and compare them.
 
     Both frames are read once for every model, so they should be written tables.
+    Without transforms, which may look at any column, equal rows are scored once.
     """
-    out = None
+    out, weights = None, {}
+    if not transforms:
+        test = equal_rows(test, [*features, target])
+        weights = {"weight": EQUAL, "centre": test.agg(F.avg(_x(target))).first()[0] or 0.0}
     prepare = {"transforms": transforms, "scaler": scaler, "column_scalers": column_scalers}
     for kind in kinds or MODELS:
         model = fit_model(kind, train, features, target, **prepare, **(settings or {}).get(kind, {}))
-        row = regression_metrics(predict(model, test), "prediction", target)
+        row = regression_metrics(predict(model, test), "prediction", target, **weights)
         row = row.select(F.lit(kind).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out.orderBy("rmse")
