@@ -961,8 +961,9 @@ def second_order_boosting(spark, sf):
     first.save(spark, path)
     second = trees.fit_boosted(train, _NUMERIC, "temperature", settings, start=trees.Ensemble.load(spark, path))
     out = None
+    test = models.equal_rows(test, [*_NUMERIC, "temperature"])
     for model in (first, second):
-        row = models.regression_metrics(model.transform(test), "prediction", "temperature").select(F.lit(len(model.trees)).alias("trees"), "*")
+        row = models.regression_metrics(model.transform(test), "prediction", "temperature", weight=models.EQUAL).select(F.lit(len(model.trees)).alias("trees"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -1107,14 +1108,15 @@ def tree_attribution(spark, sf):
 def ensemble_attribution(spark, sf):
     """What each feature adds to a forest's and a boosted model's predictions of the held-out rows: means, and the gap to the prediction."""
     train, test = _split(spark, sf)
-    out = None
+    test = models.equal_rows(test, _NUMERIC)  # explained once, whatever their number
+    n, out = F.col(models.EQUAL), None
     for kind in ("random_forest", "boosting"):
         model = models.fit_model(kind, train, _NUMERIC, "temperature", **_SETTINGS[kind])
         explained = attribution.tree_attribution(models.predict(model, test), attribution.saved_trees(model, spark), _NUMERIC)
         total = F.col("base") + sum(F.col(f"{f}_effect") for f in _NUMERIC)
         found = explained.agg(
-            F.lit(kind).alias("model"), F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(total - F.col("prediction"))).alias("largest_gap"),
-            *[F.avg(F.abs(f"{f}_effect")).alias(f) for f in _NUMERIC],
+            F.lit(kind).alias("model"), F.sum(n).alias("n_rows"), F.max(F.abs(total - F.col("prediction"))).alias("largest_gap"),
+            *[(F.sum(n * F.abs(f"{f}_effect")) / F.sum(n)).alias(f) for f in _NUMERIC],
         )
         out = found if out is None else out.unionByName(found)
     return out
