@@ -101,52 +101,63 @@ class TwoWayFit:
         return chi2_upper(float(b @ np.linalg.pinv(v) @ b), len(at))
 
 
-def _tile_cells(panel: DataFrame, columns: list[str]) -> DataFrame:
-    """Per tile a list of month cells with counts, sums and products.
+def _tile_cells(panel: DataFrame, columns: list[str], bin_column: str | None = None) -> DataFrame:
+    """Per tile a list of month cells with counts and sums, and the tile's products.
 
     Both effects are constant within a (tile, month) cell, so its moments are
-    all the fit needs; a tile's list is as long as there are months.
+    all the fit needs; a tile's list is as long as there are months.  The bin,
+    constant within a cell as well, goes along as a number.
     """
     pairs = triangle(len(columns))
-    cells = panel.groupBy("tile", "scene_ym").agg(
+    kept = F.lit(0) if bin_column is None else F.col(bin_column)
+    cells = panel.withColumn("__bin", kept.cast("int")).groupBy("tile", "scene_ym", "__bin").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)],
         *[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"p{k}") for k, (i, j) in enumerate(pairs)],
     )
     return cells.groupBy("tile").agg(
-        F.collect_list("scene_ym").alias("months"), F.collect_list("n").alias("n"),
+        F.collect_list("scene_ym").alias("months"), F.collect_list("__bin").alias("bins"), F.collect_list("n").alias("n"),
         F.collect_list(F.array(*[f"s{i}" for i in range(len(columns))])).alias("s"),
-        F.collect_list(F.array(*[f"p{k}" for k in range(len(pairs))])).alias("p"),
+        F.array(*[F.sum(f"p{k}") for k in range(len(pairs))]).alias("p"),
     )
 
 
-def two_way_fit(panel: DataFrame, regressors: Sequence[str], outcome: str = "y") -> TwoWayFit:
+def two_way_fit(panel: DataFrame, regressors: Sequence[str], outcome: str = "y", bins: tuple[str, dict[str, int]] | None = None) -> TwoWayFit:
     """Least squares with tile and month effects, exact on unbalanced panels.
 
     Tile effects are removed inside each tile; months, a few hundred at most,
     stay as explicit columns of one normal matrix that tasks add up in numpy.
     No sweep over the data is repeated.  The covariance sums score products per
     tile and is scaled by n / (n - k - absorbed effects).
+
+    ``bins`` is a whole-number column with one value in each (tile, month) and
+    the names of regressors, the first ones, that indicate its values.  They are
+    formed where a tile is fitted, so what a tile holds does not grow with their
+    number.
     """
-    columns = [*regressors, outcome]
-    k = len(columns)
-    tiles = materialise(_tile_cells(panel, columns), "tiles")
+    bin_column, indicated = bins or (None, {})
+    regressors = [*indicated, *regressors]
+    marks = np.array(list(indicated.values()), int)
+    k, own = len(regressors) + 1, [*regressors[len(marks) :], outcome]
+    tiles = materialise(_tile_cells(panel, own, bin_column), "tiles")
     months = sorted(r[0] for r in tiles.select(F.explode("months")).distinct().collect())
     at = {m: i for i, m in enumerate(months)}
     width, size = len(months), len(months) + k
-    upper_k = np.triu_indices(k)
+    upper_own = np.triu_indices(len(own))
 
     def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         where = np.array([at[m] for m in row.months])
         n = np.asarray(row.n, dtype=float)
         s = np.stack([np.asarray(v, dtype=float) for v in row.s])
-        p = np.stack([np.asarray(v, dtype=float) for v in row.p])
-        return where, n, s, p
-
-    def full(p: np.ndarray) -> np.ndarray:
-        out = np.zeros((k, k))
-        out[upper_k] = p
-        return out + out.T - np.diag(np.diag(out))
+        inside = (np.asarray(row.bins)[:, None] == marks[None, :]).astype(float)
+        products, first = np.zeros((k, k)), len(marks)
+        products[:first, :first] = (inside * n[:, None]).T @ inside
+        products[:first, first:] = inside.T @ s
+        products[first:, :first] = products[:first, first:].T
+        part = np.zeros((len(own), len(own)))
+        part[upper_own] = row.p
+        products[first:, first:] = part + part.T - np.diag(np.diag(part))
+        return where, n, np.column_stack([inside * n[:, None], s]), products
 
     def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, n_obs, n_tiles = np.zeros((size, size)), 0.0, 0
@@ -157,7 +168,7 @@ def two_way_fit(panel: DataFrame, regressors: Sequence[str], outcome: str = "y")
                 g[where, where] += n
                 g[np.ix_(where, where)] -= np.outer(n, n) / total
                 g[where, width:] += s - np.outer(n, sums) / total
-                g[width:, width:] += full(p.sum(axis=0)) - np.outer(sums, sums) / total
+                g[width:, width:] += p - np.outer(sums, sums) / total
                 n_obs, n_tiles = n_obs + total, n_tiles + 1
         g[width:, :width] = g[:width, width:].T
         values = [*g[np.triu_indices(size)], n_obs, n_tiles]
@@ -195,7 +206,7 @@ def two_way_fit(panel: DataFrame, regressors: Sequence[str], outcome: str = "y")
                 where, n, s, p = unpack(row)
                 effect = by_month[where]
                 u = (s.sum(axis=0) - n @ effect) / n.sum() + effect
-                c = full(p.sum(axis=0)) - u.T @ s - s.T @ u + (u * n[:, None]).T @ u
+                c = p - u.T @ s - s.T @ u + (u * n[:, None]).T @ u
                 score = c[keep, -1] - c[np.ix_(keep, keep)] @ beta
                 meat += np.outer(score, score)
         flat = meat.ravel()
@@ -234,10 +245,7 @@ def event_study(panel: DataFrame, window: tuple[int, int] = EVENT_WINDOW,
         raise ValueError(f"window must rise, got {window}")
     ks = [k for k in range(window[0], window[1] + 1) if k != REFERENCE_YEAR]
     names = {k: f"k_{'m' if k < 0 else 'p'}{abs(k)}" for k in ks}
-    rows = event_time(panel, window).withColumns(
-        {names[k]: (F.col("k_bin") == k).cast("double") for k in ks}
-    )
-    fit = two_way_fit(rows, [*names.values(), *controls])
+    fit = two_way_fit(event_time(panel, window), controls, bins=("k_bin", {names[k]: k for k in ks}))
     back = {v: k for k, v in names.items()}
     table = [(back[t[0]], *t[1:]) for t in fit.rows() if t[0] in back]
     out = panel.sparkSession.createDataFrame(table, COEFFICIENTS.replace("term string", "event_time int"))

@@ -136,3 +136,22 @@ def test_equal_rows_are_scored_once(spark, monkeypatch):
     plain = models.regression_metrics(whole(models.fit_model("ridge", df, ["x"], "y"), df), "prediction", "y").first()
     for c in ("n_rows", "mse", "rmse", "mae", "r2", "mape", "bias", "max_error"):
         assert abs(got["ridge"][c] - plain[c]) < 1e-9
+
+
+def test_event_study_holds_no_products_of_indicators(spark):
+    """What a tile's list holds for each month follows the columns that vary in it, not the window."""
+    from skyloom.operators import panel
+
+    rows = spark.range(600).select(
+        (F.col("id") % 6).cast("string").alias("tile"), (2000 * 12 + 1 + F.col("id") % 90).cast("int").alias("scene_ym"),
+        (F.col("id") * 7919 % 101).cast("double").alias("y"), ((F.col("id") % 90) > 40 + F.col("id") % 6).cast("double").alias("d"),
+    )
+    seen = []
+    whole = panel.materialise
+    panel.materialise = lambda df, label="stage": seen.append(df) or whole(df, label)
+    try:
+        panel.event_study(rows, (-3, 3))
+    finally:
+        panel.materialise = whole
+    first = seen[0].first()
+    assert {len(v) for v in first["s"]} == {1} and len(first["p"]) == 1
