@@ -1,10 +1,13 @@
 """Georeferenced TIFF rasters as a Spark data source, and a job that writes them.
 
-The header of a file is read once, where the read is planned: size, sample
+The header of a large file is read where the read is planned: size, sample
 format, compression, where each strip or tile lies, the corner and step of the
-grid and the nodata value.  A partition is a run of strips or tiles of one file
-and carries what it needs, so tasks read their own bytes only and a large
-raster is read by many tasks.  Filters on ``row`` leave whole strips unread.
+grid and the nodata value.  A partition is then a run of strips or tiles of one
+file and carries what it needs, so tasks read their own bytes only and a large
+raster is read by many tasks.  Many small files are dealt out in packs, and the task
+that reads a pack reads its headers, so neither the plan nor the number of tasks
+follows the number of files.  Filters on ``row`` leave whole strips unread, and
+cells without a value stay behind when a filter asks for those that have one.
 
 Rows are (path, row, col, x, y, value) with the centre of each cell; nodata is
 null.  Files are opened through Arrow's file systems, by local path or by URI.
@@ -20,16 +23,19 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 SCHEMA = "path string, row int, col int, x double, y double, value double"
 #: Cells of a partition, about.
 CELLS = 4_000_000
+#: Bytes of a file that is small, files of a pack at most and at least, packs that there should be; no more files than that are not packed.
+SMALL, PACK, LEAST, PACKS = 4_000_000, 256, 16, 64
+#: Cells that leave a task at once, about.
+AT_ONCE = 200_000
 
 # Tag numbers of the format and of its geographic and nodata extensions; bytes and codes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_AT, SAMPLES, ROWS, STRIP_BYTES, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 317
@@ -111,6 +117,16 @@ class Blocks(InputPartition):
         super().__init__(None)
 
 
+@dataclass
+class Pack(InputPartition):
+    """Small files, whole."""
+
+    paths: tuple[str, ...]
+
+    def __post_init__(self) -> None:
+        super().__init__(None)
+
+
 def read_block(raw: bytes, header: Header) -> np.ndarray:
     """The cells of a strip or tile, as many rows as it has."""
     data = raw if header.compression == 1 else zlib.decompress(raw)
@@ -124,11 +140,12 @@ def read_block(raw: bytes, header: Header) -> np.ndarray:
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str) -> None:
-        self.path, self.low, self.high = path, 0, 2**31 - 1
+        self.path, self.low, self.high, self.present = path, 0, 2**31 - 1, False
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Take bounds of the row; Spark keeps applying all filters to what is read."""
+        """Take bounds of the row and whether there must be a value; Spark keeps applying all filters to what is read."""
         for f in filters:
+            self.present |= isinstance(f, IsNotNull) and f.attribute == ("value",)
             if getattr(f, "attribute", None) == ("row",):
                 if isinstance(f, EqualTo):
                     self.low, self.high = max(self.low, f.value), min(self.high, f.value)
@@ -142,45 +159,75 @@ class _Reader(DataSourceReader):
                     self.high = min(self.high, f.value)
             yield f
 
-    def partitions(self) -> Sequence[Blocks]:
+    def wanted(self, h: Header) -> list[int]:
+        """The strips or tiles that have wanted rows."""
+        across = -(-h.width // h.block[0])
+        return [i for i in range(len(h.at)) if i // across * h.block[1] <= self.high and (i // across + 1) * h.block[1] > self.low]
+
+    def partitions(self) -> Sequence[InputPartition]:
         files, place = opened(self.path)
         if files.get_file_info(place).type == fs.FileType.Directory:
             infos = files.get_file_info(fs.FileSelector(place, recursive=True))
-            paths = sorted(i.path for i in infos if i.type == fs.FileType.File and i.path.lower().endswith((".tif", ".tiff")))
+            found = sorted((i.path, i.size) for i in infos if i.type == fs.FileType.File and i.path.lower().endswith((".tif", ".tiff")))
         else:
-            paths = [place]
-        out = []
-        for path in paths:
+            found = [(place, files.get_file_info(place).size)]
+        small = [path for path, size in found if size is not None and size <= SMALL]
+        small = small if len(small) > PACKS else []
+        packed = set(small)
+        each = min(PACK, max(LEAST, len(small) // PACKS))
+        out: list[InputPartition] = [Pack(tuple(small[a : a + each])) for a in range(0, len(small), each)]
+        for path, _ in found:
+            if path in packed:
+                continue
             with files.open_input_file(path) as file:
                 h = read_header(file)
-            across = -(-h.width // h.block[0])
-            wanted = [i for i in range(len(h.at)) if i // across * h.block[1] <= self.high and (i // across + 1) * h.block[1] > self.low]
+            wanted = self.wanted(h)
             each = max(1, CELLS // (h.block[0] * h.block[1]))
             for a in range(0, len(wanted), each):
                 run = wanted[a : a + each]
                 own = Header(**{**h.__dict__, "at": tuple(h.at[i] for i in run), "size": tuple(h.size[i] for i in run)})
                 out.append(Blocks(path, own, run[0]))
-        return out or [Blocks("", None, 0)]
+        return out or [Pack(())]
 
-    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
-        h = partition.header
-        if h is None:
-            return
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         files, _ = opened(self.path)
+        held, count = [], 0
+        for part in self._parts(files, partition):
+            held.append(part)
+            count += len(part)
+            if count >= AT_ONCE:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, count = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _parts(self, files: fs.FileSystem, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Blocks):
+            with files.open_input_file(partition.path) as file:
+                places = [(partition.first + k, at, size) for k, (at, size) in enumerate(zip(partition.header.at, partition.header.size))]
+                yield from self._cells(file, partition.path, partition.header, places)
+            return
+        for path in partition.paths:
+            with files.open_input_file(path) as file:
+                h = read_header(file)
+                yield from self._cells(file, path, h, [(i, h.at[i], h.size[i]) for i in self.wanted(h)])
+
+    def _cells(self, file, path: str, h: Header, places: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         across = -(-h.width // h.block[0])
-        with files.open_input_file(partition.path) as file:
-            for k, (at, size) in enumerate(zip(h.at, h.size)):
-                down, right = divmod(partition.first + k, across)
-                file.seek(at)
-                cells = read_block(file.read(size), h)[: h.height - down * h.block[1], : h.width - right * h.block[0]]
-                row, col = (c.ravel().astype(np.int32) for c in np.indices(cells.shape))
-                row, col = row + np.int32(down * h.block[1]), col + np.int32(right * h.block[0])
-                value = cells.ravel().astype(np.float64)
-                lost = np.isnan(value) if h.nodata is None else np.isnan(value) | (value == h.nodata)
-                x = h.corner[0] + (col + 0.5) * h.step[0]
-                y = h.corner[1] - (row + 0.5) * h.step[1]
-                columns = [pa.array([partition.path] * len(row), pa.string()), pa.array(row), pa.array(col), pa.array(x), pa.array(y), pa.array(value, mask=lost)]
-                yield pa.record_batch(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
+        for number, at, size in places:
+            down, right = divmod(number, across)
+            file.seek(at)
+            cells = read_block(file.read(size), h)[: h.height - down * h.block[1], : h.width - right * h.block[0]]
+            row, col = (c.ravel().astype(np.int32) for c in np.indices(cells.shape))
+            row, col = row + np.int32(down * h.block[1]), col + np.int32(right * h.block[0])
+            value = cells.ravel().astype(np.float64)
+            lost = np.isnan(value) if h.nodata is None else np.isnan(value) | (value == h.nodata)
+            if self.present:
+                row, col, value, lost = row[~lost], col[~lost], value[~lost], lost[~lost]
+            x = h.corner[0] + (col + 0.5) * h.step[0]
+            y = h.corner[1] - (row + 0.5) * h.step[1]
+            columns = [pa.repeat(pa.scalar(path, pa.string()), len(row)), pa.array(row), pa.array(col), pa.array(x), pa.array(y), pa.array(value, mask=lost)]
+            yield pa.record_batch(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 class TiffRasters(DataSource):
@@ -235,17 +282,18 @@ def write_rasters(cells: DataFrame, scene: str, folder: str, shape: tuple[int, i
     under their name when they are complete, so a task that runs again does no harm.
     """
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
+    def write(rows: pa.Table) -> pa.Table:
         grid = np.full(shape, nodata, np.float64)
-        own = rows.sort_values("value")
-        grid[own["row"].to_numpy(), own["col"].to_numpy()] = own["value"].to_numpy()
+        row, col, value = (rows[c].to_numpy() for c in ("row", "col", "value"))
+        order = np.argsort(value)
+        grid[row[order], col[order]] = value[order]
         files, place = opened(folder)
         files.create_dir(place, recursive=True)
-        name = f"{place}/{rows['scene'].iloc[0]}.tif"
+        name = f"{place}/{rows['scene'][0].as_py()}.tif"
         with files.open_output_stream(f"{name}.part") as out:
             out.write(encoded(grid, corner, step, nodata))
         files.move(f"{name}.part", name)
-        return pd.DataFrame({"path": [name], "n": [int((grid != nodata).sum())]})
+        return pa.table({"path": pa.array([name], pa.string()), "n": pa.array([int((grid != nodata).sum())], pa.int64())})
 
     named = cells.select(F.col(scene).cast("string").alias("scene"), "row", "col", F.col("value").cast("double").alias("value"))
-    return named.groupBy("scene").applyInPandas(write, "path string, n long")
+    return named.groupBy("scene").applyInArrow(write, "path string, n long")

@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
+from pyspark.sql.datasource import GreaterThanOrEqual, IsNotNull, LessThan
 
 from skyloom.sources import tiff
 
@@ -85,3 +85,21 @@ def test_what_is_not_understood_is_an_error():
     raw[at + 8 : at + 10] = struct.pack("<H", 5)
     with pytest.raises(ValueError, match="compression 5"):
         tiff.read_header(io.BytesIO(bytes(raw)))
+
+
+def test_many_small_files_are_few_partitions(spark, tmp_path):
+    """Two thousand files: a pack of many for each partition, no header read for the plan, and cells without a value left behind."""
+    cells = np.full((40, 4), -9.0)
+    cells[20, 1], cells[39, 3] = 5.0, 7.0
+    raw = tiff.encoded(cells, (0, 0), (1, 1), -9.0)
+    for i in range(2000):
+        (tmp_path / f"{i}.tif").write_bytes(raw)
+    reader = tiff._Reader(str(tmp_path))
+    packs = reader.partitions()
+    assert len(packs) < 100 and sum(len(p.paths) for p in packs) == 2000
+    list(reader.pushFilters([IsNotNull(("value",)), LessThan(("row",), 30)]))
+    batches = [b for p in packs[:1] for b in reader.read(p)]
+    assert sum(b.num_rows for b in batches) == len(packs[0].paths) and len(batches) == 1
+    got = tiff.read_rasters(spark, str(tmp_path)).where("row < 30 and value is not null")
+    assert got.groupBy("row", "col", "value").count().collect() == [(20, 1, 5.0, 2000)]
+    assert tiff.read_rasters(spark, str(tmp_path)).count() == 2000 * 160
