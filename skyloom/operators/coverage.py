@@ -121,13 +121,15 @@ def polygon_runs(polygons: DataFrame, layer: list[str], polygon_id: str, grid: G
     frame = (grid.lon0, grid.lat0, grid.step_lon / grid.supersample, grid.step_lat / grid.supersample)
     rows = (-reach, grid.n_lat * grid.supersample + reach)
     cols = (-reach, grid.n_lon * grid.supersample + reach)
-    whole = (
-        polygons.where(~F.exists("rings", lambda ring: ring.isNull()))
-        .groupBy(polygon_id, *layer).agg(F.flatten(F.collect_list("rings")).alias("rings"))
-    )
-    keys = [polygons.schema[c] for c in (polygon_id, *layer)]
-    schema = T.StructType([*keys, *[T.StructField(c, T.IntegerType()) for c in ("y", "xa", "xb")]])
-    return whole.mapInArrow(_runs_of([polygon_id, *layer], frame, rows, cols), schema)
+    names = list(dict.fromkeys([polygon_id, *layer]))
+    schema = T.StructType([*[polygons.schema[c] for c in names], *[T.StructField(c, T.IntegerType()) for c in ("y", "xa", "xb")]])
+    return _whole(polygons, names).mapInArrow(_runs_of(names, frame, rows, cols), schema)
+
+
+def _whole(polygons: DataFrame, names: list[str]) -> DataFrame:
+    """One row per polygon with all its rings."""
+    rings = F.flatten(F.collect_list("rings")).alias("rings")
+    return polygons.where(~F.exists("rings", lambda ring: ring.isNull())).groupBy(*names).agg(rings)
 
 
 #: Crossings of edges and rows that are ordered at once; a polygon with more is taken whole.
@@ -289,21 +291,91 @@ def coverage(polygons: DataFrame, layer: list[str], polygon_id: str, targets: Da
     """Polygons to disk fractions in one plan."""
     kernels = [grid.kernel(r) for r in radii]
     reach = max(max(abs(dy), *(h for h, _ in steps)) for k in kernels for dy, steps in k.items()) + 1
+    if polygon_id in layer:
+        return _polygon_fractions(polygons, layer, polygon_id, targets, radii, grid, reach)
     masks = layer_masks(polygon_runs(polygons, layer, polygon_id, grid, reach), layer)
     return disk_fractions(masks, layer, targets, radii, grid)
 
 
-def exact_shares(polygons: DataFrame, polygon_id: str, centres: DataFrame, keys: list[str],
-                 radii: list[float], cell_m: float = 500.0) -> DataFrame:
-    """The exact share of the disk around each centre that each polygon covers, where it is not zero.
+#: Disks whose rows are looked up at once.
+DISKS = 20_000
 
-    ``centres`` has ``keys``, longitude and latitude; disks are those of the
-    grid, circles in metres at the reference latitude.  Polygons register the
-    cells that their boxes touch, boxes only; rings are joined to the pairs that
-    pass the box test, edge by edge, and the areas that the edges cut out of the
-    circle add up.  Output columns ``share_<radius>``.
+
+def _overlaps(names: list[str], radii: list[float], grid: Grid, reach: int):
+    """Rows (names, rings, spots) to (ix, iy, names, fractions), from the runs of each polygon and sums of the disks' weights along a row."""
+    kernels = [grid.kernel(r) for r in radii]
+    dys = np.arange(-reach, reach + 1)
+    # for every radius and row the weight of all columns up to a place, from one before the disk to its end
+    upto = np.zeros((len(radii), len(dys), 2 * reach + 2), np.int64)
+    for i, rows in enumerate(kernels):
+        for dy, steps in rows.items():
+            for half, n in steps:
+                upto[i, dy + reach, reach + 1 - half : reach + 2 + half] += n
+    upto = upto.cumsum(2)
+    totals = [kernel_total(k) for k in kernels]
+    ss = grid.supersample
+    frame = (grid.lon0, grid.lat0, grid.step_lon / ss, grid.step_lat / ss)
+    rows, cols = (-reach, grid.n_lat * ss + reach), (-reach, grid.n_lon * ss + reach)
+    height = rows[1] - rows[0] + 1
+    runs_of = _runs_of(["at"], frame, rows, cols)
+
+    def fractions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = pa.record_batch([pa.array(np.arange(len(batch))), batch.column("rings")], names=["at", "rings"])
+            found = pa.Table.from_batches(runs_of(iter([numbered])), pa.schema([("at", pa.int64()), *[(c, pa.int32()) for c in ("y", "xa", "xb")]]))
+            at, y, xa, xb = (found[c].to_numpy().astype(np.int64) for c in ("at", "y", "xa", "xb"))
+            key = at * height + y - rows[0]
+            order = np.argsort(key, kind="stable")
+            key, xa, xb = key[order], xa[order], xb[order]
+            spots = batch.column("spots")
+            of = np.repeat(np.arange(len(batch)), spots.value_lengths().to_numpy(zero_copy_only=False))
+            ix, iy = (c.to_numpy(zero_copy_only=False) for c in spots.flatten().flatten())
+            for low in range(0, len(of), DISKS):
+                own = slice(low, low + DISKS)
+                row = iy[own].astype(np.int64)[:, None] * ss + dys[None, :]
+                asked = np.where((row >= rows[0]) & (row <= rows[1]), of[own][:, None] * height + row - rows[0], -1).ravel()
+                first, last = np.searchsorted(key, asked, "left"), np.searchsorted(key, asked, "right")
+                n = last - first
+                cell = np.repeat(np.arange(len(asked)), n)
+                run = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                disk, line = np.divmod(cell, len(dys))
+                x = ix[own].astype(np.int64)[disk] * ss
+                a, b = (np.clip(v - x, -reach - 1, reach) + reach + 1 for v in (xa[run] - 1, xb[run]))
+                size = len(ix[own])
+                counts = [np.bincount(disk, u[line, b] - u[line, a], size) for u in upto]
+                hit = np.flatnonzero(np.sum(counts, axis=0) > 0)
+                shares = [pa.array(np.minimum(1.0, c[hit] / total)) for c, total in zip(counts, totals)]
+                kept = [batch.column(c).take(pa.array(of[own][hit])) for c in names]
+                yield pa.record_batch([pa.array(ix[own][hit]), pa.array(iy[own][hit]), *kept, *shares], names=["ix", "iy", *names, *[f"frac_{int(r)}" for r in radii]])
+
+    return fractions
+
+
+def _polygon_fractions(polygons: DataFrame, layer: list[str], polygon_id: str, targets: DataFrame, radii: list[float], grid: Grid, reach: int) -> DataFrame:
+    """Disk fractions where every polygon is a layer of its own.
+
+    Nothing has to be united, so no words are formed and no tile is laid out for
+    a layer: a polygon meets the targets near its box, and the weights of each
+    disk are read off at the ends of the polygon's runs.
     """
-    reach = max(radii)
+    centres = targets.select("ix", "iy").distinct().withColumns({
+        "longitude": F.lit(grid.lon0) + F.col("ix") * F.lit(grid.step_lon), "latitude": F.lit(grid.lat0) + F.col("iy") * F.lit(grid.step_lat),
+    })
+    margin = (reach + 1) * grid.resolution_m / grid.supersample
+    whole = _whole(polygons, layer)
+    near = _near_boxes(whole, layer, centres, ["ix", "iy"], margin, 500.0)
+    spots = near.groupBy(*layer).agg(F.collect_list(F.struct("ix", "iy")).alias("spots"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in layer]
+    met = whole.alias("a").join(spots.alias("b").hint("merge"), same).select(*[F.col(f"a.{c}").alias(c) for c in layer], "rings", "spots")
+    schema = T.StructType([
+        *[T.StructField(c, T.IntegerType()) for c in ("ix", "iy")], *[polygons.schema[c] for c in layer],
+        *[T.StructField(f"frac_{int(r)}", T.DoubleType()) for r in radii],
+    ])
+    return met.mapInArrow(_overlaps(layer, radii, grid, reach), schema)
+
+
+def _near_boxes(polygons: DataFrame, names: list[str], centres: DataFrame, keys: list[str], reach_m: float, cell_m: float) -> DataFrame:
+    """(keys, names, longitude, latitude) of every centre within reach of a polygon's box; polygons register the cells that their boxes touch."""
     sx, sy = geo.LON_DEG_PER_M, geo.LAT_DEG_PER_M
     width, height = cell_m * sx, cell_m * sy
     box = geo.rings_bbox("rings")
@@ -313,16 +385,30 @@ def exact_shares(polygons: DataFrame, polygon_id: str, centres: DataFrame, keys:
         return F.explode(F.sequence(low_cell.cast("long"), high_cell.cast("long")))
 
     boxes = (
-        polygons.select(polygon_id, *[v.alias(f"__{k}") for k, v in box.items()])
-        .withColumn("__cx", span("__x0", "__x1", reach * sx, width)).withColumn("__cy", span("__y0", "__y1", reach * sy, height))
+        polygons.select(*names, *[v.alias(f"__{k}") for k, v in box.items()])
+        .withColumn("__cx", span("__x0", "__x1", reach_m * sx, width)).withColumn("__cy", span("__y0", "__y1", reach_m * sy, height))
     )
     placed = centres.withColumns({
         "__cx": F.floor(F.col("longitude") / F.lit(width)).cast("long"), "__cy": F.floor(F.col("latitude") / F.lit(height)).cast("long"),
     })
-    near = split_join(placed, boxes, ["__cx", "__cy"]).where(
-        F.col("longitude").between(F.col("__x0") - F.lit(reach * sx), F.col("__x1") + F.lit(reach * sx))
-        & F.col("latitude").between(F.col("__y0") - F.lit(reach * sy), F.col("__y1") + F.lit(reach * sy))
-    ).select(*keys, polygon_id, "longitude", "latitude")
+    return split_join(placed, boxes, ["__cx", "__cy"]).where(
+        F.col("longitude").between(F.col("__x0") - F.lit(reach_m * sx), F.col("__x1") + F.lit(reach_m * sx))
+        & F.col("latitude").between(F.col("__y0") - F.lit(reach_m * sy), F.col("__y1") + F.lit(reach_m * sy))
+    ).select(*keys, *names, "longitude", "latitude")
+
+
+def exact_shares(polygons: DataFrame, polygon_id: str, centres: DataFrame, keys: list[str],
+                 radii: list[float], cell_m: float = 500.0) -> DataFrame:
+    """The exact share of the disk around each centre that each polygon covers, where it is not zero.
+
+    ``centres`` has ``keys``, longitude and latitude; disks are those of the
+    grid, circles in metres at the reference latitude.  Polygons register the
+    cells that their boxes touch, boxes only; rings are joined to the pairs that
+    pass the box test, edge by edge, and the areas that the edges cut out of the
+    circle add up.  Output columns ``share_<radius>``.
+    """
+    sx, sy = geo.LON_DEG_PER_M, geo.LAT_DEG_PER_M
+    near = _near_boxes(polygons, [polygon_id], centres, keys, max(radii), cell_m)
 
     def ends(ring: Column) -> Column:
         n = F.greatest(F.size(ring) - 1, F.lit(0))

@@ -155,3 +155,21 @@ def test_event_study_holds_no_products_of_indicators(spark):
         panel.materialise = whole
     first = seen[0].first()
     assert {len(v) for v in first["s"]} == {1} and len(first["p"]) == 1
+
+
+def test_a_polygon_of_its_own_equals_a_layer_of_one(spark):
+    """Shares of single polygons, with holes and beyond the grid, are those of layers that hold one polygon each."""
+    grid = coverage.Grid()
+
+    def ring(x, y, side):
+        a, b = grid.lon0 + x * grid.step_lon, grid.lat0 + y * grid.step_lat
+        return [(a + dx * grid.step_lon, b + dy * grid.step_lat) for dx, dy in ((0, 0), (side, 0), (side, side), (0, side), (0, 0))]
+
+    rows = [(1, [ring(2.3, 2.1, 9), ring(4.2, 4.7, 3)]), (2, [ring(-5.0, -5.0, 7.4)]), (3, [ring(30.2, 30.1, 0.6)]), (4, [])]
+    polygons = spark.createDataFrame(rows, "pid int, rings array<array<struct<x:double,y:double>>>").withColumn("name", F.col("pid").cast("string"))
+    targets = spark.range(40 * 40).select((F.col("id") % 40).cast("int").alias("ix"), (F.col("id") / 40).cast("int").alias("iy"))
+    own = coverage.coverage(polygons, ["pid"], "pid", targets, [30.0, 60.0], grid)
+    layers = coverage.coverage(polygons, ["name"], "pid", targets, [30.0, 60.0], grid)
+    want = {(r["ix"], r["iy"], r["name"], r["frac_30"], r["frac_60"]) for r in layers.collect()}
+    got = [(r["ix"], r["iy"], str(r["pid"]), r["frac_30"], r["frac_60"]) for r in own.collect()]
+    assert len(want) > 100 and len(got) == len(want) and set(got) == want
