@@ -1,10 +1,10 @@
 """Share of a disk around a location that polygons of a class cover.
 
-Polygons become bit masks on a fine sub-grid: one 64-bit word per layer, row
-and block of 64 columns.  Union of polygons is a bitwise or, the overlap of a
-mask row with a disk row is a difference of two row sums; both are integers, so
-results do not depend on the order of work.  Words and grid points are unique
-keys, which bounds every tile by the geometry and leaves no room for skew.
+Polygons become bit pictures on a fine sub-grid, one per layer and tile.  Union
+of polygons is a bitwise or, the overlap of a row with a disk row is a
+difference of two row sums; both are integers, so results do not depend on the
+order of work.  Polygons go to the tiles that they touch and are drawn there,
+so what is shuffled follows polygons and tiles, not the rows that they cross.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from pyspark.sql import types as T
 
 from skyloom.functions import geo
 from skyloom.operators.scale import split_join
-
-WORD = 64
+from skyloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -182,23 +181,6 @@ def _runs_of(keys: list[str], frame: tuple, rows: tuple[int, int], cols: tuple[i
     return runs
 
 
-def _bits(low: Column, high: Column) -> Column:
-    """Word with bits low..high set; 0 when the span is empty."""
-    width = high - low + 1
-    gap = F.greatest(F.lit(0), F.least(F.lit(WORD - 1), F.lit(WORD) - width))
-    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), gap)
-    return F.when(width <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", ones, low))
-
-
-def layer_masks(runs: DataFrame, layer: list[str]) -> DataFrame:
-    """Union of runs per layer: (layer, y, block, word)."""
-    block = F.explode(F.sequence(F.floor(F.col("xa") / WORD).cast("int"), F.floor(F.col("xb") / WORD).cast("int")))
-    cut = runs.withColumn("block", block)
-    low = F.greatest(F.col("xa") - F.col("block") * WORD, F.lit(0))
-    high = F.least(F.col("xb") - F.col("block") * WORD, F.lit(WORD - 1))
-    return cut.groupBy(*layer, "y", "block").agg(F.bit_or(_bits(low, high)).alias("word"))
-
-
 class _Disks:
     """The disks of some radii as flat arrays: row, half width and weight of every step, and the radius it belongs to."""
 
@@ -217,84 +199,174 @@ class _Disks:
         return (sums[rows, x[:, None] + self.half + 1] - sums[rows, x[:, None] - self.half]) @ self.weights
 
 
-#: Targets along the side of a tile.
-TILE = 64
+#: Targets along the side of a tile; pieces that one task draws.
+TILE, PIECES = 64, 20_000
+
+
+class _Tiles:
+    """The sub-grid in squares of ``TILE`` targets, each with the margin that its disks reach."""
+
+    def __init__(self, radii: list[float], grid: Grid) -> None:
+        self.disks = disks = _Disks(radii, grid)
+        self.ss, self.side = grid.supersample, TILE * grid.supersample
+        self.height, self.width = self.side + 2 * disks.reach_y, self.side + 2 * disks.reach_x
+        self.frame = (grid.lon0, grid.lat0, grid.step_lon / self.ss, grid.step_lat / self.ss)
+        self.rows = (-disks.reach_y, grid.n_lat * self.ss + disks.reach_y)
+        self.cols = (-disks.reach_x, grid.n_lon * self.ss + disks.reach_x)
+
+    def corner(self, tx: int, ty: int) -> tuple[int, int]:
+        return tx * self.side - self.disks.reach_x, ty * self.side - self.disks.reach_y
+
+
+def _pieces(polygons: DataFrame, layer: list[str], polygon_id: str, targets: DataFrame, tiles: _Tiles) -> DataFrame:
+    """(tx, ty, layer, rings) of every polygon in every tile that its box touches and that has targets.
+
+    Rings are left as the edges that cross the rows of the tile, two points
+    each: crossings of other rows and level edges bound no run in it.
+    """
+    lon0, lat0, sub_lon, sub_lat = tiles.frame
+    disks, side = tiles.disks, tiles.side
+
+    def edges(ring: Column) -> Column:
+        n = F.greatest(F.size(ring) - 1, F.lit(0))
+        return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda p, q: F.array(p, q))
+
+    def end(pick, c: str):
+        """Of an edge the lower or higher end; null when it is not a number."""
+
+        def value(e: Column) -> Column:
+            v = pick(e[0][c], e[1][c])
+            return F.when(~F.isnan(v), v)
+
+        return value
+
+    def crossing(e: Column) -> Column:
+        known = e[0]["y"].isNotNull() & e[1]["y"].isNotNull() & ~F.isnan(e[0]["y"]) & ~F.isnan(e[1]["y"])
+        return known & (e[0]["y"] != e[1]["y"])
+
+    def span(low: Column, upto: Column, origin: float, step: float, reach: int, ends: tuple[int, int]) -> Column:
+        """Tiles from one coordinate to another, a cell more on both sides, within the grid."""
+        first, last = ((v - F.lit(origin)) / F.lit(step) for v in (low, upto))
+        bounds = [F.greatest(F.lit(float(ends[0])), F.least(F.lit(float(ends[1])), v)) for v in (first - (reach + 1), last + (reach + 1))]
+        return F.explode(F.sequence(*[F.floor(v / F.lit(float(side))).cast("int") for v in bounds]))
+
+    whole = _whole(polygons, list(dict.fromkeys([polygon_id, *layer]))).select(
+        F.to_json(F.struct(*layer)).alias("layer"), F.filter(F.flatten(F.transform("rings", edges)), crossing).alias("edges")
+    ).where(F.size("edges") > 0)
+    boxed = whole.withColumns({
+        f"{c}{i}": outermost(F.transform("edges", end(pick, c)))
+        for c in "xy" for i, (outermost, pick) in enumerate(((F.array_min, F.least), (F.array_max, F.greatest)))
+    })
+    asked = targets.select(*[F.floor(F.col(c) / TILE).cast("int").alias(t) for c, t in (("ix", "tx"), ("iy", "ty"))]).distinct()
+    placed = boxed.withColumn("tx", span(F.col("x0"), F.col("x1"), lon0, sub_lon, disks.reach_x, tiles.cols))
+    placed = placed.withColumn("ty", span(F.col("y0"), F.col("y1"), lat0, sub_lat, disks.reach_y, tiles.rows))
+    south = F.lit(lat0) + (F.col("ty") * side - disks.reach_y - 1) * F.lit(sub_lat)
+    north = south + F.lit((tiles.height + 2) * sub_lat)
+    near = F.filter("edges", lambda e: (end(F.greatest, "y")(e) >= south) & (end(F.least, "y")(e) <= north))
+    return placed.join(asked, ["tx", "ty"], "left_semi").select("tx", "ty", "layer", near.alias("rings")).where(F.size("rings") > 0)
 
 
-def _tile_fractions(disks: _Disks, side: int, ss: int, names: list[str]):
-    height, width = side + 2 * disks.reach_y, side + 2 * disks.reach_x
+def _painted(tiles: _Tiles):
+    """Pieces in order of tile and layer to the cells they cover: one packed picture for each tile and layer of a batch."""
+    height, width = tiles.height, tiles.width
 
-    def fractions(key: tuple, targets: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tx, ty = (batch.column(c).to_numpy() for c in ("tx", "ty"))
+            layer = batch.column("layer").dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.append(True, (np.diff(tx) != 0) | (np.diff(ty) != 0)))
+            for low, high in zip(starts, np.append(starts[1:], len(tx))):
+                x0, y0 = tiles.corner(int(tx[low]), int(ty[low]))
+                rows = (max(y0, tiles.rows[0]), min(y0 + height - 1, tiles.rows[1]))
+                cols = (max(x0, tiles.cols[0]), min(x0 + width - 1, tiles.cols[1]))
+                own = pa.record_batch([pa.array(np.arange(low, high)), batch.column("rings").slice(low, high - low)], names=["at", "rings"])
+                pictures: dict[int, np.ndarray] = {}
+                for runs in _runs_of(["at"], tiles.frame, rows, cols)(iter([own])):
+                    at, y, xa, xb = (runs.column(i).to_numpy().astype(np.int64) for i in range(4))
+                    of = layer[at]
+                    line = (y - y0) * (width + 1) - x0
+                    heads = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+                    for a, b in zip(heads, np.append(heads[1:], len(of))):
+                        # begins less ends, added up along each row, are the polygons over a cell
+                        size = height * (width + 1)
+                        depth = np.bincount(line[a:b] + xa[a:b], minlength=size) - np.bincount(line[a:b] + xb[a:b] + 1, minlength=size)
+                        held = np.packbits(depth.reshape(height, width + 1).cumsum(1)[:, :width] > 0)
+                        key = int(of[a])
+                        pictures[key] = pictures[key] | held if key in pictures else held
+                if pictures:
+                    first = {int(k): low + i for k, i in zip(*np.unique(layer[low:high], return_index=True))}
+                    named = batch.column("layer").take(pa.array([first[k] for k in pictures]))
+                    places = [pa.array(np.full(len(pictures), c[low], np.int32)) for c in (tx, ty)]
+                    yield pa.record_batch([*places, named, pa.array([v.tobytes() for v in pictures.values()], pa.binary())], names=["tx", "ty", "layer", "cells"])
+
+    return paint
+
+
+def _tile_fractions(tiles: _Tiles, names: list[str]):
+    disks, height, width = tiles.disks, tiles.height, tiles.width
+
+    def fractions(key: tuple, targets: pd.DataFrame, pictures: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(targets):
-            x0, y0 = key[0] * side - disks.reach_x, key[1] * side - disks.reach_y
-            x, y = targets["ix"].to_numpy() * ss - x0, targets["iy"].to_numpy() * ss - y0
-            for layer, own in words.groupby("layer", sort=False):
-                # a word of margin on both sides takes what reaches over the tile's edge
-                cells = np.zeros((height, width + 2 * WORD), np.int32)
-                bits = np.unpackbits(own["word"].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                at = own["block"].to_numpy() * WORD - x0 + WORD
-                cells[(own["y"].to_numpy() - y0)[:, None], at[:, None] + np.arange(WORD)] = bits
-                sums = np.zeros((height, width + 1), np.int32)
-                np.cumsum(cells[:, WORD : WORD + width], axis=1, out=sums[:, 1:])
-                counts = disks.counts(sums, x, y)
+            x0, y0 = tiles.corner(key[0], key[1])
+            ix, iy = targets["ix"].to_numpy(), targets["iy"].to_numpy()
+            sums = np.zeros((height, width + 1), np.int32)
+            for layer, own in pictures.groupby("layer", sort=False)["cells"]:
+                held = np.bitwise_or.reduce([np.frombuffer(c, np.uint8) for c in own])
+                np.cumsum(np.unpackbits(held, count=height * width).reshape(height, width), axis=1, dtype=np.int32, out=sums[:, 1:])
+                counts = disks.counts(sums, ix * tiles.ss - x0, iy * tiles.ss - y0)
                 hit = np.flatnonzero(counts.any(1))
-                if len(hit):
-                    shares = np.minimum(1.0, counts[hit] / np.array(disks.totals, float))
-                    part = pd.DataFrame(shares, columns=names)
-                    part.insert(0, "layer", layer)
-                    part.insert(0, "iy", targets["iy"].to_numpy()[hit])
-                    part.insert(0, "ix", targets["ix"].to_numpy()[hit])
-                    found.append(part)
-        out = pd.concat(found) if found else pd.DataFrame({c: [] for c in ("ix", "iy", "layer", *names)})
-        return out.astype({"layer": object})
+                found.append((ix[hit], iy[hit], np.full(len(hit), layer, object), np.minimum(1.0, counts[hit] / np.array(disks.totals, float))))
+        if not found:
+            return pd.DataFrame({c: [] for c in ("ix", "iy", "layer", *names)}).astype({"layer": object})
+        columns = [np.concatenate(c) for c in zip(*found)]
+        return pd.DataFrame({"ix": columns[0], "iy": columns[1], "layer": columns[2], **dict(zip(names, columns[3].T))})
 
     return fractions
 
 
-def disk_fractions(masks: DataFrame, layer: list[str], targets: DataFrame, radii: list[float],
-                   grid: Grid) -> DataFrame:
-    """Covered share of the disk around each grid point, per layer and radius.
+def _cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
 
-    ``targets`` holds distinct (ix, iy).  Output columns ``frac_<radius>``; rows
-    exist only where some radius is touched.
 
-    Targets and words meet in tiles of ``TILE`` by ``TILE`` targets; a word goes
-    to the tiles whose disks reach it, between one and four.  A tile unpacks the
-    words of a layer once, adds up its rows, and reads every step of every disk
-    as a difference of two sums.  What a tile holds is bounded by its area and
-    the number of layers; what is shuffled is words and targets.
-    """
-    ss, side = grid.supersample, TILE * grid.supersample
-    disks = _Disks(radii, grid)
-    placed = targets.select("ix", "iy", F.floor(F.col("ix") / TILE).cast("int").alias("tx"), F.floor(F.col("iy") / TILE).cast("int").alias("ty"))
+def layer_pictures(polygons: DataFrame, layer: list[str], polygon_id: str, targets: DataFrame, tiles: _Tiles) -> DataFrame:
+    """Union of polygons per layer: (tx, ty, layer, cells), the cells of a tile as packed bits.
 
-    def tiles(first: Column, last: Column) -> Column:
-        return F.explode(F.sequence(F.floor(first / side).cast("int"), F.floor(last / side).cast("int")))
-
-    start = F.col("block") * WORD
-    words = (
-        masks.select(F.to_json(F.struct(*layer)).alias("layer"), "y", "block", "word")
-        .withColumn("tx", tiles(start - disks.reach_x, start + (WORD - 1 + disks.reach_x)))
-        .withColumn("ty", tiles(F.col("y") - disks.reach_y, F.col("y") + disks.reach_y))
-        .join(placed.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
-    )
-    names = [f"frac_{int(r)}" for r in radii]
-    schema = "ix int, iy int, layer string, " + ", ".join(f"{n} double" for n in names)
-    found = placed.groupBy("tx", "ty").cogroup(words.groupBy("tx", "ty")).applyInPandas(_tile_fractions(disks, side, ss, names), schema)
-    kept = F.from_json("layer", masks.select(*layer).schema)
-    return found.withColumn("layer", kept).select("ix", "iy", *[F.col("layer")[c].alias(c) for c in layer], *names)
+    Polygons travel, not their rows: pieces are dealt out in order of tiles, a
+    crowded tile over several tasks, and each task adds up the runs of a layer
+    in the tile where they lie.  So there are as many pictures as layers in
+    tiles, and one more at each cut between tasks or batches.
+    """
+    pieces = materialise(_pieces(polygons, layer, polygon_id, targets, tiles).withColumn("n", F.monotonically_increasing_id()), "pieces")
+    # few bytes make much work here, so the number of tasks follows the pieces
+    tasks = max(_cores(pieces), -(-pieces.count() // PIECES))
+    dealt = pieces.repartitionByRange(tasks, "ty", "tx", "n").sortWithinPartitions("ty", "tx", "layer").select("tx", "ty", "layer", "rings")
+    return dealt.mapInArrow(_painted(tiles), "tx int, ty int, layer string, cells binary")
 
 
 def coverage(polygons: DataFrame, layer: list[str], polygon_id: str, targets: DataFrame,
              radii: list[float], grid: Grid) -> DataFrame:
-    """Polygons to disk fractions in one plan."""
-    kernels = [grid.kernel(r) for r in radii]
-    reach = max(max(abs(dy), *(h for h, _ in steps)) for k in kernels for dy, steps in k.items()) + 1
+    """Covered share of the disk around each grid point, per layer and radius.
+
+    ``targets`` holds distinct (ix, iy).  Output columns ``frac_<radius>``; rows
+    exist only where some radius is touched.  Targets and pictures of layers
+    meet in tiles of ``TILE`` by ``TILE`` targets; every step of every disk is a
+    difference of two sums along a row.  What a tile holds is bounded by its
+    area and the number of layers.
+    """
     if polygon_id in layer:
+        kernels = [grid.kernel(r) for r in radii]
+        reach = max(max(abs(dy), *(h for h, _ in steps)) for k in kernels for dy, steps in k.items()) + 1
         return _polygon_fractions(polygons, layer, polygon_id, targets, radii, grid, reach)
-    masks = layer_masks(polygon_runs(polygons, layer, polygon_id, grid, reach), layer)
-    return disk_fractions(masks, layer, targets, radii, grid)
+    tiles = _Tiles(radii, grid)
+    placed = targets.select("ix", "iy", F.floor(F.col("ix") / TILE).cast("int").alias("tx"), F.floor(F.col("iy") / TILE).cast("int").alias("ty"))
+    pictures = layer_pictures(polygons, layer, polygon_id, targets, tiles)
+    names = [f"frac_{int(r)}" for r in radii]
+    schema = "ix int, iy int, layer string, " + ", ".join(f"{n} double" for n in names)
+    met = [df.repartition(8 * _cores(df), "tx", "ty").groupBy("tx", "ty") for df in (placed, pictures)]
+    found = met[0].cogroup(met[1]).applyInPandas(_tile_fractions(tiles, names), schema)
+    kept = F.from_json("layer", T.StructType([polygons.schema[c] for c in layer]))
+    return found.withColumn("layer", kept).select("ix", "iy", *[F.col("layer")[c].alias(c) for c in layer], *names)
 
 
 #: Disks whose rows are looked up at once.

@@ -1,5 +1,6 @@
 """Steps whose work must follow the input and not its keys, copies or formulas."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skyloom.functions import geo
@@ -173,3 +174,40 @@ def test_a_polygon_of_its_own_equals_a_layer_of_one(spark):
     want = {(r["ix"], r["iy"], r["name"], r["frac_30"], r["frac_60"]) for r in layers.collect()}
     got = [(r["ix"], r["iy"], str(r["pid"]), r["frac_30"], r["frac_60"]) for r in own.collect()]
     assert len(want) > 100 and len(got) == len(want) and set(got) == want
+
+
+def test_layers_are_drawn_where_their_polygons_lie(spark):
+    """Many polygons over many rows make one picture for a layer in a tile, and the union of their runs."""
+    rng = np.random.default_rng(3)
+    grid = coverage.Grid()
+    sub_lon, sub_lat = grid.step_lon / 4, grid.step_lat / 4
+
+    def ring(x, y, w, h):
+        return [(float(grid.lon0 + a * sub_lon), float(grid.lat0 + b * sub_lat)) for a, b in ((x, y), (x + w, y + 0.3), (x + w, y + h), (x, y + h), (x, y))]
+
+    rows = [(i, ["a", None, "b"][i % 3], [ring(*(rng.random(2) * 300 + 0.1), *(rng.random(2) * 60 + 9)), *([ring(150.2, 150.1, 20, 20)] if i % 5 == 0 else [])]) for i in range(400)]
+    rows += [(400, "a", [ring(-900.3, -900.2, 880.0, 905.5)]), (401, "b", [])]
+    polygons = spark.createDataFrame(rows, "pid int, layer string, rings array<array<struct<x:double,y:double>>>")
+    spots = [(i, j) for i in range(0, 90, 6) for j in range(0, 90, 6)]
+    targets = spark.createDataFrame(spots, "ix int, iy int")
+    tiles = coverage._Tiles([60.0], grid)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")  # pictures are cut between batches
+    try:
+        got = {(r.ix, r.iy, r.layer): r.frac_60 for r in coverage.coverage(polygons, ["layer"], "pid", targets, [60.0], grid).collect()}
+        pictures = coverage.layer_pictures(polygons, ["layer"], "pid", targets, tiles).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    runs = coverage.polygon_runs(polygons, ["layer"], "pid", grid, 40).toPandas()
+    assert pictures < len(runs) / 100
+    kernel, want = grid.kernel(60.0), {}
+    for layer in ("a", None, "b"):
+        cells = np.zeros((900, 900), np.int64)
+        own = runs[runs.layer.isnull() if layer is None else runs.layer == layer]
+        for r in own.itertuples():
+            cells[r.y + 50, max(0, r.xa + 50) : r.xb + 51] = 1
+        for ix, iy in spots:
+            n = sum(c * cells[iy * 4 + dy + 50, ix * 4 - half + 50 : ix * 4 + half + 51].sum() for dy, steps in kernel.items() for half, c in steps)
+            if n:
+                want[ix, iy, layer] = min(1.0, n / coverage.kernel_total(kernel))
+    assert len(want) > 200 and got == want
