@@ -8,7 +8,7 @@ digamma(N) + digamma(k) less the mean digammas of the two counts, at least 0.
 Equal rows are one point with a weight.  Points are dealt out by rank, into
 strips along x and tiles of about ``TILE`` points along y, so crowded and empty
 regions give tiles of one size.  A tile finds the nearest neighbours among its
-own points; a point whose distance reaches over the tile's box asks only the
+own points, each looking around itself first; a point whose distance reaches over the tile's box asks only the
 tiles that it reaches, and the nearest of all answers counts.  Rows within a
 distance in one column are the difference of two ranks, found for all points by
 one sort.  No pair is formed beyond a tile, and a hot value is one point.
@@ -27,8 +27,8 @@ from skyloom.operators.ranks import number, ordered_totals
 from skyloom.operators.scale import enrich
 from skyloom.session import materialise
 
-#: Points of a tile; strips at most; distances formed at once.
-TILE, STRIPS, AT_ONCE = 2000, 2048, 4_000_000
+#: Points of a tile; strips at most; distances formed at once; points of a tile on either side that a query looks at first.
+TILE, STRIPS, AT_ONCE, VIEW = 2000, 2048, 4_000_000, 64
 
 
 def digamma(x: Column) -> Column:
@@ -42,13 +42,32 @@ def digamma(x: Column) -> Column:
 
 
 def _nearest(px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray, k: int) -> np.ndarray:
-    """The k smallest distances of each query to the points, ascending, infinite where there are fewer."""
+    """The k smallest distances of each query to the points, ascending, infinite where there are fewer.
+
+    Along the column of more different values, queries next to each other look
+    at the points around them.  Points left out are at least as far as the
+    first of them on either side; a query whose k-th distance is greater than
+    that asks again, with a wider view, at last of all points.
+    """
+    if len(np.unique(px)) > len(np.unique(py)):
+        px, py, qx, qy = py, px, qy, qx
+    order = np.argsort(py, kind="stable")
+    px, py = px[order], py[order]
     out = np.full((len(qx), k), np.inf)
-    step = max(1, AT_ONCE // max(1, len(px)))
-    for at in range(0, len(qx), step):
-        d = np.maximum(np.abs(qx[at : at + step, None] - px[None, :]), np.abs(qy[at : at + step, None] - py[None, :]))
-        found = np.sort(np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d, axis=1)
-        out[at : at + step, : found.shape[1]] = found
+    asking, view = np.argsort(qy, kind="stable"), VIEW
+    while len(asking):
+        step = max(1, min(VIEW, AT_ONCE // max(1, len(px))))
+        left = []
+        for at in range(0, len(asking), step):
+            own = asking[at : at + step]
+            low = max(0, int(np.searchsorted(py, qy[own[0]])) - view)
+            high = min(len(py), int(np.searchsorted(py, qy[own[-1]], "right")) + view)
+            d = np.maximum(np.abs(qx[own, None] - px[None, low:high]), np.abs(qy[own, None] - py[None, low:high]))
+            found = np.sort(np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d, axis=1)
+            out[own, : found.shape[1]] = found
+            beyond = np.minimum(qy[own] - py[low - 1] if low else np.inf, py[high] - qy[own] if high < len(py) else np.inf)
+            left.append(own[out[own, k - 1] > beyond])
+        asking, view = np.concatenate(left), view * 8
     return out
 
 

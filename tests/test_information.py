@@ -114,3 +114,26 @@ def test_column_quantiles(spark):
     for c in ("a", "b.c"):
         assert got[c] == pytest.approx(np.nanquantile(frame[c], [0.0, 0.3, 0.5, 1.0]))
     assert math.isfinite(got["a"][0]) and ranks.column_quantiles(spark.createDataFrame(frame), [], [0.5]) == {}
+
+
+@pytest.mark.parametrize("kind", ["distinct", "ties", "line", "few"])
+def test_queries_look_around_themselves(kind):
+    """The nearest of a tile without the distances of all its pairs, also where values repeat."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    px, py = (rng.random(2 if kind == "few" else 2000) for _ in "xy")
+    if kind == "ties":
+        px, py = np.round(px * 20), np.round(py * 300)
+    if kind == "line":
+        px = np.repeat(0.5, len(px))
+    at = rng.integers(0, len(px), 1500)
+    qx, qy = px[at] + rng.random(1500) * 0.3, py[at] - rng.random(1500) * 0.1
+    d = np.sort(np.maximum(np.abs(qx[:, None] - px), np.abs(qy[:, None] - py)), axis=1)[:, :3]
+    want = np.full((1500, 3), np.inf)
+    want[:, : d.shape[1]] = d
+    tracemalloc.start()
+    got = information._nearest(px, py, qx, qy, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, want) and peak < 8_000_000
