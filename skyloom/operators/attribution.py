@@ -74,7 +74,8 @@ class Tree:
 def saved_trees(model, spark) -> list[Tree]:
     """The trees of a fitted forest, boosted or single-tree regression, read from the model's own table of nodes.
 
-    Forests average their trees; boosted models weigh them.
+    Forests average their trees; boosted models weigh them.  A node's cover is
+    the weight of its training rows, where one stands for several.
     """
     model = getattr(model, "model", model)
     path = new_table_path(spark, "model")
@@ -85,7 +86,8 @@ def saved_trees(model, spark) -> list[Tree]:
     else:
         table = table.withColumn("treeID", F.lit(0))
     split = {"feature": F.col("split.featureIndex"), "cut": F.get("split.leftCategoriesOrThreshold", F.lit(0)), "categories": F.col("split.numCategories")}
-    nodes = table.select("treeID", "id", "leftChild", "rightChild", "prediction", "rawCount", *[c.alias(n) for n, c in split.items()])
+    cover = F.get("impurityStats", F.lit(0)).alias("cover")
+    nodes = table.select("treeID", "id", "leftChild", "rightChild", "prediction", cover, *[c.alias(n) for n, c in split.items()])
     frame = nodes.orderBy("treeID", "id").toPandas()  # bounded by trees and depth
     inner = frame["leftChild"] >= 0
     if (frame.loc[inner, "categories"] >= 0).any():
@@ -99,7 +101,7 @@ def saved_trees(model, spark) -> list[Tree]:
         trees.append(
             Tree(
                 own["feature"].to_numpy(np.int64), own["cut"].fillna(0.0).to_numpy(float), own["leftChild"].to_numpy(np.int64),
-                own["rightChild"].to_numpy(np.int64), own["prediction"].to_numpy(float), own["rawCount"].to_numpy(float), float(weight),
+                own["rightChild"].to_numpy(np.int64), own["prediction"].to_numpy(float), own["cover"].to_numpy(float), float(weight),
             )
         )
     return trees

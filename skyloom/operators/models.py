@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators.ranks import reached
 from skyloom.operators.scale import hash_order, numbered, take_lowest
 from skyloom.operators.transforms import FittedScaler, FittedTransforms, Transform, fit_scaler, fit_transforms
 from skyloom.session import materialise
@@ -32,8 +33,37 @@ EQUAL = "__equal"
 
 
 def equal_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The different rows of ``columns``, written, with how often each occurs as ``EQUAL``."""
-    return materialise(df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias(EQUAL)), "equal-rows")
+    """The different rows of ``columns``, written, with how often each occurs as ``EQUAL``.
+
+    They are dealt out evenly: whoever passes over them many times waits for the largest part each time.
+    """
+    keys = [F.col(f"`{c}`") for c in columns]
+    return materialise(evenly(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(EQUAL)), columns), "equal-rows")
+
+
+def evenly(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Different rows of ``columns`` in as many parts of like size as there are cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *[F.col(f"`{c}`") for c in columns])
+
+
+#: Equal rows that a forest draws one by one at least; more are drawn in so many pieces.
+DRAWN = 32
+
+
+def in_pieces(df: DataFrame, most: int) -> DataFrame:
+    """Rows that stand for n as n rows of their own, or as ``most`` of even shares where n is more.
+
+    A forest draws each piece by itself.  Rows that occur no more than ``most``
+    times are drawn as if they had not been put together, and a set of rows has
+    at least ``most`` pieces if it has as many rows, so that a least number of
+    drawn rows in a node, far below ``most``, is met by the same nodes.
+    """
+    if most <= 1:
+        return df
+    n, k = F.col(EQUAL), F.least(F.col(EQUAL), F.lit(int(most)))
+    cut = df.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
+    share = F.floor(n / k) + F.when(F.col("__piece") < n % k, 1).otherwise(0)
+    return cut.withColumn(EQUAL, share.cast("long")).drop("__piece")
 
 
 def regression_metrics(df: DataFrame, prediction: str, target: str, by: Sequence[str] = (), weight: str | None = None, centre: float = 0.0) -> DataFrame:
@@ -88,11 +118,14 @@ MODELS: dict[str, dict] = {
 }
 
 
-def fills(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
+def fills(df: DataFrame, features: Sequence[str], weight: str | None = None) -> dict[str, float]:
     """What a missing value of each feature becomes: the median, zero for a column without any value.
 
-    One pass over all columns; ranks are off by at most a ten-thousandth.
+    One pass over all columns; ranks are off by at most a ten-thousandth.  With
+    ``weight`` a row stands for that many, and ranks are exact.
     """
+    if weight is not None:
+        return {f: (own[0] if own else 0.0) for f, own in reached(df, features, [0.5], weight).items()}
     present = [F.when(~F.isnan(_x(f)), _x(f)) for f in features]
     row = df.agg(*[F.percentile_approx(v, 0.5).alias(f"m{i}") for i, v in enumerate(present)]).first()
     return {f: float(row[f"m{i}"] or 0.0) for i, f in enumerate(features)}
@@ -161,7 +194,8 @@ class NystroemModel:
 
 
 def fit_model(kind: str, train: DataFrame, features: Sequence[str], target: str, seed: int = 42, *, transforms: Sequence[Transform] = (),
-              scaler: str | None = None, column_scalers: dict[str, str] | None = None, **params):
+              scaler: str | None = None, column_scalers: dict[str, str] | None = None, weight: str | None = None,
+              fill: dict[str, float] | None = None, **params):
     """Fit one of ``MODELS`` on all rows that have a target; missing features become medians.
 
     ``transforms`` are learned from the training rows; their outputs join the
@@ -169,11 +203,15 @@ def fit_model(kind: str, train: DataFrame, features: Sequence[str], target: str,
     default for all columns, ``column_scalers`` names others for some.
 
     Models that go over the rows many times, or form much for each, see equal
-    rows of features and target once, with their number as weight.  Forests
-    draw every row by itself and see all of them.
+    rows of features and target once, with their number as weight; forests see
+    them in pieces, which they draw.  With ``weight=EQUAL`` the rows are such
+    ``equal_rows`` already; transforms and scalers must then have been applied.
+    ``fill`` is what stands for missing features where that is known.
     """
     if kind not in MODELS:
         raise ValueError(f"unknown model {kind!r}")
+    if weight is not None and (weight != EQUAL or transforms or scaler or column_scalers):
+        raise ValueError(f"weighted rows are equal_rows, their number is {EQUAL!r}, and they are neither transformed nor scaled here")
     options = {**MODELS[kind], **params}
     common = {"featuresCol": "features", "labelCol": target, "predictionCol": "prediction"}
     train = train.where(_x(target).isNotNull() & ~F.isnan(_x(target)))
@@ -181,7 +219,7 @@ def fit_model(kind: str, train: DataFrame, features: Sequence[str], target: str,
     if shaped:
         shown = shaped.transform(train).columns
         features = [c for c in dict.fromkeys([*features, *shaped.added()]) if c in shown]
-    fill = fills(shaped.transform(train) if shaped else train, features)
+    fill = fill or fills(shaped.transform(train) if shaped else train, features, weight)
     ready = Fitted(None, fill, shaped)
     if scaler is not None or column_scalers:
         ready.scaler = fit_scaler(ready.prepared(train), features, scaler or "none", column_scalers)
@@ -194,20 +232,24 @@ def fit_model(kind: str, train: DataFrame, features: Sequence[str], target: str,
     if kind in ("second_order", "extra_trees"):
         from skyloom.operators import trees
 
+        own = {"fill": fill, "weight": weight}
         if kind == "second_order":
-            return fitted(trees.fit_boosted(train, features, target, trees.Boosting(**{"seed": seed, **options})))
-        return fitted(trees.fit_random_trees(train, features, target, trees.RandomTrees(**{"seed": seed, **options})))
+            return fitted(trees.fit_boosted(train, features, target, trees.Boosting(**{"seed": seed, **options}), **own))
+        return fitted(trees.fit_random_trees(train, features, target, trees.RandomTrees(**{"seed": seed, **options}), **own))
+    if weight is None and kind not in ("linear", "ridge"):  # these are done with one pass
+        train, weight = equal_rows(train, [*features, target]), EQUAL
+    if weight is not None:
+        common["weightCol"] = weight
     if kind == "nystroem":
         m, gamma = int(options.pop("n_components")), float(options.pop("gamma"))
         order, size = hash_order(*features, seed=seed)
-        train = equal_rows(train, [*features, target])
         picked = take_lowest(train.select(*features).distinct(), [], order, list(features), m, size)
         model = NystroemModel(picked.toPandas().to_numpy(dtype=float), gamma, list(features))  # m rows
-        model.linear = LinearRegression(**common, weightCol=EQUAL, **options).fit(model.map_features(train))
+        model.linear = LinearRegression(**common, **options).fit(model.map_features(train))
         return fitted(model)
-    if kind in ("elastic_net", "huber", "boosting"):
-        train = equal_rows(train, [*features, target])
-        common["weightCol"] = EQUAL
+    if kind in ("random_forest", "boosting"):  # a node needs so many rows, and not so many different ones
+        least = int(options.get("minInstancesPerNode", 1))
+        train = in_pieces(train, max(3 * least, DRAWN) if kind == "random_forest" else least)
     data = assemble(train, features)
     if kind in ("linear", "ridge", "elastic_net"):
         fit = LinearRegression(**common, **options).fit(data)
@@ -230,14 +272,19 @@ def train_all(train: DataFrame, test: DataFrame, features: Sequence[str], target
               scaler: str | None = None, column_scalers: dict[str, str] | None = None) -> DataFrame:
     """Fit every requested model on the same split, prepared alike, and compare them.
 
-    Both frames are read once for every model, so they should be written tables.
-    Without transforms, which may look at any column, equal rows are scored once.
+    Without transforms, which may look at any column, equal rows are scored
+    once, and without scalers they are trained on once, with their number: both
+    frames are then read once, whatever the number of models.  Else they are
+    read once or more for every model, so they should be written tables.
     """
     out, weights = None, {}
     if not transforms:
         test = equal_rows(test, [*features, target])
         weights = {"weight": EQUAL, "centre": test.agg(F.avg(_x(target))).first()[0] or 0.0}
     prepare = {"transforms": transforms, "scaler": scaler, "column_scalers": column_scalers}
+    if not (transforms or scaler or column_scalers):
+        train = equal_rows(train.where(_x(target).isNotNull() & ~F.isnan(_x(target))), [*features, target])
+        prepare = {"weight": EQUAL, "fill": fills(train, features, EQUAL)}
     for kind in kinds or MODELS:
         model = fit_model(kind, train, features, target, **prepare, **(settings or {}).get(kind, {}))
         row = regression_metrics(predict(model, test), "prediction", target, **weights)

@@ -7,6 +7,7 @@ number of columns, and hot values are one row before anything is sorted.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,3 +80,22 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     """Exact quantiles of every column from one pass; None for a column without values."""
     found = picked(column_ranks(df, columns), probs) if columns else {}
     return {c: found[k][1] if k in found else [None] * len(probs) for k, c in enumerate(columns)}
+
+
+def reached(df: DataFrame, columns: Sequence[str], probs: Sequence[float], weight: str) -> dict[str, list[float]]:
+    """For every column the least values at which those shares of its rows are reached, a row standing for ``weight``.
+
+    Exact, and values of the column; an empty list for a column without values.
+    """
+    counts = cells(df, columns, [weight]).groupBy("i", "value").agg(F.sum(weight).alias("n"))
+    ranked = ranked_values(counts)
+    totals = {r["i"]: r["total"] for r in ranked.groupBy("i").agg(F.sum("n").alias("total")).collect()}  # one row a column
+    out: dict[str, list[float]] = {c: [] for c in columns}
+    if not totals:
+        return out
+    places = [(i, [max(1, math.ceil(p * n)) for p in probs]) for i, n in totals.items()]
+    asked = df.sparkSession.createDataFrame(places, "i int, places array<long>")
+    here = F.filter("places", lambda at: (at > F.col("n_before")) & (at <= F.col("n_before") + F.col("n")))
+    met = ranked.join(F.broadcast(asked), "i").select("i", "value", F.explode(here).alias("place"))
+    at = {(r["i"], r["place"]): float(r["value"]) for r in met.collect()}  # one value for each column and share
+    return out | {columns[i]: [at[i, spot] for spot in own] for i, own in places}

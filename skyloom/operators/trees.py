@@ -6,9 +6,9 @@ splits), the arrays are summed, and the driver picks the splits from the sums.
 What the driver holds is bounded by the settings and not by the rows.  Equal rows
 are one row with their number, so a pass costs no more than there are different ones.
 
-Boosting keeps each row's features as bin numbers and its current prediction in
-a written table, renewed once a tree, so a pass reads small numbers and no tree
-is evaluated twice.  A model can be fitted further: the stored bins and the
+Boosting keeps each row's features as bin numbers, four in a long, and the error
+of its current prediction in a written table, renewed once a tree, so a pass
+reads few numbers and no tree is evaluated twice.  A model can be fitted further: the stored bins and the
 number of the next tree go on where they stopped, so two fits in a row give the
 same trees as one.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators.attribution import Tree
-from skyloom.operators.models import filled, fills
-from skyloom.operators.ranks import number
+from skyloom.operators.models import evenly, filled, fills
+from skyloom.operators.ranks import number, reached
 from skyloom.session import drop_table, materialise
 
 
@@ -147,6 +147,19 @@ def _share(keys: np.ndarray) -> np.ndarray:
 
 # --- second-order boosting ---------------------------------------------------------
 
+#: Bin numbers, which are shorts, in a long.
+_IN_WORD = 4
+
+
+def _words(bins: np.ndarray) -> np.ndarray:
+    """Rows of shorts as rows of longs."""
+    return np.pad(bins.astype(np.int16), ((0, 0), (0, -bins.shape[1] % _IN_WORD))).view(np.int64)
+
+
+def _bins(batch: pd.DataFrame, words: Sequence[str], count: int) -> np.ndarray:
+    """The shorts of rows of longs, ``count`` to a row."""
+    return np.ascontiguousarray(batch[list(words)].to_numpy(np.int64)).view(np.int16)[:, :count]
+
 
 def _sampled(key: np.ndarray, number_of_tree: int, s: Boosting) -> np.ndarray:
     return _share(key.astype(np.int64).view(np.uint64) ^ mixed(np.array([number_of_tree * 2 + 1 + s.seed * 1_000_003]))) < s.row_share
@@ -207,9 +220,9 @@ def best_splits(hist: np.ndarray, s: Boosting) -> list[tuple[float, int, int] |
     return out
 
 
-def _grow(rows: DataFrame, names: list[str], number_of_tree: int, s: Boosting, gains: np.ndarray) -> _Growing:
-    bins, columns = s.bins, _columns(len(names), number_of_tree, s)
-    rows = rows.where("not valid").select(*names, "key", "n", "y", "margin")
+def _grow(rows: DataFrame, words: list[str], features: int, number_of_tree: int, s: Boosting, gains: np.ndarray) -> _Growing:
+    bins, columns = s.bins, _columns(features, number_of_tree, s)
+    rows = rows.where("not valid").select(*words, "key", "n", "error")
     growing, open_ = _Growing(), [0]
     for level in range(s.depth + 1):
         tree, slots = growing.tree(), np.full(len(growing.left), -1)
@@ -220,12 +233,12 @@ def _grow(rows: DataFrame, names: list[str], number_of_tree: int, s: Boosting, g
 
         def fill(batch: pd.DataFrame, held: np.ndarray) -> None:
             drawn = np.flatnonzero(_sampled(batch["key"].to_numpy(), number_of_tree, s))
-            x = batch[names].to_numpy()[drawn]
+            x = _bins(batch, words, features)[drawn]
             slot = slots[_leaf(tree, x)]
             inside = slot >= 0
             x, slot, drawn = x[inside], slot[inside], drawn[inside]
             n = batch["n"].to_numpy()[drawn]
-            g = (batch["margin"].to_numpy() - batch["y"].to_numpy())[drawn] * n
+            g = batch["error"].to_numpy()[drawn] * n
             for k in range(width):
                 cell = (slot * width + k) * bins + (0 if last else x[:, columns[k]])
                 count = len(open_) * width * bins
@@ -251,35 +264,40 @@ def _grow(rows: DataFrame, names: list[str], number_of_tree: int, s: Boosting, g
 
 
 def fit_boosted(train: DataFrame, features: Sequence[str], target: str, settings: Boosting = Boosting(), *, valid: DataFrame | None = None,
-                start: Ensemble | None = None) -> Ensemble:
+                start: Ensemble | None = None, fill: dict[str, float] | None = None, weight: str | None = None) -> Ensemble:
     """Boosted trees on rows with a target; missing features become medians.
 
     ``start`` is a model to go on from: ``rounds`` more trees are added to it.
     ``valid`` rows are scored after every tree; with ``patience`` the fit stops
     when that many trees bring no better score, and the model ends with the
     best one.  Rows are sampled for a tree by a hash of their values, so equal
-    rows are in or out together and go through the passes as one.
+    rows are in or out together and go through the passes as one.  ``fill`` is
+    what stands for missing values where that is known; with ``weight`` a row
+    of ``train`` stands for that many equal ones, and one of ``valid`` for itself.
     """
     features, s = list(features), settings
     if s.bins > 32_767:
         raise ValueError("bins must fit a short")
-    rows = train.withColumn("__valid", F.lit(False))
+    one = F.lit(1).cast("long")
+    rows = train.withColumns({"__valid": F.lit(False), "__n": F.col(weight).cast("long") if weight else one})
     if valid is not None:
-        rows = rows.unionByName(valid.withColumn("__valid", F.lit(True)), allowMissingColumns=True)
+        rows = rows.unionByName(valid.withColumns({"__valid": F.lit(True), "__n": one}), allowMissingColumns=True)
     rows = rows.where(number(target).isNotNull())
     own = rows.where(~F.col("__valid"))
-    fill = start.fill if start else fills(own, features)
+    fill = start.fill if start else fill or fills(own, features, weight)
     names = [f"b{i}" for i in range(len(features))]
     raw = filled(rows, fill).select(
-        *[number(f).alias(n) for f, n in zip(features, names)], number(target).alias("y"), F.col("__valid").alias("valid"),
+        *[number(f).alias(n) for f, n in zip(features, names)], number(target).alias("y"), F.col("__valid").alias("valid"), F.col("__n").alias("n"),
         F.xxhash64(*[number(f) for f in features], number(target)).alias("key"),
     )
     if start:
         cuts, base, trees, gains, history = start.cuts, start.base, list(start.trees), start.gains.copy(), list(start.history)
     else:
-        probs = [i / s.bins for i in range(1, s.bins)]
-        row = raw.where(~F.col("valid")).agg(F.avg("y").alias("base"), *[F.percentile_approx(n, probs, 10 * s.bins).alias(n) for n in names]).first()
-        cuts, base = [np.unique(row[n] or []) for n in names], float(row["base"] or 0.0)
+        probs, learned = [i / s.bins for i in range(1, s.bins)], raw.where(~F.col("valid"))
+        quantiles = [] if weight else [F.percentile_approx(n, probs, 10 * s.bins).alias(n) for n in names]
+        row = learned.agg((F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("base"), *quantiles).first()
+        found = reached(learned, names, probs, "n") if weight else row
+        cuts, base = [np.unique(found[n] or []) for n in names], float(row["base"] or 0.0)
         trees, gains, history = [], np.zeros(len(features)), []
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,21 +306,22 @@ def fit_boosted(train: DataFrame, features: Sequence[str], target: str, settings
             margin = np.full(len(x), base)
             for tree in trees:
                 margin += tree.predict(x)
-            out = {n: np.searchsorted(cuts[i], x[:, i], "left").astype(np.int16) for i, n in enumerate(names)}
-            yield pd.DataFrame({**out, "y": batch["y"], "valid": batch["valid"], "key": batch["key"], "n": batch["n"], "margin": margin})
-
-    schema = ", ".join(f"{n} short" for n in names) + ", y double, valid boolean, key long, n long, margin double"
-    equal = raw.groupBy(*names, "y", "valid", "key").agg(F.count(F.lit(1)).alias("n"))
-    table = materialise(equal.mapInPandas(binned, schema), "boosting")
+            found = _words(np.stack([np.searchsorted(cuts[i], x[:, i], "left") for i in range(len(names))], 1))
+            rest = {"valid": batch["valid"], "key": batch["key"], "n": batch["n"], "error": margin - batch["y"].to_numpy()}
+            yield pd.DataFrame({**dict(zip(words, found.T)), **rest})
+
+    words = [f"w{i}" for i in range(-(-len(names) // _IN_WORD))]
+    schema = ", ".join(f"{w} long" for w in words) + ", valid boolean, key long, n long, error double"
+    equal = raw.groupBy(*names, "y", "valid", "key").agg(F.sum("n").alias("n"))
+    table = materialise(evenly(equal, [*names, "y"]).mapInPandas(binned, schema), "boosting")
     best = None
     for _ in range(s.rounds):
-        growing = _grow(table, names, len(trees), s, gains)
+        growing = _grow(table, words, len(names), len(trees), s, gains)
         tree = growing.tree()
 
         def advanced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                margin = batch["margin"] + tree.value[_leaf(tree, batch[names].to_numpy())]
-                yield batch.assign(margin=margin)
+                yield batch.assign(error=batch["error"] + tree.value[_leaf(tree, _bins(batch, words, len(names)))])
 
         before, table = table, materialise(table.mapInPandas(advanced, schema), "boosting")
         drop_table(before)
@@ -310,7 +329,7 @@ def fit_boosted(train: DataFrame, features: Sequence[str], target: str, settings
         trees.append(replace(tree, cut=np.array(real, float)))
         error = None
         if valid is not None:
-            error = table.where("valid").agg(F.sqrt(F.sum(F.col("n") * (F.col("margin") - F.col("y")) ** 2) / F.sum("n"))).first()[0]
+            error = table.where("valid").agg(F.sqrt(F.sum(F.col("n") * F.col("error") ** 2) / F.sum("n"))).first()[0]
         history.append((len(trees), error))
         if error is not None and s.patience is not None:
             if best is None or error < best[0]:
@@ -343,23 +362,27 @@ def _assigned(x: np.ndarray, growing: list[Tree], slots: list[np.ndarray]) -> It
             yield k, at, slot[at]
 
 
-def fit_random_trees(train: DataFrame, features: Sequence[str], target: str, settings: RandomTrees = RandomTrees()) -> Ensemble:
+def fit_random_trees(train: DataFrame, features: Sequence[str], target: str, settings: RandomTrees = RandomTrees(), *,
+                     fill: dict[str, float] | None = None, weight: str | None = None) -> Ensemble:
     """Extremely randomised trees, all of them grown at once: two passes a level.
 
     The first pass finds the range of every feature in every open node of every
     tree, the second the moments on either side of the drawn thresholds; the
     feature whose threshold lowers the squared error most splits the node.  Rows
-    of equal features go through the passes as one, with their moments.
+    of equal features go through the passes as one, with their moments.  ``fill``
+    and ``weight`` are as in ``fit_boosted``.
     """
     features, s = list(features), settings
-    fill = fills(train, features)
+    fill = fill or fills(train, features, weight)
     names = [f"x{i}" for i in range(len(features))]
     rows = filled(train.where(number(target).isNotNull()), fill)
-    rows = rows.select(*[number(f).alias(n) for f, n in zip(features, names)], number(target).alias("y"))
-    base = float(rows.agg(F.avg("y")).first()[0] or 0.0)  # moments around the mean keep their digits
-    off = F.col("y") - F.lit(base)
-    equal = rows.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("m0"), F.sum(off).alias("m1"), F.sum(off * off).alias("m2"))
-    table = materialise(equal, "random-trees")
+    n = (F.col(weight) if weight else F.lit(1)).cast("double")
+    rows = rows.select(*[number(f).alias(c) for f, c in zip(features, names)], number(target).alias("y"), n.alias("n"))
+    n, y = F.col("n"), F.col("y")
+    base = float(rows.agg(F.sum(n * y) / F.sum(n)).first()[0] or 0.0)  # moments around the mean keep their digits
+    off = y - F.lit(base)
+    equal = rows.groupBy(*names).agg(F.sum(n).alias("m0"), F.sum(n * off).alias("m1"), F.sum(n * off * off).alias("m2"))
+    table = materialise(evenly(equal, names), "random-trees")
     width, gains = len(features), np.zeros(len(features))
     growing = [_Growing() for _ in range(s.trees)]
     open_: list[list[int]] = [[0] for _ in range(s.trees)]

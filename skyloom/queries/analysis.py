@@ -918,34 +918,40 @@ def _model_rows(spark, sf):
     )
 
 
-def _split(spark, sf):
+def _parts(spark, sf):
+    """Training and test rows for what reads each of them once."""
     rows = _model_rows(spark, sf)
     fold = F.expr(f"cast(({ORDER_SQL}) % 5 as int)")
-    return materialise(rows.where(fold > 0)), materialise(rows.where(fold == 0))
+    return rows.where(fold > 0), rows.where(fold == 0)
+
+
+def _split(spark, sf):
+    train, test = _parts(spark, sf)
+    return materialise(train), materialise(test)
 
 
 @query("M20 M24")
 def linear_family(spark, sf):
-    train, test = _split(spark, sf)
+    train, test = _parts(spark, sf)
     return models.train_all(train, test, _NUMERIC, "temperature", ["linear", "ridge", "elastic_net", "huber"])
 
 
 @query("M21")
 def kernel_regression(spark, sf):
-    train, test = _split(spark, sf)
+    train, test = _parts(spark, sf)
     return models.train_all(train, test, _NUMERIC, "temperature", ["nystroem"], {"nystroem": {"n_components": 50}})
 
 
 @query("M22")
 def random_forest(spark, sf):
-    train, test = _split(spark, sf)
+    train, test = _parts(spark, sf)
     small = {"random_forest": {"numTrees": 20, "maxDepth": 6}}
     return models.train_all(train, test, _NUMERIC, "temperature", ["random_forest"], small)
 
 
 @query("M23")
 def gradient_boosting(spark, sf):
-    train, test = _split(spark, sf)
+    train, test = _parts(spark, sf)
     small = {"boosting": {"maxIter": 10, "maxDepth": 4},
              "second_order": {"rounds": 10, "depth": 4, "rate": 0.3}, "extra_trees": {"trees": 10, "depth": 6}}
     return models.train_all(train, test, _NUMERIC, "temperature", ["boosting"], small)
@@ -970,7 +976,7 @@ def second_order_boosting(spark, sf):
 
 @query("M22")
 def extremely_random_trees(spark, sf):
-    train, test = _split(spark, sf)
+    train, test = _parts(spark, sf)
     return models.train_all(train, test, _NUMERIC, "temperature", ["extra_trees"], {"extra_trees": {"trees": 20, "depth": 8}})
 
 
@@ -1003,7 +1009,7 @@ _SETTINGS = {"nystroem": {"n_components": 50}, "random_forest": {"numTrees": 20,
 )
 def models_on_all_rows(spark, sf):
     """Every model scores every held-out row, with less error than the mean has, and without a large bias."""
-    train, test = _split(spark, sf)
+    train, test = _parts(spark, sf)
     out = models.train_all(train, test, _NUMERIC, "temperature", settings=_SETTINGS)
     return out.select("model", "n_rows", (F.col("r2") > 0.1).alias("beats_mean"), (F.abs("bias") < F.col("rmse") / 2).alias("unbiased"))
 

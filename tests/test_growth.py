@@ -211,3 +211,57 @@ def test_layers_are_drawn_where_their_polygons_lie(spark):
             if n:
                 want[ix, iy, layer] = min(1.0, n / coverage.kernel_total(kernel))
     assert len(want) > 200 and got == want
+
+
+def test_models_share_one_pass_over_the_rows(spark, monkeypatch):
+    """Every kind of model is trained on one table of different rows with their numbers, and each frame is read once."""
+    from skyloom.operators import models
+
+    row = F.col("id") % 60
+    df = spark.range(2400).select((row % 7).cast("double").alias("a"), F.when(row % 9 > 0, row / 3).alias("b"), (row * row % 11).cast("double").alias("y"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    seen = df.mapInArrow(counted, df.schema)
+    trained, whole = [], models.fit_model
+    monkeypatch.setattr(models, "fit_model", lambda kind, train, *a, **k: trained.append(train.count()) or whole(kind, train, *a, **k))
+    few = {"nystroem": {"n_components": 4}, "random_forest": {"numTrees": 3, "maxDepth": 3}, "boosting": {"maxIter": 2, "maxDepth": 2},
+           "second_order": {"rounds": 1, "depth": 2}, "extra_trees": {"trees": 2, "depth": 3}}
+    got = {r["model"]: r for r in models.train_all(seen, seen, ["a", "b"], "y", settings=few).collect()}
+    assert read.value == 2 * 2400 and trained == [60] * len(models.MODELS)
+    assert set(got) == set(models.MODELS) and all(r["n_rows"] == 2400 for r in got.values())
+    for kind in ("linear", "ridge", "extra_trees"):  # the same as on all rows
+        alone = whole(kind, df, ["a", "b"], "y", **few.get(kind, {}))
+        plain = models.regression_metrics(models.predict(alone, df), "prediction", "y").first()
+        assert all(abs(got[kind][c] - plain[c]) < 1e-6 for c in ("rmse", "mae", "r2", "bias", "max_error"))
+
+
+def test_a_forest_draws_equal_rows_in_pieces(spark):
+    """No number of copies makes more than a few rows to draw, all of them count, and few copies are drawn one by one."""
+    from skyloom.operators import attribution, models
+
+    df = spark.createDataFrame([(0.0, 7), (1.0, 16), (2.0, 1000), (3.0, 1)], f"x double, {models.EQUAL} long")
+    cut = models.in_pieces(df, 16).groupBy("x").agg(F.count("*").alias("k"), F.sum(models.EQUAL).alias("n"), F.min(models.EQUAL).alias("low"), F.max(models.EQUAL).alias("high"))
+    assert sorted(tuple(r) for r in cut.collect()) == [(0.0, 7, 7, 1, 1), (1.0, 16, 16, 1, 1), (2.0, 16, 1000, 62, 63), (3.0, 1, 1, 1, 1)]
+    # two different rows of many copies: a node of ten rows may be split between them, and its cover is its rows
+    rows = spark.range(4000).select((F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 2 * 5).cast("double").alias("y"))
+    model = models.fit_model("random_forest", rows, ["x"], "y", numTrees=5, maxDepth=2)
+    trees = attribution.saved_trees(model, spark)
+    assert all(len(t.value) == 3 and sorted(t.value[1:]) == [0.0, 5.0] and 1500 < t.cover[0] < 6500 for t in trees)
+
+
+def test_shares_of_weighted_rows_are_reached_as_those_of_all(spark):
+    from skyloom.operators import ranks
+
+    rng = np.random.default_rng(4)
+    values, n = rng.integers(0, 40, 300) / 4, rng.integers(1, 9, 300)
+    pairs = [(float(v), None, int(k)) for v, k in zip(values, n)] + [(None, None, 50), (float("nan"), None, 3)]
+    df = spark.createDataFrame(pairs, "`a.b` double, c double, n long")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    whole = np.sort(np.repeat(values, n))
+    want = [float(whole[max(0, int(np.ceil(p * len(whole))) - 1)]) for p in probs]
+    assert ranks.reached(df, ["a.b", "c"], probs, "n") == {"a.b": want, "c": []}
